@@ -163,8 +163,8 @@ def parse_branches(lines: DataFrame, line: str = "value", order: str = "line_no"
     rows = lines.filter(attempted).select(
         F.col(order), F.coalesce(ok, F.lit(False)).alias("ok"), lat.alias("lat"), lng.alias("lng"), name.alias("name")
     )
-    good = ordered_positions(rows.filter("ok"), [order]).drop("n")
-    named = good.withColumn("name", F.coalesce(F.col("name"), F.concat(F.lit("Branch "), (F.col("pos") + 1).cast("string")))).drop("pos")
+    good = ordered_positions(rows.filter("ok"), [order]).drop("group_rows")
+    named = good.withColumn("name", F.coalesce(F.col("name"), F.concat(F.lit("Branch "), (F.col("position") + 1).cast("string")))).drop("position")
     bad = rows.filter("not ok").withColumn("lat", F.lit(None).cast("double")).withColumn("lng", F.lit(None).cast("double"))
     return named.unionByName(bad.withColumn("name", F.lit(None).cast("string")).select(*named.columns))
 

@@ -94,7 +94,7 @@ def quantile_value(df: DataFrame, value: str, prob: float) -> Column:
 
 
 def ordered_positions(df: DataFrame, order: list, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
-    """Add ``pos`` (0-based position), ``n`` (rows) and, with ``weight``, ``before`` (weight of earlier rows).
+    """Add ``position`` (0-based), ``group_rows`` and, with ``weight``, ``weight_before`` (of earlier rows).
 
     The order must be total. Rows are range-partitioned by (keys, order) and written once to the checkpoint
     folder, so the partition numbers are stable; offsets come from one small row per (partition, key).
@@ -112,31 +112,31 @@ def ordered_positions(df: DataFrame, order: list, keys: list[str] | None = None,
         *keys,
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_row0"),
         F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_w0"),
-        F.sum("_rows").over(whole).alias("n"),
+        F.sum("_rows").over(whole).alias("group_rows"),
     )
     local = Window.partitionBy("_pid", *keys).orderBy(*order_cols)
     out = ranged.withColumn("_rn", F.row_number().over(local) - 1)
     if weight:
         run = local.rowsBetween(Window.unboundedPreceding, -1)
         out = out.withColumn("_run", F.coalesce(F.sum(weight).over(run), F.lit(0)))
-    out = out.join(offsets, ["_pid", *keys]).withColumn("pos", F.col("_row0") + F.col("_rn"))
+    out = out.join(offsets, ["_pid", *keys]).withColumn("position", F.col("_row0") + F.col("_rn"))
     if weight:
-        out = out.withColumn("before", F.col("_w0") + F.col("_run"))
+        out = out.withColumn("weight_before", F.col("_w0") + F.col("_run"))
     return out.drop("_pid", "_rn", "_run", "_row0", "_w0")
 
 
 def percentile_position(df: DataFrame, value: str, key: str, name: str = "pct") -> DataFrame:
     """``round(100 * i / (n - 1))`` of the row's position by (value, key); a single row gets 50."""
     out = ordered_positions(df, [value, key])
-    pct = F.when(F.col("n") > 1, half_even(F.lit(100.0) * F.col("pos") / (F.col("n") - 1))).otherwise(F.lit(50.0))
-    return out.withColumn(name, pct.cast("bigint")).drop("pos", "n")
+    pct = F.when(F.col("group_rows") > 1, half_even(F.lit(100.0) * F.col("position") / (F.col("group_rows") - 1))).otherwise(F.lit(50.0))
+    return out.withColumn(name, pct.cast("bigint")).drop("position", "group_rows")
 
 
 def _distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Distinct values per key with ``c`` rows, ``before`` rows below and ``total`` rows."""
+    """Distinct values per key with ``c`` rows, ``weight_before`` rows below and ``total`` rows."""
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
     totals = counted.groupBy(*keys).agg(F.sum("c").alias("total")) if keys else None
-    placed = ordered_positions(counted, [value], keys=keys, weight="c").drop("pos", "n")
+    placed = ordered_positions(counted, [value], keys=keys, weight="c").drop("position", "group_rows")
     if totals is not None:
         return placed.join(totals, keys)
     return placed.withColumn("total", counted.agg(F.sum("c")).scalar())
@@ -146,7 +146,7 @@ def percentile_strict(df: DataFrame, keys: list[str], value: str, name: str = "p
     """``round(100 * rows strictly below / (n - 1))`` capped at 100; groups of one row get NULL."""
     dist = _distribution(df, keys, value)
     pct = F.when(
-        F.col("total") > 1, F.least(half_even(F.lit(100.0) * F.col("before") / (F.col("total") - 1)), F.lit(100.0))
+        F.col("total") > 1, F.least(half_even(F.lit(100.0) * F.col("weight_before") / (F.col("total") - 1)), F.lit(100.0))
     )
     return df.join(dist.select(*keys, value, pct.cast("bigint").alias(name)), [*keys, value], "left")
 
@@ -154,7 +154,7 @@ def percentile_strict(df: DataFrame, keys: list[str], value: str, name: str = "p
 def share_at_or_below(df: DataFrame, value: str, name: str = "share") -> DataFrame:
     """Share of rows with a value less than or equal to the row's own (cumulative distribution)."""
     dist = _distribution(df, [], value)
-    share = (F.col("before") + F.col("c")) / F.col("total")
+    share = (F.col("weight_before") + F.col("c")) / F.col("total")
     return df.join(dist.select(value, share.alias(name)), [value], "left")
 
 
@@ -167,15 +167,15 @@ def place_in_distribution(probes: DataFrame, probe: str, base: DataFrame, value:
     marks = probes.select(F.col(probe).cast("double").alias("_x")).distinct().select("_x", F.lit(0).alias("_c"))
     mass = base.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_c"))
     line = marks.unionByName(mass).groupBy("_x").agg(F.sum("_c").alias("_c"))
-    placed = ordered_positions(line, ["_x"], weight="_c").select("_x", "before")
+    placed = ordered_positions(line, ["_x"], weight="_c").select("_x", "weight_before")
     n = base.filter(F.col(value).isNotNull()).agg(F.count("*")).scalar()
-    pct = F.when(F.col("_n") > 1, half_even(F.lit(100.0) * F.col("before") / (F.col("_n") - 1))).otherwise(F.lit(50.0))
+    pct = F.when(F.col("_n") > 1, half_even(F.lit(100.0) * F.col("weight_before") / (F.col("_n") - 1))).otherwise(F.lit(50.0))
     return (
         probes.withColumn("_x", F.col(probe).cast("double"))
         .join(placed, "_x", "left")
         .withColumn("_n", n)
         .withColumn(name, pct.cast("bigint"))
-        .drop("_x", "_n", "before")
+        .drop("_x", "_n", "weight_before")
     )
 
 

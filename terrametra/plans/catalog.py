@@ -6,7 +6,7 @@ import importlib
 
 from terrametra.plans.registry import ORACLES, QUERIES
 
-MODULES = ["cleaning_queries", "rollup_queries", "window_queries", "join_queries"]
+MODULES = ["cleaning_queries", "rollup_queries", "window_queries", "join_queries", "model_queries", "source_queries", "stream_queries"]
 
 
 def _load() -> None:

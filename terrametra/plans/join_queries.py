@@ -97,21 +97,21 @@ def _squares(t: Tables, half: float):
 @query(
     "polygon_adjacency",
     f"""WITH {STREETS} SELECT a.street AS src, b.street AS dst FROM streets a JOIN streets b ON a.street <> b.street
-    WHERE sqrt(pow(greatest(abs(a.lng - b.lng) - 0.004e0, 0), 2) + pow(greatest(abs(a.lat - b.lat) - 0.004e0, 0), 2)) <= 0.00153e0""",
+    WHERE sqrt(pow(greatest(abs(a.lng - b.lng) - 0.008e0, 0), 2) + pow(greatest(abs(a.lat - b.lat) - 0.008e0, 0), 2)) <= 0.00253e0""",
 )
 def polygon_adjacency(t: Tables):
-    return X.polygon_adjacency(_squares(t, 0.002), 0.00153)
+    return X.polygon_adjacency(_squares(t, 0.004), 0.00253)
 
 
 @query(
     "street_crossings",
     f"""WITH {STREETS}, n AS (SELECT a.street AS src, b.street AS dst FROM streets a JOIN streets b ON a.street <> b.street
-      WHERE sqrt(pow(greatest(abs(a.lng - b.lng) - 0.004e0, 0), 2) + pow(greatest(abs(a.lat - b.lat) - 0.004e0, 0), 2)) <= 0.00153e0)
+      WHERE sqrt(pow(greatest(abs(a.lng - b.lng) - 0.008e0, 0), 2) + pow(greatest(abs(a.lat - b.lat) - 0.008e0, 0), 2)) <= 0.00253e0)
     SELECT street AS cell_id, greatest(count(dst), 1) AS degree FROM streets LEFT JOIN n ON src = street GROUP BY 1""",
 )
 def street_crossings(t: Tables):
-    sq = _squares(t, 0.002)
-    return X.degrees_of(sq, X.polygon_adjacency(sq, 0.00153))
+    sq = _squares(t, 0.004)
+    return X.degrees_of(sq, X.polygon_adjacency(sq, 0.00253))
 
 
 @query("grid_adjacency", f"""WITH {EST}, c AS (SELECT DISTINCT round_even(lng / 0.0028e0, 0)::BIGINT AS gx, round_even(lat / 0.0028e0, 0)::BIGINT AS gy FROM est)
@@ -174,11 +174,18 @@ def nearest_within_planar(t: Tables):
 
 @query(
     "distance_self_join",
-    f"""WITH {STREETS}, p AS (SELECT a.street AS a, b.street AS b, {_HAV} * 1000 AS m FROM streets a JOIN streets b ON a.street < b.street)
+    f"""WITH c AS (SELECT c_custkey AS k, -99.20e0 + (c_custkey * 7919 % 1000) * 0.0001e0 AS lng, 19.45e0 + (c_custkey * 15485863 % 1013) * 0.0001e0 AS lat FROM customer),
+    p AS (SELECT a.k AS a, b.k AS b, {_HAV} * 1000 AS m FROM c a JOIN c b ON a.k < b.k AND abs(a.lat - b.lat) < 0.006e0)
     SELECT a, b, round_even(m, 0)::BIGINT AS dist_m FROM p WHERE m < 600""",
 )
 def distance_self_join(t: Tables):
-    return X.close_pairs(streets(t), "street", 600.0)
+    k = F.col("c_custkey")
+    sites = t.customer.select(
+        k.alias("k"),
+        (F.lit(-99.20) + (k * 7919 % 1000) * F.lit(0.0001)).alias("lng"),
+        (F.lit(19.45) + (k * 15485863 % 1013) * F.lit(0.0001)).alias("lat"),
+    )
+    return X.close_pairs(sites, "k", 600.0)
 
 
 _DEMAND = f"""{EST}, c AS (SELECT round_even(lng / 0.0028e0, 0)::BIGINT AS gx, round_even(lat / 0.0028e0, 0)::BIGINT AS gy, sum(emp) AS employment, count(*) FILTER (WHERE contains(name, 'GIZMO')) AS comp, count(*) AS n FROM est GROUP BY 1, 2),

@@ -243,10 +243,10 @@ def street_axes(points: DataFrame, street: str, tie: str, minimum: int = 4, vert
     placed = dense.join(axis.select(street, "mx", "my", "ang"), street).select(street, "lng", "lat", tie, F.round(proj, 12).alias("proj"))
     ranked = ordered_positions(placed, ["proj", "lng", "lat", tie], keys=[street])
     last = vertices - 1
-    slots = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(last)), lambda k: F.floor(k * (F.col("n") - 1) / F.lit(last)).cast("bigint")))
-    chosen = ranked.filter(F.array_contains(slots, F.col("pos")))
+    slots = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(last)), lambda k: F.floor(k * (F.col("group_rows") - 1) / F.lit(last)).cast("bigint")))
+    chosen = ranked.filter(F.array_contains(slots, F.col("position")))
     return chosen.groupBy(street).agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.bround("lng", 5).alias("lng"), F.bround("lat", 5).alias("lat")))).alias("_p")
+        F.array_sort(F.collect_list(F.struct("position", F.bround("lng", 5).alias("lng"), F.bround("lat", 5).alias("lat")))).alias("_p")
     ).select(street, F.transform("_p", lambda p: F.struct(p["lng"].alias("lng"), p["lat"].alias("lat"))).alias("path"))
 
 

@@ -83,11 +83,12 @@ def quantile_class(t: Tables):
 
 @query(
     "exact_quantile",
-    f"""WITH {EST} SELECT sector, quantile_cont(price, 0.5) AS p50, quantile_cont(price, 0.95) AS p95 FROM est GROUP BY 1""",
+    f"""WITH {EST} SELECT sector, round(quantile_cont(price, 0.5), 5) AS p50, round(quantile_cont(price, 0.95), 5) AS p95 FROM est GROUP BY 1""",
 )
 def exact_quantile(t: Tables):
     e = establishments(t)
-    return K.exact_quantile(e, ["sector"], "price", 0.5, "p50").join(K.exact_quantile(e, ["sector"], "price", 0.95, "p95"), "sector")
+    both = K.exact_quantile(e, ["sector"], "price", 0.5, "p50").join(K.exact_quantile(e, ["sector"], "price", 0.95, "p95"), "sector")
+    return both.select("sector", r("p50", 5).alias("p50"), r("p95", 5).alias("p95"))
 
 
 @query(
