@@ -56,7 +56,7 @@ def street_name(t: Tables):
 @query(
     "valid_coords",
     f"""WITH {EST}, x AS (SELECT muni, CASE WHEN okey % 11 = 0 THEN 'n/d' WHEN okey % 13 = 0 THEN '' WHEN okey % 17 = 0 THEN '95.5' ELSE lat::VARCHAR END AS la, lng FROM est)
-    SELECT muni, count(*) AS n, round(sum(try_cast(la AS DOUBLE)), 3) AS lat_sum FROM x
+    SELECT muni, count(*) AS n, round(sum(try_cast(la AS DOUBLE)), 4) AS lat_sum FROM x
     WHERE try_cast(la AS DOUBLE) BETWEEN 14 AND 33 AND lng BETWEEN -119 AND -86 GROUP BY 1""",
 )
 def valid_coords(t: Tables):
@@ -65,7 +65,7 @@ def valid_coords(t: Tables):
     )
     e = establishments(t).select("muni", la.alias("lat"), F.col("lng").cast("string").alias("lng"))
     ok = C.valid_coordinates(e, box=C.NATIONAL_BOX)
-    return ok.groupBy("muni").agg(F.count("*").alias("n"), r(F.sum("lat"), 3).alias("lat_sum"))
+    return ok.groupBy("muni").agg(F.count("*").alias("n"), r(F.sum("lat"), 4).alias("lat_sum"))
 
 
 @query(

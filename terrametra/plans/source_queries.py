@@ -35,14 +35,14 @@ def _registry_text(t: Tables):
     )
 
 
-_BY_AREA = """SELECT state::VARCHAR AS state_code, muni::VARCHAR AS town_code, sector, count(*) AS n, sum(staff)::BIGINT AS staff, round(sum(lat), 3) AS lat, count(*) FILTER (WHERE contains(name, 'BOLT')) AS bolts FROM est GROUP BY 1, 2, 3"""
+_BY_AREA = """SELECT state::VARCHAR AS state_code, muni::VARCHAR AS town_code, sector, count(*) AS n, sum(staff)::BIGINT AS staff, round(sum(lat), 4) AS lat, count(*) FILTER (WHERE contains(name, 'BOLT')) AS bolts FROM est GROUP BY 1, 2, 3"""
 
 
 def _by_area(reg):
     return reg.groupBy("state_code", "town_code", sector_of(F.col("activity_code")).alias("sector")).agg(
         F.count("*").alias("n"),
         F.sum(employment_of(F.col("band"))).alias("staff"),
-        r(F.sum(F.col("lat").cast("double")), 3).alias("lat"),
+        r(F.sum(F.col("lat").cast("double")), 4).alias("lat"),
         F.sum((F.col("name").startswith("Café ") & F.col("name").contains("BOLT")).cast("bigint")).alias("bolts"),
     )
 
@@ -323,7 +323,7 @@ def _pages(t: Tables):
     cat = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
     url = cat("/inmueble-", k)
     state = cat('{"title":"T ', k, '","price":', p, ',"construction":', m, ',"surface":', m, ',"location":{"city":"', F.col("zone"), '"},"url":"', url, '","bedrooms":', F.col("rooms").cast("string"), '}')
-    ld = cat('{"@type":"House","name":"T ', k, '","url":"', url, '","offers":{"price":"', p, '","priceCurrency":"', F.col("currency"), '"},"floorSize":{"value":"', m, ' m2"},"address":{"addressLocality":"', F.col("zone"), '"}}')
+    ld = cat('{"@type":"House","name":"T ', k, '","url":"', url, '","offers":{"price":"', p, '","priceCurrency":"', F.col("currency"), '"},"floorSize":{"value":"', m, ' m"},"address":{"addressLocality":"', F.col("zone"), '"}}')
     res = cat('{"idPropiedadesDB":', k, ',"encabezado":"T ]', k, '","precio":"', p, '","moneda":"', F.col("currency"), '","m2C":', m, ',"municipio":"', F.col("zone"), '","urlCorrectaPropiedad":"', url, '","tipoOperacion":"', F.col("operation"), '"}')
     pad = F.rpad(F.lit("<p>x</p>"), 160, ".")
     win = cat("<div>Casa en venta <b>$", F.format_number("price", 2), " MXN</b><span>", m, " m² Construcción</span><i>", F.col("rooms").cast("string"), " Rec</i>", pad, "</div>")

@@ -55,6 +55,10 @@ FIELDS = ["url", "title", "price", "currency", "location", "m2_built", "m2_land"
 BLOCKS = {"ld": [LD_JSON], "state": [STATE_JSON, STATE_ASSIGN], "results": [RESULTS], "next": [NEXT_JSON]}
 
 
+def _tagged(tag: Column):
+    return lambda b: F.struct(tag, b.alias("block"))
+
+
 def json_blocks(pages: DataFrame, page: str, html: str, sources: tuple[str, ...] = ("ld", "state", "results")) -> DataFrame:
     """``(page, source, block)``: linked data, embedded state and the results array of each page."""
     h = F.col(html)
@@ -62,7 +66,8 @@ def json_blocks(pages: DataFrame, page: str, html: str, sources: tuple[str, ...]
     for source in sources:
         for rx in BLOCKS[source]:
             found = F.regexp_extract_all(h, F.lit(rx), F.lit(1)) if source in ("ld", "state") else F.array(F.regexp_extract(h, rx, 1))
-            parts.append(F.transform(found, lambda b, s=source: F.struct(F.lit(s).alias("source"), b.alias("block"))))
+            tag = F.lit(source).alias("source")
+            parts.append(F.transform(found, _tagged(tag)))
     every = F.concat(*parts)
     return pages.select(F.col(page), F.posexplode(every).alias("block_no", "b")).select(page, "block_no", "b.source", "b.block").filter("block <> ''")
 
@@ -109,7 +114,8 @@ def json_objects(blocks: DataFrame, page: str) -> DataFrame:
                 except ValueError:
                     continue
                 rows += [(pid, source, no, i, _shallow(d)) for i, d in enumerate(_walk(doc, source == "ld"))]
-            yield pd.DataFrame(rows, columns=[page, "source", "block_no", "seq", "node"])
+            if rows:
+                yield pd.DataFrame(rows, columns=[page, "source", "block_no", "seq", "node"])
 
     return blocks.select(page, "block_no", "source", "block").mapInPandas(read, f"{page} {kind}, source string, block_no int, seq int, node string")
 
