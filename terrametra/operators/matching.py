@@ -130,9 +130,9 @@ def resolve_entities(requests: DataFrame, request: str, names: DataFrame, name:
             )
         ).alias("e"),
     ).select("official", "e.*")
-    found = asked.join(offered, ["rule", "k"]).groupBy("request", "rule").agg(
-        F.count("*").alias("candidates"), F.min("official").alias("official")
-    )
+    # candidates are counted per key before the join, so a common prefix never pairs with all its names
+    per_key = offered.groupBy("rule", "k").agg(F.count("*").alias("candidates"), F.min("official").alias("official"))
+    found = asked.join(per_key, ["rule", "k"])
     first = found.groupBy("request").agg(F.min_by(F.struct("rule", "candidates", "official"), F.col("rule")).alias("_f"))
     one = F.col("_f")["candidates"] == 1
     return (

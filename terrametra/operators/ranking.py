@@ -14,10 +14,12 @@ from terrametra.functions.numeric import half_even
 from terrametra.session import durable
 
 # A group with at most this many rows keeps all its distinct values; a larger one keeps a bracket.
-SMALL_GROUP = 10_000
+SMALL_GROUP = 50_000
 # Rank error of the bracket bounds is at most rows / ACCURACY (Greenwald-Khanna guarantee).
-ACCURACY = 10_000
+ACCURACY = 50_000
 MARGIN = 4.0 / ACCURACY
+# Pieces of the bracket of a whole column; running counts start anew in each.
+SLOTS = 255
 
 
 def _cols(names) -> list[Column]:
@@ -58,11 +60,14 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, prob: float, name
         )
     below = ~F.col("_wide") & (F.col("_v") < F.col("_b")[0])
     kept = joined.filter(F.col("_wide") | (F.col("_v") <= F.col("_b")[1]))
-    packed = kept.groupBy(*keys, F.when(below, F.lit(None)).otherwise(F.col("_v")).alias("_v")).agg(
+    width = F.col("_b")[1] - F.col("_b")[0]
+    piece = F.when(F.col("_wide") | below, 0).otherwise(
+        F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_b")[0], width) * SLOTS), F.lit(0)).cast("int") + 1
+    )
+    packed = kept.groupBy(*keys, F.when(below, F.lit(None)).otherwise(F.col("_v")).alias("_v"), piece.alias("_slot")).agg(
         F.sum("_c").alias("_c"), F.first("_n").alias("_n")
     )
-    frame = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
-    ranked = packed.withColumn("_end", F.sum("_c").over(frame)).withColumn("_start", F.col("_end") - F.col("_c"))
+    ranked = _running_counts(packed, keys)
     if mode == "upper":
         at = F.floor(F.col("_n") * F.lit(prob))
         hit = (F.col("_start") <= at) & (at < F.col("_end"))
@@ -80,6 +85,24 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, prob: float, name
     )
 
 
+def _running_counts(packed: DataFrame, keys: list[str]) -> DataFrame:
+    """Rank interval ``[_start, _end)`` of every kept value.
+
+    With keys the running count is per key. A whole column has no key to spread over, so its running counts
+    are per slot of the bracket, and the totals of the earlier slots (at most 257 rows) are added.
+    """
+    order = F.col("_v").asc_nulls_first()
+    if keys:
+        out = packed.withColumn("_end", F.sum("_c").over(Window.partitionBy(*keys).orderBy(order)))
+    else:
+        totals = packed.groupBy("_slot").agg(F.sum("_c").alias("_t"))
+        earlier = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select("_slot", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_o"))
+        inner = packed.withColumn("_e", F.sum("_c").over(Window.partitionBy("_slot").orderBy(order)))
+        out = inner.join(F.broadcast(offsets), "_slot").withColumn("_end", F.col("_o") + F.col("_e"))
+    return out.withColumn("_start", F.col("_end") - F.col("_c"))
+
+
 def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     return exact_quantile(df, keys, value, 0.5, name)
 

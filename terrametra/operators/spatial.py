@@ -1,8 +1,8 @@
 """Grid-bucketed spatial joins.
 
 Every join is an equi-join on grid cells followed by the exact geometric test. The smaller side is spread over
-the cells its reach covers; the larger side sits in one cell per row and may be salted, so a cell that holds a
-third of all points is split over several tasks. Pairs are reduced by an aggregate right after the test.
+the cells its reach covers; the larger side sits in one cell per row, and cells that hold too many of its rows are
+split over several tasks. Pairs are reduced by an aggregate right after the test.
 """
 
 from __future__ import annotations
@@ -18,24 +18,45 @@ from terrametra.operators.ranking import top_n_per_group
 from terrametra.session import durable
 
 KM_PER_DEGREE = geo.EARTH_KM * math.pi / 180.0
-SALT = 8
 PACKED_LIMIT = 2_000
+# A cell is hot above this many rows, and above one ten-thousandth of all rows.
+HOT_ROWS = 200_000
+HOT_SHARE = 10_000
 
 
 def cell(c: Column, step: float) -> Column:
     return F.floor(c / step).cast("bigint")
 
 
-def _salted(df: DataFrame, salt: int) -> DataFrame:
-    """Large side: one salt per row, from the whole row so that equal coordinates still spread."""
-    if salt <= 1:
-        return df.withColumn("_salt", F.lit(0))
-    return df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salt)).cast("int"))
+def in_cells(df: DataFrame, step: float, lng: str = "lng", lat: str = "lat") -> DataFrame:
+    """One grid cell per row."""
+    return df.withColumn("_cx", cell(F.col(lng), step)).withColumn("_cy", cell(F.col(lat), step))
 
 
-def _replicated(df: DataFrame, salt: int) -> DataFrame:
-    """Small side: every salt."""
-    return df.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(max(salt, 1))])))
+def cell_join(spread: DataFrame, fixed: DataFrame) -> DataFrame:
+    """Join two frames on their cell; hot cells of ``fixed`` are split and ``spread`` repeats only there.
+
+    Cells above the limit get one salt per limit of rows. Since a hot cell holds more than a ten-thousandth of
+    all rows there are fewer than ten thousand of them, so their list is safe to broadcast; cells that are not
+    hot are neither salted nor repeated.
+    """
+    counts = fixed.groupBy("_cx", "_cy").agg(F.count("*").alias("_n"))
+    limit = F.greatest(F.lit(float(HOT_ROWS)), F.col("_all") / HOT_SHARE)
+    hot = (
+        counts.withColumn("_all", counts.agg(F.sum("_n")).scalar())
+        .filter(F.col("_n") > limit)
+        .select("_cx", "_cy", F.ceil(F.col("_n") / limit).cast("int").alias("_salts"))
+    )
+    pieces = F.coalesce("_salts", F.lit(1))
+    # the row's own partition is part of the hash, so that copies of one row spread too
+    slot = F.pmod(F.xxhash64(*fixed.columns, F.spark_partition_id()), pieces).cast("int")
+    right = fixed.join(F.broadcast(hot), ["_cx", "_cy"], "left").withColumn("_salt", slot).drop("_salts")
+    left = (
+        spread.join(F.broadcast(hot), ["_cx", "_cy"], "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - 1)))
+        .drop("_salts")
+    )
+    return left.join(right, ["_cx", "_cy", "_salt"]).drop("_cx", "_cy", "_salt")
 
 
 def _cover(df: DataFrame, x0: Column, x1: Column, y0: Column, y1: Column, step: float) -> DataFrame:
@@ -53,9 +74,10 @@ def _reach_box(lng: Column, lat: Column, km: float) -> tuple[Column, Column, Col
     return lng - dlng, lng + dlng, lat - dlat, lat + dlat
 
 
-def radius_pairs(centres: DataFrame, points: DataFrame, km: float | None = None, degrees: float | None = None, salt: int = SALT) -> DataFrame:
+def radius_pairs(centres: DataFrame, points: DataFrame, km: float | None = None, degrees: float | None = None) -> DataFrame:
     """Pairs of a centre ``(c_lng, c_lat, ...)`` and a point ``(lng, lat, ...)`` strictly closer than the radius.
 
+    Centres are repeated over the cells in their reach, points stay in one cell: pass the smaller side as centres.
     ``km`` uses haversine distances and gives ``dist_m``; ``degrees`` uses planar distances and gives ``dist``.
     """
     step = (km / KM_PER_DEGREE) if km is not None else degrees
@@ -68,10 +90,8 @@ def radius_pairs(centres: DataFrame, points: DataFrame, km: float | None = None,
         box = (x - degrees, x + degrees, y - degrees, y + degrees)
         dist, name = geo.planar_deg(F.col("lng"), F.col("lat"), x, y), "dist"
         limit = degrees
-    left = _replicated(_cover(centres, *box, step), salt)
-    right = _salted(points, salt).withColumn("_cx", cell(F.col("lng"), step)).withColumn("_cy", cell(F.col("lat"), step))
-    pairs = left.join(right, ["_cx", "_cy", "_salt"]).withColumn(name, dist)
-    return pairs.filter(F.col(name) < limit).drop("_cx", "_cy", "_salt")
+    pairs = cell_join(_cover(centres, *box, step), in_cells(points, step)).withColumn(name, dist)
+    return pairs.filter(F.col(name) < limit)
 
 
 def close_pairs(df: DataFrame, key: str, metres: float = 600.0) -> DataFrame:
@@ -134,63 +154,66 @@ def nearest(points: DataFrame, anchors: DataFrame, key: str, metric: str = "plan
         return _packed_nearest(points, anchors, key, dist)
 
     todo = durable(points.withColumn("_row", F.monotonically_increasing_id()))
-    sites = anchors.select(F.col(key).alias("_k"), F.col("lng").alias("_ax"), F.col("lat").alias("_ay"))
-    span = todo.agg(F.min("lng"), F.max("lng"), F.min("lat"), F.max("lat")).unionByName(
-        sites.agg(F.min("_ax").alias("min(lng)"), F.max("_ax").alias("max(lng)"), F.min("_ay").alias("min(lat)"), F.max("_ay").alias("max(lat)"))
-    ).agg(F.min("min(lng)"), F.max("max(lng)"), F.min("min(lat)"), F.max("max(lat)")).first()
-    if span[0] is None:
-        return points.withColumn("near_id", F.lit(None)).withColumn("near_dist", F.lit(None).cast("double"))
+    sites = durable(anchors.select(F.col(key).alias("_k"), F.col("lng").alias("_ax"), F.col("lat").alias("_ay")))
+    n_sites = sites.count()
+    box = lambda df, x, y: df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
+    span = box(todo, "lng", "lat").unionByName(box(sites, "_ax", "_ay")).agg(F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).first()
+    if n_sites == 0 or span[0] is None:
+        kind = anchors.schema[key].dataType
+        return points.withColumn("near_id", F.lit(None).cast(kind)).withColumn("near_dist", F.lit(None).cast("double"))
     extent = max(span[1] - span[0], span[3] - span[2]) + step
     site = F.struct(F.col("_ax").alias("x"), F.col("_ay").alias("y"))
+    blocks = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     done = None
     size = step
     while True:
         last = size >= extent
-        around = todo.select("_row", "lng", "lat")
-        around = _cover(around, F.col("lng") - size, F.col("lng") + size, F.col("lat") - size, F.col("lat") + size, size)
-        placed = _salted(sites, SALT).withColumn("_cx", cell(F.col("_ax"), size)).withColumn("_cy", cell(F.col("_ay"), size))
-        hits = _replicated(around, SALT).join(placed, ["_cx", "_cy", "_salt"]).withColumn("_d", dist(site))
+        spots = in_cells(todo.select("_row", "lng", "lat"), size)
+        placed = in_cells(sites, size, "_ax", "_ay")
+        # the smaller side goes to all nine cells of its block
+        few_sites = n_sites <= todo.count()
+        wide = (placed if few_sites else spots).withColumn("_m", F.explode(blocks))
+        wide = wide.withColumn("_cx", F.col("_cx") + F.col("_m")["dx"]).withColumn("_cy", F.col("_cy") + F.col("_m")["dy"]).drop("_m")
+        hits = (cell_join(wide, spots) if few_sites else cell_join(wide, placed)).withColumn("_d", dist(site))
         best = hits.groupBy("_row").agg(F.min(F.struct("_d", "_k")).alias("_best"))
-        # inside the ring every unseen anchor is at least one cell away
+        # inside the block every unseen anchor is at least one cell away
         safe = F.lit(size) if metric != "haversine" else F.lit(size * KM_PER_DEGREE) * F.cos(
             F.radians(F.least(F.abs(F.col("lat")) + 2 * size, F.lit(89.0)))
         )
-        step_out = durable(todo.join(best, "_row", "left"))
         found = F.col("_best").isNotNull() & (F.lit(last) | (F.col("_best")["_d"] <= safe))
-        solved = step_out.filter(found)
+        seen = durable(todo.join(best, "_row", "left").withColumn("_found", F.coalesce(found, F.lit(False))))
+        solved = seen.filter("_found")
         done = solved if done is None else done.unionByName(solved)
-        todo = step_out.filter(~found | found.isNull()).drop("_best")
+        todo = seen.filter("not _found").drop("_best", "_found")
         if last or todo.isEmpty():
             break
         size *= 4
-    return done.withColumn("near_id", F.col("_best")["_k"]).withColumn("near_dist", F.col("_best")["_d"]).drop("_best", "_row")
+    # rows without coordinates stay, without a neighbour
+    rest = todo.withColumn("_best", F.lit(None).cast(done.schema["_best"].dataType)).withColumn("_found", F.lit(False))
+    out = done.unionByName(rest)
+    return out.withColumn("near_id", F.col("_best")["_k"]).withColumn("near_dist", F.col("_best")["_d"]).drop("_best", "_row", "_found")
 
 
 def nearest_within(points: DataFrame, anchors: DataFrame, key: str, km: float, metric: str = "haversine") -> DataFrame:
-    """Nearest anchor only when it is at most ``km`` away; planar uses 111 km per degree, cosine at the point."""
+    """Nearest anchor only when it is at most ``km`` away; planar uses 111 km per degree, cosine at the point.
+
+    Anchors are repeated over the cells in their reach, so points farther than ``km`` from all of them cost
+    nothing. Each point keeps its best candidate through one aggregate.
+    """
+    rows = durable(points.withColumn("_row", F.monotonically_increasing_id()))
+    sites = anchors.groupBy(F.col("lng").alias("c_lng"), F.col("lat").alias("c_lat")).agg(F.min(key).alias("_k"))
+    spots = rows.select("_row", "lng", "lat")
     if metric == "haversine":
-        out = nearest(points, anchors, key, metric="haversine", step=max(km / KM_PER_DEGREE, 1e-6))
-        ok = F.col("near_dist") <= km
-        return out.withColumn("near_id", F.when(ok, F.col("near_id"))).withColumn("near_dist", F.when(ok, F.col("near_dist")))
-    # the cosine belongs to the point, so the search radius in degrees is bounded by its own latitude
-    ids = points.withColumn("_row", F.monotonically_increasing_id())
-    ids = durable(ids)
-    step = km / 111.0
-    worst = F.cos(F.radians(F.least(F.abs(F.col("lat")), F.lit(89.0))))
-    box = (F.col("lng") - step / worst, F.col("lng") + step / worst, F.col("lat") - step, F.col("lat") + step)
-    left = _replicated(_cover(ids.select("_row", "lng", "lat"), *box, step), SALT)
-    sites = anchors.select(F.col(key).alias("_k"), F.col("lng").alias("_ax"), F.col("lat").alias("_ay"))
-    placed = _salted(sites, SALT).withColumn("_cx", cell(F.col("_ax"), step)).withColumn("_cy", cell(F.col("_ay"), step))
-    d = geo.planar_km(F.col("_ax"), F.col("_ay"), F.col("lng"), F.col("lat"))
-    best = (
-        left.join(placed, ["_cx", "_cy", "_salt"])
-        .withColumn("_d", d)
-        .filter(F.col("_d") <= km)
-        .groupBy("_row")
-        .agg(F.min(F.struct("_d", "_k")).alias("_best"))
-    )
+        pairs = radius_pairs(sites, spots, km=km * (1 + 1e-12)).withColumn("_d", F.col("dist_m") / 1000.0)
+    else:
+        step = km / 111.0
+        # the cosine belongs to the point, whose latitude is at most one step from the anchor's
+        reach = F.lit(step) / F.cos(F.radians(F.least(F.abs(F.col("c_lat")) + step, F.lit(89.0))))
+        cover = _cover(sites, F.col("c_lng") - reach, F.col("c_lng") + reach, F.col("c_lat") - step, F.col("c_lat") + step, step)
+        pairs = cell_join(cover, in_cells(spots, step)).withColumn("_d", geo.planar_km(F.col("c_lng"), F.col("c_lat"), F.col("lng"), F.col("lat")))
+    best = pairs.filter(F.col("_d") <= km).groupBy("_row").agg(F.min(F.struct("_d", "_k")).alias("_best"))
     return (
-        ids.join(best, "_row", "left")
+        rows.join(best, "_row", "left")
         .withColumn("near_id", F.col("_best")["_k"])
         .withColumn("near_dist", F.col("_best")["_d"])
         .drop("_best", "_row")
@@ -213,14 +236,13 @@ def coverage_gaps(cells: DataFrame, branches: DataFrame, km: float = 1.2, n: int
     return out.withColumn("network_km", half_even(F.col("near_dist"), 2)).drop("near_id", "near_dist")
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, step: float, salt: int = SALT) -> DataFrame:
+def points_in_polygons(points: DataFrame, polygons: DataFrame, step: float) -> DataFrame:
     """Points ``(lng, lat, ...)`` joined with the polygons ``(poly_id, rings)`` that contain them."""
     boxed = polygons.select("poly_id", "rings", geo.bbox(F.col("rings")).alias("_b"))
     left = _cover(boxed, F.col("_b")["x0"], F.col("_b")["x1"], F.col("_b")["y0"], F.col("_b")["y1"], step)
-    right = _salted(points, salt).withColumn("_cx", cell(F.col("lng"), step)).withColumn("_cy", cell(F.col("lat"), step))
-    pairs = right.join(_replicated(left, salt), ["_cx", "_cy", "_salt"])
+    pairs = cell_join(left, in_cells(points, step))
     in_box = F.col("lng").between(F.col("_b")["x0"], F.col("_b")["x1"]) & F.col("lat").between(F.col("_b")["y0"], F.col("_b")["y1"])
-    return pairs.filter(in_box & geo.inside(F.col("rings"), F.col("lng"), F.col("lat"))).drop("_cx", "_cy", "_salt", "_b", "rings")
+    return pairs.filter(in_box & geo.inside(F.col("rings"), F.col("lng"), F.col("lat"))).drop("_b", "rings")
 
 
 def polygon_adjacency(shapes: DataFrame, tolerance: float, key: str = "cell_id", closed: bool = True) -> DataFrame:
@@ -250,7 +272,7 @@ def polygon_adjacency(shapes: DataFrame, tolerance: float, key: str = "cell_id",
         step,
     )
     touching = (
-        left.join(right, ["_cx", "_cy"])
+        cell_join(left, right)
         .filter((F.col("src") != F.col("dst")) & (geo.segment_gap_sq(F.col("a"), F.col("b")) <= tolerance * tolerance))
         .select("src", "dst")
     )
