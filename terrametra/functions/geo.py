@@ -97,16 +97,16 @@ def _crosses(e: Column, x: Column, y: Column) -> Column:
     return straddles & (x < at)
 
 
-def inside(rings: Column, x: Column, y: Column) -> Column:
-    """Even-odd ray cast over every edge of every ring."""
-    hits = F.aggregate(
-        F.flatten(F.transform(rings, edges)),
-        F.lit(0),
-        lambda n, e: n + F.when(_crosses(e, x, y), 1).otherwise(0),
-    )
+def inside_edges(ring_edges: Column, x: Column, y: Column) -> Column:
+    """Even-odd ray cast over the edges of all rings."""
+    hits = F.aggregate(ring_edges, F.lit(0), lambda n, e: n + F.when(_crosses(e, x, y), 1).otherwise(0))
     return hits % 2 == 1
 
 
+def inside(rings: Column, x: Column, y: Column) -> Column:
+    return inside_edges(F.flatten(F.transform(rings, edges)), x, y)
+
+
 def ring_centroid(ring: Column) -> Column:
     """Area centroid of a closed ring (vertex mean when the area vanishes)."""
     acc = F.aggregate(

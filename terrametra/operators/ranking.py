@@ -15,6 +15,8 @@ from terrametra.session import durable
 
 # A group with at most this many rows keeps all its distinct values; a larger one keeps a bracket.
 SMALL_GROUP = 50_000
+# A key with more rows than this may get its bounds by broadcast.
+HOT_GROUP = 1_000_000
 # Rank error of the bracket bounds is at most rows / ACCURACY (Greenwald-Khanna guarantee).
 ACCURACY = 50_000
 MARGIN = 4.0 / ACCURACY
@@ -26,80 +28,91 @@ def _cols(names) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
 
 
-def _weighted(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-
-
-def exact_quantile(df: DataFrame, keys: list[str], value: str, prob: float, name: str, mode: str = "linear") -> DataFrame:
-    """Exact quantile per key: one row per key that has a value.
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], mode: str = "linear") -> DataFrame:
+    """Exact quantiles per key, one column per entry of ``probs``: one row per key that has a value.
 
     ``mode='linear'`` interpolates between neighbouring ranks; ``mode='upper'`` takes the value at index
-    ``floor(n * prob)``, the upper middle for ``prob=0.5``.
-    Equal values are counted first, so a value or a key holding a third of the rows costs one
-    pre-aggregated row. Values far from the wanted rank collapse to a count before the ranks are formed.
+    ``floor(n * prob)``, the upper middle for 0.5.
+    Equal values are counted first, so a value or a key holding a third of the rows costs pre-aggregated rows.
+    Sketch bounds bracket every wanted rank; values outside all brackets collapse to counts before the ranks
+    are formed. The input is read twice: write an expensive join before calling this.
     """
-    src = df.select(*keys, F.col(value).cast("double").alias(value))
-    counted = _weighted(src, keys, value)
-    lo, hi = max(prob - MARGIN, 0.0), min(prob + MARGIN, 1.0)
+    names = sorted(probs, key=lambda k: probs[k])
+    src = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    counted = src.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    marks = [p for n in names for p in (max(probs[n] - MARGIN, 0.0), min(probs[n] + MARGIN, 1.0))]
     bounds = (
-        src.filter(F.col(value).isNotNull())
-        .groupBy(*keys)
-        .agg(
-            F.count("*").alias("_n"),
-            F.percentile_approx(value, F.array(F.lit(lo), F.lit(hi)), ACCURACY).alias("_b"),
-        )
+        src.groupBy(*keys)
+        .agg(F.count("*").alias("_n"), F.percentile_approx("_v", F.array(*[F.lit(p) for p in marks]), ACCURACY).alias("_b"))
         .withColumn("_wide", F.col("_n") <= SMALL_GROUP)
     )
     if keys:
-        joined = counted.join(bounds, keys)
+        joined = _with_bounds(counted, bounds, keys)
     else:
         stats = bounds.select(F.struct("_n", "_b", "_wide")).scalar()
-        joined = (
-            counted.withColumn("_s", stats)
-            .select("_v", "_c", F.col("_s")["_n"].alias("_n"), F.col("_s")["_b"].alias("_b"), F.col("_s")["_wide"].alias("_wide"))
-        )
-    below = ~F.col("_wide") & (F.col("_v") < F.col("_b")[0])
-    kept = joined.filter(F.col("_wide") | (F.col("_v") <= F.col("_b")[1]))
-    width = F.col("_b")[1] - F.col("_b")[0]
-    piece = F.when(F.col("_wide") | below, 0).otherwise(
-        F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_b")[0], width) * SLOTS), F.lit(0)).cast("int") + 1
-    )
-    packed = kept.groupBy(*keys, F.when(below, F.lit(None)).otherwise(F.col("_v")).alias("_v"), piece.alias("_slot")).agg(
-        F.sum("_c").alias("_c"), F.first("_n").alias("_n")
-    )
+        joined = counted.withColumn("_s", stats).select("_v", "_c", "_s.*")
+    # odd segments are brackets, even ones the gaps before, between and after them
+    segment, inside = F.lit(2 * len(names)), F.lit(False)
+    piece = F.lit(0)
+    for i in reversed(range(len(names))):
+        lo, hi = F.col("_b")[2 * i], F.col("_b")[2 * i + 1]
+        hit = (F.col("_v") >= lo) & (F.col("_v") <= hi)
+        part = F.coalesce(F.floor(F.try_divide(F.col("_v") - lo, hi - lo) * SLOTS), F.lit(0)).cast("int")
+        segment = F.when(F.col("_v") > hi, segment).when(F.col("_v") >= lo, 2 * i + 1).otherwise(2 * i)
+        piece = F.when(hit, part).otherwise(piece)
+        inside = inside | hit
+    keep = F.col("_wide") | inside
+    packed = joined.groupBy(
+        *keys,
+        F.when(F.col("_wide"), 0).otherwise(segment).alias("_seg"),
+        F.when(~F.col("_wide"), piece).otherwise(0).alias("_slot"),
+        F.when(keep, F.col("_v")).alias("_v"),
+    ).agg(F.sum("_c").alias("_c"), F.first("_n").alias("_n"))
     ranked = _running_counts(packed, keys)
-    if mode == "upper":
-        at = F.floor(F.col("_n") * F.lit(prob))
-        hit = (F.col("_start") <= at) & (at < F.col("_end"))
-        return ranked.groupBy(*keys).agg(F.max(F.when(hit, F.col("_v"))).alias(name))
-    at = (F.col("_n") - 1) * F.lit(prob)
-    low, high = F.floor(at), F.ceil(at)
-    return (
-        ranked.groupBy(*keys)
-        .agg(
-            F.max(F.when((F.col("_start") <= low) & (low < F.col("_end")), F.col("_v"))).alias("_lo"),
-            F.max(F.when((F.col("_start") <= high) & (high < F.col("_end")), F.col("_v"))).alias("_hi"),
-            F.first(at - low).alias("_f"),
-        )
-        .select(*keys, (F.col("_lo") + F.col("_f") * (F.col("_hi") - F.col("_lo"))).alias(name))
-    )
+    aggs, out = [], []
+    for i, name in enumerate(names):
+        at = F.floor(F.col("_n") * F.lit(probs[name])) if mode == "upper" else (F.col("_n") - 1) * F.lit(probs[name])
+        low, high = F.floor(at), F.ceil(at)
+        for tag, rank in (("lo", low), ("hi", high)):
+            aggs.append(F.max(F.when((F.col("_start") <= rank) & (rank < F.col("_end")), F.col("_v"))).alias(f"_{tag}{i}"))
+        aggs.append(F.first(at - low).alias(f"_f{i}"))
+        lo, hi, f = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_f{i}")
+        out.append((lo if mode == "upper" else lo + f * (hi - lo)).alias(name))
+    return ranked.groupBy(*keys).agg(*aggs).select(*keys, *out)
+
+
+def exact_quantile(df: DataFrame, keys: list[str], value: str, prob: float, name: str, mode: str = "linear") -> DataFrame:
+    return exact_quantiles(df, keys, value, {name: prob}, mode)
+
+
+def _with_bounds(counted: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
+    """Attach the bounds of its key to every distinct value.
+
+    A key above one ten-thousandth of all rows (and above the limit) meets its bounds by broadcast, so its
+    values stay spread as they are; there are fewer than ten thousand such keys. The others join by key.
+    """
+    limit = F.greatest(F.lit(float(HOT_GROUP)), F.col("_all") / 10_000)
+    hot = bounds.withColumn("_all", bounds.agg(F.sum("_n")).scalar()).filter(F.col("_n") > limit).drop("_all")
+    large = counted.join(F.broadcast(hot), keys)
+    small = counted.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(bounds, keys)
+    return large.unionByName(small)
 
 
 def _running_counts(packed: DataFrame, keys: list[str]) -> DataFrame:
     """Rank interval ``[_start, _end)`` of every kept value.
 
     With keys the running count is per key. A whole column has no key to spread over, so its running counts
-    are per slot of the bracket, and the totals of the earlier slots (at most 257 rows) are added.
+    are per slot of a bracket, and the totals of the earlier slots (a few hundred rows) are added.
     """
-    order = F.col("_v").asc_nulls_first()
     if keys:
-        out = packed.withColumn("_end", F.sum("_c").over(Window.partitionBy(*keys).orderBy(order)))
+        out = packed.withColumn("_end", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_seg", "_v")))
     else:
-        totals = packed.groupBy("_slot").agg(F.sum("_c").alias("_t"))
-        earlier = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.select("_slot", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_o"))
-        inner = packed.withColumn("_e", F.sum("_c").over(Window.partitionBy("_slot").orderBy(order)))
-        out = inner.join(F.broadcast(offsets), "_slot").withColumn("_end", F.col("_o") + F.col("_e"))
+        slot = ["_seg", "_slot"]
+        totals = packed.groupBy(*slot).agg(F.sum("_c").alias("_t"))
+        earlier = Window.orderBy(*slot).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(*slot, F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_o"))
+        inner = packed.withColumn("_e", F.sum("_c").over(Window.partitionBy(*slot).orderBy("_v")))
+        out = inner.join(F.broadcast(offsets), slot).withColumn("_end", F.col("_o") + F.col("_e"))
     return out.withColumn("_start", F.col("_end") - F.col("_c"))
 
 
@@ -116,6 +129,11 @@ def quantile_value(df: DataFrame, value: str, prob: float) -> Column:
     return exact_quantile(df, [], value, prob, "q").select("q").scalar()
 
 
+def quantile_struct(df: DataFrame, value: str, probs: dict[str, float]) -> Column:
+    """Several exact quantiles of a whole column as one struct (one scalar subquery)."""
+    return exact_quantiles(df, [], value, probs).select(F.struct(*probs)).scalar()
+
+
 def ordered_positions(df: DataFrame, order: list, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Add ``position`` (0-based), ``group_rows`` and, with ``weight``, ``weight_before`` (of earlier rows).
 
@@ -231,10 +249,8 @@ def latest_k_dates(df: DataFrame, keys: list[str], date: str, k: int = 2) -> Dat
 
 def threshold_class(df: DataFrame, value: str, cuts: list[tuple[float, str]], default: str, name: str = "label") -> DataFrame:
     """Label by exact quantile thresholds, highest first: ``[(0.85, 'a'), (0.55, 'b')]``."""
-    out = df
-    label = None
-    for i, (prob, text) in enumerate(cuts):
-        out = out.withColumn(f"_q{i}", quantile_value(df, value, prob))
-        cond = F.col(value) >= F.col(f"_q{i}")
-        label = F.when(cond, text) if label is None else label.when(cond, text)
-    return out.withColumn(name, label.otherwise(default)).drop(*[f"_q{i}" for i in range(len(cuts))])
+    out = df.withColumn("_q", quantile_struct(df, value, {f"q{i}": prob for i, (prob, _) in enumerate(cuts)}))
+    label = F.lit(default)
+    for i, (_, text) in reversed(list(enumerate(cuts))):
+        label = F.when(F.col(value) >= F.col("_q")[f"q{i}"], text).otherwise(label)
+    return out.withColumn(name, label).drop("_q")

@@ -16,6 +16,8 @@ from terrametra.operators.ranking import (
     top_n_per_group,
     upper_median,
 )
+from terrametra.operators.spatial import points_in_polygons
+from terrametra.session import durable
 
 
 def recent_flag(df: DataFrame, date: str, k: int = 2, name: str = "recent", per: list[str] | None = None) -> DataFrame:
@@ -139,6 +141,16 @@ def price_anchors(samples: DataFrame, keys: list[str], price: str, count: str, m
     return med.join(total, keys).filter(F.col("samples") >= minimum)
 
 
+def polygon_signal(points: DataFrame, polygons: DataFrame, price: str, step: float) -> DataFrame:
+    """Listings per polygon and their median price.
+
+    The matched (polygon, price) rows are written once, because count and median read them several times.
+    """
+    hits = durable(points_in_polygons(points, polygons, step).select("poly_id", price))
+    counts = hits.groupBy("poly_id").agg(F.count("*").alias("listings"))
+    return counts.join(exact_median(hits, ["poly_id"], price, "night_price"), "poly_id", "left")
+
+
 def gross_yield(rent: Column, sale: Column, n_rent: Column, n_sale: Column, minimum: int = 5) -> Column:
     """Yearly rent over sale price in percent, one decimal; NULL below ``minimum`` rows on either side."""
     enough = (n_rent >= minimum) & (n_sale >= minimum) & rent.isNotNull() & sale.isNotNull()

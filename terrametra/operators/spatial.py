@@ -18,7 +18,7 @@ from terrametra.operators.ranking import top_n_per_group
 from terrametra.session import durable
 
 KM_PER_DEGREE = geo.EARTH_KM * math.pi / 180.0
-PACKED_LIMIT = 2_000
+PACKED_LIMIT = 64
 # A cell is hot above this many rows, and above one ten-thousandth of all rows.
 HOT_ROWS = 200_000
 HOT_SHARE = 10_000
@@ -132,13 +132,14 @@ def _packed_nearest(points: DataFrame, anchors: DataFrame, key: str, dist) -> Da
     return out.withColumn("_best", best).withColumn("near_id", F.col("_best")["k"]).withColumn("near_dist", F.col("_best")["d"]).drop("_all", "_best")
 
 
-def nearest(points: DataFrame, anchors: DataFrame, key: str, metric: str = "planar", step: float = 0.005, limit: int = PACKED_LIMIT) -> DataFrame:
+def nearest(points: DataFrame, anchors: DataFrame, key: str, metric: str = "planar", step: float | None = None, limit: int = PACKED_LIMIT) -> DataFrame:
     """Nearest anchor of every point: adds ``near_id`` and ``near_dist`` (degrees, or km for ``haversine``).
 
     Ties go to the smallest key. Up to ``limit`` anchors (checked) travel as one packed value and need no
     join. More anchors use a search over rings of grid cells: level by level the cell grows fourfold, and a
     point leaves as soon as its best distance is inside the searched ring, so dense areas finish at the
-    first level and only remote points go on. Anchors at the same place are reduced to the smallest key.
+    first level and only remote points go on. Without ``step`` the first cell is sized for about four anchors
+    on average. Anchors at the same place are reduced to the smallest key.
     """
     anchors = anchors.groupBy("lng", "lat").agg(F.min(key).alias(key))
     if metric == "haversine":
@@ -161,6 +162,10 @@ def nearest(points: DataFrame, anchors: DataFrame, key: str, metric: str = "plan
     if n_sites == 0 or span[0] is None:
         kind = anchors.schema[key].dataType
         return points.withColumn("near_id", F.lit(None).cast(kind)).withColumn("near_dist", F.lit(None).cast("double"))
+    if step is None:
+        area = box(sites, "_ax", "_ay").first()
+        room = max(area["x1"] - area["x0"], 1e-6) * max(area["y1"] - area["y0"], 1e-6)
+        step = max(2.0 * math.sqrt(room / n_sites), 1e-5)
     extent = max(span[1] - span[0], span[3] - span[2]) + step
     site = F.struct(F.col("_ax").alias("x"), F.col("_ay").alias("y"))
     blocks = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
@@ -232,52 +237,55 @@ def coverage_gaps(cells: DataFrame, branches: DataFrame, km: float = 1.2, n: int
     covered = radius_pairs(centres, sites, km=km * (1 + 1e-12)).select("cell_id").distinct()
     gaps = cells.join(covered, "cell_id", "left_anti").orderBy(F.col("demand").desc(), "cell_id").limit(n)
     keyed = sites.withColumn("_site", F.concat_ws(",", "lng", "lat"))
-    out = nearest(gaps, keyed, "_site", metric="haversine", step=km / KM_PER_DEGREE * 2)
+    out = nearest(gaps, keyed, "_site", metric="haversine")
     return out.withColumn("network_km", half_even(F.col("near_dist"), 2)).drop("near_id", "near_dist")
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, step: float) -> DataFrame:
     """Points ``(lng, lat, ...)`` joined with the polygons ``(poly_id, rings)`` that contain them."""
-    boxed = polygons.select("poly_id", "rings", geo.bbox(F.col("rings")).alias("_b"))
+    boxed = polygons.select("poly_id", F.flatten(F.transform("rings", geo.edges)).alias("_e"), geo.bbox(F.col("rings")).alias("_b"))
     left = _cover(boxed, F.col("_b")["x0"], F.col("_b")["x1"], F.col("_b")["y0"], F.col("_b")["y1"], step)
     pairs = cell_join(left, in_cells(points, step))
     in_box = F.col("lng").between(F.col("_b")["x0"], F.col("_b")["x1"]) & F.col("lat").between(F.col("_b")["y0"], F.col("_b")["y1"])
-    return pairs.filter(in_box & geo.inside(F.col("rings"), F.col("lng"), F.col("lat"))).drop("_b", "rings")
+    return pairs.filter(in_box).filter(geo.inside_edges(F.col("_e"), F.col("lng"), F.col("lat"))).drop("_b", "_e")
 
 
 def polygon_adjacency(shapes: DataFrame, tolerance: float, key: str = "cell_id", closed: bool = True) -> DataFrame:
     """Directed edges ``(src, dst)`` between shapes at most ``tolerance`` degrees apart.
 
-    Shapes are split into edges; an edge is placed in the cells its widened box covers, candidate edge pairs
-    meet in a cell, the exact segment distance decides, and pairs are made distinct. With ``closed`` a shape
-    that contains a vertex of another one is adjacent too.
+    Shapes are split into edges; an edge is placed in the cells its widened box covers and candidate edge pairs
+    meet in a cell. Each unordered pair is tested once, in the first cell both edges share, boxes before the
+    exact segment distance. With ``closed`` a shape that contains a vertex of another one is adjacent too.
     """
-    step = max(tolerance * 8, 1e-6)
+    step = max(tolerance * 3, 1e-6)
     segs = shapes.select(F.col(key).alias("id"), F.explode(F.flatten(F.transform("rings", geo.edges))).alias("s"))
-    e = F.col("s")
-    left = _cover(
-        segs.select(F.col("id").alias("src"), e.alias("a")),
-        F.least(F.col("a")["x1"], F.col("a")["x2"]) - tolerance,
-        F.greatest(F.col("a")["x1"], F.col("a")["x2"]) + tolerance,
-        F.least(F.col("a")["y1"], F.col("a")["y2"]) - tolerance,
-        F.greatest(F.col("a")["y1"], F.col("a")["y2"]) + tolerance,
-        step,
-    )
-    right = _cover(
-        segs.select(F.col("id").alias("dst"), e.alias("b")),
-        F.least(F.col("b")["x1"], F.col("b")["x2"]),
-        F.greatest(F.col("b")["x1"], F.col("b")["x2"]),
-        F.least(F.col("b")["y1"], F.col("b")["y2"]),
-        F.greatest(F.col("b")["y1"], F.col("b")["y2"]),
-        step,
-    )
-    touching = (
-        cell_join(left, right)
-        .filter((F.col("src") != F.col("dst")) & (geo.segment_gap_sq(F.col("a"), F.col("b")) <= tolerance * tolerance))
+
+    def placed(name: str, seg: str, widen: float) -> DataFrame:
+        e = F.col(seg)
+        box = {
+            "x0": F.least(e["x1"], e["x2"]) - widen,
+            "x1": F.greatest(e["x1"], e["x2"]) + widen,
+            "y0": F.least(e["y1"], e["y2"]) - widen,
+            "y1": F.greatest(e["y1"], e["y2"]) + widen,
+        }
+        one = segs.select(F.col("id").alias(name), F.col("s").alias(seg)).select(
+            name, seg, *[v.alias(f"_{seg}{k}") for k, v in box.items()]
+        )
+        low = one.withColumn(f"_{seg}cx", cell(F.col(f"_{seg}x0"), step)).withColumn(f"_{seg}cy", cell(F.col(f"_{seg}y0"), step))
+        return _cover(low, *[F.col(f"_{seg}{k}") for k in ("x0", "x1", "y0", "y1")], step)
+
+    pairs = cell_join(placed("src", "a", tolerance).withColumn("_x", F.col("_cx")).withColumn("_y", F.col("_cy")), placed("dst", "b", 0.0))
+    first_cell = (F.col("_x") == F.greatest("_acx", "_bcx")) & (F.col("_y") == F.greatest("_acy", "_bcy"))
+    boxes = (F.col("_ax0") <= F.col("_bx1")) & (F.col("_bx0") <= F.col("_ax1")) & (F.col("_ay0") <= F.col("_by1")) & (F.col("_by0") <= F.col("_ay1"))
+    half = (
+        pairs.filter((F.col("src") < F.col("dst")) & first_cell & boxes)
+        .filter(geo.segment_gap_sq(F.col("a"), F.col("b")) <= tolerance * tolerance)
         .select("src", "dst")
+        .distinct()
     )
+    touching = half.withColumn("_p", F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))).select("_p.*")
     if not closed:
-        return touching.distinct()
+        return touching
     probe = shapes.select(F.col(key).alias("inner_id"), F.col("rings")[0][0]["lng"].alias("lng"), F.col("rings")[0][0]["lat"].alias("lat"))
     held = points_in_polygons(probe, shapes.select(F.col(key).alias("poly_id"), "rings"), step=max(step, 0.25)).filter(
         F.col("inner_id") != F.col("poly_id")

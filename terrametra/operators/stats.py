@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrametra.functions.numeric import EPS, add_min_max, add_zscore, half_even, half_up, one_row
-from terrametra.operators.ranking import quantile_value, share_at_or_below
+from terrametra.operators.ranking import quantile_struct, quantile_value, share_at_or_below
 from terrametra.operators.rollups import grid_rollup
 from terrametra.operators.spatial import queen_sum, radius_count
 
@@ -86,9 +86,9 @@ def hedonic_gradient(df: DataFrame, km: str, price: str, minimum: int = 40, z: f
     """
     base = df.select(F.col(km).alias("km"), F.log(F.col(price)).alias("y"))
     far = quantile_value(base, "km", 0.97)
-    lo, hi = quantile_value(base, "y", 0.02), quantile_value(base, "y", 0.98)
-    cut = base.withColumn("_far", far).withColumn("_lo", lo).withColumn("_hi", hi)
-    kept = cut.filter((F.col("km") <= F.col("_far")) & (F.col("y") >= F.col("_lo")) & (F.col("y") <= F.col("_hi")))
+    tails = quantile_struct(base, "y", {"lo": 0.02, "hi": 0.98})
+    cut = base.withColumn("_far", far).withColumn("_t", tails)
+    kept = cut.filter((F.col("km") <= F.col("_far")) & (F.col("y") >= F.col("_t")["lo"]) & (F.col("y") <= F.col("_t")["hi"]))
     fit = kept.agg(
         F.count("*").alias("n"),
         F.regr_slope("y", "km").alias("b"),

@@ -353,7 +353,7 @@ def tag_entity(t: Tables):
     "scalar_numbers",
     f"""WITH {LISTINGS} SELECT id, round(ln(1 + price), 6) AS log1p, floor(price / 7 + 0.5)::BIGINT AS js_round,
     round_even(price / 16, 0) AS np_round, least(greatest(price, 50000), 200000) AS clipped,
-    CASE WHEN m2_land > 0 THEN round(price / m2_land, 6) END AS ratio,
+    CASE WHEN m2_land > 0 THEN price / m2_land END AS ratio,
     strftime(DATE '1899-12-30' + (34000 + id % 5000)::INT, '%Y-%m-%d') AS serial_date,
     greatest(date_diff('day', day, DATE '2000-01-01'), 0)::INT AS days FROM listings""",
 )
@@ -365,7 +365,7 @@ def scalar_numbers(t: Tables):
         numeric.half_up(p / 7).alias("js_round"),
         numeric.half_even(p / 16).alias("np_round"),
         numeric.clip(p, 50000, 200000).alias("clipped"),
-        r(numeric.safe_ratio(p, F.col("m2_land"))).alias("ratio"),
+        numeric.safe_ratio(p, F.col("m2_land")).alias("ratio"),
         F.date_format(numeric.excel_date((34000 + F.col("id") % 5000).cast("string")), "yyyy-MM-dd").alias("serial_date"),
         numeric.days_between(F.to_date(F.lit("2000-01-01")), F.col("day")).alias("days"),
     )

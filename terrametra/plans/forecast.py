@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from terrametra.functions.constants import BAND_FACTOR, BASE_WEIGHTS, SPATIAL_WEIGHTS
 from terrametra.functions.numeric import growth
-from terrametra.operators.ranking import exact_quantile
+from terrametra.operators.ranking import exact_quantiles
+from terrametra.session import durable
 from terrametra.operators.spatial import inverse_distance_mean
 
 
@@ -88,21 +89,20 @@ def expanding_bands(rows: DataFrame, last: int, minimum: int = 20, strict: bool
     lead = F.col("h") if strict else F.lit(1)
     sent = rows.filter(F.col("t") + lead <= last).select("h", "resid", F.explode(F.sequence(F.col("t") + lead, F.lit(last))).alias("o"))
     n = sent.groupBy("h", "o").agg(F.count("*").alias("n"))
-    lo = exact_quantile(sent, ["h", "o"], "resid", 0.05, "lo")
-    hi = exact_quantile(sent, ["h", "o"], "resid", 0.95, "hi")
+    tails = exact_quantiles(sent, ["h", "o"], "resid", {"lo": 0.05, "hi": 0.95})
     k = F.create_map(*[F.lit(x) for kv in BAND_FACTOR.items() for x in kv])
     factor = F.coalesce(F.try_element_at(k, F.col("h")), F.lit(BAND_FACTOR[3]))
     return (
         n.filter(F.col("n") >= minimum)
-        .join(lo, ["h", "o"])
-        .join(hi, ["h", "o"])
+        .join(tails, ["h", "o"])
         .select("h", F.col("o").alias("t"), (F.col("lo") * factor).alias("lo"), (F.col("hi") * factor).alias("hi"))
     )
 
 
 def walk_forward(panel: DataFrame, coords: DataFrame, first: int, last: int, horizons: tuple[int, ...] = (1, 3), strict: bool = True, minimum: int = 20) -> DataFrame:
     """Rolling-origin evaluation: error of the model and two baselines in points, and band coverage per horizon."""
-    rows = evaluate_rows(ensemble_rates(panel, coords, first, last - min(horizons), horizons).filter(F.col("t") + F.col("h") <= last))
+    # small (zones x origins x horizons) and read several times below
+    rows = durable(evaluate_rows(ensemble_rates(panel, coords, first, last - min(horizons), horizons).filter(F.col("t") + F.col("h") <= last)))
     bands = expanding_bands(rows, last, minimum, strict)
     j = rows.join(bands, ["h", "t"], "left")
     inside = (F.col("real") >= F.col("pred") + F.col("lo")) & (F.col("real") <= F.col("pred") + F.col("hi"))
@@ -128,12 +128,11 @@ def forecast(panel: DataFrame, coords: DataFrame, origin: int, first: int, horiz
     Horizons 1 and 3 use their own rate and residual band; longer ones extrapolate the three-year rate and
     scale its band by h / 3. The lower bound never falls below 0.5.
     """
-    rates = ensemble_rates(panel, coords, first, origin, (1, 3))
-    rows = evaluate_rows(rates.filter(F.col("t") + F.col("h") < origin))
+    rates = durable(ensemble_rates(panel, coords, first, origin, (1, 3)))
+    rows = durable(evaluate_rows(rates.filter(F.col("t") + F.col("h") < origin)))
     k = F.create_map(*[F.lit(x) for kv in BAND_FACTOR.items() for x in kv])
     bands = (
-        exact_quantile(rows, ["h"], "resid", 0.05, "lo")
-        .join(exact_quantile(rows, ["h"], "resid", 0.95, "hi"), "h")
+        exact_quantiles(rows, ["h"], "resid", {"lo": 0.05, "hi": 0.95})
         .select(F.col("h").alias("base_h"), (F.col("lo") * k[F.col("h")]).alias("lo"), (F.col("hi") * k[F.col("h")]).alias("hi"))
     )
     targets = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(h if h in (1, 3) else 3).alias("base_h")) for h in horizons])

@@ -9,7 +9,6 @@ from terrametra.operators import matching as J
 from terrametra.operators import rollups as R
 from terrametra.operators import spatial as X
 from terrametra.operators import stats as S
-from terrametra.operators.ranking import exact_median
 from terrametra.plans import streets as ST
 from terrametra.plans.bindings import EST, LISTINGS, MUNI, QUEEN, STREETS, Tables, establishments, listings, municipalities, streets
 from terrametra.plans.registry import query, r
@@ -81,10 +80,8 @@ def point_in_polygon(t: Tables):
     corner = lambda dx, dy: F.struct((x + dx).alias("lng"), (y + dy).alias("lat"))
     ring = F.array(corner(d, 0.0), corner(0.0, d), corner(-d, 0.0), corner(0.0, -d), corner(d, 0.0))
     polys = t.supplier.select(k.alias("poly_id"), F.array(ring).alias("rings"))
-    hits = X.points_in_polygons(listings(t).select("price", "lng", "lat", "id"), polys, step=0.01)
-    counts = hits.groupBy("poly_id").agg(F.count("*").alias("listings"))
-    med = exact_median(hits, ["poly_id"], "price", "m")
-    return counts.join(med, "poly_id").select("poly_id", "listings", r("m", 4).alias("night_price"))
+    out = R.polygon_signal(listings(t).select("price", "lng", "lat", "id"), polys, "price", step=0.004)
+    return out.select("poly_id", "listings", r("night_price", 4).alias("night_price"))
 
 
 def _squares(t: Tables, half: float):
@@ -216,7 +213,7 @@ def coverage_gaps(t: Tables):
 )
 def nearest_competitor(t: Tables):
     rivals = establishments(t).filter(F.col("name").contains("GIZMO")).select("lng", "lat").distinct().withColumn("site", F.concat_ws(",", "lng", "lat"))
-    out = X.nearest(streets(t), rivals, "site", metric="haversine", step=0.02)
+    out = X.nearest(streets(t), rivals, "site", metric="haversine")
     return out.select("street", F.bround(F.col("near_dist") * 1000.0).alias("competitor_m"))
 
 

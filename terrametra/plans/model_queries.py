@@ -396,7 +396,7 @@ def walk_forward_parity(t: Tables):
 @query("expanding_quantile", f"WITH {RATES}, {_bands_sql('ev_h')} SELECT h, t, round(lo, 8) AS lo, round(hi, 8) AS hi FROM bd".replace("e.t + ev_h", "e.t + e.h"))
 def expanding_quantile(t: Tables):
     p, c = _panel_q(t)
-    rows = FC.evaluate_rows(FC.ensemble_rates(p, c, FIRST, LAST - 1))
+    rows = durable(FC.evaluate_rows(FC.ensemble_rates(p, c, FIRST, LAST - 1)))
     seen = rows.select("h", "t").distinct()
     return FC.expanding_bands(rows, LAST).join(seen, ["h", "t"]).select("h", "t", r("lo", 8).alias("lo"), r("hi", 8).alias("hi"))
 

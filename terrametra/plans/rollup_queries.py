@@ -319,12 +319,12 @@ def sismograph(t: Tables):
     "canary_cells",
     f"""WITH {EST}, y AS (SELECT max(year) AS ym FROM est),
     c AS (SELECT {_GRID}, lng, lat, year >= ym - 2 AS recent, CASE WHEN contains(name, 'BOLT') THEN 'Bolt' WHEN contains(name, 'GEAR') THEN 'Gear' WHEN contains(name, 'RING') THEN 'Ring' END AS sp FROM est, y)
-    SELECT gx, gy, count(*) FILTER (WHERE recent) AS recent, count(*) AS total, count(*) FILTER (WHERE NOT recent) AS earlier, round(avg(lng), 9) AS lng, round(avg(lat), 9) AS lat,
+    SELECT gx, gy, count(*) FILTER (WHERE recent) AS recent, count(*) AS total, count(*) FILTER (WHERE NOT recent) AS earlier, round(sum(lng), 4) AS lng_sum, round(sum(lat), 4) AS lat_sum,
     string_agg(DISTINCT sp, ', ' ORDER BY sp) FILTER (WHERE recent) AS species FROM c WHERE sp IS NOT NULL GROUP BY 1, 2 HAVING count(*) FILTER (WHERE recent) >= 1""",
 )
 def canary_cells(t: Tables):
     c = R.canary_cells(establishments(t), text.first_category(F.col("name"), SPECIES), "year")
-    return c.select("gx", "gy", "recent", "total", "earlier", r("lng", 9).alias("lng"), r("lat", 9).alias("lat"), "species")
+    return c.select("gx", "gy", "recent", "total", "earlier", r(F.col("lng") * F.col("total"), 4).alias("lng_sum"), r(F.col("lat") * F.col("total"), 4).alias("lat_sum"), "species")
 
 
 _UNITS = "u AS (SELECT s_nationkey::BIGINT AS town, s_suppkey AS unit, avg(l_extendedprice) AS price, avg(l_quantity) / 25 - 1 AS growth, avg(l_discount) AS rate, avg(l_tax) AS potential FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"

@@ -37,9 +37,9 @@ def demand_grid(est: DataFrame, employment: str, competitor: Column | None = Non
     )
 
 
-def name_cells(cells: DataFrame, streets: DataFrame, street: str, step: float = 0.005) -> DataFrame:
+def name_cells(cells: DataFrame, streets: DataFrame, street: str) -> DataFrame:
     """Name each cell after its nearest street midpoint ``(street, lng, lat)``."""
-    return nearest(cells, streets, street, step=step).withColumnRenamed("near_id", "street").drop("near_dist")
+    return nearest(cells, streets, street).withColumnRenamed("near_id", "street").drop("near_dist")
 
 
 def site_selection(est: DataFrame, employment: str, competitor: Column, streets: DataFrame, street: str, n: int = 10, minimum: int = 8) -> DataFrame:
@@ -49,7 +49,7 @@ def site_selection(est: DataFrame, employment: str, competitor: Column, streets:
     top = scored.orderBy(F.col("score").desc(), "gx", "gy").limit(n)
     named = name_cells(top, streets, street)
     rivals = est.filter(competitor).select("lng", "lat").distinct().withColumn("_site", F.concat_ws(",", "lng", "lat"))
-    near = nearest(named, rivals, "_site", metric="haversine", step=0.02)
+    near = nearest(named, rivals, "_site", metric="haversine")
     return near.withColumn("competitor_m", half_even(F.col("near_dist") * 1000.0)).drop("near_id", "near_dist")
 
 
@@ -173,7 +173,7 @@ def economic_dossier(areas: DataFrame, rollup: DataFrame, metros: DataFrame, key
     ``areas(key, lng, lat, state_price, state_potential)``, ``rollup(key, n_estab, employment, resilience,
     indicators)``, ``metros(metro, lng, lat)``. Areas without businesses keep the modelled values.
     """
-    df = nearest(areas, metros, "metro", step=1.0)
+    df = nearest(areas, metros, "metro")
     d = F.col("near_dist")
     ring = F.exp(-F.pow((d - 0.22) / 0.22, F.lit(2.0)))
     df = (

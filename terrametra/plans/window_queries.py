@@ -86,8 +86,7 @@ def quantile_class(t: Tables):
     f"""WITH {EST} SELECT sector, round(quantile_cont(price, 0.5), 5) AS p50, round(quantile_cont(price, 0.95), 5) AS p95 FROM est GROUP BY 1""",
 )
 def exact_quantile(t: Tables):
-    e = establishments(t)
-    both = K.exact_quantile(e, ["sector"], "price", 0.5, "p50").join(K.exact_quantile(e, ["sector"], "price", 0.95, "p95"), "sector")
+    both = K.exact_quantiles(establishments(t), ["sector"], "price", {"p50": 0.5, "p95": 0.95})
     return both.select("sector", r("p50", 5).alias("p50"), r("p95", 5).alias("p95"))
 
 
