@@ -70,9 +70,9 @@ def amount(c: Column) -> Column:
 
 
 def first_number(c: Column) -> Column:
-    """First signed decimal in a text after dropping thousands commas."""
-    hit = F.regexp_extract(F.regexp_replace(c.cast("string"), ",", ""), "-?[0-9.]+", 0)
-    return hit.try_cast("double")
+    """First signed decimal in a text after dropping thousands commas; ``1.2.3`` reads as 1.2."""
+    run = F.regexp_extract(F.regexp_replace(c.cast("string"), ",", ""), "-?[0-9.]+", 0)
+    return F.regexp_extract(run, "^-?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)", 0).try_cast("double")
 
 
 def year_in(c: Column) -> Column:
