@@ -91,20 +91,24 @@ def bbox(rings: Column) -> Column:
     )
 
 
-def _crosses(e: Column, x: Column, y: Column) -> Column:
-    straddles = (e["y1"] > y) != (e["y2"] > y)
-    at = e["x1"] + (y - e["y1"]) * F.try_divide(e["x2"] - e["x1"], e["y2"] - e["y1"])
-    return straddles & (x < at)
+def ray_edges(rings: Column) -> Column:
+    """All edges of a geometry prepared for ray casts: array<struct<x,y1,y2,k>> with k = dx / dy."""
+    return F.transform(
+        F.flatten(F.transform(rings, edges)),
+        lambda e: F.struct(
+            e["x1"].alias("x"), e["y1"].alias("y1"), e["y2"].alias("y2"), F.try_divide(e["x2"] - e["x1"], e["y2"] - e["y1"]).alias("k")
+        ),
+    )
 
 
-def inside_edges(ring_edges: Column, x: Column, y: Column) -> Column:
-    """Even-odd ray cast over the edges of all rings."""
-    hits = F.aggregate(ring_edges, F.lit(0), lambda n, e: n + F.when(_crosses(e, x, y), 1).otherwise(0))
-    return hits % 2 == 1
+def inside_edges(prepared: Column, x: Column, y: Column) -> Column:
+    """Even-odd rule: an odd number of prepared edges crosses the ray to the right of the point."""
+    crossing = F.filter(prepared, lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < e["x"] + (y - e["y1"]) * e["k"]))
+    return F.size(crossing) % 2 == 1
 
 
 def inside(rings: Column, x: Column, y: Column) -> Column:
-    return inside_edges(F.flatten(F.transform(rings, edges)), x, y)
+    return inside_edges(ray_edges(rings), x, y)
 
 
 def ring_centroid(ring: Column) -> Column:

@@ -143,6 +143,8 @@ def ordered_positions(df: DataFrame, order: list, keys: list[str] | None = None,
     """
     keys = keys or []
     order_cols = _cols(order)
+    if not keys and not weight:
+        return _global_positions(df, order_cols)
     ranged = durable(df.repartitionByRange(*_cols(keys), *order_cols).withColumn("_pid", F.spark_partition_id()))
     w = F.col(weight) if weight else F.lit(1)
     parts = ranged.groupBy("_pid", *keys).agg(F.count("*").alias("_rows"), F.sum(w).alias("_w"))
@@ -166,6 +168,20 @@ def ordered_positions(df: DataFrame, order: list, keys: list[str] | None = None,
     return out.drop("_pid", "_rn", "_run", "_row0", "_w0")
 
 
+def _global_positions(df: DataFrame, order_cols: list[Column]) -> DataFrame:
+    """Positions of a whole table: the running id numbers each sorted range, offsets come per range."""
+    local = durable(df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols).withColumn("_mid", F.monotonically_increasing_id()))
+    # the id holds the partition above bit 33 and the row number below
+    out = local.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_rn", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+    parts = out.groupBy("_pid").agg(F.count("*").alias("_rows"))
+    earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(
+        "_pid", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_row0"), F.sum("_rows").over(Window.partitionBy(F.lit(0))).alias("group_rows")
+    )
+    j = out.join(F.broadcast(offsets), "_pid")  # one row per partition
+    return j.withColumn("position", F.col("_row0") + F.col("_rn")).drop("_mid", "_pid", "_rn", "_row0")
+
+
 def percentile_position(df: DataFrame, value: str, key: str, name: str = "pct") -> DataFrame:
     """``round(100 * i / (n - 1))`` of the row's position by (value, key); a single row gets 50."""
     out = ordered_positions(df, [value, key])

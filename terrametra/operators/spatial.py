@@ -243,7 +243,7 @@ def coverage_gaps(cells: DataFrame, branches: DataFrame, km: float = 1.2, n: int
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, step: float) -> DataFrame:
     """Points ``(lng, lat, ...)`` joined with the polygons ``(poly_id, rings)`` that contain them."""
-    boxed = polygons.select("poly_id", F.flatten(F.transform("rings", geo.edges)).alias("_e"), geo.bbox(F.col("rings")).alias("_b"))
+    boxed = polygons.select("poly_id", geo.ray_edges(F.col("rings")).alias("_e"), geo.bbox(F.col("rings")).alias("_b"))
     left = _cover(boxed, F.col("_b")["x0"], F.col("_b")["x1"], F.col("_b")["y0"], F.col("_b")["y1"], step)
     pairs = cell_join(left, in_cells(points, step))
     in_box = F.col("lng").between(F.col("_b")["x0"], F.col("_b")["x1"]) & F.col("lat").between(F.col("_b")["y0"], F.col("_b")["y1"])

@@ -306,13 +306,13 @@ _LABELS = ", ".join("'" + x + "'" for x in DROUGHT_LABELS)
 
 @query(
     "drought_lookup",
-    f"""WITH {STREETS}, mon AS (SELECT lower(s_name) AS mun, 'nation_' || s_nationkey::VARCHAR AS ent, s_suppkey % 6 AS level FROM supplier WHERE s_suppkey % 4 <> 0)
+    f"""WITH {STREETS}, mon AS (SELECT CASE WHEN s_acctbal < 2000 THEN 'otro ' ELSE '' END || lower(s_name) AS mun, 'nation_' || s_nationkey::VARCHAR AS ent, s_suppkey % 6 AS level FROM supplier)
     SELECT street, m.level, ([{_LABELS}])[m.level + 1] AS drought FROM streets LEFT JOIN mon m ON m.mun = lower(street_name) AND m.ent = 'nation_' || muni::VARCHAR""",
 )
 def drought_lookup(t: Tables):
     s = F.col("s_suppkey")
-    monitor = t.supplier.filter(s % 4 != 0).select(
-        F.lower("s_name").alias("mun"), F.concat(F.lit("nation_"), F.col("s_nationkey").cast("string")).alias("ent"), (s % 6).cast("int").alias("level")
+    monitor = t.supplier.select(
+        F.concat(F.when(F.col("s_acctbal") < 2000, "otro ").otherwise(""), F.lower("s_name")).alias("mun"), F.concat(F.lit("nation_"), F.col("s_nationkey").cast("string")).alias("ent"), (s % 6).cast("int").alias("level")
     )
     towns = streets(t).select("street", F.concat(F.lit(" "), F.upper("street_name")).alias("town"), F.concat(F.lit("NÁTION_"), F.col("muni").cast("string")).alias("state"))
     return C.drought_lookup(towns, monitor, "town", "state").select("street", F.col("level").cast("bigint").alias("level"), "drought")
@@ -320,14 +320,13 @@ def drought_lookup(t: Tables):
 
 @query(
     "competitor_text",
-    f"""WITH {EST}, d AS (SELECT CASE WHEN okey % 9 = 0 THEN NULL ELSE (okey % 4000)::DOUBLE END AS m FROM est)
+    f"""WITH {EST}, d AS (SELECT CASE WHEN okey % 9 = 0 THEN NULL ELSE (okey % 4000) // 100 * 100.0e0 + 7 END AS m FROM est)
     SELECT CASE WHEN m IS NULL THEN 'no competitor of this kind in the city' WHEN m >= 1000 THEN 'nearest competitor at ' || printf('%.1f', m / 1000) || ' km'
-    ELSE 'nearest competitor at ' || format('{{:t,}}', m::BIGINT) || ' m' END AS reading, count(*) AS n FROM d
-    WHERE m IS NULL OR m::BIGINT % 100 <> 50 GROUP BY 1""",
+    ELSE 'nearest competitor at ' || format('{{:t,}}', m::BIGINT) || ' m' END AS reading, count(*) AS n FROM d GROUP BY 1""",
 )
 def competitor_text(t: Tables):
-    m = F.when(F.col("okey") % 9 != 0, (F.col("okey") % 4000).cast("double"))
-    e = establishments(t).select(m.alias("m")).filter("m is null or cast(m as bigint) % 100 <> 50")
+    m = F.when(F.col("okey") % 9 != 0, F.expr("okey % 4000 div 100") * 100.0 + 7)
+    e = establishments(t).select(m.alias("m"))
     return e.groupBy(text.distance_text(F.col("m")).alias("reading")).agg(F.count("*").alias("n"))
 
 

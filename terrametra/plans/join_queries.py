@@ -45,8 +45,8 @@ def dim_lookup(t: Tables):
     return J.lookup(t.customer, dim, ["c_nationkey"]).groupBy("state").agg(F.count("*").alias("n"))
 
 
-_CUTS = f"""{EST}, o AS (SELECT DISTINCT name, street FROM est WHERE year <= 1998 AND okey % 3 <> 0), w AS (SELECT name, street, okey FROM est WHERE year >= 1998 AND okey % 5 <> 0),
-  old AS (SELECT name, street, okey FROM est WHERE year <= 1998 AND okey % 3 <> 0),
+_CUTS = f"""{EST}, w AS (SELECT name, street, okey FROM est WHERE year >= 1997),
+  old AS (SELECT name, street, okey FROM est WHERE year <= 1995),
   op AS (SELECT * FROM w ANTI JOIN old USING (name, street)), cl AS (SELECT * FROM old ANTI JOIN w USING (name, street))"""
 
 
@@ -59,7 +59,7 @@ _CUTS = f"""{EST}, o AS (SELECT DISTINCT name, street FROM est WHERE year <= 199
 )
 def snapshot_diff(t: Tables):
     e = establishments(t).select(F.initcap("name").alias("name"), "street", "year", "okey")
-    new, old = e.filter("year >= 1998 and okey % 5 <> 0"), e.filter("year <= 1998 and okey % 3 <> 0")
+    new, old = e.filter("year >= 1997"), e.filter("year <= 1995")
     sp = text.all_categories(text.ascii_upper(F.col("name")), {"Hardware": ["BOLT", "GEAR"], "Warm": ["RING", "HOT"]})
     new, old = (d.withColumn("street_txt", F.col("street").cast("string")) for d in (new, old))
     out = J.registry_diff(new, old, "name", "street_txt", sp)
@@ -146,26 +146,23 @@ def nearest_by_rings(t: Tables):
 
 @query(
     "nearest_within",
-    f"""WITH {LISTINGS}, {STREETS}, z AS (SELECT * FROM streets WHERE street % 9 = 0), d AS (SELECT a.id, b.street, {_HAV} AS d FROM listings a, z b),
+    f"""WITH {LISTINGS}, {STREETS}, d AS (SELECT a.id, b.street, {_HAV} AS d FROM listings a, streets b),
     n AS (SELECT id, arg_min(street, (d, street)) AS near_id, min(d) AS d FROM d GROUP BY 1)
-    SELECT id, CASE WHEN d <= 0.8 THEN near_id END AS near_id, round(CASE WHEN d <= 0.8 THEN d END, 7) AS km FROM n""",
+    SELECT id, CASE WHEN d <= 0.3 THEN near_id END AS near_id, round(CASE WHEN d <= 0.3 THEN d END, 7) AS km FROM n""",
 )
 def nearest_within(t: Tables):
-    zones = streets(t).filter("street % 9 = 0")
-    out = X.nearest_within(listings(t).select("id", "lng", "lat"), zones, "street", 0.8)
+    out = X.nearest_within(listings(t).select("id", "lng", "lat"), streets(t), "street", 0.3)
     return out.select("id", "near_id", r("near_dist", 7).alias("km"))
 
 
 @query(
     "nearest_within_planar",
-    f"""WITH {LISTINGS}, {STREETS}, z AS (SELECT * FROM streets WHERE street % 9 = 0),
-    d AS (SELECT a.id, b.street, sqrt(pow((b.lng - a.lng) * 111.0e0 * cos(radians(a.lat)), 2) + pow((b.lat - a.lat) * 111.0e0, 2)) AS d FROM listings a, z b),
+    f"""WITH {LISTINGS}, {STREETS}, d AS (SELECT a.id, b.street, sqrt(pow((b.lng - a.lng) * 111.0e0 * cos(radians(a.lat)), 2) + pow((b.lat - a.lat) * 111.0e0, 2)) AS d FROM listings a, streets b),
     n AS (SELECT id, arg_min(street, (d, street)) AS near_id, min(d) AS d FROM d GROUP BY 1)
-    SELECT id, CASE WHEN d <= 0.8 THEN near_id END AS near_id, round(CASE WHEN d <= 0.8 THEN d END, 7) AS km FROM n""",
+    SELECT id, CASE WHEN d <= 0.3 THEN near_id END AS near_id, round(CASE WHEN d <= 0.3 THEN d END, 7) AS km FROM n""",
 )
 def nearest_within_planar(t: Tables):
-    zones = streets(t).filter("street % 9 = 0")
-    out = X.nearest_within(listings(t).select("id", "lng", "lat"), zones, "street", 0.8, metric="planar")
+    out = X.nearest_within(listings(t).select("id", "lng", "lat"), streets(t), "street", 0.3, metric="planar")
     return out.select("id", "near_id", r("near_dist", 7).alias("km"))
 
 
@@ -197,12 +194,12 @@ def queen_sum(t: Tables):
 @query(
     "coverage_gaps",
     f"""WITH {_DEMAND}, {STREETS}, cells AS (SELECT gx * 100000 + gy AS cell_id, (gx + 0.5) * 0.0028e0 AS lng, (gy + 0.5) * 0.0028e0 AS lat, demand FROM dem WHERE n >= 8),
-    br AS (SELECT * FROM streets WHERE street % 6 = 0), d AS (SELECT a.cell_id, a.demand, min({_HAV}) AS km FROM cells a, br b GROUP BY 1, 2)
-    SELECT cell_id, demand, round_even(km, 2) AS network_km FROM d WHERE km > 1.2 ORDER BY demand DESC, cell_id LIMIT 5""",
+    d AS (SELECT a.cell_id, a.demand, min({_HAV}) AS km FROM cells a, streets b GROUP BY 1, 2)
+    SELECT cell_id, demand, round_even(km, 2) AS network_km FROM d WHERE km > 0.25 ORDER BY demand DESC, cell_id LIMIT 5""",
 )
 def coverage_gaps(t: Tables):
     cells = ST.cell_centre(ST.demand_grid(establishments(t), "emp").filter("n >= 8")).withColumn("cell_id", F.col("gx") * 100000 + F.col("gy"))
-    out = X.coverage_gaps(cells, streets(t).filter("street % 6 = 0"))
+    out = X.coverage_gaps(cells, streets(t), km=0.25)
     return out.select("cell_id", "demand", "network_km")
 
 
@@ -259,15 +256,16 @@ def radius_search(t: Tables):
 
 @query(
     "slug_fallback_join",
-    """WITH reg AS (SELECT lower(replace(s_name, '#', '-')) AS slug, s_suppkey AS reg_id FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT 'nation-' || n_nationkey::VARCHAR, 1000000 + n_nationkey FROM nation WHERE n_nationkey < 15),
+    """WITH reg AS (SELECT CASE WHEN s_acctbal < 3000 THEN 'x' ELSE '' END || lower(replace(s_name, '#', '-')) AS slug, s_suppkey AS reg_id FROM supplier UNION ALL SELECT CASE WHEN n_regionkey = 2 THEN 'x' ELSE '' END || 'nation-' || n_nationkey::VARCHAR, 1000000 + n_nationkey FROM nation),
     u AS (SELECT s_suppkey AS unit, lower(replace(s_name, '#', '-')) AS s2, 'nation-' || s_nationkey::VARCHAR AS s3 FROM supplier)
     SELECT unit, coalesce(a.reg_id, b.reg_id) AS reg_id, coalesce(a.slug, b.slug) AS slug FROM u LEFT JOIN reg a ON a.slug = s2 LEFT JOIN reg b ON b.slug = s3""",
 )
 def slug_fallback_join(t: Tables):
     n = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
     units = n.select(F.col("s_suppkey").alias("unit"), F.col("s_name").alias("a"), F.col("n_name").alias("b"))
-    reg = t.supplier.filter("s_suppkey % 3 <> 0").select(text.slug(F.col("s_name")).alias("slug"), F.col("s_suppkey").alias("reg_id")).unionByName(
-        t.nation.filter("n_nationkey < 15").select(text.slug(F.col("n_name")).alias("slug"), (1000000 + F.col("n_nationkey").cast("bigint")).alias("reg_id"))
+    marked = lambda cond, name: text.slug(F.concat(F.when(cond, "x").otherwise(""), F.col(name))).alias("slug")
+    reg = t.supplier.select(marked(F.col("s_acctbal") < 3000, "s_name"), F.col("s_suppkey").alias("reg_id")).unionByName(
+        t.nation.select(marked(F.col("n_regionkey") == 2, "n_name"), (1000000 + F.col("n_nationkey").cast("bigint")).alias("reg_id"))
     )
     out = J.slug_fallback_join(units, "unit", [F.concat_ws(", ", "a", "b"), F.col("a"), F.col("b")], reg, "slug")
     return out.select("unit", "reg_id", "slug")
@@ -354,12 +352,12 @@ def before_after_outer(t: Tables):
 
 @query(
     "registry_merge",
-    """WITH a AS (SELECT lower(replace(n_name, '_', '-')) AS slug, n_name AS name, 0 AS p FROM nation WHERE n_nationkey % 2 = 0),
+    """WITH a AS (SELECT lower(replace(n_name, '_', '-')) AS slug, n_name AS name, 0 AS p FROM nation WHERE n_regionkey < 3),
     b AS (SELECT 'nation-' || c_nationkey::VARCHAR AS slug, min(c_name) AS name, 1 AS p FROM customer GROUP BY 1)
     SELECT slug, arg_min(name, p) AS name FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1""",
 )
 def registry_merge(t: Tables):
-    a = t.nation.filter("n_nationkey % 2 = 0").select(text.slug(F.col("n_name")).alias("slug"), F.col("n_name").alias("name"))
+    a = t.nation.filter("n_regionkey < 3").select(text.slug(F.col("n_name")).alias("slug"), F.col("n_name").alias("name"))
     b = t.customer.select(F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("slug"), F.col("c_name").alias("name"))
     return J.merge_registries([a, b], "slug", "name").select("slug", "name")
 
@@ -393,22 +391,22 @@ def gravity_flow(t: Tables):
 _PULLS = "".join(
     f""", q{i + 1} AS (SELECT cell_id, lng, lat, p * (1.0e0 - w) + ap * w AS p FROM (SELECT q{i}.*, a.p AS ap,
       exp(-(pow(q{i}.lng - a.lng, 2) + pow(q{i}.lat - a.lat, 2)) / (2.0e0 * 0.011e0 * 0.011e0)) * 0.6e0 AS w FROM q{i}, a WHERE a.k = {i}))"""
-    for i in range(8)
+    for i in range(5)
 )
 
 
 @query(
     "geo_calibration",
     f"""WITH {_DEMAND}, m AS (SELECT gx * 100000 + gy AS cell_id, (gx + 0.5) * 0.0028e0 AS lng, (gy + 0.5) * 0.0028e0 AS lat, 9000.0e0 + demand AS price FROM dem),
-    a AS (SELECT n_nationkey AS k, -99.20e0 + (n_nationkey * 7919 % 1000) * 0.0001e0 AS lng, 19.45e0 + (n_nationkey * 613 % 1000) * 0.0001e0 AS lat, 15000.0e0 + 500 * n_nationkey AS p FROM nation WHERE n_nationkey < 8),
+    a AS (SELECT r_regionkey AS k, -99.20e0 + (r_regionkey * 7919 % 1000) * 0.0001e0 AS lng, 19.45e0 + (r_regionkey * 613 % 1000) * 0.0001e0 AS lat, 15000.0e0 + 500 * r_regionkey AS p FROM region),
     d AS (SELECT a.k, a.p, m.price, sqrt(pow(m.lng - a.lng, 2) + pow(m.lat - a.lat, 2)) AS d, m.cell_id FROM a, m),
     f AS (SELECT median(p / price) AS f FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d, cell_id) AS i FROM d WHERE d < 0.03e0) WHERE i = 1),
     q0 AS (SELECT m.cell_id, m.lng, m.lat, m.price * f.f AS p FROM m, f){_PULLS}
-    SELECT cell_id, round_even(p, 0) AS calibrated FROM q8""",
+    SELECT cell_id, round_even(p, 0) AS calibrated FROM q5""",
 )
 def geo_calibration(t: Tables):
-    k = F.col("n_nationkey")
-    anchors = t.nation.filter("n_nationkey < 8").select(
+    k = F.col("r_regionkey")
+    anchors = t.region.select(
         k.alias("anchor_no"),
         (F.lit(-99.20) + (k * 7919 % 1000) * F.lit(0.0001)).alias("lng"),
         (F.lit(19.45) + (k * 613 % 1000) * F.lit(0.0001)).alias("lat"),
@@ -441,15 +439,15 @@ def anchor_top3(t: Tables):
 
 @query(
     "rank_cp_source",
-    """WITH e AS (SELECT lpad((c_custkey % 1200)::VARCHAR, 5, '0') AS cp, c_acctbal AS lat, c_acctbal * 2 AS lng, 1 + c_custkey % 2 AS q, c_custkey AS pos FROM customer WHERE c_nationkey < 12),
+    """WITH e AS (SELECT lpad((c_custkey * 2 % 1200)::VARCHAR, 5, '0') AS cp, c_acctbal AS lat, c_acctbal * 2 AS lng, 1 + c_custkey % 2 AS q, c_custkey AS pos FROM customer),
     m AS (SELECT lpad(s_suppkey::VARCHAR, 5, '0') AS cp, s_acctbal AS lat, s_acctbal * 2 AS lng, 0 AS q, s_suppkey AS pos FROM supplier),
     b AS (SELECT *, 0 AS precision FROM e UNION ALL SELECT *, 1 FROM m)
     SELECT cp, lat, lng, precision FROM (SELECT *, row_number() OVER (PARTITION BY cp ORDER BY precision, q DESC, pos DESC) AS p FROM b) WHERE p = 1""",
 )
 def rank_cp_source(t: Tables):
     c, s = F.col("c_custkey"), F.col("s_suppkey")
-    exact = t.customer.filter("c_nationkey < 12").select(
-        F.lpad((c % 1200).cast("string"), 5, "0").alias("cp"), F.col("c_acctbal").alias("lat"), (F.col("c_acctbal") * 2).alias("lng"), (1 + c % 2).alias("q"), c.alias("pos")
+    exact = t.customer.select(
+        F.lpad((c * 2 % 1200).cast("string"), 5, "0").alias("cp"), F.col("c_acctbal").alias("lat"), (F.col("c_acctbal") * 2).alias("lng"), (1 + c % 2).alias("q"), c.alias("pos")
     )
     town = t.supplier.select(F.lpad(s.cast("string"), 5, "0").alias("cp"), F.col("s_acctbal").alias("lat"), (F.col("s_acctbal") * 2).alias("lng"), F.lit(0).cast("bigint").alias("q"), s.alias("pos"))
     return J.rank_sources(exact, town, "cp", "q", "pos")

@@ -270,10 +270,10 @@ def composite_score(t: Tables):
     return RP.ranking_table(c.select("cell_id", "name", "potential"), tr, 2.4, 4).select("cell_id", "score")
 
 
-@query("top40", f"WITH {_PROJ4}, {_SCORE} SELECT cell_id, score, round(growth, 6) AS growth FROM s3 ORDER BY s3.growth DESC, cell_id LIMIT 15")
+@query("top40", f"WITH {_PROJ4}, {_SCORE} SELECT cell_id, score, round(growth, 6) AS growth FROM s3 ORDER BY s3.growth DESC, cell_id LIMIT 40")
 def top40(t: Tables):
     c, tr = _trajectories(t)
-    return RP.top_units(RP.ranking_table(c.select("cell_id", "name", "potential"), tr, 2.4, 4), 15).select("cell_id", "score", r("growth").alias("growth"))
+    return RP.top_units(RP.ranking_table(c.select("cell_id", "name", "potential"), tr, 2.4, 4)).select("cell_id", "score", r("growth").alias("growth"))
 
 
 @query(
@@ -627,8 +627,8 @@ def price_verdict(t: Tables):
 
 
 TODAY = "2001-09-01"
-_TRACK = f"""{LISTINGS}, cur AS (SELECT zone, id, price, CASE WHEN id % 11 = 0 THEN 'USD' ELSE 'MXN' END AS m FROM listings WHERE id % 5 <> 0),
-  old AS (SELECT zone, id, floor(price * (1 + ((id % 7) - 3) / 100.0e0)) AS p, 'MXN' AS m, day AS f FROM listings WHERE id % 4 <> 0),
+_TRACK = f"""{LISTINGS}, cur AS (SELECT zone, id, price, CASE WHEN id % 11 = 0 THEN 'USD' ELSE 'MXN' END AS m FROM listings WHERE day >= DATE '1996-01-01'),
+  old AS (SELECT zone, id, floor(price * (1 + ((id % 7) - 3) / 100.0e0)) AS p, 'MXN' AS m, day AS f FROM listings WHERE day < DATE '2000-07-01'),
   cu AS (SELECT zone, id, CASE WHEN (id % 7) = 3 THEN floor(price) ELSE price END AS p, m FROM cur),
   df AS (SELECT coalesce(c.zone, o.zone) AS zone, coalesce(c.id, o.id) AS id, c.p AS cp, o.p AS op, c.m AS cm, o.m AS om, o.f,
     CASE WHEN c.id IS NULL THEN 'closed' WHEN o.id IS NULL THEN 'new' WHEN c.m <> o.m THEN 'reset' WHEN c.p < o.p THEN 'cut' WHEN c.p > o.p THEN 'raised' ELSE 'same' END AS status FROM cu c FULL JOIN old o ON o.zone = c.zone AND o.id = c.id)"""
@@ -637,8 +637,8 @@ _TRACK = f"""{LISTINGS}, cur AS (SELECT zone, id, price, CASE WHEN id % 11 = 0 T
 def _tracked(t: Tables):
     k = F.col("id")
     base = listings(t)
-    cur = base.filter(k % 5 != 0).select("zone", "id", F.when(k % 7 == 3, F.floor("price").cast("double")).otherwise(F.col("price")).alias("price"), F.when(k % 11 == 0, "USD").otherwise("MXN").alias("currency"))
-    old = base.filter(k % 4 != 0).select(
+    cur = base.filter("day >= date '1996-01-01'").select("zone", "id", F.when(k % 7 == 3, F.floor("price").cast("double")).otherwise(F.col("price")).alias("price"), F.when(k % 11 == 0, "USD").otherwise("MXN").alias("currency"))
+    old = base.filter("day < date '2000-07-01'").select(
         "zone", "id", F.col("day").alias("first_seen"), F.floor(F.col("price") * (1 + ((k % 7) - 3) / 100.0)).cast("double").alias("price"), F.lit("MXN").alias("currency"), F.array().cast(M.CHANGE).alias("changes")
     )
     return M.diff_snapshot(cur, old, TODAY, ["zone", "id"])
@@ -664,25 +664,25 @@ def tracker_totals(t: Tables):
 
 @query(
     "closures",
-    f"""WITH {_TRACK}, pv AS (SELECT zone, id, day AS closed_on FROM listings WHERE id % 4 = 0),
-    keep AS (SELECT zone, id, closed_on FROM pv ANTI JOIN (SELECT * FROM df WHERE status IN ('new', 'reset')) USING (zone, id)),
+    f"""WITH {_TRACK}, pv AS (SELECT zone, id, day AS closed_on FROM listings WHERE kind = 'terreno'),
+    keep AS (SELECT zone, id, closed_on FROM pv ANTI JOIN (SELECT * FROM df WHERE status IN ('new', 'reset', 'closed')) USING (zone, id)),
     al AS (SELECT * FROM keep UNION ALL SELECT zone, id, DATE '{TODAY}' FROM df WHERE status = 'closed')
-    SELECT zone, id, strftime(closed_on, '%Y-%m-%d') AS closed_on FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY closed_on DESC, id) AS p FROM al) WHERE p <= 100""",
+    SELECT zone, id, strftime(closed_on, '%Y-%m-%d') AS closed_on FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY closed_on DESC, id) AS p FROM al) WHERE p <= 500""",
 )
 def closures(t: Tables):
-    prev = listings(t).filter("id % 4 = 0").select("zone", "id", F.col("day").alias("closed_on"), "price", F.lit(0).alias("days"))
-    out = M.closures(prev, _tracked(t), TODAY, ["zone", "id"], "zone", 100)
+    prev = listings(t).filter("kind = 'terreno'").select("zone", "id", F.col("day").alias("closed_on"), "price", F.lit(0).alias("days"))
+    out = M.closures(prev, _tracked(t), TODAY, ["zone", "id"], "zone", 500)
     return out.select("zone", "id", F.date_format("closed_on", "yyyy-MM-dd").alias("closed_on"))
 
 
-_MT = f"""{LISTINGS}, tr AS (SELECT zone, id, day AS first_seen, price * 0.95e0 AS p, price AS p0 FROM listings WHERE id % 3 <> 0),
+_MT = f"""{LISTINGS}, tr AS (SELECT zone, id, day AS first_seen, price * 0.95e0 AS p, price AS p0 FROM listings WHERE kind <> 'terreno'),
   mt AS (SELECT l.*, CASE WHEN t.id IS NOT NULL THEN greatest(date_diff('day', t.first_seen, DATE '{TODAY}'), 0)::INT END AS days_listed, t.first_seen = DATE '1995-01-01' AS censored, CASE WHEN t.p0 > 0 AND t.id % 2 = 0 THEN floor((t.p / t.p0 - 1.0e0) * 100.0e0 + 0.5)::BIGINT END AS cut_pct
     FROM listings l LEFT JOIN tr t ON t.zone = l.zone AND t.id = l.id)"""
 
 
 def _market(t: Tables):
     one = F.array(F.struct(F.col("day").alias("at"), F.col("price").alias("from"), (F.col("price") * 0.95).alias("to"))).cast(M.CHANGE)
-    tracker = listings(t).filter("id % 3 <> 0").select(
+    tracker = listings(t).filter("kind <> 'terreno'").select(
         "zone", "id", F.to_date(F.lit("1995-01-01")).alias("base"), F.to_date(F.lit(TODAY)).alias("act"), F.col("day").alias("first_seen"), (F.col("price") * 0.95).alias("price"),
         F.when(F.col("id") % 2 == 0, one).otherwise(F.array().cast(M.CHANGE)).alias("changes"),
     )
@@ -778,14 +778,14 @@ def monthly_index(t: Tables):
 
 @query(
     "live_market_join",
-    f"""WITH {LISTINGS}, {PRICED}, mm AS (SELECT zone_no, floor(avg(pm2_mxn) + 0.5)::BIGINT AS p, count(*) AS n FROM priced WHERE operation = 'venta' AND zone_no % 4 <> 0 GROUP BY 1)
-    SELECT s_suppkey AS unit, CASE WHEN mm.p > 0 THEN '$' || format('{{:t,}}', mm.p) || '/m2 (' || format('{{:t,}}', mm.n) || ' sales)' ELSE '' END AS market_line FROM supplier LEFT JOIN mm ON mm.zone_no = s_nationkey""",
+    f"""WITH {LISTINGS}, {PRICED}, mm AS (SELECT zone_no, floor(avg(pm2_mxn) + 0.5)::BIGINT AS p, count(*) AS n FROM priced WHERE operation = 'venta' GROUP BY 1)
+    SELECT s_suppkey AS unit, CASE WHEN mm.p > 0 THEN '$' || format('{{:t,}}', mm.p) || '/m2 (' || format('{{:t,}}', mm.n) || ' sales)' ELSE '' END AS market_line FROM supplier LEFT JOIN mm ON mm.zone_no = s_nationkey + 3""",
 )
 def live_market_join(t: Tables):
-    p = C.with_unit_price(listings(t)).filter("operation = 'venta' and zone_no % 4 <> 0")
+    p = C.with_unit_price(listings(t)).filter("operation = 'venta'")
     m = p.groupBy("zone").agg(F.floor(F.avg("pm2_mxn") + 0.5).alias("pm2_sale"), F.count("*").alias("n_sale"))
     m = m.select(text.slug(F.col("zone")).alias("slug"), "pm2_sale", "n_sale")
-    units = t.supplier.select(F.col("s_suppkey").alias("unit"), F.concat(F.lit("Zóna "), F.col("s_nationkey").cast("string")).alias("town"))
+    units = t.supplier.select(F.col("s_suppkey").alias("unit"), F.concat(F.lit("Zóna "), (F.col("s_nationkey") + 3).cast("string")).alias("town"))
     out = RP.live_market_lines(units, "unit", [F.concat(F.col("town"), F.lit(", Estado")), F.col("town")], m)
     return out.select("unit", "market_line")
 

@@ -75,12 +75,12 @@ def archive_scan(t: Tables):
 @query(
     "multi_part_union",
     """WITH a AS (SELECT l_suppkey AS key, l_returnflag AS part, count(*) AS n FROM lineitem GROUP BY 1, 2)
-    SELECT key, arg_min(n, part) AS n FROM a WHERE key % 10 <> 3 GROUP BY 1""",
+    SELECT key, arg_min(n, part) AS n FROM a WHERE key NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3) GROUP BY 1""",
 )
 def multi_part_union(t: Tables):
     by = t.lineitem.groupBy(F.col("l_suppkey").alias("key"), "l_returnflag").agg(F.count("*").alias("n"))
     parts = [by.filter(F.col("l_returnflag") == f).select("key", "n") for f in ("A", "N", "R")]
-    done = t.supplier.select(F.col("s_suppkey").alias("key")).filter("key % 10 = 3")
+    done = t.supplier.filter("s_nationkey = 3").select(F.col("s_suppkey").alias("key"))
     return S.union_parts(parts, "key", done).select("key", "n")
 
 
@@ -356,11 +356,12 @@ def html_listing_extract(t: Tables):
 
 @query(
     "html_price_samples",
-    f"""WITH {LISTINGS}, s AS (SELECT DISTINCT id // 20 AS page_id, price, m2_built AS m2, CASE WHEN (id // 20) % 4 = 0 THEN 0 ELSE id END AS u FROM listings WHERE m2_built > 15 AND (id // 20) % 4 IN (0, 1) AND price / m2_built > 3000 AND price / m2_built < 220000)
+    f"""WITH {LISTINGS}, l AS (SELECT id, id // 20 AS page_id, (id // 20) % 4 AS k, CASE WHEN (id // 20) % 4 = 3 THEN floor(price) ELSE price END AS price, m2_built AS m2 FROM listings WHERE (id // 20) % 4 <> 2),
+    s AS (SELECT DISTINCT page_id, price, m2, CASE WHEN k = 0 THEN 0 ELSE id END AS u FROM l WHERE m2 > 15 AND (k <> 3 OR price >= 10000) AND price / m2 > 3000 AND price / m2 < 220000)
     SELECT page_id, count(*) AS samples, round(median(price / m2), 4) AS median_pm2 FROM s GROUP BY 1""",
 )
 def html_price_samples(t: Tables):
-    s = H.price_samples(durable(_pages(t).filter(F.col("page_id") % 4 < 2)))
+    s = H.price_samples(durable(_pages(t)))
     return H.sample_medians(s, ["page_id"]).select("page_id", "samples", r("median_pm2", 4).alias("median_pm2"))
 
 

@@ -81,7 +81,7 @@ def tumbling_hits(t: Tables):
 
 @query(
     "tracker_stream",
-    f"""WITH {LISTINGS}, s AS (SELECT zone, id, floor(price * (1 + ((id + d * 3) % 5 - 2) / 100.0e0)) AS price, d FROM listings, (VALUES (1), (2), (3)) t(d) WHERE (id + d) % 4 <> 0),
+    f"""WITH {LISTINGS}, s AS (SELECT zone, id, floor(price * (1 + ((id + d * 3) % 5 - 2) / 100.0e0)) AS price, d FROM listings, (VALUES (1), (2), (3)) t(d) WHERE rooms <> d),
     w AS (SELECT zone, id, max(price) FILTER (WHERE d = 1) AS p1, max(price) FILTER (WHERE d = 2) AS p2, max(price) FILTER (WHERE d = 3) AS p3 FROM s GROUP BY 1, 2)
     SELECT zone, id, CASE WHEN p3 IS NULL THEN 'closed' WHEN p2 IS NULL THEN 'new' WHEN p3 < p2 THEN 'cut' WHEN p3 > p2 THEN 'raised' ELSE 'same' END AS status, coalesce(p3, p2, p1) AS price,
     CASE WHEN p3 IS NOT NULL AND p2 IS NULL THEN '2001-09-03' WHEN p1 IS NOT NULL AND (p2 IS NOT NULL OR p3 IS NULL) THEN '2001-09-01' ELSE '2001-09-02' END AS first_seen,
@@ -90,7 +90,7 @@ def tumbling_hits(t: Tables):
 def tracker_stream(t: Tables):
     path = work_path(t.spark, "tracker")
     k, d = F.col("id"), F.col("d")
-    snaps = listings(t).select("zone", "id", "price", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("d")).filter((k + d) % 4 != 0)
+    snaps = listings(t).select("zone", "id", "price", "rooms", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("d")).filter(F.col("rooms") != d)
     snaps = snaps.select(
         "zone", "id", F.floor(F.col("price") * (1 + ((k + d * 3) % 5 - 2) / 100.0)).cast("double").alias("price"), F.lit("MXN").alias("currency"), F.date_add(F.to_date(F.lit("2001-08-31")), d).alias("day")
     )

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from terrametra.functions import text
 from terrametra.operators.cleaning import PRICE_WINDOWS
+from terrametra.session import durable
 
 # Page patterns.
 LD_JSON = r"(?is)<script[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
@@ -246,37 +247,42 @@ def window_listings(pages: DataFrame, page: str, html: str) -> DataFrame:
             .alias("used"),
         ),
     )["used"]
-    cards = pages.filter(h.rlike(PRICE_MARK)).select(F.col(page), h.alias("_h"), F.posexplode(walk).alias("seq", "u"))
-    win = F.substring(F.col("_h"), F.col("u")["at"] + 1, F.lit(CARD_WINDOW))
-    cards = cards.select(page, "seq", F.col("u")["mark"].alias("mark"), win.alias("w"))
-    g = lambda rx, i=1: F.nullif(F.regexp_extract("w", rx, i), F.lit(""))
+    windows = F.transform(
+        walk, lambda u: F.struct(u["mark"].alias("mark"), F.substring(h, u["at"] + 1, F.lit(CARD_WINDOW)).alias("w"))
+    )
+    # many regular expressions per card: as one function over the array they stay out of the generated row
+    # loop, whose code would grow beyond what the JVM compiles
+    rows = pages.filter(h.rlike(PRICE_MARK)).select(F.col(page), F.posexplode(F.transform(windows, _card)).alias("seq", "c"))
+    return rows.select(page, F.lit(0).alias("block_no"), "seq", "c.*", F.lit("window").alias("strategy"))
+
+
+def _card(x: Column) -> Column:
+    """Listing fields of one card window."""
+    w = x["w"]
+    g = lambda rx, i=1: F.nullif(F.regexp_extract(w, rx, i), F.lit(""))
     num = lambda rx: text.first_number(g(rx))
     kind_rx = r"(Casa|Departamento|Terreno|Local(?:es)?|Oficinas?|Bodega|Edificio|Rancho|Inmueble)([^<>\"]{0,30}?)\s+en\s+(venta|renta)"
     kind = F.concat(F.coalesce(g(kind_rx), F.lit("")), F.coalesce(g(kind_rx, 2), F.lit("")))
-    pieces = F.transform(F.split("w", "<[^>]+>"), lambda x: F.trim(F.regexp_replace(x, "\\s+", " ")))
-    place = F.get(
-        F.filter(pieces, lambda x: F.length(x).between(9, 169) & (F.length(x) - F.length(F.replace(x, F.lit(","), F.lit(""))) >= 2) & ~x.contains("$")),
-        F.lit(0),
-    )
-    return cards.select(
-        page,
-        F.lit(0).alias("block_no"),
-        "seq",
-        F.lit(None).cast("string").alias("url"),
-        plain(F.coalesce(g(r"(?i)>([^<>]{15,120})</(?:h\d|a|strong)"), kind)).alias("title"),
-        text.first_number(F.regexp_extract("mark", r"([\d.,]+)", 1)).alias("price"),
-        F.regexp_extract("mark", "(MXN|USD)", 1).alias("currency"),
-        place.alias("location"),
-        num(r"(?i)([\d.,]+)\s*m²\s*(?:de\s*)?Construcci").alias("m2_built"),
-        num(r"(?i)([\d.,]+)\s*m²\s*(?:de\s*)?Terreno").alias("m2_land"),
-        num(r"(?i)([\d.,]+)\s*Rec\b").alias("rooms"),
-        num(r"(?i)([\d.,]+)\s*Baño").alias("baths"),
-        F.nullif(plain(kind), F.lit("")).alias("kind"),
-        F.lower(F.coalesce(g(kind_rx, 3), g(r"\ben\s+(venta|renta)\b"))).alias("operation"),
-        F.lit(None).cast("double").alias("lat"),
-        F.lit(None).cast("double").alias("lng"),
-        F.lit("window").alias("strategy"),
-    )
+    pieces = F.transform(F.split(w, "<[^>]+>"), lambda t: F.trim(F.regexp_replace(t, "\\s+", " ")))
+    commas = lambda t: F.length(t) - F.length(F.replace(t, F.lit(","), F.lit("")))
+    place = F.get(F.filter(pieces, lambda t: F.length(t).between(9, 169) & (commas(t) >= 2) & ~t.contains("$")), F.lit(0))
+    none = F.lit(None)
+    fields = {
+        "url": none.cast("string"),
+        "title": plain(F.coalesce(g(r"(?i)>([^<>]{15,120})</(?:h\d|a|strong)"), kind)),
+        "price": text.first_number(F.regexp_extract(x["mark"], r"([\d.,]+)", 1)),
+        "currency": F.regexp_extract(x["mark"], "(MXN|USD)", 1),
+        "location": place,
+        "m2_built": num(r"(?i)([\d.,]+)\s*m²\s*(?:de\s*)?Construcci"),
+        "m2_land": num(r"(?i)([\d.,]+)\s*m²\s*(?:de\s*)?Terreno"),
+        "rooms": num(r"(?i)([\d.,]+)\s*Rec\b"),
+        "baths": num(r"(?i)([\d.,]+)\s*Baño"),
+        "kind": F.nullif(plain(kind), F.lit("")),
+        "operation": F.lower(F.coalesce(g(kind_rx, 3), g(r"\ben\s+(venta|renta)\b"))),
+        "lat": none.cast("double"),
+        "lng": none.cast("double"),
+    }
+    return F.struct(*[v.alias(k) for k, v in fields.items()])
 
 
 # Order of preference when strategies find equally many rows.
@@ -285,10 +291,12 @@ PREFERENCE = {"results": 0, "state": 1, "ld": 2, "window": 3}
 
 def extract_listings(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
     """Listings of each page by its best strategy: the results array when present, else the one with most rows."""
-    objects = json_objects(json_blocks(pages, page, html), page)
+    # parsed once and written, because three strategies read the objects and two steps read the rows
+    objects = durable(json_objects(json_blocks(pages, page, html), page))
     every = result_listings(objects, page)
     for part in (state_listings(objects, page), linked_listings(objects, page), window_listings(pages, page, html)):
         every = every.unionByName(part)
+    every = durable(every)
     order = F.create_map(*[F.lit(x) for kv in PREFERENCE.items() for x in kv])[F.col("strategy")]
     counts = every.groupBy(page, "strategy").agg(F.count("*").alias("n"))
     best = counts.groupBy(page).agg(
@@ -315,7 +323,7 @@ def price_samples(pages: DataFrame, page: str = "page_id", html: str = "html") -
         F.lit("ld").alias("strategy"),
     ).filter(F.col("m2") > 15)
     every = state.unionByName(ld).unionByName(price_pairs(pages, page, html).filter(F.col("m2") > 15).withColumn("strategy", F.lit("text")))
-    ok = every.withColumn("pm2", F.try_divide("price", "m2")).filter((F.col("pm2") > lo) & (F.col("pm2") < hi))
+    ok = durable(every.withColumn("pm2", F.try_divide("price", "m2")).filter((F.col("pm2") > lo) & (F.col("pm2") < hi)))
     rank = F.create_map(F.lit("state"), F.lit(0), F.lit("ld"), F.lit(1), F.lit("text"), F.lit(2))[F.col("strategy")]
     best = ok.groupBy(page).agg(F.min(rank).alias("_b"))
     return ok.withColumn("_b", rank).join(best, [page, "_b"], "left_semi").drop("_b")
