@@ -71,11 +71,16 @@ def contagion_test(points: DataFrame, year: str, step: float = 0.0027, prob: flo
     cells = grid_rollup(
         placed, "lng", "lat", step, {"before": F.sum(early), "after": F.sum(1 - early)}, (F.col("_o")["x"], F.col("_o")["y"])
     )
+    out = corr_before_after(cells)
+    return out.withColumn("cut_year", cut).withColumn("spatial_term_supported", F.col("r_near") > accept)
+
+
+def corr_before_after(cells: DataFrame) -> DataFrame:
+    """Pearson r of the own and of the eight neighbours' earlier count with the later count, over all cells."""
     near = queen_sum(cells, ["before"], include_self=False, suffix="_near")
-    out = near.agg(
+    return near.agg(
         F.count("*").alias("cells"), F.corr("before", "after").alias("r_own"), F.corr("before_near", "after").alias("r_near")
     )
-    return out.withColumn("cut_year", cut).withColumn("spatial_term_supported", F.col("r_near") > accept)
 
 
 def hedonic_gradient(df: DataFrame, km: str, price: str, minimum: int = 40, z: float = 1.645) -> DataFrame:

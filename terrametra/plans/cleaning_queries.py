@@ -387,3 +387,20 @@ def scalar_distances(t: Tables):
         r(geo.planar_km(x, y, x0, y0)).alias("planar_km"),
         r(geo.gaussian(geo.planar_sq(x, y, x0, y0), 0.011), 8).alias("kernel"),
     )
+
+
+@query(
+    "scalar_text",
+    f"""WITH {LISTINGS} SELECT id, '$' || format('{{:t,}}', floor(price)::BIGINT) AS money, printf('%+.1f%%', (floor(price) % 200 - 100) / 2) AS pct, upper(kind[1]) || lower(kind[2:]) AS kind,
+    strftime(day, '%Y-%m') AS month, string_split(month, '-')[2] AS mm FROM listings""",
+)
+def scalar_text(t: Tables):
+    whole = F.floor("price").cast("double")
+    return listings(t).select(
+        "id",
+        text.money(whole).alias("money"),
+        text.percent((whole % 200 - 100) / 2).alias("pct"),
+        text.title_case(F.col("kind")).alias("kind"),
+        F.date_format("day", "yyyy-MM").alias("month"),
+        F.split("month", "-")[1].alias("mm"),
+    )

@@ -66,21 +66,30 @@ def snapshot_diff(t: Tables):
     return out.select(F.col("street_txt").cast("bigint").alias("street"), "openings", "closures", "indicators", "species")
 
 
-@query(
-    "point_in_polygon",
-    f"""WITH {LISTINGS}, p AS (SELECT s_suppkey AS poly_id, -99.20e0 + (s_suppkey * 7919 % 1000) * 0.0001e0 + 0.00003e0 AS x, 19.45e0 + (s_suppkey * 15485863 % 1000) * 0.0001e0 + 0.00003e0 AS y FROM supplier),
-    j AS (SELECT poly_id, price FROM p JOIN listings ON abs(lng - x) + abs(lat - y) < 0.006e0)
-    SELECT poly_id, count(*) AS listings, round(median(price), 4) AS night_price FROM j GROUP BY 1""",
-)
-def point_in_polygon(t: Tables):
+_DIAMONDS = f"""{LISTINGS}, p AS (SELECT s_suppkey AS poly_id, -99.20e0 + (s_suppkey * 7919 % 1000) * 0.0001e0 + 0.00003e0 AS x, 19.45e0 + (s_suppkey * 15485863 % 1000) * 0.0001e0 + 0.00003e0 AS y FROM supplier),
+  hits AS (SELECT poly_id, id, price FROM p JOIN listings ON abs(lng - x) + abs(lat - y) < 0.006e0)"""
+
+
+def _diamonds(t: Tables):
+    """A diamond of 0.006 degrees around every supplier."""
     k = F.col("s_suppkey")
     x = F.lit(-99.20) + (k * 7919 % 1000) * F.lit(0.0001) + F.lit(0.00003)
     y = F.lit(19.45) + (k * 15485863 % 1000) * F.lit(0.0001) + F.lit(0.00003)
     d = 0.006
     corner = lambda dx, dy: F.struct((x + dx).alias("lng"), (y + dy).alias("lat"))
     ring = F.array(corner(d, 0.0), corner(0.0, d), corner(-d, 0.0), corner(0.0, -d), corner(d, 0.0))
-    polys = t.supplier.select(k.alias("poly_id"), F.array(ring).alias("rings"))
-    out = R.polygon_signal(listings(t).select("price", "lng", "lat", "id"), polys, "price", step=0.004)
+    return t.supplier.select(k.alias("poly_id"), F.array(ring).alias("rings"))
+
+
+@query("point_in_polygon", f"WITH {_DIAMONDS} SELECT poly_id, count(*) AS n, sum(id)::BIGINT AS id_sum FROM hits GROUP BY 1")
+def point_in_polygon(t: Tables):
+    hits = X.points_in_polygons(listings(t).select("lng", "lat", "id"), _diamonds(t), step=0.004)
+    return hits.groupBy("poly_id").agg(F.count("*").alias("n"), F.sum("id").alias("id_sum"))
+
+
+@query("short_rent_signal", f"WITH {_DIAMONDS} SELECT poly_id, count(*) AS listings, round(median(price), 4) AS night_price FROM hits GROUP BY 1")
+def short_rent_signal(t: Tables):
+    out = R.polygon_signal(listings(t).select("price", "lng", "lat", "id"), _diamonds(t), "price", step=0.004)
     return out.select("poly_id", "listings", r("night_price", 4).alias("night_price"))
 
 

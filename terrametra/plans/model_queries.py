@@ -310,6 +310,18 @@ def contagion_test(t: Tables):
     return out.select("cells", r("r_own").alias("r_own"), r("r_near").alias("r_near"), "cut_year", "spatial_term_supported")
 
 
+@query(
+    "corr_pre_post",
+    f"""WITH {EST}, c AS (SELECT round_even(lng / 0.005e0, 0)::BIGINT AS gx, round_even(lat / 0.005e0, 0)::BIGINT AS gy, count(*) FILTER (WHERE year <= 1998) AS b, count(*) FILTER (WHERE year > 1998) AS a FROM est GROUP BY 1, 2),
+    n AS (SELECT p.gx, p.gy, p.b, p.a, sum(q.b) - p.b AS nb FROM c p JOIN c q ON q.gx BETWEEN p.gx - 1 AND p.gx + 1 AND q.gy BETWEEN p.gy - 1 AND p.gy + 1 GROUP BY p.gx, p.gy, p.b, p.a)
+    SELECT count(*) AS cells, round(corr(b, a), 6) AS r_own, round(corr(nb, a), 6) AS r_near FROM n""",
+)
+def corr_pre_post(t: Tables):
+    e = establishments(t).withColumn("gx", F.rint(F.col("lng") / 0.005).cast("bigint")).withColumn("gy", F.rint(F.col("lat") / 0.005).cast("bigint"))
+    out = S.corr_before_after(J.before_after(e, ["gx", "gy"], F.col("year") <= 1998))
+    return out.select("cells", r("r_own").alias("r_own"), r("r_near").alias("r_near"))
+
+
 _ANCHORS = f"""o AS (SELECT min(lng) AS x, min(lat) AS y FROM est),
   ac AS (SELECT round_even((lng - x) / 0.0025e0, 0)::BIGINT AS gx, round_even((lat - y) / 0.0025e0, 0)::BIGINT AS gy, sum(emp) AS emp, avg(lng) AS lng, avg(lat) AS lat FROM est, o GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 6),
   an AS (SELECT gx * 100000 + gy AS k, lng, lat, round_even(0.45 + 0.55 * ((emp - min(emp) OVER ()) / (max(emp) OVER () - min(emp) OVER () + 1e-9)), 3) AS weight FROM ac)"""
@@ -729,6 +741,22 @@ def investment_basket(t: Tables):
     return b.select("pick", "zone", "id", "price", r("score").alias("score"))
 
 
+_ROOMY = f"""{LISTINGS}, sc AS (SELECT id, zone, price, (rooms + baths)::DOUBLE AS score FROM listings WHERE operation = 'venta' AND price <= 90000),
+  p1 AS (SELECT * FROM sc ORDER BY score DESC, id LIMIT 1),
+  p2 AS (SELECT sc.* FROM sc, p1 WHERE sc.zone <> p1.zone AND sc.price <= 90000 - p1.price ORDER BY sc.score DESC, sc.id LIMIT 1),
+  p3 AS (SELECT sc.* FROM sc, p1, p2 WHERE sc.zone NOT IN (p1.zone, p2.zone) AND sc.price <= 90000 - p1.price - p2.price ORDER BY sc.score DESC, sc.id LIMIT 1),
+  sp AS (SELECT 1 AS pick, * FROM p1 UNION ALL SELECT 2, * FROM p2 UNION ALL SELECT 3, * FROM p3), k AS (SELECT count(*) AS k, sum(price) AS s FROM sp),
+  r1 AS (SELECT (k.k + 1) AS pick, sc.* FROM sc, k WHERE k.k < 3 AND sc.id NOT IN (SELECT id FROM sp) AND sc.price <= 90000 - k.s ORDER BY sc.score DESC, sc.id LIMIT 1),
+  k2 AS (SELECT count(*) AS k, sum(price) AS s FROM (SELECT price FROM sp UNION ALL SELECT price FROM r1)),
+  r2 AS (SELECT (k2.k + 1) AS pick, sc.* FROM sc, k2 WHERE k2.k < 3 AND sc.id NOT IN (SELECT id FROM sp UNION ALL SELECT id FROM r1) AND sc.price <= 90000 - k2.s ORDER BY sc.score DESC, sc.id LIMIT 1)"""
+
+
+@query("greedy_budget", f"WITH {_ROOMY} SELECT pick::INT AS pick, zone, id, price, score FROM (SELECT * FROM sp UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2)")
+def greedy_budget(t: Tables):
+    scored = listings(t).filter("operation = 'venta'").select("zone", "id", "price", (F.col("rooms") + F.col("baths")).cast("double").alias("score"))
+    return M.greedy_basket(scored, 90000.0, "zone", "id")
+
+
 _ALERTS = f"""{EVENTS}, al AS (SELECT event_id AS id, 'z' || (user_id % 25)::VARCHAR AS zone, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 3 END AS horizon, 1.0e0 + event_id % 5 AS threshold, event_id % 7 <> 0 AS active, CASE WHEN event_id % 3 <> 0 THEN (event_id % 40)::DOUBLE END AS last_value FROM ev),
   fc AS (SELECT 'z' || c_nationkey::VARCHAR AS zone, h, 1 + avg(o_totalprice) / 1000000 * h / 2 AS f FROM orders JOIN customer ON o_custkey = c_custkey, (VALUES (1), (3)) t(h) GROUP BY 1, 2),
   aj AS (SELECT al.*, floor((f - 1.0e0) * 1000.0e0 + 0.5) / 10.0e0 AS new_value FROM al JOIN fc ON fc.zone = al.zone AND h = horizon WHERE active),

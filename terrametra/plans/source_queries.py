@@ -256,6 +256,22 @@ def national_box(t: Tables):
     return _postal_points(t).groupBy(in_nation(F.col("lat"), F.col("lng")).alias("inside")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "account_tables",
+    f"WITH {EVENTS} SELECT user_id, zone, count(*) AS alerts, max(event_id) AS last_id FROM ev WHERE event <> 'error' GROUP BY 1, 2",
+)
+def account_tables(t: Tables):
+    """Alerts stored as a table; the active-only read is pushed down to the files."""
+    path = work_path(t.spark, "alerts")
+    raw = events(t).select(
+        F.col("event_id").alias("id"), "user_id", "zone", F.lit(None).cast("int").alias("horizon"), F.lit(None).cast("double").alias("threshold"),
+        (F.col("event") != "error").alias("active"), F.lit(None).cast("double").alias("last_value"),
+    )
+    A.with_defaults(raw).write.parquet(path)
+    a = A.active_alerts(t.spark.read.parquet(path))
+    return a.groupBy("user_id", "zone").agg(F.count("*").alias("alerts"), F.max("id").alias("last_id"))
+
+
 @query("own_rows", f"WITH {EVENTS} SELECT event_id, zone FROM ev WHERE user_id = 8")
 def own_rows(t: Tables):
     return A.own_rows(events(t), 8).select("event_id", "zone")

@@ -45,6 +45,8 @@ KEYS = {
 }
 LD_TYPES = "(?i)Residence|House|Apartment|RealEstate|Product|Offer|Place|Accommodation"
 MIN_PRICE = 1000
+# A whole run of digits, points and commas: entered once and never re-read, so long runs cost linear time.
+NUMBER = r"(?i)(?<![\d.,])([\d.,]++)"
 MAX_DEPTH = 12
 CARD_GAP = 120
 CARD_WINDOW = 4000
@@ -250,8 +252,7 @@ def window_listings(pages: DataFrame, page: str, html: str) -> DataFrame:
     windows = F.transform(
         walk, lambda u: F.struct(u["mark"].alias("mark"), F.substring(h, u["at"] + 1, F.lit(CARD_WINDOW)).alias("w"))
     )
-    # many regular expressions per card: as one function over the array they stay out of the generated row
-    # loop, whose code would grow beyond what the JVM compiles
+    # fields are picked per window inside one function over the array, so each window is cut once
     rows = pages.filter(h.rlike(PRICE_MARK)).select(F.col(page), F.posexplode(F.transform(windows, _card)).alias("seq", "c"))
     return rows.select(page, F.lit(0).alias("block_no"), "seq", "c.*", F.lit("window").alias("strategy"))
 
@@ -273,10 +274,10 @@ def _card(x: Column) -> Column:
         "price": text.first_number(F.regexp_extract(x["mark"], r"([\d.,]+)", 1)),
         "currency": F.regexp_extract(x["mark"], "(MXN|USD)", 1),
         "location": place,
-        "m2_built": num(r"(?i)([\d.,]+)\s*m²\s*(?:de\s*)?Construcci"),
-        "m2_land": num(r"(?i)([\d.,]+)\s*m²\s*(?:de\s*)?Terreno"),
-        "rooms": num(r"(?i)([\d.,]+)\s*Rec\b"),
-        "baths": num(r"(?i)([\d.,]+)\s*Baño"),
+        "m2_built": num(NUMBER + r"\s*m²\s*(?:de\s*)?Construcci"),
+        "m2_land": num(NUMBER + r"\s*m²\s*(?:de\s*)?Terreno"),
+        "rooms": num(NUMBER + r"\s*Rec\b"),
+        "baths": num(NUMBER + r"\s*Baño"),
         "kind": F.nullif(plain(kind), F.lit("")),
         "operation": F.lower(F.coalesce(g(kind_rx, 3), g(r"\ben\s+(venta|renta)\b"))),
         "lat": none.cast("double"),
