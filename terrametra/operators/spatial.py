@@ -33,8 +33,8 @@ def in_cells(df: DataFrame, step: float, lng: str = "lng", lat: str = "lat") ->
     return df.withColumn("_cx", cell(F.col(lng), step)).withColumn("_cy", cell(F.col(lat), step))
 
 
-def cell_join(spread: DataFrame, fixed: DataFrame) -> DataFrame:
-    """Join two frames on their cell; hot cells of ``fixed`` are split and ``spread`` repeats only there.
+def cell_join(spread: DataFrame, fixed: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """Join two frames on their cell (and the columns ``on``); hot cells of ``fixed`` are split and ``spread`` repeats only there.
 
     Cells above the limit get one salt per limit of rows. Since a hot cell holds more than a ten-thousandth of
     all rows there are fewer than ten thousand of them, so their list is safe to broadcast; cells that are not
@@ -56,7 +56,7 @@ def cell_join(spread: DataFrame, fixed: DataFrame) -> DataFrame:
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - 1)))
         .drop("_salts")
     )
-    return left.join(right, ["_cx", "_cy", "_salt"]).drop("_cx", "_cy", "_salt")
+    return left.join(right, ["_cx", "_cy", "_salt", *(on or [])]).drop("_cx", "_cy", "_salt")
 
 
 def _cover(df: DataFrame, x0: Column, x1: Column, y0: Column, y1: Column, step: float) -> DataFrame:
@@ -74,11 +74,12 @@ def _reach_box(lng: Column, lat: Column, km: float) -> tuple[Column, Column, Col
     return lng - dlng, lng + dlng, lat - dlat, lat + dlat
 
 
-def radius_pairs(centres: DataFrame, points: DataFrame, km: float | None = None, degrees: float | None = None) -> DataFrame:
+def radius_pairs(centres: DataFrame, points: DataFrame, km: float | None = None, degrees: float | None = None, on: list[str] | None = None) -> DataFrame:
     """Pairs of a centre ``(c_lng, c_lat, ...)`` and a point ``(lng, lat, ...)`` strictly closer than the radius.
 
     Centres are repeated over the cells in their reach, points stay in one cell: pass the smaller side as centres.
     ``km`` uses haversine distances and gives ``dist_m``; ``degrees`` uses planar distances and gives ``dist``.
+    Columns in ``on`` must be equal too and take part in the join key.
     """
     step = (km / KM_PER_DEGREE) if km is not None else degrees
     x, y = F.col("c_lng"), F.col("c_lat")
@@ -90,7 +91,7 @@ def radius_pairs(centres: DataFrame, points: DataFrame, km: float | None = None,
         box = (x - degrees, x + degrees, y - degrees, y + degrees)
         dist, name = geo.planar_deg(F.col("lng"), F.col("lat"), x, y), "dist"
         limit = degrees
-    pairs = cell_join(_cover(centres, *box, step), in_cells(points, step)).withColumn(name, dist)
+    pairs = cell_join(_cover(centres, *box, step), in_cells(points, step), on).withColumn(name, dist)
     return pairs.filter(F.col(name) < limit)
 
 
@@ -115,12 +116,14 @@ def radius_count(anchors: DataFrame, points: DataFrame, year: str, degrees: floa
     the anchor itself (distance zero) does not count.
     """
     packed = points.groupBy("lng", "lat", F.col(year).alias("_y")).agg(F.count("*").alias("_c"))
-    centres = anchors.select("anchor_id", F.col("lng").alias("c_lng"), F.col("lat").alias("c_lat"), F.col("year").alias("a_year"))
-    near = radius_pairs(centres, packed, degrees=degrees).filter(F.col("dist") > 1e-9)
-    lag = F.col("_y") - F.col("a_year")
+    lags = F.explode(F.array(*[F.lit(i) for i in (-2, -1, 1, 2)]))
+    centres = anchors.select("anchor_id", F.col("lng").alias("c_lng"), F.col("lat").alias("c_lat"), "year", lags.alias("_lag"))
+    centres = centres.withColumn("_y", F.col("year") + F.col("_lag"))
+    # the wanted years are part of the join key, so other years never meet the anchor
+    near = radius_pairs(centres, packed, degrees=degrees, on=["_y"]).filter(F.col("dist") > 1e-9)
     counts = near.groupBy("anchor_id").agg(
-        F.sum(F.when(lag.between(-2, -1), F.col("_c")).otherwise(0)).alias("before_near"),
-        F.sum(F.when(lag.between(1, 2), F.col("_c")).otherwise(0)).alias("after_near"),
+        F.sum(F.when(F.col("_lag") < 0, F.col("_c")).otherwise(0)).alias("before_near"),
+        F.sum(F.when(F.col("_lag") > 0, F.col("_c")).otherwise(0)).alias("after_near"),
     )
     return anchors.join(counts, "anchor_id", "left").fillna(0, ["before_near", "after_near"])
 
@@ -154,60 +157,60 @@ def nearest(points: DataFrame, anchors: DataFrame, key: str, metric: str = "plan
     if anchors.limit(limit + 1).count() <= limit:
         return _packed_nearest(points, anchors, key, dist)
 
-    todo = durable(points.withColumn("_row", F.monotonically_increasing_id()))
+    found = _ring_search(points.select("lng", "lat").filter("lng is not null and lat is not null").distinct(), anchors, key, dist, metric, step)
+    return points.join(found, ["lng", "lat"], "left").select(*points.columns, "near_id", "near_dist")
+
+
+def _ring_search(places: DataFrame, anchors: DataFrame, key: str, dist, metric: str, step: float | None) -> DataFrame:
+    """Nearest anchor of every distinct place, ring by ring; equal places are searched once."""
+    todo = durable(places)
     sites = durable(anchors.select(F.col(key).alias("_k"), F.col("lng").alias("_ax"), F.col("lat").alias("_ay")))
     n_sites = sites.count()
     box = lambda df, x, y: df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
-    span = box(todo, "lng", "lat").unionByName(box(sites, "_ax", "_ay")).agg(F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).first()
-    if n_sites == 0 or span[0] is None:
+    here, there = box(todo, "lng", "lat").first(), box(sites, "_ax", "_ay").first()
+    if n_sites == 0 or here["x0"] is None:
         kind = anchors.schema[key].dataType
-        return points.withColumn("near_id", F.lit(None).cast(kind)).withColumn("near_dist", F.lit(None).cast("double"))
+        return todo.withColumn("near_id", F.lit(None).cast(kind)).withColumn("near_dist", F.lit(None).cast("double"))
     if step is None:
-        area = box(sites, "_ax", "_ay").first()
-        room = max(area["x1"] - area["x0"], 1e-6) * max(area["y1"] - area["y0"], 1e-6)
+        room = max(there["x1"] - there["x0"], 1e-6) * max(there["y1"] - there["y0"], 1e-6)
         step = max(2.0 * math.sqrt(room / n_sites), 1e-5)
-    extent = max(span[1] - span[0], span[3] - span[2]) + step
+    wide_x = max(here["x1"], there["x1"]) - min(here["x0"], there["x0"])
+    wide_y = max(here["y1"], there["y1"]) - min(here["y0"], there["y0"])
+    extent = max(wide_x, wide_y) + step
     site = F.struct(F.col("_ax").alias("x"), F.col("_ay").alias("y"))
     blocks = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    done = None
-    size = step
+    done, size = None, step
     while True:
         last = size >= extent
-        spots = in_cells(todo.select("_row", "lng", "lat"), size)
-        placed = in_cells(sites, size, "_ax", "_ay")
+        spots, placed = in_cells(todo, size), in_cells(sites, size, "_ax", "_ay")
         # the smaller side goes to all nine cells of its block
         few_sites = n_sites <= todo.count()
         wide = (placed if few_sites else spots).withColumn("_m", F.explode(blocks))
         wide = wide.withColumn("_cx", F.col("_cx") + F.col("_m")["dx"]).withColumn("_cy", F.col("_cy") + F.col("_m")["dy"]).drop("_m")
         hits = (cell_join(wide, spots) if few_sites else cell_join(wide, placed)).withColumn("_d", dist(site))
-        best = hits.groupBy("_row").agg(F.min(F.struct("_d", "_k")).alias("_best"))
+        best = hits.groupBy("lng", "lat").agg(F.min(F.struct("_d", "_k")).alias("_best"))
         # inside the block every unseen anchor is at least one cell away
         safe = F.lit(size) if metric != "haversine" else F.lit(size * KM_PER_DEGREE) * F.cos(
             F.radians(F.least(F.abs(F.col("lat")) + 2 * size, F.lit(89.0)))
         )
-        found = F.col("_best").isNotNull() & (F.lit(last) | (F.col("_best")["_d"] <= safe))
-        seen = durable(todo.join(best, "_row", "left").withColumn("_found", F.coalesce(found, F.lit(False))))
-        solved = seen.filter("_found")
+        near_enough = F.col("_best").isNotNull() & (F.lit(last) | (F.col("_best")["_d"] <= safe))
+        seen = durable(todo.join(best, ["lng", "lat"], "left").withColumn("_found", F.coalesce(near_enough, F.lit(False))))
+        solved = seen.filter("_found").select("lng", "lat", F.col("_best")["_k"].alias("near_id"), F.col("_best")["_d"].alias("near_dist"))
         done = solved if done is None else done.unionByName(solved)
-        todo = seen.filter("not _found").drop("_best", "_found")
+        todo = seen.filter("not _found").select("lng", "lat")
         if last or todo.isEmpty():
-            break
+            return done
         size *= 4
-    # rows without coordinates stay, without a neighbour
-    rest = todo.withColumn("_best", F.lit(None).cast(done.schema["_best"].dataType)).withColumn("_found", F.lit(False))
-    out = done.unionByName(rest)
-    return out.withColumn("near_id", F.col("_best")["_k"]).withColumn("near_dist", F.col("_best")["_d"]).drop("_best", "_row", "_found")
 
 
 def nearest_within(points: DataFrame, anchors: DataFrame, key: str, km: float, metric: str = "haversine") -> DataFrame:
     """Nearest anchor only when it is at most ``km`` away; planar uses 111 km per degree, cosine at the point.
 
     Anchors are repeated over the cells in their reach, so points farther than ``km`` from all of them cost
-    nothing. Each point keeps its best candidate through one aggregate.
+    nothing, and equal places are searched once. One aggregate keeps the best candidate of each place.
     """
-    rows = durable(points.withColumn("_row", F.monotonically_increasing_id()))
     sites = anchors.groupBy(F.col("lng").alias("c_lng"), F.col("lat").alias("c_lat")).agg(F.min(key).alias("_k"))
-    spots = rows.select("_row", "lng", "lat")
+    spots = points.select("lng", "lat").distinct()
     if metric == "haversine":
         pairs = radius_pairs(sites, spots, km=km * (1 + 1e-12)).withColumn("_d", F.col("dist_m") / 1000.0)
     else:
@@ -216,13 +219,9 @@ def nearest_within(points: DataFrame, anchors: DataFrame, key: str, km: float, m
         reach = F.lit(step) / F.cos(F.radians(F.least(F.abs(F.col("c_lat")) + step, F.lit(89.0))))
         cover = _cover(sites, F.col("c_lng") - reach, F.col("c_lng") + reach, F.col("c_lat") - step, F.col("c_lat") + step, step)
         pairs = cell_join(cover, in_cells(spots, step)).withColumn("_d", geo.planar_km(F.col("c_lng"), F.col("c_lat"), F.col("lng"), F.col("lat")))
-    best = pairs.filter(F.col("_d") <= km).groupBy("_row").agg(F.min(F.struct("_d", "_k")).alias("_best"))
-    return (
-        rows.join(best, "_row", "left")
-        .withColumn("near_id", F.col("_best")["_k"])
-        .withColumn("near_dist", F.col("_best")["_d"])
-        .drop("_best", "_row")
-    )
+    best = pairs.filter(F.col("_d") <= km).groupBy("lng", "lat").agg(F.min(F.struct("_d", "_k")).alias("_best"))
+    out = points.join(best, ["lng", "lat"], "left")
+    return out.select(*points.columns, F.col("_best")["_k"].alias("near_id"), F.col("_best")["_d"].alias("near_dist"))
 
 
 def coverage_gaps(cells: DataFrame, branches: DataFrame, km: float = 1.2, n: int = 5) -> DataFrame:
