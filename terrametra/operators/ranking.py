@@ -199,8 +199,14 @@ def _distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return placed.withColumn("total", counted.agg(F.sum("c")).scalar())
 
 
+def _fixed_values(df: DataFrame, value: str) -> DataFrame:
+    """Fractional values are written before they serve as a join key: a sum computed twice may differ in its last bit."""
+    return durable(df) if dict(df.dtypes)[value] in ("double", "float") else df
+
+
 def percentile_strict(df: DataFrame, keys: list[str], value: str, name: str = "pct") -> DataFrame:
     """``round(100 * rows strictly below / (n - 1))`` capped at 100; groups of one row get NULL."""
+    df = _fixed_values(df, value)
     dist = _distribution(df, keys, value)
     pct = F.when(
         F.col("total") > 1, F.least(half_even(F.lit(100.0) * F.col("weight_before") / (F.col("total") - 1)), F.lit(100.0))
@@ -210,6 +216,7 @@ def percentile_strict(df: DataFrame, keys: list[str], value: str, name: str = "p
 
 def share_at_or_below(df: DataFrame, value: str, name: str = "share") -> DataFrame:
     """Share of rows with a value less than or equal to the row's own (cumulative distribution)."""
+    df = _fixed_values(df, value)
     dist = _distribution(df, [], value)
     share = (F.col("weight_before") + F.col("c")) / F.col("total")
     return df.join(dist.select(value, share.alias(name)), [value], "left")
@@ -221,6 +228,7 @@ def place_in_distribution(probes: DataFrame, probe: str, base: DataFrame, value:
     Probes and base values are merged into one order and the number of base rows before each probe is the
     running weight, so there is no probe-by-base pairing.
     """
+    probes = _fixed_values(probes, probe)
     marks = probes.select(F.col(probe).cast("double").alias("_x")).distinct().select("_x", F.lit(0).alias("_c"))
     mass = base.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_c"))
     line = marks.unionByName(mass).groupBy("_x").agg(F.sum("_c").alias("_c"))

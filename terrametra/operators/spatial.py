@@ -47,6 +47,8 @@ def cell_join(spread: DataFrame, fixed: DataFrame, on: list[str] | None = None)
         .filter(F.col("_n") > limit)
         .select("_cx", "_cy", F.ceil(F.col("_n") / limit).cast("int").alias("_salts"))
     )
+    # written once: both sides must see the same salts even if their input is computed again
+    hot = durable(hot)
     pieces = F.coalesce("_salts", F.lit(1))
     # the row's own partition is part of the hash, so that copies of one row spread too
     slot = F.pmod(F.xxhash64(*fixed.columns, F.spark_partition_id()), pieces).cast("int")
@@ -135,14 +137,16 @@ def _packed_nearest(points: DataFrame, anchors: DataFrame, key: str, dist) -> Da
     return out.withColumn("_best", best).withColumn("near_id", F.col("_best")["k"]).withColumn("near_dist", F.col("_best")["d"]).drop("_all", "_best")
 
 
-def nearest(points: DataFrame, anchors: DataFrame, key: str, metric: str = "planar", step: float | None = None, limit: int = PACKED_LIMIT) -> DataFrame:
+def nearest(points: DataFrame, anchors: DataFrame, key: str, metric: str = "planar", step: float | None = None, limit: int = PACKED_LIMIT, stable: bool = False) -> DataFrame:
     """Nearest anchor of every point: adds ``near_id`` and ``near_dist`` (degrees, or km for ``haversine``).
 
     Ties go to the smallest key. Up to ``limit`` anchors (checked) travel as one packed value and need no
     join. More anchors use a search over rings of grid cells: level by level the cell grows fourfold, and a
     point leaves as soon as its best distance is inside the searched ring, so dense areas finish at the
     first level and only remote points go on. Without ``step`` the first cell is sized for about four anchors
-    on average. Anchors at the same place are reduced to the smallest key.
+    on average. Anchors at the same place are reduced to the smallest key. Results return to the points by
+    their coordinates; ``stable`` promises that these come out bit-equal when computed again (a scan, not a
+    floating sum), otherwise the points are written first.
     """
     anchors = anchors.groupBy("lng", "lat").agg(F.min(key).alias(key))
     if metric == "haversine":
@@ -157,6 +161,7 @@ def nearest(points: DataFrame, anchors: DataFrame, key: str, metric: str = "plan
     if anchors.limit(limit + 1).count() <= limit:
         return _packed_nearest(points, anchors, key, dist)
 
+    points = points if stable else durable(points)
     found = _ring_search(points.select("lng", "lat").filter("lng is not null and lat is not null").distinct(), anchors, key, dist, metric, step)
     return points.join(found, ["lng", "lat"], "left").select(*points.columns, "near_id", "near_dist")
 
@@ -203,12 +208,14 @@ def _ring_search(places: DataFrame, anchors: DataFrame, key: str, dist, metric:
         size *= 4
 
 
-def nearest_within(points: DataFrame, anchors: DataFrame, key: str, km: float, metric: str = "haversine") -> DataFrame:
+def nearest_within(points: DataFrame, anchors: DataFrame, key: str, km: float, metric: str = "haversine", stable: bool = False) -> DataFrame:
     """Nearest anchor only when it is at most ``km`` away; planar uses 111 km per degree, cosine at the point.
 
     Anchors are repeated over the cells in their reach, so points farther than ``km`` from all of them cost
     nothing, and equal places are searched once. One aggregate keeps the best candidate of each place.
+    ``stable`` as in ``nearest``.
     """
+    points = points if stable else durable(points)
     sites = anchors.groupBy(F.col("lng").alias("c_lng"), F.col("lat").alias("c_lat")).agg(F.min(key).alias("_k"))
     spots = points.select("lng", "lat").distinct()
     if metric == "haversine":

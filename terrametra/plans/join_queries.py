@@ -138,7 +138,7 @@ def queen_edges(t: Tables):
     SELECT id, arg_min(street, (d, street)) AS near_id, round(min(d), 8) AS dist FROM d GROUP BY 1""",
 )
 def nearest_neighbor(t: Tables):
-    out = X.nearest(listings(t).select("id", "lng", "lat"), streets(t), "street")
+    out = X.nearest(listings(t).select("id", "lng", "lat"), streets(t), "street", stable=True)
     return out.select("id", "near_id", r("near_dist", 8).alias("dist"))
 
 
@@ -149,7 +149,7 @@ def nearest_neighbor(t: Tables):
 )
 def nearest_by_rings(t: Tables):
     """The same search without the packed path, as large anchor tables run it."""
-    out = X.nearest(listings(t).select("id", "lng", "lat"), streets(t), "street", step=0.004, limit=0)
+    out = X.nearest(listings(t).select("id", "lng", "lat"), streets(t), "street", step=0.004, limit=0, stable=True)
     return out.select("id", "near_id", r("near_dist", 8).alias("dist"))
 
 
@@ -160,7 +160,7 @@ def nearest_by_rings(t: Tables):
     SELECT id, CASE WHEN d <= 0.3 THEN near_id END AS near_id, round(CASE WHEN d <= 0.3 THEN d END, 7) AS km FROM n""",
 )
 def nearest_within(t: Tables):
-    out = X.nearest_within(listings(t).select("id", "lng", "lat"), streets(t), "street", 0.3)
+    out = X.nearest_within(listings(t).select("id", "lng", "lat"), streets(t), "street", 0.3, stable=True)
     return out.select("id", "near_id", r("near_dist", 7).alias("km"))
 
 
@@ -171,7 +171,7 @@ def nearest_within(t: Tables):
     SELECT id, CASE WHEN d <= 0.3 THEN near_id END AS near_id, round(CASE WHEN d <= 0.3 THEN d END, 7) AS km FROM n""",
 )
 def nearest_within_planar(t: Tables):
-    out = X.nearest_within(listings(t).select("id", "lng", "lat"), streets(t), "street", 0.3, metric="planar")
+    out = X.nearest_within(listings(t).select("id", "lng", "lat"), streets(t), "street", 0.3, metric="planar", stable=True)
     return out.select("id", "near_id", r("near_dist", 7).alias("km"))
 
 
@@ -219,7 +219,7 @@ def coverage_gaps(t: Tables):
 )
 def nearest_competitor(t: Tables):
     rivals = establishments(t).filter(F.col("name").contains("GIZMO")).select("lng", "lat").distinct().withColumn("site", F.concat_ws(",", "lng", "lat"))
-    out = X.nearest(streets(t), rivals, "site", metric="haversine")
+    out = X.nearest(streets(t), rivals, "site", metric="haversine", stable=True)
     return out.select("street", F.bround(F.col("near_dist") * 1000.0).alias("competitor_m"))
 
 
