@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Element classes and implied end tags of the HTML standard.
+HEAD = frozenset("base link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset(
@@ -211,14 +212,14 @@ class Renderer:
                 return
 
     def start(self, name: str, attributes: str) -> None:
-        if name in ("html", "body") and self.counts[0][name]:
+        if name in ("html", "body") and any(c[name] for c in self.counts[:2]):
             return
+        if self.open and self.open[-1][0] == "head" and name not in HEAD:
+            self.pop()
         if name in CLOSES_P and self.counts[-1]["p"]:
             self.pop_to(("p",))
         if name in HEADINGS and self.open and self.open[-1][0] in HEADINGS:
             self.pop()
-        if name in ("body", "frameset") and self.counts[0]["head"]:
-            self.pop_to(("head",))
         if name in IMPLIED:
             self.imply(name)
         if name in ("td", "th") and self.tables and self.open[-1][0] != "tr":
@@ -337,6 +338,8 @@ class Renderer:
             flow.line()
 
     def text(self, s: str) -> None:
+        if self.open and self.open[-1][0] == "head" and s.strip(_BLANKS):
+            self.pop()
         if self.unseen:
             return
         s = unescape(s) if "&" in s else s
