@@ -24,35 +24,51 @@ from terrametra.session import durable
 TILE = 2048
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Unsigned 64-bit SimHash over ``words``-word shingles, A-Z lower-cased; zero without words.
+def _mixed(h: np.ndarray, table: int) -> np.ndarray:
+    """Another hash of the same shingles; table 0 is the hash itself."""
+    if table:
+        h = (h ^ np.uint64(table * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        h = h ^ (h >> np.uint64(32))
+    return h
 
-    A bit is 1 if set in over half of the shingles' XXH64 values (seed 42), repeats included. Very long texts are
-    read in blocks, so only one block's shingles are held.
+
+def fingerprint(text: str | None, words: int = 3, tables: int = 1) -> list[int]:
+    """Unsigned 64-bit SimHash over ``words``-word shingles, A-Z lower-cased, one per table; zeros without words.
+
+    A bit is 1 if set in over half of the shingles' XXH64 values (seed 42), repeats included; further tables hash these
+    values again. Very long texts are read in blocks, so only one block's shingles are held.
     """
-    total, ones, tail = 0, np.zeros(64, np.int64), []
+    total, ones, tail = 0, np.zeros((tables, 64), np.int64), []
+
+    def add(hashes: list[int]) -> None:
+        h = np.array(hashes, "<u8")
+        for t in range(tables):
+            bits = np.unpackbits(_mixed(h, t).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[t] += bits.sum(0, dtype=np.int64)
+
     for block in word_blocks((text or "").encode().lower()):
         ws = tail + block
-        hashes = [xxh64_intdigest(b" ".join(s), 42) for s in zip(*(ws[i:] for i in range(words)))]
-        if hashes:
-            bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones += bits.sum(0, dtype=np.int64)
+        if hashes := [xxh64_intdigest(b" ".join(s), 42) for s in zip(*(ws[i:] for i in range(words)))]:
+            add(hashes)
             total += len(hashes)
         tail = ws[max(0, len(ws) - words + 1) :]
-    if not total:
-        return xxh64_intdigest(b" ".join(tail), 42) if tail else 0
-    return int.from_bytes(np.packbits(2 * ones > total, bitorder="little").tobytes(), "little")
+    if not total and tail:
+        add([xxh64_intdigest(b" ".join(tail), 42)])
+        total = 1
+    return [int.from_bytes(np.packbits(2 * row > total, bitorder="little").tobytes(), "little") for row in ones]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """``<id_col>, fp`` (the fingerprint as a signed long) for every row; a null text has fingerprint zero."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, tables: int = 1) -> DataFrame:
+    """``<id_col>, fp, more`` per row: the fingerprint as a signed long, and those of further tables; null texts have zeros."""
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), words, tables) for t in batch.column(1)], np.uint64).view(np.int64).reshape(-1, tables)
+            cols = [batch.column(0), pa.array(fps[:, 0]), pa.array(fps[:, 1:].tolist(), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "fp", "more"])
 
-    schema = row_schema(docs.select(id_col).schema[0].dataType, "fp bigint")
+    schema = row_schema(docs.select(id_col).schema[0].dataType, "fp bigint, more array<bigint>")
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
@@ -161,6 +177,17 @@ def links(distinct: DataFrame, radius: int, segments: int, match: int, tile: int
     return placed.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a bigint, b bigint")
 
 
+def table_links(fps: DataFrame, table: int, radius: int, segments: int, match: int) -> DataFrame:
+    """Links of a further table as ``a, b`` of the first: a fingerprint stands for the smallest ``fp`` that has it."""
+    pairs = fps.select("fp", F.col("more")[table - 1].alias("o")).distinct()
+    first = durable(pairs.groupBy("o").agg(F.min("fp").alias("own")))
+    same = pairs.join(dealt_anew(first, "o"), "o").filter("fp <> own").select(F.col("fp").alias("a"), F.col("own").alias("b"))
+    near = links(first.select(F.col("o").alias("fp")), radius, segments, match)
+    one = first.select(F.col("o").alias("a"), F.col("own").alias("x"))
+    two = first.select(F.col("o").alias("b"), F.col("own").alias("y"))
+    return same.union(near.join(one, "a").join(two, "b").select("x", "y"))
+
+
 def simhash_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -169,17 +196,22 @@ def simhash_groups(
     radius: int = 2,
     segments: int = 4,
     match: int = 2,
+    tables: int = 1,
 ) -> DataFrame:
     """One row per input row: ``<id_col>, fp`` (signed long) and ``component_id``, the smallest id reachable.
 
-    Fingerprints that differ in at most ``radius`` bits are linked; a component is what links connect. Equal
+    Fingerprints that differ in at most ``radius`` bits are linked, in any of ``tables`` tables with hashes of their own (more
+    tables miss fewer near copies); a component is what links connect. Equal
     fingerprints are one node, so copies cost one row each and are never paired. Null and empty texts share
     fingerprint zero and are linked like any other. A null id stays a row and counts for no minimum; a component
     without any id has a null ``component_id``. Repeated rows stay repeated. Other columns are not read.
     """
-    fps = durable(fingerprints(docs, id_col, text_col, words))
+    fps = durable(fingerprints(docs, id_col, text_col, words, tables))
     nodes = fps.groupBy("fp").agg(F.min(id_col).alias("first"))
-    roots = components(links(nodes.select("fp"), radius, segments, match))
+    edges = links(nodes.select("fp"), radius, segments, match)
+    for table in range(1, tables):
+        edges = edges.union(table_links(fps, table, radius, segments, match))
+    roots = components(edges)
     near = durable(roots.join(nodes, roots["node"] == nodes["fp"]).select("fp", "root", "first"))
     least = near.groupBy("root").agg(F.min("first").alias("linked"))
     moved = near.join(dealt_anew(least, "root"), "root").select("fp", "linked")
