@@ -23,7 +23,7 @@ from xxhash import xxh64_intdigest
 
 from terrametra.llm.components import dealt_anew
 from terrametra.llm.words import row_schema, word_blocks
-from terrametra.session import durable
+from terrametra.session import work_path
 
 WINDOW = 35
 ANCHOR = 8
@@ -121,6 +121,13 @@ def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     return docs.select("k", "n", "text").mapInArrow(run, "v bigint, sh bigint, k bigint, n int, spot bigint")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a compressed table in the shared folder: read several times, and half as large as a checkpoint."""
+    folder = work_path(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def _span_rows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """``texts`` with the list of spans wanted from each, as ``at: array<struct<v, sh, spot>>``."""
     lists = wanted.groupBy("k", "n").agg(F.collect_list(F.struct("v", "sh", "spot")).alias("at"))
@@ -234,13 +241,14 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """``k, n, at``: for each text that holds repeats, its spans ``struct<lo, mask>`` with the repeated windows' bits."""
     found = anchors(texts, window, anchor)
     shared = found.groupBy("v").agg(F.count("*").alias("c"), F.min("sh").alias("a"), F.max("sh").alias("b")).filter("c > 1")
-    members = durable(found.join(dealt_anew(shared.select("v", (F.col("a") == F.col("b")).alias("alike")), "v"), "v"))
+    members = written(found.join(dealt_anew(shared.select("v", (F.col("a") == F.col("b")).alias("alike")), "v"), "v"), "spans")
     full = F.expr("shiftleft(1L, int(spot & 63L)) - 1L")
-    kinds = durable(
+    kinds = written(
         members.filter(~F.col("alike"))
         .groupBy("v", "sh")
         .agg(F.count("*").alias("c"), F.min(F.struct("k", "n", "spot")).alias("r"))
-        .select("v", "sh", "c", "r.*")
+        .select("v", "sh", "c", "r.*"),
+        "kinds",
     )
     hot = kinds.groupBy("v").agg(F.count("*").alias("spans")).filter(F.col("spans") > group).select("v")
     large = kinds.join(dealt_anew(hot, "v"), "v", "left_semi")
