@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from terrametra.llm import bpe, language, mixing, simhash, substring
+from terrametra.llm.components import dealt_anew
 from terrametra.llm.words import word_blocks
 from terrametra.session import durable, work_path
 
@@ -59,20 +60,33 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return _as_given(kept.select("row.*"), docs)
 
 
+def _same(a: str, b: str) -> Column:
+    """Null-safe equality that is no join key, so rows stay dealt by text alone."""
+    return F.coalesce(F.col(a) == F.col(b), F.col(a).isNull() & F.col(b).isNull())
+
+
+def _chosen(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """The rows of ``rows`` (a, b, rest, id, text) that ``held`` (a, b, hid) names; equal rows once."""
+    return rows.join(dealt_anew(held, "a"), ["a", "b"]).filter(_same("id", "hid"))
+
+
 def _shingles(rows: DataFrame) -> DataFrame:
-    """``a, b, own, s``: distinct hashes of the text's five-word shingles; the whole sequence if it is shorter."""
+    """``a, b, s``: distinct hashes of the text's five-word shingles; the whole sequence if it is shorter.
+
+    All columns are handed over, so that this and the last step read one and the same exchange of the texts.
+    """
 
     def run(batches):
         for batch in batches:
             out = []
-            for text in batch.column(3):
-                ws = [w for part in word_blocks(text.as_py().encode().lower()) for w in part]
+            for text in batch.column(2):
+                ws = [w for part in word_blocks((text.as_py() or "").encode().lower()) for w in part]
                 parts = zip(*(ws[i:] for i in range(SHINGLE))) if len(ws) >= SHINGLE else [ws]
                 out.append([x - (1 << 63) for x in {xxh64_intdigest(b" ".join(p)) for p in parts}])
-            cols = [*batch.columns[:3], pa.array(out, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "own", "s"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.list_(pa.int64()))], names=["a", "b", "s"])
 
-    return rows.mapInArrow(run, "a bigint, b int, own string, s array<bigint>")
+    given = rows.select("a", "b", F.col("text").cast("string"), "rest", "id")
+    return given.mapInArrow(run, "a bigint, b int, s array<bigint>").dropDuplicates(["a", "b"])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,34 +96,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     shingles have a Jaccard similarity of at least 0.8 with those of the group's first, else it stays. Of equal texts
     the row with the smallest id stays, and of equal rows one.
     """
-    key = {"a": F.xxhash64(_text()), "b": F.hash(_text())}
-    rows = docs.select(*[v.alias(k) for k, v in key.items()], _rest(docs), F.col("doc_id").alias("id"), F.col("text"))
+    rows = docs.select(F.xxhash64(_text()).alias("a"), F.hash(_text()).alias("b"), _rest(docs), F.col("doc_id").alias("id"), F.col("text"))
     units = rows.select(F.struct("id", "a", "b").alias("u"), _text().alias("text"))
     groups = durable(simhash.simhash_groups(units, "u", "text", **NEAR).select("u", "component_id").distinct())
     # the first row of each text, and the first text of each group
     texts = groups.groupBy("u.a", "u.b").agg(F.min("u").alias("own"), F.min("component_id").alias("first"))
-    texts = durable(texts.select("a", "b", F.col("own.id").alias("id"), F.col("first").alias("first")))
-    same = (F.col("a") == F.col("first.a")) & (F.col("b") == F.col("first.b"))
-    others = texts.filter(~same).select("a", "b", F.col("first.a").alias("fa"), F.col("first.b").alias("fb"))
-    firsts = others.select(F.col("fa").alias("a"), F.col("fb").alias("b")).distinct()
-    wanted = others.select("a", "b").distinct().withColumn("own", F.lit("m")).union(firsts.withColumn("own", F.lit("f")))
-    one = texts.select("a", "b", F.struct("id").alias("i"))
-    held = wanted.join(one, ["a", "b"]).select("a", "b", "i", "own")
-    body = rows.select("a", "b", F.struct("id").alias("i"), _text().alias("text"))
-    near = (F.col("x.a") == F.col("y.a")) & (F.col("x.b") == F.col("y.b")) & F.col("x.i").eqNullSafe(F.col("y.i"))
-    sets = _shingles(body.alias("x").join(held.alias("y"), near).select("x.a", "x.b", "y.own", "x.text")).dropDuplicates(["a", "b", "own"])
-    sets = durable(sets)
-    mine = others.join(sets.filter("own = 'm'").select("a", "b", "s"), ["a", "b"])
-    theirs = sets.filter("own = 'f'").select(F.col("a").alias("fa"), F.col("b").alias("fb"), F.col("s").alias("t"))
+    texts = durable(texts.select("a", "b", F.col("own.id").alias("hid"), F.col("first.a").alias("fa"), F.col("first.b").alias("fb")))
+    others = texts.filter("a <> fa OR b <> fb")
+    firsts = others.select(F.col("fa").alias("a"), F.col("fb").alias("b")).distinct().join(texts, ["a", "b"]).select("a", "b", "hid")
+    mine = _shingles(_chosen(rows, others.select("a", "b", "hid"))).join(dealt_anew(others.drop("hid"), "a"), ["a", "b"])
+    theirs = _shingles(_chosen(rows, firsts)).select(F.col("a").alias("fa"), F.col("b").alias("fb"), F.col("s").alias("t"))
     both = F.size(F.array_intersect("s", "t"))
     alike = both / (F.size("s") + F.size("t") - both)
-    gone = mine.join(theirs, ["fa", "fb"]).filter(alike >= SIMILAR).select("a", "b")
-    kept = texts.join(gone, ["a", "b"], "left_anti").select(
-        F.col("a").alias("ka"), F.col("b").alias("kb"), F.struct("id").alias("ki")
-    )
-    stay = (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb")) & F.struct("id").eqNullSafe(F.col("ki"))
-    left = rows.join(kept, stay, "left_semi")
-    return _as_given(left.dropDuplicates(["id", "a", "b"]).select("rest", "text"), docs)
+    gone = mine.join(dealt_anew(theirs, "fa"), ["fa", "fb"]).filter(alike >= SIMILAR).select("a", "b")
+    kept = texts.select("a", "b", "hid").join(gone, ["a", "b"], "left_anti")
+    return _as_given(_chosen(rows, kept).dropDuplicates(["a", "b"]).select("rest", "text"), docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
