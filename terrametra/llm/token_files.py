@@ -31,39 +31,71 @@ SAMPLE_DOCS = 1000
 SAMPLE_BYTES = 1 << 15
 DICTIONARY_BYTES = 1 << 16
 LEVEL = 3
-MEMO = 1 << 18
+MEMO = 1 << 19
 PART = 1 << 20
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 _CUT = re.compile(r"\S (?=\S)")
 _FILES: dict = {}
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+class Memo(dict):
+    """Ids of pieces; the first ``MEMO`` pieces are remembered, and frequent ones come early."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self.encode(piece)
+        if len(self) < MEMO:
+            self[piece] = ids
+        return ids
+
+
 class Words:
-    """Encodes with the tokenizers library, remembering the ids of recent words.
+    """Encodes with the model of a tokenizers file, remembering the ids of words.
 
-    No match of a byte-level pattern holds a blank behind another character, and a blank before a visible character
+    No match of the byte-level pattern holds a blank behind another character, and a blank before a visible character
     always starts one. So a text splits at its blanks into pieces that are encoded alike alone and in place, unless a
-    blank has white space on both sides; such a text is encoded as a whole.
+    blank has white space on both sides; such a text is encoded as a whole. A piece of letters is one match; another
+    piece is cut by the pattern, and the file's model merges each match.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.first: dict[str, list[int]] = {}
-        self.later: dict[str, list[int]] = {}
-
-    def _ids(self, pieces: list[str], memo: dict, lead: str) -> list[list[int]]:
-        new = list({p for p in pieces if p not in memo})
-        if new:
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = list(set(pieces))
-            for p, e in zip(new, self.tokenizer.encode_batch_fast([lead + p for p in new], add_special_tokens=False)):
-                memo[p] = e.ids
-        return list(map(memo.__getitem__, pieces))
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
+        self.blank = chr(self.letters[32])
+        self.find = regex.compile(PATTERN).findall
+        self.matches = Memo(self._match)
+        self.first = Memo(self._piece)
+        self.later = Memo(self._later)
+
+    def _match(self, match: str) -> list[int]:
+        return [t.id for t in self.merge(match.encode().decode("latin-1").translate(self.letters))]
+
+    def _later(self, piece: str) -> list[int]:
+        """A piece behind a blank: a word, a word and a mark (two matches), or anything else."""
+        if piece.isalpha():
+            return [t.id for t in self.merge(self.blank + piece)] if piece.isascii() else self._match(" " + piece)
+        if piece[:-1].isalpha() and piece[-1] in ".,;:!?":
+            return self.later[piece[:-1]] + self.matches[piece[-1]]
+        return self._piece(" " + piece)
+
+    def _piece(self, piece: str) -> list[int]:
+        return list(chain.from_iterable(map(self.matches.__getitem__, self.find(piece))))
 
     def encode(self, text: str) -> np.ndarray:
         out, at = [], 0
@@ -76,7 +108,7 @@ class Words:
                 out.append(np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4"))
             else:
                 head, *rest = part.split(" ")
-                found = self._ids([head], self.first, "") + self._ids(rest, self.later, " ")
+                found = chain([self.first[head]], map(self.later.__getitem__, rest))
                 out.append(np.fromiter(chain.from_iterable(found), "<u4"))
             at = end
         return np.concatenate(out) if out else np.zeros(0, "<u4")
