@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrametra.llm.words import row_schema
+from terrametra.llm.words import row_schema, slices
 
 CHUNK = 1 << 16
 OVERLAP = 256
 # Characters behind a chunk's end that matches may look at; a match that reaches the end of them is not final.
 AHEAD = 256
 # Pieces whose ids a worker remembers.
-MEMO = 1 << 18
+MEMO = 1 << 16
 _FILES: dict = {}
 
 
@@ -128,14 +128,14 @@ def encode(
 
     def whole(batches):
         code = codec(ranks, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [code.encode_pieces(pieces_of(code.find, t.as_py(), chunk, overlap)).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
 
     short = rows.filter("h IS NULL").select("id", "text").mapInArrow(whole, schema)
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for h, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
                 out = []
@@ -148,7 +148,7 @@ def encode(
 
     def apart(batches):
         code = codec(ranks, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for h, start, begin, end, final, part in zip(*(c.to_pylist() for c in batch.columns)):
                 got, first, last, sure = chunk_pieces(code.find, part, start, begin, end, final)
@@ -161,7 +161,7 @@ def encode(
 
     def joined(batches):
         code = codec(ranks, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for parts, text in zip(batch.column(1), batch.column(2)):
                 parts = parts.as_py()
@@ -193,7 +193,7 @@ def decode(encoded: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches):
         code = codec(ranks, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for ids in batch.column(1):
                 ids = ids.as_py()

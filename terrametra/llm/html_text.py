@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrametra.llm.words import slices
+
 # Element classes and implied end tags of the HTML standard.
 HEAD = frozenset("base link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -370,7 +372,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     kind = pages.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             text = [visible_text(p.as_py()) for p in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], names=["id", "text"])
 

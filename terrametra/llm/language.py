@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrametra.llm.words import row_schema
+from terrametra.llm.words import row_schema, slices
 
 UNKNOWN = "und"
 BINS = 1 << 14
@@ -128,7 +128,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         import regex
 
         letter = regex.compile(r"\p{L}").search
-        for batch in batches:
+        for batch in slices(batches):
             out = [decide(model, t.as_py(), letter) for t in batch.column(1)]
             langs, scores = zip(*out) if out else ((), ())
             doubt = [lang != UNKNOWN and s < AMBIGUOUS for lang, s in out]

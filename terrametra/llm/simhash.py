@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from terrametra.llm.components import components, dealt_anew
-from terrametra.llm.words import row_schema, word_blocks
+from terrametra.llm.words import row_schema, slices, word_blocks
 from terrametra.session import durable
 
 # Rows of a bucket that one task compares; a larger bucket is cut into tiles, and pairs of tiles are compared.
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``<id_col>, fp, more`` per row: the fingerprint as a signed long, and those of further tables; null texts have zeros."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(t.as_py(), words, tables) for t in batch.column(1)], np.uint64).view(np.int64).reshape(-1, tables)
             cols = [batch.column(0), pa.array(fps[:, 0]), pa.array(fps[:, 1:].tolist(), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "fp", "more"])

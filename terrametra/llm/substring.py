@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from terrametra.llm.components import dealt_anew
-from terrametra.llm.words import row_schema, word_blocks
+from terrametra.llm.words import row_schema, slices, word_blocks
 from terrametra.session import work_path
 
 WINDOW = 35
@@ -136,7 +136,7 @@ def _span_rows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _wanted(batches):
     """Spans with their words: v, sh, spot, words."""
-    for batch in batches:
+    for batch in slices(batches):
         for text, at in zip(batch.column(0), batch.column(1)):
             words = [w for ws in word_blocks((text.as_py() or "").encode()) for w in ws]
             for s in at.as_py():
@@ -312,7 +312,7 @@ def without_repeats(
     marked = rows.join(dealt_anew(repeated_spans(rows, window, anchor, group), "k"), ["k", "n"], "left")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text, at in zip(batch.column(1), batch.column(2)):
                 words = [w for ws in word_blocks(text.as_py().encode()) for w in ws]

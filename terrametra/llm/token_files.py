@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terrametra.llm.words import slices
 from terrametra.session import durable
 
 BLOCK_DOCS = 256
@@ -31,7 +32,7 @@ SAMPLE_DOCS = 1000
 SAMPLE_BYTES = 1 << 15
 DICTIONARY_BYTES = 1 << 16
 LEVEL = 3
-MEMO = 1 << 19
+MEMO = 3 << 17
 PART = 1 << 20
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 _CUT = re.compile(r"\S (?=\S)")
@@ -163,7 +164,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
     def frames(batches):
         code = words(tokenizer)
         zip_ = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(shared), write_content_size=True)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column(1):
                 ids = np.append(code.encode(text.as_py()), np.array([END], "<u4"))
@@ -222,7 +223,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         import zstandard
 
         readers = {sha: zstandard.ZstdDecompressor(dict_data=_dictionary(data)) for sha, data in known.items()}
-        for batch in batches:
+        for batch in slices(batches, 4):
             for sha, ids, counts, offsets, data, start in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = [readers[sha].decompress(data[a:b]) for a, b in zip(offsets, offsets[1:])]
                 if [len(r) // 4 for r in raw] != counts:

@@ -24,6 +24,13 @@ def word_blocks(data: bytes, block: int = BLOCK) -> Iterator[list[bytes]]:
         at = end
 
 
+def slices(batches, rows: int = 512) -> Iterator:
+    """Arrow batches in slices of at most ``rows`` rows, so that what Python makes of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def row_schema(key: DataType, rest: str) -> StructType:
     """The schema of ``id`` (of any type) and the columns of ``rest``."""
     return StructType([StructField("id", key), *StructType.fromDDL(rest).fields])

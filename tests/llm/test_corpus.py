@@ -77,7 +77,7 @@ def test_links_in_tiles_and_wide_radius(spark):
         for _ in range(rng.randint(0, 4)):
             f ^= 1 << rng.randrange(64)
         fps.add(f - (1 << 64) if f >> 63 else f)
-    for radius, segments, match in ((2, 4, 2), (4, 6, 2), (5, 8, 3)):
+    for radius, segments, match in ((2, 4, 2), (3, 5, 2), (4, 6, 2)):
         found = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), radius, segments, match, tile=16)
         roots = {r.node: r.root for r in components.components(found).collect()}
         seen, todo = {}, sorted(fps)
