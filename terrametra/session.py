@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,15 +27,12 @@ def build_session(app: str = "terrametra", cores: str = "*", shuffle_partitions:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only for unset local sessions."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, one below the session's warehouse."""
     folder = spark.conf.get(CHECKPOINT_KEY, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="terrametra-")
-    spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/work"
+        spark.conf.set(CHECKPOINT_KEY, folder)
+    return folder.rstrip("/")
 
 
 def work_path(spark: SparkSession, name: str) -> str:

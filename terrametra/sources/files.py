@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import io
 import zipfile
 from collections.abc import Iterator
@@ -218,68 +220,74 @@ def list_files(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").load(glob).select("path", "length")
 
 
-# How contract columns are recognised in a normalised header.
-def contract_columns(headers: list[str], sample: DataFrame | None = None) -> dict[str, str | None]:
-    """Map contract fields to headers whose names change between years; the amount must be mostly numeric.
+# How contract columns are recognised in a normalised header. Per field its rules, best first: words
+# that must occur, words that must not, and whether the first word is the whole header.
+CONTRACT_FIELDS = {
+    "kind": [(["tipo", "contrat"], [], False)],
+    "contract_type": [(["contract_type"], [], True), (["tipo de contrato"], [], True)],
+    "entity": [(["entidad federativa"], [], False), (["entidad"], ["compradora"], False)],
+    "description": [(["descripcion"], [], False)],
+    "title": [(["titulo", "contrat"], [], False), (["titulo"], [], False)],
+    "agency": [(["siglas"], [], False), (["institucion"], [], False), (["dependencia"], [], False), (["proveedor"], [], False)],
+    "start": [(["inicio"], [], False), (["firma"], [], False)],
+    "currency": [(["moneda"], [], True)],
+}
+AMOUNT_WORDS = ("importe", "monto")
+UNREADABLE = "\ufffd"
 
-    The sample is the first 80 rows, read once for the header test only.
-    """
+
+def normal_header(header: str) -> str:
+    """Lower case without accents, surrounding blanks and a byte order mark."""
     import unicodedata
 
-    def norm(s):
-        d = unicodedata.normalize("NFD", s.lstrip("﻿"))
-        return "".join(ch for ch in d if unicodedata.category(ch) != "Mn").strip().lower()
+    plain = unicodedata.normalize("NFD", header.lstrip("\ufeff"))
+    return re.sub(r"[\u0300-\u036f]", "", plain).strip().lower()
+
 
-    named = [(norm(h), h) for h in headers]
+def bind_columns(headers: list[str], fields: dict[str, list]) -> dict[str, str | None]:
+    """For each field the header that meets its best rule, the first of several; none if no rule is met."""
 
-    def find(*tests):
-        for t in tests:
-            hit = next((h for n, h in named if t(n)), None)
-            if hit:
-                return hit
+    def met(rule, name: str) -> bool:
+        words, without, whole = rule
+        return (name == words[0] if whole else all(w in name for w in words)) and not any(w in name for w in without)
+
+    names = [normal_header(h) for h in headers]
+    hits = {f: [(r, i) for r, rule in enumerate(rules) for i, n in enumerate(names) if met(rule, n)] for f, rules in fields.items()}
+    return {f: headers[min(found)[1]] if found else None for f, found in hits.items()}
+
+
+def amount_column(df: DataFrame, words: tuple = AMOUNT_WORDS) -> str | None:
+    """The first column named like an amount in which at least half of all filled values are numbers (one aggregate)."""
+    named = [h for h in df.columns if any(w in normal_header(h) for w in words)]
+    if not named:
         return None
+    value = lambda h: F.trim(F.coalesce(F.col(f"`{h}`"), F.lit("")))
+    counts = [F.struct(F.count_if(value(h) != ""), F.count(text.amount(value(h)))).alias(str(i)) for i, h in enumerate(named)]
+    shares = df.agg(*counts).first()
+    return next((h for h, (filled, numbers) in zip(named, shares) if filled and 2 * numbers >= filled), None)
+
 
-    found = {
-        "kind": find(lambda n: "tipo" in n and "contrat" in n),
-        "contract_type": find(lambda n: n in ("contract_type", "tipo de contrato")),
-        "entity": find(lambda n: "entidad federativa" in n, lambda n: "entidad" in n and "compradora" not in n),
-        "description": find(lambda n: "descripcion" in n),
-        "title": find(lambda n: "titulo" in n and "contrat" in n, lambda n: "titulo" in n),
-        "agency": find(lambda n: "siglas" in n, lambda n: "institucion" in n, lambda n: "dependencia" in n, lambda n: "proveedor" in n),
-        "start": find(lambda n: "inicio" in n, lambda n: "firma" in n),
-        "currency": find(lambda n: n == "moneda"),
-        "amount": None,
-    }
-    money = [h for n, h in named if "importe" in n or "monto" in n]
-    if sample is not None and money:
-        head = sample.limit(80)
-        tests = []
-        for i, h in enumerate(money):
-            filled = F.trim(F.coalesce(F.col(f"`{h}`"), F.lit(""))) != ""
-            tests.append(F.count(F.when(filled, F.lit(1))).alias(f"f{i}"))
-            tests.append(F.count(F.when(filled, text.amount(F.col(f"`{h}`")))).alias(f"n{i}"))
-        row = head.agg(*tests).first()
-        found["amount"] = next((h for i, h in enumerate(money) if row[f"f{i}"] > 0 and row[f"n{i}"] >= row[f"f{i}"] / 2), None)
-    return found
+def readable(df: DataFrame) -> bool:
+    """Whether the encoding fits: no replacement character in any header or row (one aggregate over all rows)."""
+    if any(UNREADABLE in c for c in df.columns):
+        return False
+    line = F.concat_ws("", *[F.col(f"`{c}`") for c in df.columns])
+    return not df.agg(F.max(line.contains(UNREADABLE))).first()[0]
 
 
 def scan_contracts(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
-    """Contract export with unknown headers: try the encodings, bind the fields, keep the rest of the file lazy."""
-    last = None
-    for enc in encodings:
-        df = spark.read.option("header", True).option("encoding", enc).option("escape", '"').csv(path)
-        if any("�" in c for c in df.columns):
-            last = df
-            continue
-        cols = contract_columns(df.columns, df)
-        if cols["kind"] is None and cols["contract_type"] is None:
-            raise KeyError("no contract kind column")
-        if cols["entity"] is None and cols["description"] is None:
-            raise KeyError("neither an entity nor a description column")
-        return df.select(
-            *[F.col(f"`{h}`").alias(k) if h else F.lit(None).cast("string").alias(k) for k, h in cols.items()]
-        )
-    raise ValueError(f"no encoding fits; columns {last.columns if last is not None else []}")
+    """Contract export with unknown headers: the first encoding that fits header and rows, fields bound by name."""
+    for encoding in encodings:
+        df = spark.read.option("header", True).option("encoding", encoding).option("escape", '"').csv(path)
+        if readable(df):
+            break
+    else:
+        raise ValueError(f"none of the encodings {encodings} fits")
+    bound = bind_columns(df.columns, CONTRACT_FIELDS) | {"amount": amount_column(df)}
+    for either in (("kind", "contract_type"), ("entity", "description")):
+        if not any(bound[f] for f in either):
+            raise KeyError(f"no column for {' or '.join(either)}")
+    return df.select(*[(F.col(f"`{h}`") if h else F.lit(None).cast("string")).alias(f) for f, h in bound.items()])
 
 
 def upsert_history(history: DataFrame, run: DataFrame, keys: list[str]) -> DataFrame:

@@ -20,34 +20,38 @@ def demand_counts(events: DataFrame, every: str = "1 day", lateness: str = LATEN
     """Counts by zone and event per day; later rows than the watermark are dropped."""
     e = event_time(events).withWatermark("ts", lateness).filter((F.col("event") != ""))
     return (
-        e.groupBy(F.window("ts", every).alias("w"), F.substring("zone", 1, 80).alias("zone"), F.substring("event", 1, 24).alias("event"))
+        e.groupBy(F.window("ts", every).alias("w"), "zone", "event")
         .agg(F.count("*").alias("n"))
         .select(F.col("w.start").alias("day"), "zone", "event", "n")
     )
 
 
 def dimension_counts(events: DataFrame, dimension: str, every: str = "1 day", lateness: str = LATENESS) -> DataFrame:
-    """Counts by one further dimension: ``budget``, ``type`` or ``styles`` (exploded, ten at most per event)."""
+    """Counts by one further dimension: ``budget``, ``type`` or ``styles`` (exploded)."""
     e = event_time(events).withWatermark("ts", lateness)
-    value = F.explode(F.slice(dimension, 1, 10)) if dict(events.dtypes)[dimension].startswith("array") else F.col(dimension)
+    value = F.explode(dimension) if dict(events.dtypes)[dimension].startswith("array") else F.col(dimension)
     e = e.select("ts", value.alias("value")).filter(F.coalesce(F.col("value"), F.lit("")) != "")
     return e.groupBy(F.window("ts", every).alias("w"), "value").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "value", "n")
 
 
 def daily_readings(readings: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """One score per zone and day; the latest reading of the day wins."""
-    s = event_time(readings).withWatermark("ts", lateness).filter((F.coalesce(F.col("zone"), F.lit("")) != "") & F.col("score").isNotNull())
-    zone = F.lower(F.substring("zone", 1, 80))
+    """One score per zone and day; the latest reading of the day wins, the higher of two at one time."""
+    s = event_time(readings).withWatermark("ts", lateness).filter((F.coalesce(F.col("zone"), F.lit("")) != "") & F.col("score").isNotNull() & (F.abs("score") < float("inf")))
+    zone = F.lower("zone")
     return (
         s.groupBy(F.window("ts", "1 day").alias("w"), zone.alias("zone"))
-        .agg(F.max_by(half_up(F.col("score")), F.col("ts")).alias("score"))
+        .agg(F.max_by(half_up(F.col("score")), F.struct("ts", "score")).alias("score"))
         .select("zone", F.col("w.start").alias("day"), "score")
     )
 
 
-def last_days(daily: DataFrame, n: int = 60) -> DataFrame:
-    """The newest ``n`` readings of each zone (the published length of the series)."""
-    return top_n_per_group(daily, ["zone"], [F.col("day").desc()], n).drop("rank")
+# Fixed value: the published length of a series of readings.
+SERIES_DAYS = 60
+
+
+def last_days(daily: DataFrame, n: int | None = None) -> DataFrame:
+    """The newest ``n`` readings of each zone, such as ``SERIES_DAYS``; all of them by default."""
+    return daily if n is None else top_n_per_group(daily, ["zone"], [F.col("day").desc()], n).drop("rank")
 
 
 def write_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -70,8 +74,8 @@ def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 
 
 def read_events(spark: SparkSession, folder: str, schema, file: str = "events.parquet", per_trigger: int | None = None) -> DataFrame:
-    """Stream the files of one table below a folder."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", file)
+    """Stream one table below a folder, whether it is a single file or a folder of part files."""
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
-    return reader.parquet(folder)
+    return reader.parquet(f"{folder.rstrip('/')}/{file}")

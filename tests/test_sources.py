@@ -150,3 +150,12 @@ def test_shards_and_json(spark, tmp_path):
     assert docs == ["León, Gto", "Mérida", "Mérida"]
     hist = spark.createDataFrame([("z", "p", "d", 1, 5)], "zone string, portal string, day string, run int, n int")
     assert S.upsert_history(hist, hist.withColumn("run", F.lit(2)).withColumn("n", F.lit(9)), ["zone", "portal", "day"]).first().n == 9
+
+
+def test_encoding_and_amount_by_all_rows(spark, tmp_path):
+    rows = ["Tipo de contratacion,Entidad,Importe clave,Importe"]
+    rows += ["Obra,Ciudad,N/A,"] * 200 + ["Obra,Querétaro,N/A,\"$1,000.50\""] * 3
+    (tmp_path / "c.csv").write_bytes("\n".join(rows).encode("latin-1"))
+    got = S.scan_contracts(spark, str(tmp_path / "c.csv"))
+    assert got.filter("entity = 'Querétaro'").count() == 3
+    assert {r.amount for r in got.filter("amount IS NOT NULL").collect()} == {"$1,000.50"}

@@ -114,3 +114,14 @@ def test_tumbling_and_styles(spark, tmp_path):
     assert got == [(0, 3, True), (1, 1, False)]
     T.write_updates(T.dimension_counts(stream(spark, src, schema), "styles"), str(tmp_path / "o2"), str(tmp_path / "c2"))
     assert {(r.value, r.n) for r in T.read_latest(spark, str(tmp_path / "o2"), ["day", "value"]).collect()} == {("x", 4), ("y", 4)}
+
+
+def test_events_in_a_folder_of_parts(spark, tmp_path):
+    from terrametra.streaming import counters
+
+    batch = spark.range(1000).selectExpr("id", "timestamp'2024-01-01' AS ts")
+    batch.repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    stream = counters.read_events(spark, str(tmp_path), batch.schema, per_trigger=1)
+    q = stream.writeStream.format("memory").queryName("parts").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("parts").count() == 1000
