@@ -119,7 +119,7 @@ def mix(
     counts = slots.groupBy("src").agg(F.max("nth").alias("n"))
     sized = plan.join(counts, "src").select("src", F.floor("target").alias("words"), "source_size", (F.col("n") + 1).alias("n"))
     sized = sized.withColumn("each", F.greatest(F.ceil(F.col("words") / F.col("n")), F.lit(1)).cast("long"))
-    laid = rows.filter("size > 0").select("src", "position", "at", "size").join(sized.drop("n"), "src")
+    laid = rows.filter("size > 0").select("src", "position", "at", "size").join(dealt_anew(sized.drop("n"), "src"), "src")
     laid = laid.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))
     laid = laid.withColumn("from", F.col("epoch") * F.col("source_size") + F.col("at"))
     laid = laid.withColumn("to", F.least(F.col("from") + F.col("size"), "words")).filter("to > from")
