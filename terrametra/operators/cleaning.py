@@ -96,14 +96,21 @@ def public_fields(df: DataFrame, fields: list[str] = PUBLIC_LISTING_FIELDS) -> D
     return df.select(*[F.col(f) if f in df.columns else F.lit(None).cast("string").alias(f) for f in fields])
 
 
-def clean_leads(df: DataFrame, fields: list[str] = LEAD_FIELDS, width: int = 200, max_bytes: int = 8 * 1024) -> DataFrame:
-    """Whitelisted, clipped lead fields plus ``rejected`` (NULL when the lead is kept).
+# Published limits of a lead and of a branch name.
+LEAD_WIDTH = 200
+LEAD_BYTES = 8 * 1024
+BRANCH_WIDTH = 40
+
+
+def clean_leads(df: DataFrame, fields: list[str] = LEAD_FIELDS, width: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Whitelisted lead fields plus ``rejected`` (NULL when the lead is kept).
 
     Reasons in order: honeypot, phone (ten digits), name (three characters), size.
+    ``width`` and ``max_bytes``, such as ``LEAD_WIDTH`` and ``LEAD_BYTES``, clip fields and reject large leads.
     """
     kept = [f for f in fields if f in df.columns]
     clipped = df.select(
-        *[F.substring(F.col(f).cast("string"), 1, width).alias(f) for f in kept],
+        *[(F.col(f).cast("string") if width is None else F.substring(F.col(f).cast("string"), 1, width)).alias(f) for f in kept],
         *([F.col("website")] if "website" in df.columns else [F.lit(None).cast("string").alias("website")]),
     )
     digits = F.regexp_replace(F.coalesce(F.col("telefono"), F.lit("")), "[^0-9]", "")
@@ -112,8 +119,9 @@ def clean_leads(df: DataFrame, fields: list[str] = LEAD_FIELDS, width: int = 200
         F.when(F.coalesce(F.col("website"), F.lit("")) != "", "honeypot")
         .when(~digits.rlike("^[0-9]{10}$"), "phone")
         .when(F.length(F.trim(F.coalesce(F.col("nombre"), F.lit("")))) < 3, "name")
-        .when(size > max_bytes, "size")
     )
+    if max_bytes is not None:
+        reason = reason.when(size > max_bytes, "size")
     return clipped.withColumn("rejected", reason).drop("website")
 
 
@@ -146,10 +154,11 @@ def with_unit_price(df: DataFrame, rate: float = USD_MXN) -> DataFrame:
     )
 
 
-def parse_branches(lines: DataFrame, line: str = "value", order: str = "line_no") -> DataFrame:
+def parse_branches(lines: DataFrame, line: str = "value", order: str = "line_no", width: int | None = None) -> DataFrame:
     """``lat,lng[,name]`` lines to branches with ``ok`` and ``attempted`` flags.
 
     Header and blank lines are not attempted; names default to the running number of the accepted branch.
+    ``width``, such as ``BRANCH_WIDTH``, clips names; they stay whole by default.
     """
     from terrametra.operators.ranking import ordered_positions
 
@@ -159,7 +168,7 @@ def parse_branches(lines: DataFrame, line: str = "value", order: str = "line_no"
     lat, lng = F.get(parts, F.lit(0)).try_cast("double"), F.get(parts, F.lit(1)).try_cast("double")
     ok = attempted & (F.size(parts) >= 2) & lat.between(-90, 90) & lng.between(-180, 180)
     name = F.coalesce(F.get(parts, F.lit(2)), F.lit(""))
-    name = F.when((name != "") & (F.lower(name) != "nan"), F.substring(name, 1, 40))
+    name = F.when((name != "") & (F.lower(name) != "nan"), name if width is None else F.substring(name, 1, width))
     rows = lines.filter(attempted).select(
         F.col(order), F.coalesce(ok, F.lit(False)).alias("ok"), lat.alias("lat"), lng.alias("lng"), name.alias("name")
     )

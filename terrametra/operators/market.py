@@ -71,13 +71,19 @@ def search(listings: DataFrame, order: str = "fair_price", n: int = 24, key: str
 
 CHANGE = "array<struct<at:date,from:double,to:double>>"
 
+# Published lengths of a price history, of a zone's closure list and of the monthly index.
+PUBLISHED_CHANGES = 10
+PUBLISHED_CLOSURES = 500
+PUBLISHED_MONTHS = 60
 
-def diff_snapshot(snapshot: DataFrame, tracked: DataFrame, today: str, keys: list[str], max_changes: int = 10) -> DataFrame:
+
+def diff_snapshot(snapshot: DataFrame, tracked: DataFrame, today: str, keys: list[str], max_changes: int | None = None) -> DataFrame:
     """Compare a listing snapshot with the tracker, one row per listing ever seen in either.
 
     ``snapshot(keys, price, currency)``; ``tracked(keys, first_seen, price, currency, changes)``. Columns of
     the result: ``status`` (new, same, cut, raised, reset, closed), the new tracker fields and, for closed
-    listings, the days on the market. A changed currency restarts the listing's history.
+    listings, the days on the market. A changed currency restarts the listing's history. ``max_changes``, such as
+    ``PUBLISHED_CHANGES``, keeps the newest changes only; all by default.
     """
     now = F.to_date(F.lit(today))
     cur = keep_last(
@@ -92,7 +98,7 @@ def diff_snapshot(snapshot: DataFrame, tracked: DataFrame, today: str, keys: lis
     change = F.array(F.struct(now.alias("at"), F.col("_op").alias("from"), F.col("_p").alias("to"))).cast(CHANGE)
     history = F.coalesce(F.col("_ch"), F.array().cast(CHANGE))
     longer = F.concat(history, change)
-    tail = F.slice(longer, F.greatest(F.size(longer) - (max_changes - 1), F.lit(1)), max_changes)
+    tail = longer if max_changes is None else F.slice(longer, F.greatest(F.size(longer) - (max_changes - 1), F.lit(1)), max_changes)
     status = (
         F.when(F.col("_p").isNull(), "closed")
         .when(F.col("_op").isNull(), "new")
@@ -116,10 +122,10 @@ def open_listings(diff: DataFrame, keys: list[str]) -> DataFrame:
     return diff.filter(F.col("status") != "closed").select(*keys, "first_seen", "price", "currency", "changes")
 
 
-def closures(previous: DataFrame, diff: DataFrame, today: str, keys: list[str], zone: str, cap: int = 500) -> DataFrame:
-    """Closure list per zone: reappeared listings leave, new closures enter, the newest ``cap`` stay.
+def closures(previous: DataFrame, diff: DataFrame, today: str, keys: list[str], zone: str, cap: int | None = None) -> DataFrame:
+    """Closure list per zone: reappeared listings leave, new closures enter.
 
-    ``previous(keys, closed_on, price, days)``. The cap is the published length of the list.
+    ``previous(keys, closed_on, price, days)``. ``cap``, such as ``PUBLISHED_CLOSURES``, keeps each zone's newest; all by default.
     """
     alive = diff.filter(F.col("status").isin("new", "reset")).select(*keys)
     fresh = diff.filter(F.col("status") == "closed").select(
@@ -127,6 +133,8 @@ def closures(previous: DataFrame, diff: DataFrame, today: str, keys: list[str],
     )
     stay = previous.join(alive, keys, "left_anti").join(fresh.select(*keys), keys, "left_anti")
     both = stay.select(*fresh.columns).unionByName(fresh)
+    if cap is None:
+        return both
     rest = [k for k in keys if k != zone]
     return top_n_per_group(both, [zone], [F.col("closed_on").desc(), *[F.col(k) for k in rest]], cap).drop("rank")
 
@@ -141,11 +149,16 @@ def tracker_totals(diff: DataFrame, zone: str) -> DataFrame:
     )
 
 
-def monthly_index(history: DataFrame, current: DataFrame, keys: list[str], month: str, keep: int = 60) -> DataFrame:
-    """Replace the months present in ``current``, append them, keep the newest ``keep`` months."""
+def monthly_index(history: DataFrame, current: DataFrame, keys: list[str], month: str, keep: int | None = None) -> DataFrame:
+    """Replace the months present in ``current`` and append them.
+
+    ``keep``, such as ``PUBLISHED_MONTHS``, keeps the newest months only; all by default.
+    """
     months = current.select(month).distinct()
-    old = history.join(F.broadcast(months), month, "left_anti")  # one row per recomputed month
+    old = history.join(months, month, "left_anti")
     both = old.unionByName(current)
+    if keep is None:
+        return both
     last = both.select(month).distinct().orderBy(F.col(month).desc()).limit(keep)
     return both.join(F.broadcast(last), month, "left_semi")  # at most ``keep`` rows
 

@@ -41,7 +41,7 @@ def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return keep_first(df, keys, order)
 
 
-def registry_diff(new: DataFrame, old: DataFrame, name: str, street: str, species: Column, n_species: int = 3) -> DataFrame:
+def registry_diff(new: DataFrame, old: DataFrame, name: str, street: str, species: Column, n_species: int | None = None) -> DataFrame:
     """Openings and closures per street between two registry cuts, on folded (name, street).
 
     ``species`` gives all matching categories of a business name. Streets that only lose businesses are left
@@ -61,7 +61,7 @@ def registry_diff(new: DataFrame, old: DataFrame, name: str, street: str, specie
     return (
         per.join(closed, street, "left")
         .fillna(0, ["closures"])
-        .withColumn("species", F.when(F.size("_s") > 0, F.array_join(F.slice("_s", 1, n_species), ", ")).otherwise("—"))
+        .withColumn("species", F.when(F.size("_s") > 0, F.array_join("_s" if n_species is None else F.slice("_s", 1, n_species), ", ")).otherwise("—"))
         .drop("_s")
     )
 

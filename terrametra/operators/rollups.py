@@ -332,20 +332,21 @@ def basket_stats(df: DataFrame, value: str, baskets: dict[str, Column], label: s
     return stats, top_n_per_group(members, ["basket"], [F.col(value).desc(), F.col(key)], n)
 
 
-def demand_rollup(events: DataFrame, n: int = 100) -> DataFrame:
+def demand_rollup(events: DataFrame, n: int | None = None) -> DataFrame:
     """Long demand counters ``(kind, key, event, n)``: total, zone by event, budget, type and style.
 
-    Zones are limited to the ``n`` most demanded, as the report shows them.
+    Records without an event do not count. ``n`` limits the zones to the most demanded, as a report shows them.
     """
-    text = F.col
-    zone_event = events.filter(F.coalesce(text("zone"), F.lit("")) != "").groupBy("zone", "event").agg(F.count("*").alias("n"))
-    top = zone_event.groupBy("zone").agg(F.sum("n").alias("_z")).orderBy(F.col("_z").desc(), "zone").limit(n)
-    zones = zone_event.join(F.broadcast(top.select("zone")), "zone", "left_semi")  # at most n rows
+    events = events.filter(F.col("event") != "")
+    zones = events.filter(F.col("zone") != "").groupBy("zone", "event").agg(F.count("*").alias("n"))
+    if n is not None:
+        top = zones.groupBy("zone").agg(F.sum("n").alias("_z")).orderBy(F.col("_z").desc(), "zone").limit(n)
+        zones = zones.join(F.broadcast(top.select("zone")), "zone", "left_semi")  # at most n rows
     parts = [
         events.agg(F.count("*").alias("n")).select(F.lit("total").alias("kind"), F.lit("").alias("key"), F.lit("").alias("event"), "n"),
         zones.select(F.lit("zone").alias("kind"), F.col("zone").alias("key"), "event", "n"),
     ]
-    for kind, col in (("budget", F.col("budget")), ("type", F.col("type")), ("style", F.explode(F.slice("styles", 1, 10)))):
+    for kind, col in (("budget", F.col("budget")), ("type", F.col("type")), ("style", F.explode("styles"))):
         part = events.select(col.alias("key")).filter(F.coalesce(F.col("key"), F.lit("")) != "")
         parts.append(part.groupBy("key").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "key", F.lit("").alias("event"), "n"))
     out = parts[0]
@@ -354,7 +355,7 @@ def demand_rollup(events: DataFrame, n: int = 100) -> DataFrame:
     return out
 
 
-def openings_report(df: DataFrame, street: str, date: str, species: Column, n_species: int = 4) -> DataFrame:
+def openings_report(df: DataFrame, street: str, date: str, species: Column, n_species: int | None = None) -> DataFrame:
     """Per street: openings in the newest two cuts, how many are indicators, and their species names."""
     marked = recent_flag(df.withColumn("_sp", species), date)
     fresh = F.when(F.col("recent"), F.col("_sp"))
@@ -366,7 +367,7 @@ def openings_report(df: DataFrame, street: str, date: str, species: Column, n_sp
             F.count(fresh).alias("indicators"),
             F.sort_array(F.collect_set(fresh)).alias("_s"),  # bounded by the catalogue
         )
-        .withColumn("species", F.when(F.size("_s") > 0, F.array_join(F.slice("_s", 1, n_species), ", ")).otherwise("—"))
+        .withColumn("species", F.when(F.size("_s") > 0, F.array_join("_s" if n_species is None else F.slice("_s", 1, n_species), ", ")).otherwise("—"))
         .drop("_s")
     )
 

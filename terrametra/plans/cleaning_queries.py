@@ -208,7 +208,7 @@ _BRANCH_LINE = """CASE WHEN c_custkey % 10 = 0 THEN 'lat,lng,name' WHEN c_custke
     c AS (SELECT *, coalesce(k >= 2 AND lat BETWEEN -90 AND 90 AND lng BETWEEN -180 AND 180, false) AS ok FROM b),
     d AS (SELECT *, row_number() OVER (PARTITION BY ok ORDER BY line_no) AS pos FROM c)
     SELECT line_no, ok, CASE WHEN ok THEN lat END AS lat, CASE WHEN ok THEN lng END AS lng,
-    CASE WHEN ok THEN coalesce(CASE WHEN nm <> '' AND lower(nm) <> 'nan' THEN substr(nm, 1, 40) END, 'Branch ' || pos::VARCHAR) END AS name FROM d""",
+    CASE WHEN ok THEN coalesce(CASE WHEN nm <> '' AND lower(nm) <> 'nan' THEN nm END, 'Branch ' || pos::VARCHAR) END AS name FROM d""",
 )
 def branch_parse(t: Tables):
     k = F.col("c_custkey")

@@ -679,11 +679,11 @@ def tracker_totals(t: Tables):
     f"""WITH {_TRACK}, pv AS (SELECT zone, id, day AS closed_on FROM listings WHERE kind = 'terreno'),
     keep AS (SELECT zone, id, closed_on FROM pv ANTI JOIN (SELECT * FROM df WHERE status IN ('new', 'reset', 'closed')) USING (zone, id)),
     al AS (SELECT * FROM keep UNION ALL SELECT zone, id, DATE '{TODAY}' FROM df WHERE status = 'closed')
-    SELECT zone, id, strftime(closed_on, '%Y-%m-%d') AS closed_on FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY closed_on DESC, id) AS p FROM al) WHERE p <= 500""",
+    SELECT zone, id, strftime(closed_on, '%Y-%m-%d') AS closed_on FROM al""",
 )
 def closures(t: Tables):
     prev = listings(t).filter("kind = 'terreno'").select("zone", "id", F.col("day").alias("closed_on"), "price", F.lit(0).alias("days"))
-    out = M.closures(prev, _tracked(t), TODAY, ["zone", "id"], "zone", 500)
+    out = M.closures(prev, _tracked(t), TODAY, ["zone", "id"], "zone")
     return out.select("zone", "id", F.date_format("closed_on", "yyyy-MM-dd").alias("closed_on"))
 
 
@@ -795,7 +795,7 @@ def alert_messages(t: Tables):
 @query(
     "monthly_index",
     f"""WITH {LISTINGS}, h AS (SELECT zone, month, count(*) AS n, 1 AS run FROM listings WHERE operation = 'venta' AND month < '2001-03' GROUP BY 1, 2), c AS (SELECT zone, month, count(*) AS n, 2 AS run FROM listings WHERE month >= '2001-01' GROUP BY 1, 2),
-    b AS (SELECT * FROM h WHERE month NOT IN (SELECT month FROM c) UNION ALL SELECT * FROM c) SELECT zone, month, n, run FROM b WHERE month IN (SELECT DISTINCT month FROM b ORDER BY 1 DESC LIMIT 60)""",
+    b AS (SELECT * FROM h WHERE month NOT IN (SELECT month FROM c) UNION ALL SELECT * FROM c) SELECT zone, month, n, run FROM b""",
 )
 def monthly_index(t: Tables):
     li = listings(t)

@@ -294,12 +294,12 @@ def basket_top(t: Tables):
 
 @query(
     "demand_rollup",
-    f"""WITH {EVENTS}, top AS (SELECT zone FROM ev WHERE zone <> '' GROUP BY 1 ORDER BY count(*) DESC, zone LIMIT 100)
-    SELECT 'total' AS kind, '' AS key, '' AS event, count(*) AS n FROM ev UNION ALL
-    SELECT 'zone', zone, event, count(*) FROM ev SEMI JOIN top USING (zone) GROUP BY 2, 3 UNION ALL
-    SELECT 'budget', budget, '', count(*) FROM ev WHERE budget <> '' GROUP BY 2 UNION ALL
-    SELECT 'type', type, '', count(*) FROM ev WHERE type <> '' GROUP BY 2 UNION ALL
-    SELECT 'style', s, '', count(*) FROM (SELECT unnest(styles) AS s FROM ev) GROUP BY 2""",
+    f"""WITH {EVENTS}, de AS (SELECT * FROM ev WHERE event <> '')
+    SELECT 'total' AS kind, '' AS key, '' AS event, count(*) AS n FROM de UNION ALL
+    SELECT 'zone', zone, event, count(*) FROM de WHERE zone <> '' GROUP BY 2, 3 UNION ALL
+    SELECT 'budget', budget, '', count(*) FROM de WHERE budget <> '' GROUP BY 2 UNION ALL
+    SELECT 'type', type, '', count(*) FROM de WHERE type <> '' GROUP BY 2 UNION ALL
+    SELECT 'style', s, '', count(*) FROM (SELECT unnest(styles) AS s FROM de) GROUP BY 2""",
 )
 def demand_rollup(t: Tables):
     return R.demand_rollup(events(t))

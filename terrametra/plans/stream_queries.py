@@ -40,7 +40,7 @@ def demand_stream(t: Tables):
 
 @query(
     "style_stream",
-    f"WITH {EVENTS}, s AS (SELECT ts, unnest(styles) AS value FROM ev) SELECT strftime(ts, '%Y-%m-%d') AS day, value, count(*) AS n FROM s GROUP BY 1, 2",
+    f"WITH {EVENTS}, s AS (SELECT ts, unnest(styles) AS value FROM ev WHERE event <> '') SELECT strftime(ts, '%Y-%m-%d') AS day, value, count(*) AS n FROM s GROUP BY 1, 2",
 )
 def style_stream(t: Tables):
     out = _run_updates(t, T.dimension_counts(_event_stream(t), "styles"), "styles", ["day", "value"])
@@ -50,11 +50,11 @@ def style_stream(t: Tables):
 @query(
     "daily_last_reading",
     f"""WITH {EVENTS}, d AS (SELECT zone, strftime(ts, '%Y-%m-%d') AS day, arg_max(floor(score + 0.5)::BIGINT, ts) AS score FROM ev WHERE zone <> '' GROUP BY 1, 2)
-    SELECT zone, day, score FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY day DESC) AS p FROM d) WHERE p <= 20""",
+    SELECT zone, day, score FROM d""",
 )
 def daily_last_reading(t: Tables):
     out = _run_updates(t, T.daily_readings(_event_stream(t).select("ts", "zone", "score")), "readings", ["zone", "day"])
-    return T.last_days(out, 20).select("zone", F.date_format("day", "yyyy-MM-dd").alias("day"), "score")
+    return T.last_days(out).select("zone", F.date_format("day", "yyyy-MM-dd").alias("day"), "score")
 
 
 _WINDOW_MS = 6 * 3600 * 1000
@@ -68,8 +68,8 @@ _HITS = f"""h AS (SELECT 'u' || user_id::VARCHAR AS ip, event_id, epoch_ms(ts) A
 def rate_limit_flags(t: Tables):
     path = work_path(t.spark, "limits")
     hits = _event_stream(t).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("ip"), F.col("event_id").alias("hit_id"), "ts")
-    L.write_append(L.rate_limit_flags(hits, 2, _WINDOW_MS), f"{path}/out", f"{path}/checkpoint")
-    return t.spark.read.parquet(f"{path}/out").select("ip", "hit_id", "n", "allowed")
+    L.write_rate_limits(hits, f"{path}/out", f"{path}/checkpoint", _WINDOW_MS)
+    return L.rate_limit_flags(t.spark, f"{path}/out", 2).select("ip", "hit_id", "n", "allowed")
 
 
 @query("tumbling_hits", f"WITH {EVENTS} SELECT 'u' || user_id::VARCHAR AS ip, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H') AS hour, count(*) AS n, count(*) > 1 AS limited FROM ev GROUP BY 1, 2")
@@ -98,7 +98,7 @@ def tracker_stream(t: Tables):
     stream = t.spark.readStream.schema(snaps.schema).parquet(f"{path}/in")
     table = V.VersionedTable(t.spark, f"{path}/table")
     V.track_snapshots(stream, table, f"{path}/checkpoint", ["zone", "id"])
-    out = table.read(0)
+    out = table.newest()
     return out.select("zone", "id", "status", "price", F.date_format("first_seen", "yyyy-MM-dd").alias("first_seen"), F.size("changes").alias("changes"))
 
 
@@ -122,7 +122,7 @@ def alert_stream(t: Tables):
     stream = t.spark.readStream.schema(fc.schema).parquet(f"{path}/in")
     table = V.VersionedTable(t.spark, f"{path}/table")
     V.watch_forecasts(stream, al, table, f"{path}/checkpoint")
-    return table.read(0).filter("action is not null").select("id", "action", "last_value")
+    return table.newest().filter("action is not null").select("id", "action", "last_value")
 
 
 @query("resumable_ingest", "SELECT o_orderkey AS key, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS run FROM orders")

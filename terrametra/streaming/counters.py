@@ -27,8 +27,10 @@ def demand_counts(events: DataFrame, every: str = "1 day", lateness: str = LATEN
 
 
 def dimension_counts(events: DataFrame, dimension: str, every: str = "1 day", lateness: str = LATENESS) -> DataFrame:
-    """Counts by one further dimension: ``budget``, ``type`` or ``styles`` (exploded)."""
+    """Counts by one further dimension: ``budget``, ``type`` or ``styles`` (exploded); records without an event do not count."""
     e = event_time(events).withWatermark("ts", lateness)
+    if "event" in events.columns:
+        e = e.filter(F.col("event") != "")
     value = F.explode(dimension) if dict(events.dtypes)[dimension].startswith("array") else F.col(dimension)
     e = e.select("ts", value.alias("value")).filter(F.coalesce(F.col("value"), F.lit("")) != "")
     return e.groupBy(F.window("ts", every).alias("w"), "value").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "value", "n")

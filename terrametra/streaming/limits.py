@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from terrametra.streaming.counters import event_time
 
@@ -16,44 +15,69 @@ WINDOW_MS = 60_000
 FORM_LIMIT = 12
 ROOM_LIMIT = 260
 
-OUTPUT = "ip string, hit_id bigint, at_ms bigint, n bigint, allowed boolean"
+# A hit has an id and its number; a row without ``hit`` is the window an address has open after the batch.
+STEP = "ip string, hit boolean, hit_id bigint, at_ms bigint, n bigint, until bigint"
 
 
-def rate_limit_flags(hits: DataFrame, limit: int = FORM_LIMIT, window_ms: int = WINDOW_MS, lateness: str = "1 hour") -> DataFrame:
-    """Number of each hit inside its window and whether it is allowed.
+def number_hits(rows: DataFrame, window_ms: int) -> DataFrame:
+    """Number hits inside their windows; ``rows(ip, hit, hit_id, at_ms, n, until)`` holds hits and open windows.
 
-    ``hits(ip, hit_id, ts)``. The state per address is one window end and one counter, so an address with a
-    third of all hits streams through in bounded memory: the rows arrive in Arrow chunks and leave again.
-    The state is dropped when the watermark passes the window.
+    Spark sorts each address by time, so the walk keeps one window end and one counter whatever the number of hits.
     """
 
-    def count(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        until, n = state.get if state.exists else (-1, 0)
+    def walk(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ip, until, n, last = None, -1, 0, 0
         for chunk in chunks:
-            chunk = chunk.sort_values(["at_ms", "hit_id"], kind="stable")
-            ns = []
-            for now in chunk["at_ms"].tolist():
-                if n == 0 or now > until:
-                    until, n = now + window_ms, 1
+            out = []
+            for row_ip, hit, hit_id, at, row_n, row_until in chunk.itertuples(index=False, name=None):
+                if row_ip != ip:
+                    if ip is not None:
+                        out.append((ip, False, None, last, n, until))
+                    ip, until, n = row_ip, -1, 0
+                if not hit:
+                    until, n, last = int(row_until), int(row_n), int(at)
+                    continue
+                last = int(at)
+                if n == 0 or last > until:
+                    until, n = last + window_ms, 1
                 else:
                     n += 1
-                ns.append(n)
-            out = chunk[["ip", "hit_id", "at_ms"]].copy()
-            out["n"] = ns
-            out["allowed"] = out["n"] <= limit
-            yield out
-        state.update((int(until), int(n)))
-        state.setTimeoutTimestamp(max(int(until), state.getCurrentWatermarkMs()) + 1)
-
-    keyed = event_time(hits).withWatermark("ts", lateness).withColumn("at_ms", F.unix_millis("ts"))
-    return (
-        keyed.select("ip", "hit_id", "ts", "at_ms")
-        .groupBy("ip")
-        .applyInPandasWithState(count, OUTPUT, "until bigint, n bigint", "append", GroupStateTimeout.EventTimeTimeout)
-    )
+                out.append((ip, True, hit_id, last, n, until))
+            yield pd.DataFrame(out, columns=["ip", "hit", "hit_id", "at_ms", "n", "until"]).astype({"hit_id": "Int64"})
+        if ip is not None:
+            yield pd.DataFrame([(ip, False, None, last, n, until)], columns=["ip", "hit", "hit_id", "at_ms", "n", "until"]).astype({"hit_id": "Int64"})
+
+    order = ["ip", "hit", "at_ms", "hit_id"]  # false first: the open window comes before the hits
+    return rows.repartition("ip").sortWithinPartitions(*order).mapInPandas(walk, STEP)
+
+
+def write_rate_limits(hits: DataFrame, path: str, checkpoint: str, window_ms: int = WINDOW_MS) -> None:
+    """Run a stream of ``hits(ip, hit_id, ts)`` over all available input and store the number of each hit.
+
+    Hits of one micro-batch are taken in order of time, batches in order of arrival; hits without address, id or time
+    do not count. Each batch writes its own folder from that of the batch before, so a replayed batch leaves one copy.
+    A window that ended before all hits of the batch is not carried on.
+    """
+    path = path.rstrip("/")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("ip", F.lit(True).alias("hit"), "hit_id", "at_ms", F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("until"))
+        if batch_id > 0:
+            opened = batch.sparkSession.read.schema(STEP).parquet(f"{path}/batch={batch_id - 1}").filter("not hit")
+            since = rows.agg(F.min("at_ms").alias("since"))
+            live = opened.join(F.broadcast(since), F.col("until") >= F.col("since"), "left_semi")  # one row
+            rows = live.unionByName(rows)
+        number_hits(rows, window_ms).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    keyed = event_time(hits).select("ip", F.col("hit_id").cast("bigint").alias("hit_id"), F.unix_millis("ts").alias("at_ms")).dropna()
+    q = keyed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def rate_limit_flags(spark: SparkSession, path: str, limit: int = FORM_LIMIT) -> DataFrame:
+    """``ip, hit_id, at_ms, n, allowed``: what ``write_rate_limits`` stored, flagged against a limit."""
+    done = spark.read.schema(f"{STEP}, batch int").parquet(path).filter("hit")
+    return done.select("ip", "hit_id", "at_ms", "n", (F.col("n") <= limit).alias("allowed"))
 
 
 def tumbling_hits(hits: DataFrame, limit: int = FORM_LIMIT, every: str = "1 minute", lateness: str = "1 hour") -> DataFrame:
@@ -64,15 +88,3 @@ def tumbling_hits(hits: DataFrame, limit: int = FORM_LIMIT, every: str = "1 minu
         .agg(F.count("*").alias("n"))
         .select("ip", F.col("w.start").alias("minute"), "n", (F.col("n") > limit).alias("limited"))
     )
-
-
-def write_append(stream: DataFrame, path: str, checkpoint: str) -> None:
-    q = (
-        stream.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()

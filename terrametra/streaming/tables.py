@@ -21,26 +21,46 @@ class VersionedTable:
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
 
+    def newest(self) -> DataFrame:
+        """The version with the highest number, told from the names of the files."""
+        files = self.spark.read.parquet(f"{self.path}/v*").select(F.regexp_extract("_metadata.file_path", "/v([0-9]+)/[^/]*$", 1).cast("int").alias("v"))
+        return self.read(files.agg(F.max("v")).first()[0])
+
 
 def _drain(stream: DataFrame, handle, checkpoint: str) -> None:
     q = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
+def _blank(spark: SparkSession, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """A tracker table without listings."""
+    fields = batch.select(*keys).schema.add("first_seen", "date").add("price", "double").add("currency", "string")
+    return spark.createDataFrame([], fields).withColumn("changes", F.array().cast(M.CHANGE))
+
+
 def track_snapshots(stream: DataFrame, table: VersionedTable, checkpoint: str, keys: list[str], day: str = "day") -> None:
     """Feed listing snapshots ``(keys, price, currency, day)`` to the tracker in date order.
 
-    The tracker table holds open and closed listings; a reappearing listing starts anew.
+    The tracker table holds open and closed listings; a reappearing listing starts anew. The rows of the last day and
+    the table before it are kept: if a later micro-batch brings more of that day, the whole day is compared again.
     """
+    held, before = VersionedTable(table.spark, f"{table.path}/last"), VersionedTable(table.spark, f"{table.path}/before")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         days = [r[0] for r in batch.select(F.col(day).cast("string")).distinct().orderBy(day).collect()]  # one row per snapshot date
         spark = batch.sparkSession
-        empty = spark.createDataFrame(
-            [], batch.select(*keys).schema.add("first_seen", "date").add("price", "double").add("currency", "string")
-        ).withColumn("changes", F.array().cast(M.CHANGE))
+        empty = _blank(spark, batch, keys)
         base = table.read(batch_id - 1) if batch_id > 0 else None
+        if batch_id > 0 and days:
+            rest = held.read(batch_id - 1)
+            if rest.filter(F.col(day).cast("string") == days[0]).limit(1).count():
+                batch = batch.unionByName(rest)
+                earlier = before.read(batch_id - 1)
+                base = earlier if earlier.limit(1).count() else None
         for i, d in enumerate(days):
+            if i == len(days) - 1:
+                held.write(batch.filter(F.col(day).cast("string") == d), batch_id)
+                before.write(_blank(spark, batch, keys) if base is None else base, batch_id)
             known = empty if base is None else base.filter("status <> 'closed'").select(*keys, "first_seen", "price", "currency", "changes")
             diff = M.diff_snapshot(batch.filter(F.col(day).cast("string") == d), known, d, keys)
             gone = None if base is None else base.filter("status = 'closed'").join(diff.select(*keys), keys, "left_anti")

@@ -58,7 +58,8 @@ def test_leads(spark):
     df = spark.createDataFrame(rows, "nombre string, telefono string, website string, ref string").withColumn("secreto", F.lit("x"))
     got = C.clean_leads(df).collect()
     assert [r.rejected for r in got] == [None, "honeypot", "name", "phone"]
-    assert len(got[0].ref) == 200 and "secreto" not in got[0].asDict()
+    assert len(got[0].ref) == 300 and "secreto" not in got[0].asDict()
+    assert len(C.clean_leads(df, width=C.LEAD_WIDTH).first().ref) == 200
     assert [r.rejected for r in C.clean_leads(df, max_bytes=100).collect()][0] == "size"
 
 

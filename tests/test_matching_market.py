@@ -86,13 +86,16 @@ def test_tracker_rules(spark):
     assert str(d[3].first_seen) == "2024-02-01" and d[4].days_on_market == 22
     tracked = M.open_listings(M.diff_snapshot(snap, old, "2024-02-01", ["zone", "id"]), ["zone", "id"])
     price = 90.0
-    for i in range(12):  # only the last ten changes stay
+    for i in range(12):  # all changes stay, fewer on request
         price -= 1
         s = spark.createDataFrame([("z", 1, price, "MXN")], "zone string, id int, price double, currency string")
         tracked = M.open_listings(M.diff_snapshot(s, tracked, f"2024-03-{i + 1:02d}", ["zone", "id"]), ["zone", "id"])
         tracked = spark.createDataFrame(tracked.collect(), tracked.schema)
     last = tracked.first()
-    assert len(last.changes) == 10 and last.changes[-1]["to"] == 78.0 and last.changes[0]["from"] == 88.0
+    assert len(last.changes) == 13 and last.changes[-1]["to"] == 78.0 and last.changes[0]["from"] == 100.0
+    s = spark.createDataFrame([("z", 1, 77.0, "MXN")], "zone string, id int, price double, currency string")
+    few = M.diff_snapshot(s, tracked, "2024-04-01", ["zone", "id"], M.PUBLISHED_CHANGES).first().changes
+    assert len(few) == 10 and few[-1]["to"] == 77.0 and few[0]["from"] == 87.0
 
 
 def test_closures_forget_reappeared(spark):

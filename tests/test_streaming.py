@@ -47,12 +47,12 @@ def test_rate_limit_window_opens_with_the_first_hit(spark, tmp_path):
     src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
     secs = [50, 55, 61, 100, 110, 111, 120, 171, 172, 400]
     hits = [("a", i, BASE + dt.timedelta(seconds=s)) for i, s in enumerate(secs)] + [("b", 100, BASE)]
-    run = lambda: L.write_append(L.rate_limit_flags(stream(spark, src, schema), 3), out, ck)
+    run = lambda: L.write_rate_limits(stream(spark, src, schema), out, ck)
     put(spark, hits[:4] + hits[-1:], schema, src, "1")
     run()
     put(spark, hits[4:-1], schema, src, "2")  # the window goes on across runs
     run()
-    got = {r.hit_id: (r.n, r.allowed) for r in spark.read.parquet(out).collect()}
+    got = {r.hit_id: (r.n, r.allowed) for r in L.rate_limit_flags(spark, out, 3).collect()}
     until, n, want = -1, 0, {}
     for i, s in enumerate(secs):
         if n == 0 or s > until:
@@ -64,6 +64,28 @@ def test_rate_limit_window_opens_with_the_first_hit(spark, tmp_path):
     assert got == want
 
 
+def test_many_hits_of_one_address_in_any_order(spark, tmp_path):
+    hits = spark.range(40_000).selectExpr("'a' AS ip", "id AS hit_id", "timestamp_millis(1700000000000 + id * 7) AS ts")
+    src = str(tmp_path / "in")
+    hits.repartition(4, "hit_id").orderBy("hit_id", ascending=False).coalesce(1).write.parquet(src)
+    L.write_rate_limits(stream(spark, src, hits.schema), str(tmp_path / "out"), str(tmp_path / "ck"))
+    got = {r.hit_id: r.n for r in L.rate_limit_flags(spark, str(tmp_path / "out")).collect()}
+    per = 60_000 // 7 + 1  # the window holds its last millisecond
+    assert got == {i: i % per + 1 for i in range(40_000)}
+
+
+def test_day_spread_over_two_batches(spark, tmp_path):
+    schema = "zone string, id int, price double, currency string, day date"
+    src, ck = str(tmp_path / "in"), str(tmp_path / "ck")
+    table = V.VersionedTable(spark, str(tmp_path / "t"))
+    rows = lambda d, *ids: [("z", i, 10.0 + d, "MXN", dt.date(2024, 6, d)) for i in ids]
+    for name, part in enumerate((rows(1, 1, 2), rows(1, 3, 4) + rows(2, 1, 2), rows(2, 3))):
+        put(spark, part, schema, src, str(name))
+        V.track_snapshots(stream(spark, src, schema), table, ck, ["zone", "id"])
+    got = {r.id: (r.status, str(r.first_seen)) for r in table.newest().collect()}
+    assert got == {1: ("raised", "2024-06-01"), 2: ("raised", "2024-06-01"), 3: ("raised", "2024-06-01"), 4: ("closed", "2024-06-01")}
+
+
 def test_tracker_over_three_runs(spark, tmp_path):
     schema = "zone string, id int, price double, currency string, day date"
     src, ck = str(tmp_path / "in"), str(tmp_path / "ck")
