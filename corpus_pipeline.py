@@ -19,7 +19,7 @@ from xxhash import xxh64_intdigest
 
 from terrametra.llm import bpe, language, mixing, simhash, substring
 from terrametra.llm.components import dealt_anew
-from terrametra.llm.words import slices, word_blocks
+from terrametra.llm.words import slices, small_batches, word_blocks
 from terrametra.session import durable, work_path
 
 # Near copies: fingerprints over pairs of words that differ in few bits make groups, five-word shingles decide. Of pairs
@@ -53,6 +53,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     The classifiers learn from the rows of this stage that have a label. Without any label there is nothing to tell
     apart, and all documents stay.
     """
+    small_batches(spark)
     model = language.fit(docs.filter(language.fold() != 2), "text", "lang", "doc_id")
     if not model.languages:
         return docs
@@ -98,6 +99,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     shingles have a Jaccard similarity of at least 0.8 with those of the group's first, else it stays. Of equal texts
     the row with the smallest id stays, and of equal rows one.
     """
+    small_batches(spark)
     rows = docs.select(F.xxhash64(_text()).alias("a"), F.hash(_text()).alias("b"), _rest(docs), F.col("doc_id").alias("id"), F.col("text"))
     units = rows.select(F.struct("id", "a", "b").alias("u"), _text().alias("text"))
     groups = durable(simhash.simhash_groups(units, "u", "text", **NEAR).select("u", "component_id").distinct())
@@ -117,6 +119,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without its words in repeated passages; a text that loses none is unchanged, null stays null."""
+    small_batches(spark)
     rows = docs.select(F.struct(_rest(docs), F.col("text").isNull().alias("null")).alias("row"), _text().alias("text"))
     found = substring.without_repeats(rows, "row", as_is=True)
     text = F.when(~F.col("row.null"), F.col("kept")).alias("text")
@@ -142,10 +145,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, ids, n_tokens, ids_sha256, decoded_sha256``: the ids of every text, and what they decode to."""
+    """``doc_id, ids, n_tokens, ids_sha256, decoded_sha256``: the ids of every text, and what they decode to.
+
+    The ids are written before they are decoded, so that a task has one Python worker at a time and a lost executor
+    costs no encoding.
+    """
+    small_batches(spark)
     ranks = path("byte_bpe_50k.tiktoken")
-    coded = bpe.encode(docs, ranks, PATTERN).select(F.struct("doc_id", "ids").alias("row"), "ids")
-    out = bpe.decode(coded, ranks, PATTERN, "row", raw=False)
+    coded = durable(bpe.encode(docs, ranks, PATTERN))
+    out = bpe.decode(coded.select(F.struct("doc_id", "ids").alias("row"), "ids"), ranks, PATTERN, "row", raw=False)
     return out.select("row.doc_id", "row.ids", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrametra.llm import bpe, html_text, language, license_scan, mixing, prefix_forest, simhash, substring, token_files, topk
+from terrametra.llm.words import small_batches
 from terrametra.session import work_path
 
 RANKS = path("byte_bpe_50k.tiktoken")
@@ -32,11 +33,13 @@ def op3_prefix_forest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
     ids = bpe.encode(_read(spark, folder, "documents"), RANKS, PATTERN)
     return bpe.decode(ids, RANKS, PATTERN, raw=False)
 
 
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
     docs = _read(spark, folder, "documents")
     model = language.fit(docs.filter(language.fold() != 2), "text", "lang", "doc_id")
     held_out = F.coalesce(language.fold() == 2, F.lit(False)).alias("held_out")
