@@ -128,9 +128,9 @@ def clean_leads(df: DataFrame, fields: list[str] = LEAD_FIELDS, width: int | Non
 def geo_sanity(df: DataFrame, cities: DataFrame, state: str, km: float = 300.0) -> DataFrame:
     """Null the coordinates of rows farther than ``km`` from the anchor city of their state.
 
-    ``cities(state key, c_lat, c_lng)`` is one row per state and is broadcast.
+    ``cities(state key, c_lat, c_lng)`` is one row per state.
     """
-    out = df.join(F.broadcast(cities), state, "left")
+    out = df.join(cities, state, "left")
     far = geo.haversine_km(F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng")) > km
     broken = F.coalesce(far, F.lit(False))
     return (

@@ -23,14 +23,14 @@ from terrametra.session import durable
 def recent_flag(df: DataFrame, date: str, k: int = 2, name: str = "recent", per: list[str] | None = None) -> DataFrame:
     """Mark rows of the newest ``k`` distinct dates; with fewer than ``k`` dates nothing is recent.
 
-    The rows are compared with a threshold date, so the table itself is never shuffled: without ``per`` the
-    threshold is a scalar, with ``per`` it is one broadcast row per entity (states or files, not businesses).
+    The rows are compared with a threshold date: without ``per`` the
+    threshold is a scalar, with ``per`` one row per entity, which Spark broadcasts while it is small.
     """
     per = per or []
     dates = latest_k_dates(df, per, date, k)
     cut = dates.groupBy(*per).agg(F.min(date).alias("_from"), F.count("*").alias("_k"))
     cut = cut.select(*per, F.when(F.col("_k") >= k, F.col("_from")).alias("_from"))
-    marked = df.join(F.broadcast(cut), per, "left") if per else df.withColumn("_from", cut.select("_from").scalar())
+    marked = df.join(cut, per, "left") if per else df.withColumn("_from", cut.select("_from").scalar())
     return marked.withColumn(name, F.coalesce(F.col(date) >= F.col("_from"), F.lit(False))).drop("_from")
 
 
