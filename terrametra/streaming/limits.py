@@ -65,7 +65,7 @@ def write_rate_limits(hits: DataFrame, path: str, checkpoint: str, window_ms: in
         if batch_id > 0:
             opened = batch.sparkSession.read.schema(STEP).parquet(f"{path}/batch={batch_id - 1}").filter("not hit")
             since = rows.agg(F.min("at_ms").alias("since"))
-            live = opened.join(F.broadcast(since), F.col("until") >= F.col("since"), "left_semi")  # one row
+            live = opened.join(F.broadcast(since), F.col("since").isNull() | (F.col("until") >= F.col("since")), "left_semi")  # one row, null without hits
             rows = live.unionByName(rows)
         number_hits(rows, window_ms).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
