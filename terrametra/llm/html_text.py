@@ -53,8 +53,11 @@ IMPLIED = {
 # A cell line longer than this does not widen its column, so a table's layout stays in proportion to its text.
 COLUMN = 80
 COLUMNS = 1000
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+# A quote opens a value only right after "="; any other quote is a plain character, and so is one that is never closed.
+_NAME_VALUE = r"([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(\"[^\"]*+\"|'[^']*+'|[^ \t\n\r\f>]*+))?"
+_ATTR = re.compile(_NAME_VALUE)
+_ATTRS = "((?:[ \t\n\r\f/]++|" + re.sub(r"(?<!\\)\((?!\?)", "(?:", _NAME_VALUE) + ")*+)"
+_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)" + _ATTRS + r"(?:>|\Z)", re.S)
 _HIDES = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _BLANKS = " \t\n\r\f"
 _SPLIT = re.compile(r"[ \t\n\r\f]+")

@@ -194,6 +194,21 @@ def test_html_layout(i):
     assert html_text.visible_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<a href=x title=it's>Hello</a> shown <p>don't lose</p>", "Hello shown\n\ndon't lose"),
+        ('<p>a <img alt="19" screen"> b</p><p class="c">c</p>', "a b\n\nc"),
+        ("<p title='a>b' id=\"c>d\">e</p>", "e"),
+        ('<p title="the "hidden" gem">seen</p>', "seen"),
+        ('<p title="never closed>seen</p> <b>too</b>', "seen\n\ntoo"),
+        ("<div hidden =x>no</div><p style = 'display:none'>no</p><p id= title=''>yes</p>", "yes"),
+    ],
+)
+def test_html_quotes_in_tags(page, want):
+    assert html_text.visible_text(page) == want
+
+
 def test_html_words_against_another_parser(spark):
     from html.parser import HTMLParser
 
