@@ -25,7 +25,9 @@ NEXT_JSON = r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>'
 STATE_ASSIGN = r"(?is)(?:window\.__NUXT__|__INITIAL_STATE__|__APOLLO_STATE__)\s*=\s*(\{.*?\})\s*</script>"
 RESULTS = r"(?s)REP_LOG_APP_PROPS\s*=\s*\{.*?\"results\".*?(\[.*)"
 PRICE_MARK = r"\$\s?[\d.,]+\s*(?:MXN|USD)"
+# The published pair: the size within 300 characters. Without that limit the size comes before the next price.
 PRICE_PAIR = r"(?s)\$\s?([\d,]{6,12})(?:\s?MXN)?.{0,300}?(\d{2,4})\s?m"
+PRICE_TO_SIZE = r"(?s)\$\s?([\d,]{6,12})(?:\s?MXN)?(?:(?!\$\s?[\d,]{6}).)*?(\d{2,4})\s?m"
 
 # Key names of listing fields in embedded objects, compared without case.
 KEYS = {
@@ -47,6 +49,7 @@ LD_TYPES = "(?i)Residence|House|Apartment|RealEstate|Product|Offer|Place|Accommo
 MIN_PRICE = 1000
 # A whole run of digits, points and commas: entered once and never re-read, so long runs cost linear time.
 NUMBER = r"(?i)(?<![\d.,])([\d.,]++)"
+# Published limits a caller may pass; without them nothing is cut.
 MAX_DEPTH = 12
 CARD_GAP = 120
 CARD_WINDOW = 4000
@@ -88,23 +91,28 @@ def _shallow(d: dict) -> str:
     return json.dumps(flat, ensure_ascii=False)
 
 
-def _walk(node, linked: bool, depth: int = 0) -> Iterator[dict]:
-    if isinstance(node, list):
-        for x in node:
-            yield from _walk(x, linked, depth + (not linked))
-    elif isinstance(node, dict) and (linked or depth <= MAX_DEPTH):
-        yield node
-        if linked:
-            yield from _walk(node.get("@graph"), True)
-            for e in node.get("itemListElement") or []:
-                yield from _walk(e.get("item") or e if isinstance(e, dict) else None, True)
-        else:
-            for v in node.values():
-                yield from _walk(v, False, depth + 1)
+def _walk(node, linked: bool, max_depth: int | None = None) -> Iterator[dict]:
+    """Every object in document order, on a stack, so that deep nesting is no recursion."""
+    stack = [(node, 0)]
+    while stack:
+        node, depth = stack.pop()
+        if isinstance(node, list):
+            stack += [(x, depth + 1) for x in reversed(node)]
+        elif isinstance(node, dict) and (linked or max_depth is None or depth <= max_depth):
+            yield node
+            if linked:
+                listed = [e.get("item") or e if isinstance(e, dict) else None for e in node.get("itemListElement") or []]
+                inner = [node.get("@graph"), *listed]
+            else:
+                inner = list(node.values())
+            stack += [(x, depth + 1) for x in reversed(inner)]
+
 
+def json_objects(blocks: DataFrame, page: str, max_depth: int | None = None) -> DataFrame:
+    """``(page, source, block_no, seq, node)`` for every JSON object of a block; malformed blocks give none.
 
-def json_objects(blocks: DataFrame, page: str) -> DataFrame:
-    """``(page, source, block_no, seq, node)`` for every JSON object of a block; malformed blocks give none."""
+    With ``max_depth`` (published: ``MAX_DEPTH``), objects of embedded state that lie deeper are left out.
+    """
     kind = dict(blocks.dtypes)[page]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,7 +124,7 @@ def json_objects(blocks: DataFrame, page: str) -> DataFrame:
                     doc = decoder.raw_decode(block.strip())[0]
                 except ValueError:
                     continue
-                rows += [(pid, source, no, i, _shallow(d)) for i, d in enumerate(_walk(doc, source == "ld"))]
+                rows += [(pid, source, no, i, _shallow(d)) for i, d in enumerate(_walk(doc, source == "ld", max_depth))]
             if rows:
                 yield pd.DataFrame(rows, columns=[page, "source", "block_no", "seq", "node"])
 
@@ -228,32 +236,32 @@ def result_listings(objects: DataFrame, page: str) -> DataFrame:
     )
 
 
-def window_listings(pages: DataFrame, page: str, html: str) -> DataFrame:
-    """One listing per price mark: the attributes found in the text after it.
+def window_listings(pages: DataFrame, page: str, html: str, card_gap: int | None = None, card_window: int | None = None) -> DataFrame:
+    """One listing per price mark: the attributes found in the text after it, up to the page's end.
 
-    Marks closer than 120 characters to the last used one belong to the same card.
+    With ``card_gap`` (published: ``CARD_GAP``), marks closer than so many characters to the last used one belong to the
+    same card; with ``card_window`` (published: ``CARD_WINDOW``), only so many characters of a card are read.
     """
     h = F.col(html)
     marks = F.regexp_extract_all(h, F.lit(PRICE_MARK), F.lit(0))
     gaps = F.split(h, PRICE_MARK)
     empty = F.array().cast("array<struct<at:int,mark:string>>")
+    close = lambda s, x: (F.size(s["used"]) > 0) & (s["pos"] + x["g"] - F.element_at(s["used"], -1)["at"] < card_gap)
     walk = F.aggregate(
         F.transform(marks, lambda m, i: F.struct(m.alias("m"), F.length(F.get(gaps, i)).alias("g"))),
         F.struct(F.lit(0).alias("pos"), empty.alias("used")),
         lambda s, x: F.struct(
             (s["pos"] + x["g"] + F.length(x["m"])).alias("pos"),
-            F.when(
-                (F.size(s["used"]) > 0) & (s["pos"] + x["g"] - F.element_at(s["used"], -1)["at"] < CARD_GAP), s["used"]
-            )
+            F.when(F.lit(False) if card_gap is None else close(s, x), s["used"])
             .otherwise(F.concat(s["used"], F.array(F.struct((s["pos"] + x["g"]).alias("at"), x["m"].alias("mark")))))
             .alias("used"),
         ),
     )["used"]
-    windows = F.transform(
-        walk, lambda u: F.struct(u["mark"].alias("mark"), F.substring(h, u["at"] + 1, F.lit(CARD_WINDOW)).alias("w"))
-    )
-    # fields are picked per window inside one function over the array, so each window is cut once
-    rows = pages.filter(h.rlike(PRICE_MARK)).select(F.col(page), F.posexplode(F.transform(windows, _card)).alias("seq", "c"))
+    cards = pages.filter(h.rlike(PRICE_MARK)).select(F.col(page), h.alias("_h"), F.posexplode(walk).alias("seq", "u"))
+    cut = F.substring(F.col("_h"), F.col("u.at") + 1, F.length("_h") if card_window is None else F.lit(card_window))
+    # a row holds one window, and its fields are picked inside one function, so each window is cut once
+    one = F.array(F.struct(F.col("u.mark").alias("mark"), cut.alias("w")))
+    rows = cards.select(page, "seq", F.get(F.transform(one, _card), F.lit(0)).alias("c"))
     return rows.select(page, F.lit(0).alias("block_no"), "seq", "c.*", F.lit("window").alias("strategy"))
 
 
@@ -290,12 +298,22 @@ def _card(x: Column) -> Column:
 PREFERENCE = {"results": 0, "state": 1, "ld": 2, "window": 3}
 
 
-def extract_listings(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
-    """Listings of each page by its best strategy: the results array when present, else the one with most rows."""
+def extract_listings(
+    pages: DataFrame,
+    page: str = "page_id",
+    html: str = "html",
+    max_depth: int | None = None,
+    card_gap: int | None = None,
+    card_window: int | None = None,
+) -> DataFrame:
+    """Listings of each page by its best strategy: the results array when present, else the one with most rows.
+
+    By default nothing is cut; ``MAX_DEPTH``, ``CARD_GAP`` and ``CARD_WINDOW`` are the published limits.
+    """
     # parsed once and written, because three strategies read the objects and two steps read the rows
-    objects = durable(json_objects(json_blocks(pages, page, html), page))
+    objects = durable(json_objects(json_blocks(pages, page, html), page, max_depth))
     every = result_listings(objects, page)
-    for part in (state_listings(objects, page), linked_listings(objects, page), window_listings(pages, page, html)):
+    for part in (state_listings(objects, page), linked_listings(objects, page), window_listings(pages, page, html, card_gap, card_window)):
         every = every.unionByName(part)
     every = durable(every)
     order = F.create_map(*[F.lit(x) for kv in PREFERENCE.items() for x in kv])[F.col("strategy")]
@@ -306,10 +324,15 @@ def extract_listings(pages: DataFrame, page: str = "page_id", html: str = "html"
     return every.join(best, [page, "strategy"], "left_semi").filter(F.col("price") >= MIN_PRICE)
 
 
-def price_samples(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
-    """Prices per m2 of each page ``(page, strategy, price, m2, pm2)``: embedded state, else linked data, else text pairs."""
+def price_samples(
+    pages: DataFrame, page: str = "page_id", html: str = "html", max_depth: int | None = None, pair: str = PRICE_TO_SIZE
+) -> DataFrame:
+    """Prices per m2 of each page ``(page, strategy, price, m2, pm2)``: embedded state, else linked data, else text pairs.
+
+    ``MAX_DEPTH`` and ``PRICE_PAIR`` give the published limits.
+    """
     lo, hi = PRICE_WINDOWS["sample"]
-    objects = json_objects(json_blocks(pages, page, html, ("ld", "next")), page)
+    objects = json_objects(json_blocks(pages, page, html, ("ld", "next")), page, max_depth)
     j = lambda p: F.get_json_object("node", p)
     state = (
         objects.filter("source = 'next'")
@@ -323,18 +346,18 @@ def price_samples(pages: DataFrame, page: str = "page_id", html: str = "html") -
         F.regexp_replace(j("$.floorSize.value"), "[^0-9.]", "").try_cast("double").alias("m2"),
         F.lit("ld").alias("strategy"),
     ).filter(F.col("m2") > 15)
-    every = state.unionByName(ld).unionByName(price_pairs(pages, page, html).filter(F.col("m2") > 15).withColumn("strategy", F.lit("text")))
+    every = state.unionByName(ld).unionByName(price_pairs(pages, page, html, pair).filter(F.col("m2") > 15).withColumn("strategy", F.lit("text")))
     ok = durable(every.withColumn("pm2", F.try_divide("price", "m2")).filter((F.col("pm2") > lo) & (F.col("pm2") < hi)))
     rank = F.create_map(F.lit("state"), F.lit(0), F.lit("ld"), F.lit(1), F.lit("text"), F.lit(2))[F.col("strategy")]
     best = ok.groupBy(page).agg(F.min(rank).alias("_b"))
     return ok.withColumn("_b", rank).join(best, [page, "_b"], "left_semi").drop("_b")
 
 
-def price_pairs(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
-    """``$price ... size m`` pairs in document order over the whole page."""
+def price_pairs(pages: DataFrame, page: str = "page_id", html: str = "html", pair: str = PRICE_TO_SIZE) -> DataFrame:
+    """``$price ... size m`` pairs in document order over the whole page; ``PRICE_PAIR`` is the published pattern."""
     h = F.col(html)
     pairs = F.arrays_zip(
-        F.regexp_extract_all(h, F.lit(PRICE_PAIR), F.lit(1)).alias("p"), F.regexp_extract_all(h, F.lit(PRICE_PAIR), F.lit(2)).alias("m")
+        F.regexp_extract_all(h, F.lit(pair), F.lit(1)).alias("p"), F.regexp_extract_all(h, F.lit(pair), F.lit(2)).alias("m")
     )
     rows = pages.select(F.col(page), F.explode(pairs).alias("x"))
     return rows.select(page, F.regexp_replace(F.col("x")["p"], ",", "").try_cast("double").alias("price"), F.col("x")["m"].try_cast("double").alias("m2"))

@@ -133,6 +133,29 @@ def test_price_samples(spark):
     assert got == {(1, "ld"): round(2500000 / 120, 2), (2, "state"): 15000.0, (3, "text"): 3333.33, (6, "text"): 37500.0}
 
 
+def test_listings_beyond_the_published_limits(spark):
+    deep = '{"title":"Hondo","price":900000,"location":"Sur","url":"/h"}'
+    for i in range(400):
+        deep = f'{{"a":{deep}}}' if i % 2 else f"[{deep}]"
+    pages = [
+        (1, f'<script id="__NEXT_DATA__" type="application/json">{{"a":{deep}}}</script>'),
+        (2, "<div>$2,500,000 MXN" + "<p>x</p>" * 1000 + "<b>85 m² Construcción</b></div>"),
+        (3, "<li>$1,100,000 MXN 50 m² Construcción</li><li>$1,200,000 MXN 60 m² Construcción</li><li>$1,300,000 MXN 70 m² Construcción</li>"),
+    ]
+    df = spark.createDataFrame(pages, "page_id int, html string")
+    got = sorted((r.page_id, r.price, r.m2_built) for r in H.extract_listings(df).collect())
+    assert got == [(1, 900000.0, None), (2, 2500000.0, 85.0), (3, 1100000.0, 50.0), (3, 1200000.0, 60.0), (3, 1300000.0, 70.0)]
+    limits = {"max_depth": H.MAX_DEPTH, "card_gap": H.CARD_GAP, "card_window": H.CARD_WINDOW}
+    assert sorted((r.page_id, r.price, r.m2_built) for r in H.extract_listings(df, **limits).collect()) == [(2, 2500000.0, None), (3, 1100000.0, 50.0)]
+
+
+def test_price_pairs_beyond_the_published_limit(spark):
+    page = "$4,500,000 MXN" + "." * 20000 + "120 m2 <p>$7,000,000 vendido</p> $3,000,000 100 m"
+    df = spark.createDataFrame([(1, page)], "page_id int, html string")
+    assert [(r.price, r.m2) for r in H.price_pairs(df).collect()] == [(4500000.0, 120.0), (3000000.0, 100.0)]
+    assert [(r.price, r.m2) for r in H.price_pairs(df, pair=H.PRICE_PAIR).collect()] == [(7000000.0, 100.0)]
+
+
 def test_account_rules(spark):
     df = spark.createDataFrame([("u", "z", 2, "late"), ("u", "z", 1, "early"), ("v", "z", 3, "x")], "user_id string, zone string, t int, id string")
     assert {(r.user_id, r.id) for r in A.unique_zone(df, ["t"]).collect()} == {("u", "early"), ("v", "x")}
