@@ -188,6 +188,14 @@ def table_links(fps: DataFrame, table: int, radius: int, segments: int, match: i
     return same.union(near.join(one, "a").join(two, "b").select("x", "y"))
 
 
+def all_links(fps: DataFrame, radius: int, segments: int, match: int, tables: int = 1) -> DataFrame:
+    """``a, b``: links between the fingerprints ``fp`` of ``fps`` by any of its tables."""
+    edges = links(fps.select("fp").distinct(), radius, segments, match)
+    for table in range(1, tables):
+        edges = edges.union(table_links(fps, table, radius, segments, match))
+    return edges
+
+
 def simhash_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -208,10 +216,7 @@ def simhash_groups(
     """
     fps = durable(fingerprints(docs, id_col, text_col, words, tables))
     nodes = fps.groupBy("fp").agg(F.min(id_col).alias("first"))
-    edges = links(nodes.select("fp"), radius, segments, match)
-    for table in range(1, tables):
-        edges = edges.union(table_links(fps, table, radius, segments, match))
-    roots = components(edges)
+    roots = components(all_links(fps, radius, segments, match, tables))
     near = durable(roots.join(nodes, roots["node"] == nodes["fp"]).select("fp", "root", "first"))
     least = near.groupBy("root").agg(F.min("first").alias("linked"))
     moved = near.join(dealt_anew(least, "root"), "root").select("fp", "linked")

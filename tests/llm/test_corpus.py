@@ -245,6 +245,30 @@ def test_near_copies_against_all_pairs(spark):
     assert sum(2 * i + 1 in kept for i in range(60)) <= 3
 
 
+def staying(rows):
+    """Ids that stay: in id order, whatever is no near copy of one that stays."""
+    kept = []
+    for i, text in sorted(rows):
+        if all(jaccard(text, t) < 0.8 for _, t in kept):
+            kept.append((i, text))
+    return {i for i, _ in kept}
+
+
+def test_near_copies_between_0_8_and_0_9(spark):
+    rng, rows = random.Random(31), []
+    for i in range(60):
+        ws = prose(rng, 300).split()
+        rows.append((10 * i, " ".join(ws)))
+        rows.append((10 * i + 1, " ".join(ws + prose(rng, rng.randint(25, 90)).split())))  # appended
+        rows.append((10 * i + 2, " ".join(ws[: rng.randint(220, 280)])))  # cut off
+        for at in rng.sample(range(300), rng.randint(3, 9)):  # scattered
+            ws[at] = f"other{at}"
+        rows.append((10 * i + 3, " ".join(ws)))
+    want = staying(rows)
+    assert 60 < len(want) < 180
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, documents(spark, rows), "").collect()} == want
+
+
 def test_run_over_a_folder(spark, tmp_path):
     rows = [(i, f"{prose(random.Random(i), 90)}", "en", "a") for i in range(30)]
     documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
