@@ -269,6 +269,20 @@ def test_near_copies_between_0_8_and_0_9(spark):
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, documents(spark, rows), "").collect()} == want
 
 
+def test_near_copies_of_members_that_stay(spark):
+    rng, rows = random.Random(32), []
+    ws = prose(rng, 300).split()
+    for i in range(60):  # a chain of drifting copies
+        rows.append((i, " ".join(ws)))
+        ws = ws[3:] + prose(rng, 3).split()
+    page = prose(rng, 100).split()  # two clusters that share a third of their words
+    for i, own in enumerate((prose(rng, 200), prose(rng, 200))):
+        rows += [(100 + 20 * j + i, " ".join([*page, *own.split()[j:]])) for j in range(12)]
+    want = staying(rows)
+    assert len(want) < 20
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, documents(spark, rows), "").collect()} == want
+
+
 def test_run_over_a_folder(spark, tmp_path):
     rows = [(i, f"{prose(random.Random(i), 90)}", "en", "a") for i in range(30)]
     documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
