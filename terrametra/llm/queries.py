@@ -8,12 +8,13 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrametra.llm import bpe, html_text, language, license_scan, mixing, prefix_forest, simhash, substring, token_files, topk
+from terrametra.llm import alignment, bpe, hard_negatives, html_text, language, license_scan, mixing, prefix_forest, simhash, substring, token_files, topk
 from terrametra.llm.words import small_batches
 from terrametra.session import work_path
 
 RANKS = path("byte_bpe_50k.tiktoken")
 TOKENIZER = path("byte_bpe_50k.json")
+PIECES = path("piece_bpe_32k.model")
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -74,6 +75,18 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Byte-level BPE tokens of every whole text against its sentencepiece tokens, with counts over all documents."""
+    return alignment.align(_read(spark, folder, "documents"), (TOKENIZER, PATTERN, PIECES))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every hundredth vector against all others; labels of every seventh vector are moved on by one."""
+    rows = _read(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,6 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_text,
         op9_simhash,
         op10_substring_dedup,
+        op12_tokenizer_alignment,
+        op13_hard_negatives,
         pipeline,
     )
 }
@@ -126,5 +141,26 @@ g AS (
          coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(r, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
+""",
+    "op13_hard_negatives": """
+WITH rows_ AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL),
+parts AS (
+  SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM rows_),
+bad AS (SELECT DISTINCT vec_id FROM parts WHERE x IS NULL OR NOT isfinite(x)),
+whole AS (SELECT vec_id, label, i, floor(256 * x)::BIGINT AS w FROM parts WHERE vec_id NOT IN (SELECT vec_id FROM bad)),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, sum(a.w * c.w)::BIGINT AS score
+  FROM whole a JOIN whole c ON a.i = c.i AND a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0 GROUP BY 1, 2, 3),
+positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ranked AS (
+  SELECT p.*, n.vec_id AS negative_id, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank
+  FROM positive p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same
+    AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
 """,
 }
