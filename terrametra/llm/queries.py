@@ -8,7 +8,7 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrametra.llm import alignment, bpe, hard_negatives, html_text, language, license_scan, mixing, prefix_forest, simhash, substring, token_files, topk
+from terrametra.llm import alignment, bpe, hard_negatives, html_text, language, license_scan, mixing, prefix_forest, set_join, simhash, substring, token_files, topk
 from terrametra.llm.words import small_batches
 from terrametra.session import work_path
 
@@ -75,6 +75,11 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of all documents whose four-word shingles have a Jaccard similarity of 0.85 or more."""
+    return set_join.jaccard_groups(_read(spark, folder, "documents"))
+
+
 def op12_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Byte-level BPE tokens of every whole text against its sentencepiece tokens, with counts over all documents."""
     return alignment.align(_read(spark, folder, "documents"), (TOKENIZER, PATTERN, PIECES))
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_text,
         op9_simhash,
         op10_substring_dedup,
+        op11_jaccard_join,
         op12_tokenizer_alignment,
         op13_hard_negatives,
         pipeline,
