@@ -27,11 +27,11 @@ def build_session(app: str = "terrametra", cores: str = "*", shuffle_partitions:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset, one below the session's warehouse."""
-    folder = spark.conf.get(CHECKPOINT_KEY, None)
-    if not folder:
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/work"
-        spark.conf.set(CHECKPOINT_KEY, folder)
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, one below the session's warehouse.
+
+    The setting cannot be changed in a running session, so it is only read.
+    """
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/work"
     return folder.rstrip("/")
 
 
@@ -46,3 +46,22 @@ def durable(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the shared folder, and its path.
+
+    Unlike a checkpoint, the table has the size of its files and not an estimate that joins multiply; loops need this,
+    since an estimate that is squared in every round soon takes the driver's memory. Only the columns read are scanned.
+    """
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def free(spark: SparkSession, *paths: str) -> None:
+    """Remove written tables that no later step reads."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, canonical
+from terrametra.plans import catalog
 
 FOLDER = os.environ.get("TERRAMETRA_DATA", "/root/testdata/sf0.001")
 SOME = [
@@ -14,7 +15,7 @@ SOME = [
     "radius_count", "entity_resolution", "snapshot_diff", "diffusion_projection", "walk_forward", "street_dossier", "site_selection",
     "listing_tracker", "investment_basket", "fixed_width_verify", "html_listing_extract", "demand_stream", "rate_limit_flags",
 ]
-NAMES = sorted(entry.queries()) if os.environ.get("TERRAMETRA_ALL_QUERIES") else SOME
+NAMES = sorted(catalog.queries()) if os.environ.get("TERRAMETRA_ALL_QUERIES") else SOME
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
@@ -38,7 +39,8 @@ def test_query(spark, duck, name):
 
 
 def test_registry_is_complete():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(catalog.oracles()) == set(catalog.queries())
+    assert set(catalog.queries()) <= set(entry.queries()) and set(catalog.oracles()) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
