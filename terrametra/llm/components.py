@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrametra.session import durable
+from terrametra.session import free, written
 
 
 def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
@@ -21,10 +21,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Nodes are longs; null ends and loops are ignored, repeated edges count once, no edge gives an empty result. A
     node with very many edges meets its minimum by a join that Spark can split; no neighbour list is ever formed.
-    Every round is written to the checkpoint folder, so lineage stays short and a lost executor costs one round.
+    Every round is written to the shared folder, so a lost executor costs one round; the round before is removed.
     """
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
-    now = durable(now)
+    spark, name = edges.sparkSession, "components"
+    now, path = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct(), name)
     seen = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -36,7 +36,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.filter("v > u").join(dealt_anew(low, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = durable(large.union(low.filter("m < u")).distinct())
+        large, between = written(large.union(low.filter("m < u")).distinct(), name)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(dealt_anew(low, "u"), "u")
-        now = durable(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct())
+        before = path
+        now, path = written(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct(), name)
+        free(spark, before, between)

@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from terrametra.llm.components import components, dealt_anew
-from terrametra.llm.shingles import hashes
-from terrametra.llm.words import row_schema, slices
-from terrametra.session import durable
+from terrametra.llm.words import row_schema, slices, word_blocks
+from terrametra.session import durable, free, written
 
 # Bits of a sketch for each element of the smallest set of its band.
 BITS = 2
@@ -32,6 +31,9 @@ LED = 512
 # Rows of one bucket that are held before a part of it is handed on.
 HELD = 1 << 16
 OWN = np.int64(-(1 << 63))
+# Words whose hashes a task remembers; the first ones it sees, among which the frequent ones are.
+MEMO = 1 << 18
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -102,60 +104,69 @@ def set_code(found: np.ndarray) -> int:
     return xxh64_intdigest(found.tobytes(), 77) >> 1
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    return docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), F.hash(text).alias("u")).alias("id"), text.alias("text"))
+class _WordHash(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = xxh64_intdigest(word, 5)
+        if len(self) < MEMO:
+            self[word] = h
+        return h
 
 
-def _distinct(text: str | None, words: int) -> np.ndarray:
-    return hashes(text, words) if text and not text.isspace() else np.zeros(0, np.uint64)
+_HASHES = _WordHash()
 
 
-def sketches(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """``id, n, c, band, own, low`` per row: set size and code, its band, its sketches of this band and of the one below."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Distinct hashes of the text's ``words``-word shingles, A-Z lower-cased; of the whole sequence if it is shorter.
+
+    A shingle's hash is a polynomial in the 64-bit hashes of its words, mixed.
+    """
+    parts = [np.fromiter(map(_HASHES.__getitem__, block), np.uint64, len(block)) for block in word_blocks((text or "").encode().lower())]
+    h = np.concatenate([*parts, np.zeros(0, np.uint64)])
+    n = min(words, len(h))
+    if not n:
+        return h
+    out = np.full(len(h) - n + 1, n, np.uint64)
+    for i in range(n):
+        out = (out ^ (out >> np.uint64(32))) * _ODD + h[i : len(h) - n + 1 + i]
+    out = (out ^ (out >> np.uint64(32))) * _ODD
+    return np.unique(out ^ (out >> np.uint64(29)))
 
-    def run(batches):
-        band = bands(percent)
-        for batch in slices(batches):
-            cols = [[] for _ in range(5)]
-            for text in batch.column(1):
-                found = _distinct(text.as_py(), words)
-                at = band.of(len(found)) if len(found) else -1
-                own = sketch(found, band.scheme(at)[0]) if at >= 0 else []
-                low = sketch(found, band.scheme(at - 1)[0]) if at > 0 else []
-                for c, x in zip(cols, (len(found), set_code(found), at, own, low)):
-                    c.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["id", "n", "c", "band", "own", "low"])
 
-    return rows.mapInArrow(run, row_schema(rows.schema["id"].dataType, "n bigint, c bigint, band int, own array<bigint>, low array<bigint>"))
+def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), F.hash(text).alias("u")).alias("id"), text.alias("text"))
 
 
-def keyed(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """``key, member``: every word key of every set; a member is the set's code, negative in the set's own band.
+def sketches(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """``id, n, c, band, own, low, keys, mine`` per row.
 
-    A task sends equal sets once, so copies cost a row per task and key.
+    The set's size and code, its band, its sketches of this band and of the one below, its word keys in both, and how
+    many of these are of its own band. A task gives the keys of equal sets once, so copies cost a row per task and key.
     """
 
     def run(batches):
-        band, seen = bands(percent), set()
+        at, seen, none = bands(percent), set(), np.zeros(0, np.int64)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 3, pa.int32()]
         for batch in slices(batches, 128):
-            keys, members = [], []
-            for text in batch.column(0):
-                found = _distinct(text.as_py(), words)
-                c = set_code(found)
-                if not len(found) or c in seen:
-                    continue
+            rows = []
+            for text in batch.column(1):
+                found = shingle_hashes(text.as_py(), words)
+                c, band = set_code(found), at.of(len(found)) if len(found) else -1
+                own, low = (sketch(found, at.scheme(b)[0]) if b >= 0 else none for b in (band, band - 1))
+                mine, other = (word_keys(found, b, *at.scheme(b)[1:]) if b >= 0 and c not in seen else none for b in (band, band - 1))
                 seen.add(c)
-                at = band.of(len(found))
-                for b, member in ((at, np.int64(c) | OWN), (at - 1, np.int64(c))):
-                    if b >= 0 and len(k := word_keys(found, b, *band.scheme(b)[1:])):
-                        keys.append(k)
-                        members.append(np.full(len(k), member))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, members)], names=["key", "member"])
+                rows.append((len(found), c, band, own, low, np.concatenate([mine, other]), len(mine)))
+            cols = zip(*rows) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(cols, kinds))], names=["id", "n", "c", "band", "own", "low", "keys", "mine"])
+
+    spec = "n bigint, c bigint, band int, own array<bigint>, low array<bigint>, keys array<bigint>, mine int"
+    return rows.mapInArrow(run, row_schema(rows.schema["id"].dataType, spec))
+
 
-    return rows.select("text").mapInArrow(run, "key bigint, member bigint")
+def keyed(stored: DataFrame) -> DataFrame:
+    """``key, member``: every word key; a member is the set's code, negative where the key is of the set's own band."""
+    member = F.when(F.col("at") < F.col("mine"), F.col("c").bitwiseOR(F.lit(int(OWN)))).otherwise(F.col("c"))
+    return stored.select("c", "mine", F.posexplode("keys").alias("at", "key")).select("key", member.alias("member"))
 
 
 def met(keys: DataFrame) -> DataFrame:
@@ -231,7 +242,7 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, words: int,
 
     def sets(batches):
         for batch in slices(batches):
-            found = [np.sort(_distinct(t.as_py(), words).view(np.int64)) for t in batch.column(1)]
+            found = [np.sort(shingle_hashes(t.as_py(), words).view(np.int64)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["c", "s"])
 
     held = given.mapInArrow(sets, "c bigint, s array<bigint>").dropDuplicates(["c"])
@@ -287,26 +298,43 @@ def _across(opened: DataFrame, classes: DataFrame, percent: int, tile: int = TIL
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     placed = placed.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
 
-    def compare(key, t):
+    order = ["key", "x", "y"]
+
+    def compare(t: pa.Table) -> np.ndarray:
         member, c, root, n, mine = (t[x].to_numpy() for x in ("member", "c", "root", "n", "mine"))
         s = t["s"].combine_chunks()
         bits = s.flatten().to_numpy().reshape(len(s), -1).view(np.uint64)
-        cross = key[1].as_py() != key[2].as_py()
-        found = []
+        cross = t["x"][0].as_py() != t["y"][0].as_py()
+        found = [np.zeros((0, 2), np.int64)]
         for i in np.flatnonzero(member < 0):
-            good = (root != root[i]) & ((member >= 0) | (np.arange(len(c)) > i))
-            if cross:
-                good = (root != root[i]) & ((member >= 0) | (c > c[i])) & (mine != mine[i])
+            # two sets of the band meet once; those of the next band meet only sets of this one
+            good = (root != root[i]) & ((member >= 0) | (c > c[i])) & ((mine != mine[i]) | (not cross))
             good &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
             at = np.flatnonzero(good)
             apart = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
             at = at[apart * (100 + percent) <= (100 - percent) * (n[at] + n[i])]
-            found.append((np.full(len(at), c[i]), c[at]))
-        a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (zip(*found) if found else ((), ())))
-        return pa.table({"a": a, "b": b})
+            found.append(np.column_stack([np.minimum(c[i], c[at]), np.maximum(c[i], c[at])]))
+        return np.concatenate(found)
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+            key, x, y = (held[k].to_numpy() for k in order)
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+            if len(cuts):
+                found = [compare(held.slice(lo, hi - lo)) for lo, hi in zip([0, *cuts], cuts) if hi - lo > 1]
+                yield batch_of(found)
+                held = held.slice(cuts[-1])
+        if held is not None and held.num_rows > 1:
+            yield batch_of([compare(held)])
+
+    def batch_of(found) -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    near = placed.select("key", "x", "y", "member", "c", "root", "n", "s", "mine").groupBy("key", "x", "y").applyInArrow(compare, "a bigint, b bigint")
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = placed.select(*order, "member", "c", "root", "n", "s", "mine").repartition(*order).sortWithinPartitions(*order)
+    return near.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
@@ -319,15 +347,17 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     already, or if sizes or sketches rule a link out. Shingles and sets are told apart by 64-bit and 63-bit hashes. A
     null id stays a row and counts for no minimum; repeated rows stay repeated. Other columns are not read.
     """
+    spark = docs.sparkSession
     rows = _sets(docs, id_col, text_col)
-    stored = durable(sketches(rows, words, percent))
-    classes = stored.filter("n > 0").groupBy("c").agg(F.min("id").alias("rep"), F.min("id.id").alias("first"), *[F.any_value(x).alias(x) for x in ("n", "band", "own", "low")])
-    classes = durable(classes)
-    buckets = durable(met(keyed(rows, words, percent)))
+    stored, _ = written(sketches(rows, words, percent), "sets")
+    parts = [F.any_value(x).alias(x) for x in ("n", "band", "own", "low")]
+    classes, _ = written(stored.filter("n > 0").groupBy("c").agg(F.min("id").alias("rep"), F.min("id.id").alias("first"), *parts), "classes")
+    buckets, of_buckets = written(met(keyed(stored)), "buckets")
     links = durable(verified(may_link(buckets.select("a", "b"), classes, percent), rows, classes, words, percent))
     opened = durable(_open(buckets.filter("key is not null"), links))
     if not opened.isEmpty():
         links = durable(links.union(verified(_across(opened, classes, percent), rows, classes, words, percent)))
+    free(spark, of_buckets)
     roots = components(links)
     near = durable(roots.join(dealt_anew(classes.select(F.col("c").alias("node"), "first"), "node"), "node"))
     least = near.groupBy("root").agg(F.min("first").alias("linked"))
