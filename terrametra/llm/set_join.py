@@ -26,6 +26,9 @@ from terrametra.session import durable, free, written
 BITS = 2
 # Sets that one task compares at a time; larger buckets are cut into tiles.
 TILE = 2048
+# A tile hands on all its pairs up to this many for each member, else the best ones of each member.
+PAIRS = 4
+BEST = 2
 # Members that meet one leading set in a task.
 LED = 512
 # Rows of one bucket that are held before a part of it is handed on.
@@ -285,10 +288,12 @@ def _open(buckets: DataFrame, links: DataFrame) -> DataFrame:
     return placed.join(dealt_anew(mixed, "key"), "key")
 
 
-def _across(opened: DataFrame, classes: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
-    """``a, b``: the pairs of different components that meet in a bucket, one of them in its own band, and may link.
+def _across(opened: DataFrame, classes: DataFrame, percent: int, whole: bool = False, tile: int = TILE) -> DataFrame:
+    """``a, b, more``: pairs of different components that meet in a bucket, one of them in its own band, and may link.
 
-    A bucket is cut into tiles of about ``tile`` members and every two tiles meet, so no task holds a bucket.
+    A bucket is cut into tiles of about ``tile`` members and every two tiles meet, so no task holds a bucket. A tile with
+    more than ``PAIRS`` pairs a member gives the ``BEST`` closest of each member and says that there are ``more``; with
+    ``whole``, all.
     """
     sized = classes.select("c", "n", "own", "low")
     rows = opened.withColumn("c", _code("member")).join(dealt_anew(sized, "c"), "c")
@@ -305,16 +310,25 @@ def _across(opened: DataFrame, classes: DataFrame, percent: int, tile: int = TIL
         s = t["s"].combine_chunks()
         bits = s.flatten().to_numpy().reshape(len(s), -1).view(np.uint64)
         cross = t["x"][0].as_py() != t["y"][0].as_py()
-        found = [np.zeros((0, 2), np.int64)]
+        found, near = [np.zeros((0, 2), np.int64)], []
         for i in np.flatnonzero(member < 0):
             # two sets of the band meet once; those of the next band meet only sets of this one
             good = (root != root[i]) & ((member >= 0) | (c > c[i])) & ((mine != mine[i]) | (not cross))
             good &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
             at = np.flatnonzero(good)
             apart = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
-            at = at[apart * (100 + percent) <= (100 - percent) * (n[at] + n[i])]
-            found.append(np.column_stack([np.minimum(c[i], c[at]), np.maximum(c[i], c[at])]))
-        return np.concatenate(found)
+            kept = apart * (100 + percent) <= (100 - percent) * (n[at] + n[i])
+            found.append(np.column_stack([np.full(kept.sum(), i), at[kept]]))
+            near.append(apart[kept] / (n[at[kept]] + n[i]))
+        found, near = np.concatenate(found), np.concatenate([*near, np.zeros(0)])
+        more = len(found) > PAIRS * len(c) and not whole
+        if more:
+            both = np.concatenate([found, found[:, ::-1]])  # each member's closest first
+            order = np.lexsort((c[both[:, 1]], np.tile(near, 2), both[:, 0]))
+            who = both[order, 0]
+            found = both[order][np.arange(len(who)) - np.searchsorted(who, who) < BEST]
+        i, j = c[found[:, 0]], c[found[:, 1]]
+        return np.column_stack([np.minimum(i, j), np.maximum(i, j), np.full(len(found), more, np.int64)])
 
     def run(batches):
         held = None
@@ -330,11 +344,31 @@ def _across(opened: DataFrame, classes: DataFrame, percent: int, tile: int = TIL
             yield batch_of([compare(held)])
 
     def batch_of(found) -> pa.RecordBatch:
-        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        pairs = np.unique(np.concatenate([np.zeros((0, 3), np.int64), *found]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] > 0)], names=["a", "b", "more"])
 
     near = placed.select(*order, "member", "c", "root", "n", "s", "mine").repartition(*order).sortWithinPartitions(*order)
-    return near.mapInArrow(run, "a bigint, b bigint").distinct()
+    return near.mapInArrow(run, "a bigint, b bigint, more boolean")
+
+
+def _further(buckets: DataFrame, links: DataFrame, check, classes: DataFrame, percent: int) -> DataFrame:
+    """``links`` and what else connects components of ``buckets``, until no pair that may link is left unchecked.
+
+    ``check`` verifies pairs. Crowded tiles give their closest pairs first; those that are linked join components, so
+    most other pairs need no check any more. Once no link is found that way, all pairs left are checked.
+    """
+    whole = False
+    while True:
+        opened = durable(_open(buckets, links))
+        if opened.isEmpty():
+            return links
+        pairs = durable(_across(opened, classes, percent, whole))
+        more = not pairs.filter("more").isEmpty()
+        found = durable(check(pairs.select("a", "b").distinct()))
+        whole = found.isEmpty()
+        links = durable(links.union(found))
+        if not more:
+            return links
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
@@ -353,10 +387,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = [F.any_value(x).alias(x) for x in ("n", "band", "own", "low")]
     classes, _ = written(stored.filter("n > 0").groupBy("c").agg(F.min("id").alias("rep"), F.min("id.id").alias("first"), *parts), "classes")
     buckets, of_buckets = written(met(keyed(stored)), "buckets")
-    links = durable(verified(may_link(buckets.select("a", "b"), classes, percent), rows, classes, words, percent))
-    opened = durable(_open(buckets.filter("key is not null"), links))
-    if not opened.isEmpty():
-        links = durable(links.union(verified(_across(opened, classes, percent), rows, classes, words, percent)))
+
+    def check(pairs: DataFrame) -> DataFrame:
+        return verified(pairs, rows, classes, words, percent)
+
+    links = durable(check(may_link(buckets.select("a", "b"), classes, percent)))
+    links = _further(buckets.filter("key is not null"), links, check, classes, percent)
     free(spark, of_buckets)
     roots = components(links)
     near = durable(roots.join(dealt_anew(classes.select(F.col("c").alias("node"), "first"), "node"), "node"))
