@@ -332,17 +332,22 @@ def listing_export(t: Tables):
     return t.spark.read.option("header", True).option("escape", '"').schema("id bigint, price double, zone string, title string").csv(path)
 
 
-# HTML pages built from the listings: pages of twenty, one of four layouts.
+# HTML pages built from all listings: pages of twenty, one of four layouts.
 def _pages(t: Tables):
-    li = listings(t).filter("m2_built is not null").withColumn("page_id", F.expr("id div 20"))
-    p, m, k = F.col("price").cast("decimal(18,2)").cast("string"), F.col("m2_built").cast("int").cast("string"), F.col("id").cast("string")
+    li = listings(t).withColumn("page_id", F.expr("id div 20"))
+    p, k = F.col("price").cast("decimal(18,2)").cast("string"), F.col("id").cast("string")
+    whole = lambda c: F.col(c).cast("int").cast("string")
     cat = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
-    url = cat("/inmueble-", k)
-    state = cat('{"title":"T ', k, '","price":', p, ',"construction":', m, ',"surface":', m, ',"location":{"city":"', F.col("zone"), '"},"url":"', url, '","bedrooms":', F.col("rooms").cast("string"), '}')
-    ld = cat('{"@type":"House","name":"T ', k, '","url":"', url, '","offers":{"price":"', p, '","priceCurrency":"', F.col("currency"), '"},"floorSize":{"value":"', m, ' m"},"address":{"addressLocality":"', F.col("zone"), '"}}')
-    res = cat('{"idPropiedadesDB":', k, ',"encabezado":"T ]', k, '","precio":"', p, '","moneda":"', F.col("currency"), '","m2C":', m, ',"municipio":"', F.col("zone"), '","urlCorrectaPropiedad":"', url, '","tipoOperacion":"', F.col("operation"), '"}')
+    if_any = lambda c, *x: F.coalesce(cat(*x), F.lit("")) if c is None else F.coalesce(F.when(F.col(c).isNotNull(), cat(*x)), F.lit(""))
+    m, g, rooms, baths = whole("m2_built"), whole("m2_land"), F.col("rooms").cast("string"), F.col("baths").cast("string")
+    url, image = cat("/inmueble-", k), cat("https://img.example/", k, ".jpg")
+    state = cat('{"title":"T ', k, '","price":', p, if_any("m2_built", ',"construction":', m, ',"surface":', m), if_any("m2_land", ',"land_area":', g), ',"location":{"city":"', F.col("zone"), '"},"url":"', url, '","photos":[{"src":"', image, '"}],"parking":', baths, ',"bedrooms":', rooms, '}')
+    ld = cat('{"@type":"House","name":"T ', k, '","url":"', url, '","image":["', image, '"],"offers":{"price":"', p, '","priceCurrency":"', F.col("currency"), '"}', if_any("m2_built", ',"floorSize":{"value":"', m, ' m"}'), ',"address":{"addressLocality":"', F.col("zone"), '"}}')
+    res = cat('{"idPropiedadesDB":', k, ',"encabezado":"T ]', k, '","precio":"', p, '","moneda":"', F.col("currency"), '"', if_any("m2_built", ',"m2C":', m), if_any("m2_land", ',"m2T":', g), ',"estacionamientos":', baths, ',"municipio":"', F.col("zone"), '","estado":"E","pais":"P","fotos":{"propiedadThumbnail":["', image, '"]},"urlCorrectaPropiedad":"', url, '","tipoOperacion":"', F.col("operation"), '"}')
     pad = F.rpad(F.lit("<p>x</p>"), 160, ".")
-    win = cat("<div>Casa en venta <b>$", F.format_number("price", 2), " MXN</b><span>", m, " m² Construcción</span><i>", F.col("rooms").cast("string"), " Rec</i>", pad, "</div>")
+    # a card without rooms on every third id, so that a card that reached into the next one would find them there
+    of_rooms = F.when(F.col("id") % 3 != 0, cat("<i>", rooms, " Rec</i>")).otherwise("")
+    win = cat('<div><a href="', url, '"><img src="', image, '"></a>Casa en venta <b>$', F.format_number("price", 2), " MXN</b>", if_any("m2_built", "<span>", m, " m² Construcción</span>"), if_any("m2_land", "<span>", g, " m² Terreno</span>"), of_rooms, "<i>", baths, " Estac</i><br>+ ", baths, "00 mantenimiento", pad, "</div>")
     one = F.when(F.col("page_id") % 4 == 0, state).when(F.col("page_id") % 4 == 1, ld).when(F.col("page_id") % 4 == 2, res).otherwise(win)
     rows = li.select("page_id", F.struct("id", one.alias("x")).alias("o"))
     # at most twenty listings per page
@@ -360,19 +365,29 @@ def _pages(t: Tables):
 
 @query(
     "html_listing_extract",
-    f"""WITH {LISTINGS} SELECT id // 20 AS page_id, (['state', 'ld', 'results', 'window'])[(id // 20) % 4 + 1] AS strategy, count(*) AS n, round(sum(price), 2) AS price, sum(m2_built)::BIGINT AS m2,
-    sum(CASE WHEN (id // 20) % 4 IN (0, 3) THEN rooms END)::BIGINT AS rooms FROM listings WHERE m2_built IS NOT NULL AND price >= 1000 GROUP BY 1, 2""",
+    f"""WITH {LISTINGS}, l AS (SELECT *, id // 20 AS page_id, (id // 20) % 4 AS k FROM listings WHERE price >= 1000)
+    SELECT page_id, (['state', 'ld', 'results', 'window'])[k + 1] AS strategy, count(*) AS n, round(sum(price), 2) AS price, sum(m2_built)::BIGINT AS m2, sum(CASE WHEN k <> 1 THEN m2_land END)::BIGINT AS land,
+    sum(CASE WHEN k IN (0, 2) THEN NULL WHEN k = 1 THEN NULL WHEN id % 3 <> 0 THEN rooms END)::BIGINT AS card_rooms, sum(CASE WHEN k = 0 THEN rooms END)::BIGINT AS rooms,
+    sum(CASE WHEN k <> 1 THEN baths END)::BIGINT AS parking, sum(CASE WHEN k = 3 THEN 100 * baths END)::BIGINT AS maintenance, sum(CASE WHEN k = 2 THEN id END)::BIGINT AS ids,
+    count(DISTINCT CASE WHEN k IN (1, 2) THEN zone END) AS towns, count(DISTINCT CASE WHEN k = 2 THEN 'E|P' END) AS places, count(DISTINCT 'https://site.example/inmueble-' || id::VARCHAR) AS urls,
+    sum(CASE WHEN k = 3 THEN 0 ELSE id END)::BIGINT AS images, sum(id)::BIGINT AS url_ids FROM l GROUP BY 1, 2""",
 )
 def html_listing_extract(t: Tables):
-    out = H.extract_listings(durable(_pages(t)))
+    out = H.extract_listings(durable(_pages(t)), base="https://site.example")
+    whole = lambda c: F.sum(c).cast("bigint")
+    number = lambda c: F.regexp_extract(c, "([0-9]+)(?:[.]jpg)?$", 1).try_cast("bigint")
+    card = F.col("strategy") == "window"
     return out.groupBy("page_id", "strategy").agg(
-        F.count("*").alias("n"), r(F.sum("price"), 2).alias("price"), F.sum("m2_built").cast("bigint").alias("m2"), F.sum("rooms").cast("bigint").alias("rooms")
+        F.count("*").alias("n"), r(F.sum("price"), 2).alias("price"), whole("m2_built").alias("m2"), whole("m2_land").alias("land"),
+        whole(F.when(card, F.col("rooms"))).alias("card_rooms"), whole(F.when(~card, F.col("rooms"))).alias("rooms"), whole("parking").alias("parking"), whole("maintenance").alias("maintenance"),
+        whole(F.col("id").cast("bigint")).alias("ids"), F.count_distinct("town").alias("towns"), F.count_distinct(F.concat("state", F.lit("|"), "country")).alias("places"), F.count_distinct("url").alias("urls"),
+        whole(F.when(card, F.lit(0)).otherwise(number("image"))).alias("images"), whole(number("url")).alias("url_ids"),
     )
 
 
 @query(
     "html_price_samples",
-    f"""WITH {LISTINGS}, l AS (SELECT id, id // 20 AS page_id, (id // 20) % 4 AS k, CASE WHEN (id // 20) % 4 = 3 THEN floor(price) ELSE price END AS price, m2_built AS m2 FROM listings WHERE (id // 20) % 4 <> 2),
+    f"""WITH {LISTINGS}, l AS (SELECT id, id // 20 AS page_id, (id // 20) % 4 AS k, CASE WHEN (id // 20) % 4 = 3 THEN floor(price) ELSE price END AS price, CASE WHEN (id // 20) % 4 = 3 THEN coalesce(m2_built, m2_land) ELSE m2_built END AS m2 FROM listings WHERE (id // 20) % 4 <> 2),
     s AS (SELECT DISTINCT page_id, price, m2, CASE WHEN k = 0 THEN 0 ELSE id END AS u FROM l WHERE m2 > 15 AND (k <> 3 OR price >= 10000) AND price / m2 > 3000 AND price / m2 < 220000)
     SELECT page_id, count(*) AS samples, round(median(price / m2), 4) AS median_pm2 FROM s GROUP BY 1""",
 )

@@ -37,6 +37,8 @@ KEYS = {
     "m2_land": "terreno|land|land_?area|lot_?size|lot_?area|superficie_?terreno|sup_?terreno|land_?size",
     "rooms": "recamaras|recámaras|habitaciones|bedrooms|rooms|dormitorios|beds",
     "baths": "banos|baños|banios|bathrooms|baths",
+    "parking": "estacionamientos|parking|garages|cocheras|parking_?spaces",
+    "image": "imagen|image|foto|photo|thumbnail|main_?image|cover|images|fotos|photos",
     "kind": "tipo|type|property_?type|tipo_?propiedad|category|categoria",
     "operation": "operacion|operación|operation|tipo_?operacion|transaction|listing_?type",
     "title": "titulo|título|title|name|nombre|headline",
@@ -54,7 +56,21 @@ MAX_DEPTH = 12
 CARD_GAP = 120
 CARD_WINDOW = 4000
 
-FIELDS = ["url", "title", "price", "currency", "location", "m2_built", "m2_land", "rooms", "baths", "kind", "operation", "lat", "lng"]
+CARD_BEFORE = 1500
+
+# Columns of every strategy, with what a strategy lacks as null.
+FIELDS = {
+    "id": "string", "url": "string", "title": "string", "price": "double", "currency": "string", "location": "string",
+    "neighborhood": "string", "town": "string", "state": "string", "country": "string",
+    "m2_built": "double", "m2_land": "double", "rooms": "double", "baths": "double", "parking": "double", "maintenance": "double",
+    "kind": "string", "operation": "string", "image": "string", "affiliate": "string", "lat": "double", "lng": "double",
+}
+TAG = r"</?[A-Za-z][^<>]*>"
+# Elements without an end tag, which open nothing.
+VOID = r"(?is)^<(?:area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr)\b|/>$"
+NO_DETAIL = r"(?i)resultados|pagina|javascript|#|facebook|twitter|whats"
+DETAIL = r"(?i)/[a-z0-9-]{6,}"
+IMAGE = r"""(?i)(https://[^"'\s]+\.(?:jpg|jpeg|png|webp))"""
 
 
 # Block patterns by source; ``next`` is the first framework state block, the others take every match.
@@ -79,18 +95,22 @@ def json_blocks(pages: DataFrame, page: str, html: str, sources: tuple[str, ...]
 
 
 def _shallow(d: dict) -> str:
-    """Scalars of an object and of its direct child objects."""
+    """Scalars of an object and of its direct child objects, and the texts of lists in both."""
     flat = {}
     for k, v in d.items():
         if isinstance(v, dict):
-            flat[k] = {a: b for a, b in v.items() if not isinstance(b, dict | list)}
-        elif isinstance(v, list):
-            flat[k] = [b for b in v if isinstance(b, str)]
+            flat[k] = {a: _strings(b) if isinstance(b, list) else b for a, b in v.items() if not isinstance(b, dict)}
         else:
-            flat[k] = v
+            flat[k] = _strings(v) if isinstance(v, list) else v
     return json.dumps(flat, ensure_ascii=False)
 
 
+def _strings(values: list) -> list[str]:
+    """Texts of a list, and the addresses of the objects in it."""
+    plain = [v.get("url") or v.get("src") if isinstance(v, dict) else v for v in values]
+    return [v for v in plain if isinstance(v, str)]
+
+
 def _walk(node, linked: bool, max_depth: int | None = None) -> Iterator[dict]:
     """Every object in document order, on a stack, so that deep nesting is no recursion."""
     stack = [(node, 0)]
@@ -147,10 +167,20 @@ def _operation(c: Column) -> Column:
 
 def _texts(c: Column) -> Column:
     """A text value, or the text values of a child object joined by commas."""
-    child = F.array_join(F.map_values(F.from_json(c, "map<string,string>")), ", ")
+    child = F.array_join(F.filter(F.map_values(F.from_json(c, "map<string,string>")), lambda v: ~v.startswith("[")), ", ")
     return F.when(c.startswith("{"), child).otherwise(c)
 
 
+def _first(c: Column) -> Column:
+    """A text, or the first text of a list; an object is none."""
+    return F.when(c.startswith("["), F.get_json_object(c, "$[0]")).when(~c.startswith("{"), c)
+
+
+def _whole(fields: dict[str, Column]) -> list[Column]:
+    """All columns of a listing; what is not in ``fields`` is null."""
+    return [(fields[k] if k in fields else F.lit(None)).cast(t).alias(k) for k, t in FIELDS.items()]
+
+
 def state_listings(objects: DataFrame, page: str) -> DataFrame:
     """Embedded objects that look like a listing: a price of at least 1000 and a place or a title."""
     m = F.from_json("node", "map<string,string>")
@@ -159,21 +189,18 @@ def state_listings(objects: DataFrame, page: str) -> DataFrame:
     price = text.first_number(got["price"])
     rows = base.filter((price >= MIN_PRICE) & (got["location"].isNotNull() | got["title"].isNotNull()))
     kind = plain(got["kind"])
-    out = rows.select(
-        page,
-        "block_no",
-        "seq",
-        got["url"].alias("url"),
-        plain(got["title"]).alias("title"),
-        price.alias("price"),
-        F.coalesce(F.nullif(plain(got["currency"]), F.lit("")), F.lit("MXN")).alias("currency"),
-        plain(_texts(got["location"])).alias("location"),
-        *[text.first_number(got[k]).alias(k) for k in ("m2_built", "m2_land", "rooms", "baths")],
-        F.nullif(kind, F.lit("")).alias("kind"),
-        _operation(F.coalesce(F.nullif(plain(got["operation"]), F.lit("")), kind)).alias("operation"),
-        text.first_number(got["lat"]).alias("lat"),
-        text.first_number(got["lng"]).alias("lng"),
-    )
+    fields = {
+        "url": got["url"],
+        "title": plain(got["title"]),
+        "price": price,
+        "currency": F.coalesce(F.nullif(plain(got["currency"]), F.lit("")), F.lit("MXN")),
+        "location": plain(_texts(got["location"])),
+        **{k: text.first_number(got[k]) for k in ("m2_built", "m2_land", "rooms", "baths", "parking", "lat", "lng")},
+        "kind": F.nullif(kind, F.lit("")),
+        "operation": _operation(F.coalesce(F.nullif(plain(got["operation"]), F.lit("")), kind)),
+        "image": _first(got["image"]),
+    }
+    out = rows.select(page, "block_no", "seq", *_whole(fields))
     key = F.coalesce("url", F.concat_ws("|", "title", F.col("price").cast("string"), "location"))
     first = F.struct("block_no", "seq")
     one = out.groupBy(page, key.alias("_k")).agg(F.min_by(F.struct(*[c for c in out.columns if c != page]), first).alias("r"))
@@ -188,25 +215,25 @@ def linked_listings(objects: DataFrame, page: str) -> DataFrame:
     address = F.concat_ws(", ", j("$.address.streetAddress"), j("$.address.addressLocality"), j("$.address.addressRegion"))
     flat = F.when(~j("$.address").startswith("{"), j("$.address"))
     size = F.coalesce(j("$.floorSize.value"), F.when(~j("$.floorSize").startswith("{"), j("$.floorSize")))
-    return base.select(
-        page,
-        "block_no",
-        "seq",
-        F.coalesce(j("$.url"), j("$['@id']")).alias("url"),
-        plain(j("$.name")).alias("title"),
-        price.alias("price"),
-        F.coalesce(j("$.offers.priceCurrency"), F.lit("MXN")).alias("currency"),
-        plain(F.coalesce(flat, address)).alias("location"),
-        text.first_number(size).alias("m2_built"),
-        F.lit(None).cast("double").alias("m2_land"),
-        text.first_number(F.coalesce(j("$.numberOfRooms"), j("$.numberOfBedrooms"))).alias("rooms"),
-        text.first_number(j("$.numberOfBathroomsTotal")).alias("baths"),
-        plain(F.coalesce(j("$.additionalType"), j("$['@type']"))).alias("kind"),
-        F.lit(None).cast("string").alias("operation"),
-        text.first_number(j("$.geo.latitude")).alias("lat"),
-        text.first_number(j("$.geo.longitude")).alias("lng"),
-        F.lit("ld").alias("strategy"),
-    )
+    fields = {
+        "url": F.coalesce(j("$.url"), j("$['@id']")),
+        "title": plain(j("$.name")),
+        "price": price,
+        "currency": F.coalesce(j("$.offers.priceCurrency"), F.lit("MXN")),
+        "location": plain(F.coalesce(flat, address)),
+        "neighborhood": F.lit(None),
+        "town": j("$.address.addressLocality"),
+        "state": j("$.address.addressRegion"),
+        "country": F.coalesce(j("$.address.addressCountry.name"), j("$.address.addressCountry")),
+        "m2_built": text.first_number(size),
+        "rooms": text.first_number(F.coalesce(j("$.numberOfRooms"), j("$.numberOfBedrooms"))),
+        "baths": text.first_number(j("$.numberOfBathroomsTotal")),
+        "kind": plain(F.coalesce(j("$.additionalType"), j("$['@type']"))),
+        "image": _first(j("$.image")),
+        "lat": text.first_number(j("$.geo.latitude")),
+        "lng": text.first_number(j("$.geo.longitude")),
+    }
+    return base.select(page, "block_no", "seq", *_whole(fields), F.lit("ld").alias("strategy"))
 
 
 def result_listings(objects: DataFrame, page: str) -> DataFrame:
@@ -215,83 +242,139 @@ def result_listings(objects: DataFrame, page: str) -> DataFrame:
     n = lambda *p: text.first_number(F.coalesce(*[j(x) for x in p]))
     place = F.concat_ws(", ", *[F.nullif(F.trim(j(x)), F.lit("")) for x in ("calle", "colonia", "municipio", "estado", "pais")])
     rows = objects.filter("source = 'results'").filter(n("precio") >= MIN_PRICE)
-    return rows.select(
-        page,
-        "block_no",
-        "seq",
-        j("urlCorrectaPropiedad").alias("url"),
-        plain(j("encabezado")).alias("title"),
-        n("precio").alias("price"),
-        F.coalesce(j("moneda"), F.lit("MXN")).alias("currency"),
-        F.nullif(place, F.lit("")).alias("location"),
-        n("m2C").alias("m2_built"),
-        n("m2T").alias("m2_land"),
-        n("recamaras").alias("rooms"),
-        n("banos").alias("baths"),
-        F.nullif(plain(F.coalesce(j("tipoPropiedadTrans"), j("tipoPropiedad"))), F.lit("")).alias("kind"),
-        _operation(F.coalesce(j("tipoOperacion"), j("tipoOperacionTrans"), F.lit(""))).alias("operation"),
-        n("lat").alias("lat"),
-        n("lon", "lng").alias("lng"),
-        F.lit("results").alias("strategy"),
-    )
+    photo = F.coalesce(j("fotos.propiedadThumbnail[0]"), j("foto"))
+    fields = {
+        "id": F.coalesce(j("idPropiedadesDB"), j("id")),
+        "url": j("urlCorrectaPropiedad"),
+        "title": plain(j("encabezado")),
+        "price": n("precio"),
+        "currency": F.coalesce(j("moneda"), F.lit("MXN")),
+        "location": F.nullif(place, F.lit("")),
+        **{k: F.nullif(F.trim(j(v)), F.lit("")) for k, v in {"neighborhood": "colonia", "town": "municipio", "state": "estado", "country": "pais"}.items()},
+        "m2_built": n("m2C"),
+        "m2_land": n("m2T"),
+        "rooms": n("recamaras"),
+        "baths": n("banos"),
+        "parking": n("estacionamientos"),
+        "kind": F.nullif(plain(F.coalesce(j("tipoPropiedadTrans"), j("tipoPropiedad"))), F.lit("")),
+        "operation": _operation(F.coalesce(j("tipoOperacion"), j("tipoOperacionTrans"), F.lit(""))),
+        "image": F.when(~photo.startswith("{") & ~photo.startswith("["), photo),
+        "affiliate": F.nullif(plain(j("nombreAfiliado")), F.lit("")),
+        "lat": n("lat"),
+        "lng": n("lon", "lng"),
+    }
+    return rows.select(page, "block_no", "seq", *_whole(fields), F.lit("results").alias("strategy"))
 
 
-def window_listings(pages: DataFrame, page: str, html: str, card_gap: int | None = None, card_window: int | None = None) -> DataFrame:
-    """One listing per price mark: the attributes found in the text after it, up to the page's end.
+def _border(between: Column, last: Column | None = None) -> Column:
+    """Where the text between two price marks leaves the first one's card: ``at`` (characters) and ``low``.
 
-    With ``card_gap`` (published: ``CARD_GAP``), marks closer than so many characters to the last used one belong to the
-    same card; with ``card_window`` (published: ``CARD_WINDOW``), only so many characters of a card are read.
+    One pass over the tags counts how deep the text is below the first mark; ``low`` is the least depth. The next card
+    begins at the last element that opens at that depth, so what a card's own elements hold stays in it. Text whose depth
+    ends at the least one belongs to the first card as a whole. With ``last`` the text ends where the depth falls below
+    it, which is the end of the element around all cards.
+    """
+    tags = F.regexp_extract_all(between, F.lit(TAG), F.lit(0))
+    texts = F.split(between, TAG)
+    steps = F.transform(tags, lambda t, i: F.struct(t.alias("t"), F.length(F.get(texts, i)).alias("n")))
+    move = lambda t: F.when(t.startswith("</"), -1).when(t.rlike(VOID), 0).otherwise(1)
+
+    def step(s: Column, x: Column) -> Column:
+        start, end = s["pos"] + x["n"], s["pos"] + x["n"] + F.length(x["t"])
+        depth = s["depth"] + move(x["t"])
+        opens = (move(x["t"]) == 1) & (s["depth"] == s["low"])
+        at = F.when(opens, start).when(depth < s["low"], end).otherwise(s["at"])
+        over = s["over"] if last is None else F.when(s["over"].isNull() & (depth < last), start).otherwise(s["over"])
+        return F.struct(end.alias("pos"), depth.alias("depth"), F.least(depth, s["low"]).alias("low"), at.alias("at"), over.alias("over"))
+
+    start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("depth"), F.lit(0).alias("low"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("over"))
+    whole = F.length(between)
+    if last is None:
+        return F.aggregate(steps, start, step, lambda s: F.struct(F.when(s["depth"] == s["low"], whole).otherwise(s["at"]).alias("at"), s["low"].alias("low")))
+    return F.aggregate(steps, start, step, lambda s: F.struct(F.coalesce(s["over"], whole).alias("at"), s["low"].alias("low")))
+
+
+def cards(pages: DataFrame, page: str, html: str, card_gap: int | None = None, card_window: int | None = None, card_before: int | None = None) -> DataFrame:
+    """``(page, seq, mark, w, before)`` per card: its price mark, its text from the mark on, and its text before the mark.
+
+    A card ends where the next one begins (``_border``), the last one with the element around the cards, so no text is in
+    two cards and the work grows with the page's length. With ``card_gap``, marks closer than so many characters to the
+    last used one belong to the same card; ``card_window`` and ``card_before`` cut a card's texts.
     """
     h = F.col(html)
-    marks = F.regexp_extract_all(h, F.lit(PRICE_MARK), F.lit(0))
-    gaps = F.split(h, PRICE_MARK)
-    empty = F.array().cast("array<struct<at:int,mark:string>>")
-    close = lambda s, x: (F.size(s["used"]) > 0) & (s["pos"] + x["g"] - F.element_at(s["used"], -1)["at"] < card_gap)
-    walk = F.aggregate(
-        F.transform(marks, lambda m, i: F.struct(m.alias("m"), F.length(F.get(gaps, i)).alias("g"))),
-        F.struct(F.lit(0).alias("pos"), empty.alias("used")),
-        lambda s, x: F.struct(
-            (s["pos"] + x["g"] + F.length(x["m"])).alias("pos"),
-            F.when(F.lit(False) if card_gap is None else close(s, x), s["used"])
-            .otherwise(F.concat(s["used"], F.array(F.struct((s["pos"] + x["g"]).alias("at"), x["m"].alias("mark")))))
-            .alias("used"),
-        ),
-    )["used"]
-    cards = pages.filter(h.rlike(PRICE_MARK)).select(F.col(page), h.alias("_h"), F.posexplode(walk).alias("seq", "u"))
-    cut = F.substring(F.col("_h"), F.col("u.at") + 1, F.length("_h") if card_window is None else F.lit(card_window))
-    # a row holds one window, and its fields are picked inside one function, so each window is cut once
-    one = F.array(F.struct(F.col("u.mark").alias("mark"), cut.alias("w")))
-    rows = cards.select(page, "seq", F.get(F.transform(one, _card), F.lit(0)).alias("c"))
+    cut = pages.filter(h.rlike(PRICE_MARK)).select(F.col(page), F.regexp_extract_all(h, F.lit(PRICE_MARK), F.lit(0)).alias("_m"), F.split(h, PRICE_MARK).alias("_g"))
+    pieces = F.transform("_m", lambda m, i: F.struct(m.alias("m"), F.get("_g", i + 1).alias("g")))
+    cut = cut.select(page, F.get("_g", F.lit(0)).alias("_head"), pieces.alias("_p"))
+    if card_gap is not None:
+        near = lambda s, x: (s["last"] >= 0) & (s["pos"] - s["last"] < card_gap)
+        joined = lambda s, x: F.struct(
+            (s["pos"] + F.length(x["m"]) + F.length(x["g"])).alias("pos"),
+            F.when(near(s, x), s["last"]).otherwise(s["pos"]).alias("last"),
+            F.when(
+                near(s, x),
+                F.concat(F.slice(s["used"], 1, F.size(s["used"]) - 1), F.array(F.struct(F.element_at(s["used"], -1)["m"].alias("m"), F.concat(F.element_at(s["used"], -1)["g"], x["m"], x["g"]).alias("g")))),
+            ).otherwise(F.concat(s["used"], F.array(x))).alias("used"),
+        )
+        start = F.struct(F.length("_head").alias("pos"), F.lit(-1).alias("last"), F.slice("_p", 1, 0).alias("used"))
+        cut = cut.withColumn("_p", F.aggregate("_p", start, joined)["used"])
+    # borders of all cards but the last, which ends below the least depth of the border before it
+    cut = cut.withColumn("_b", F.transform(F.slice("_p", 1, F.size("_p") - 1), lambda p: _border(p["g"])))
+    tail, low = F.element_at("_p", -1)["g"], F.element_at("_b", -1)["low"]
+    cut = cut.withColumn("_b", F.when(F.size("_b") > 0, F.concat("_b", F.array(_border(tail, low)))).otherwise(F.array(F.struct(F.length(tail).alias("at"), F.lit(0).alias("low")))))
+    rest = F.transform("_p", lambda p, i: F.substring(p["g"], F.get("_b", i)["at"] + 1, F.length(p["g"])))
+    own = F.transform("_p", lambda p, i: F.struct(p["m"].alias("mark"), F.concat(p["m"], F.substring(p["g"], F.lit(1), F.get("_b", i)["at"])).alias("w"), i.alias("i")))
+    cut = cut.select(page, F.concat(F.array("_head"), rest).alias("_r"), own.alias("_o"))
+    rows = cut.select(page, F.posexplode(F.transform("_o", lambda o: F.struct(o["mark"].alias("mark"), o["w"].alias("w"), F.get("_r", o["i"]).alias("before")))).alias("seq", "c"))
+    w = F.col("c.w") if card_window is None else F.substring("c.w", 1, card_window)
+    before = F.col("c.before") if card_before is None else F.right("c.before", F.lit(card_before))
+    return rows.select(page, "seq", F.col("c.mark").alias("mark"), w.alias("w"), before.alias("before"))
+
+
+def window_listings(pages: DataFrame, page: str, html: str, card_gap: int | None = None, card_window: int | None = None, card_before: int | None = None) -> DataFrame:
+    """One listing per card (see ``cards``), with the attributes found in the card's own texts."""
+    rows = cards(pages, page, html, card_gap, card_window, card_before)
+    # a row holds one card, and its fields are picked inside one function, so each card is cut once
+    one = F.array(F.struct("mark", "w", "before"))
+    rows = rows.select(page, "seq", F.get(F.transform(one, _card), F.lit(0)).alias("c"))
     return rows.select(page, F.lit(0).alias("block_no"), "seq", "c.*", F.lit("window").alias("strategy"))
 
 
 def _card(x: Column) -> Column:
-    """Listing fields of one card window."""
-    w = x["w"]
+    """Listing fields of one card."""
+    w, before = x["w"], x["before"]
     g = lambda rx, i=1: F.nullif(F.regexp_extract(w, rx, i), F.lit(""))
     num = lambda rx: text.first_number(g(rx))
     kind_rx = r"(Casa|Departamento|Terreno|Local(?:es)?|Oficinas?|Bodega|Edificio|Rancho|Inmueble)([^<>\"]{0,30}?)\s+en\s+(venta|renta)"
-    kind = F.concat(F.coalesce(g(kind_rx), F.lit("")), F.coalesce(g(kind_rx, 2), F.lit("")))
-    pieces = F.transform(F.split(w, "<[^>]+>"), lambda t: F.trim(F.regexp_replace(t, "\\s+", " ")))
+    head = F.when(w.rlike(kind_rx), w).otherwise(before)  # a card's heading may stand before its price
+    said = lambda i: F.nullif(F.regexp_extract(head, kind_rx, i), F.lit(""))
+    kind = F.concat(F.coalesce(said(1), F.lit("")), F.coalesce(said(2), F.lit("")))
     commas = lambda t: F.length(t) - F.length(F.replace(t, F.lit(","), F.lit("")))
-    place = F.get(F.filter(pieces, lambda t: F.length(t).between(9, 169) & (commas(t) >= 2) & ~t.contains("$")), F.lit(0))
-    none = F.lit(None)
+
+    def place(part: Column) -> Column:
+        pieces = F.transform(F.split(part, "<[^>]+>"), lambda t: F.trim(F.regexp_replace(t, "\\s+", " ")))
+        return F.get(F.filter(pieces, lambda t: F.length(t).between(9, 169) & (commas(t) >= 2) & ~t.contains("$")), F.lit(0))
+
+    def detail(part: Column) -> Column:
+        found = F.regexp_extract_all(part, F.lit(r"""(?i)href\s*=\s*["']([^"']+)["']"""), F.lit(1))
+        return F.try_element_at(F.filter(found, lambda a: ~a.rlike(NO_DETAIL) & a.rlike(DETAIL)), F.lit(-1))
+
     fields = {
-        "url": none.cast("string"),
+        "url": F.coalesce(detail(before), detail(w)),
         "title": plain(F.coalesce(g(r"(?i)>([^<>]{15,120})</(?:h\d|a|strong)"), kind)),
         "price": text.first_number(F.regexp_extract(x["mark"], r"([\d.,]+)", 1)),
         "currency": F.regexp_extract(x["mark"], "(MXN|USD)", 1),
-        "location": place,
+        "location": F.coalesce(place(w), place(before)),
         "m2_built": num(NUMBER + r"\s*m²\s*(?:de\s*)?Construcci"),
         "m2_land": num(NUMBER + r"\s*m²\s*(?:de\s*)?Terreno"),
         "rooms": num(NUMBER + r"\s*Rec\b"),
         "baths": num(NUMBER + r"\s*Baño"),
+        "parking": num(NUMBER + r"\s*Estac"),
+        "maintenance": num(r"(?i)\+\s*([\d.,]++)\s*mantenimiento"),
         "kind": F.nullif(plain(kind), F.lit("")),
-        "operation": F.lower(F.coalesce(g(kind_rx, 3), g(r"\ben\s+(venta|renta)\b"))),
-        "lat": none.cast("double"),
-        "lng": none.cast("double"),
+        "operation": F.lower(F.coalesce(said(3), g(r"\ben\s+(venta|renta)\b"))),
+        "image": g(IMAGE),
     }
-    return F.struct(*[v.alias(k) for k, v in fields.items()])
+    return F.struct(*_whole(fields))
 
 
 # Order of preference when strategies find equally many rows.
@@ -305,16 +388,22 @@ def extract_listings(
     max_depth: int | None = None,
     card_gap: int | None = None,
     card_window: int | None = None,
+    card_before: int | None = None,
+    base: str = "",
 ) -> DataFrame:
     """Listings of each page by its best strategy: the results array when present, else the one with most rows.
 
-    By default nothing is cut; ``MAX_DEPTH``, ``CARD_GAP`` and ``CARD_WINDOW`` are the published limits.
+    By default nothing is cut; ``MAX_DEPTH``, ``CARD_GAP``, ``CARD_WINDOW`` and ``CARD_BEFORE`` are the published limits.
+    With ``base``, the site's address, relative addresses of listings become whole ones.
     """
     # parsed once and written, because three strategies read the objects and two steps read the rows
     objects = durable(json_objects(json_blocks(pages, page, html), page, max_depth))
     every = result_listings(objects, page)
-    for part in (state_listings(objects, page), linked_listings(objects, page), window_listings(pages, page, html, card_gap, card_window)):
+    for part in (state_listings(objects, page), linked_listings(objects, page), window_listings(pages, page, html, card_gap, card_window, card_before)):
         every = every.unionByName(part)
+    if base:
+        path = F.concat(F.lit(f"{base.rstrip('/')}/"), F.regexp_replace("url", "^/+", ""))
+        every = every.withColumn("url", F.when(F.col("url").rlike("(?i)^https?:"), F.col("url")).otherwise(path))
     every = durable(every)
     order = F.create_map(*[F.lit(x) for kv in PREFERENCE.items() for x in kv])[F.col("strategy")]
     counts = every.groupBy(page, "strategy").agg(F.count("*").alias("n"))

@@ -122,7 +122,7 @@ def test_listing_extraction(spark):
     assert (len(by[1]), a.strategy, a.price, a.m2_built, a.title, a.location, a.lat) == (1, "ld", 2500000.0, 120.0, "Casa uno", "Roma, CDMX", 19.4)
     assert [(r.strategy, r.price, r.url) for r in by[2]] == [("state", 900000.0, "/d1")]
     w = sorted(by[3], key=lambda r: r.seq)
-    assert [(r.price, r.currency, r.m2_built, r.m2_land, r.operation) for r in w] == [(12500.0, "MXN", 85.0, 300.0, "venta"), (1000000.0, "USD", None, 300.0, None)]  # attributes follow the price
+    assert [(r.price, r.currency, r.m2_built, r.m2_land, r.operation) for r in w] == [(12500.0, "MXN", 85.0, None, "renta"), (1000000.0, "USD", None, 300.0, "venta")]  # each card's own
     assert w[0].location == "Calle 5, Del Valle, CDMX" and w[0].rooms == 2.0 and w[0].baths == 1.0
     assert [(r.strategy, r.price, r.m2_built, r.title, r.operation) for r in by[4]] == [("results", 3000000.0, 150.0, 'A "B" ]', "venta")]
 
@@ -149,6 +149,70 @@ def test_listings_beyond_the_published_limits(spark):
     assert sorted((r.page_id, r.price, r.m2_built) for r in H.extract_listings(df, **limits).collect()) == [(2, 2500000.0, None), (3, 1100000.0, 50.0)]
 
 
+CARDS = [
+    # a sale without rooms, then a rental with seven: the first has none of the second's attributes
+    (1, "<ul><li><a href='/venta-casa-1'>x</a>Casa en venta <b>$2,000,000 MXN</b> 90 m² Construcción" + "<p>.</p>" * 500 + "</li><li><a href='/renta-local-2'>y</a><h2>Local en renta</h2><b>$9,000 MXN</b> 7 Rec 2 Estac + 1,500 mantenimiento <img src='https://a.example/2.jpg'><span>Calle 1, Centro, León</span></li></ul><footer>9 Rec 8 Estac</footer>"),
+    # no elements around the cards: text behind a price is its card's
+    (2, "$1,000,000 MXN 1 Rec $2,000,000 MXN 2 Rec<br>$3,000,000 MXN 3 Rec"),
+    # unclosed elements, void elements, a comment sign in text
+    (3, "<div><p>Casa en venta<br><b>$4,000,000 MXN</b><hr>4 Rec</div><div><p>Casa en renta<input><b>$5,000 MXN</b>5 Rec</div>"),
+    # the place stands before the price, and links that are no details
+    (4, "<div><a href='#top'>t</a><a href='/casa-lomas-4'>c</a><i>Calle 9, Lomas, Puebla</i><b>$6,000,000 MXN</b><a href='/pagina-12345'>p</a></div>"),
+]
+
+
+def test_cards_end_at_the_next_card(spark):
+    rows = H.extract_listings(spark.createDataFrame(CARDS, "page_id int, html string"), base="https://s.example/").collect()
+    got = {(r.page_id, r.price): r for r in rows}
+    one, two = got[1, 2000000.0], got[1, 9000.0]
+    assert (one.operation, one.rooms, one.parking, one.m2_built, one.image, one.maintenance, one.url) == ("venta", None, None, 90.0, None, None, "https://s.example/venta-casa-1")
+    assert (two.operation, two.kind, two.rooms, two.parking, two.maintenance, two.image, two.location) == ("renta", "Local", 7.0, 2.0, 1500.0, "https://a.example/2.jpg", "Calle 1, Centro, León")
+    assert two.url == "https://s.example/renta-local-2"
+    assert [got[2, x * 1e6].rooms for x in (1, 2, 3)] == [1.0, 2.0, 3.0]
+    assert [(got[3, x].operation, got[3, x].rooms) for x in (4e6, 5e3)] == [("venta", 4.0), ("renta", 5.0)]
+    assert (got[4, 6e6].url, got[4, 6e6].location) == ("https://s.example/casa-lomas-4", "Calle 9, Lomas, Puebla")
+
+
+def test_no_text_is_in_two_cards(spark):
+    df = spark.createDataFrame(CARDS, "page_id int, html string")
+    parts = {}
+    for r in sorted(H.cards(df, "page_id", "html").collect(), key=lambda r: r.seq):
+        parts.setdefault(r.page_id, []).append(r)
+    for page, html in CARDS:
+        assert html.startswith("".join(r.before + r.w for r in parts[page]))
+
+
+def test_fields_of_the_other_strategies(spark):
+    pages = [
+        (1, '<script>REP_LOG_APP_PROPS = {"results":[{"idPropiedadesDB":12,"precio":"3000000","colonia":"Roma","municipio":"León","estado":"Gto","pais":"México","estacionamientos":"2","m2T":"200","fotos":{"propiedadThumbnail":["https://a/1.jpg","https://a/2.jpg"]},"nombreAfiliado":"Uno"}]};</script>'),
+        (2, '<script type="application/json">{"l":[{"title":"A","price":900000,"parking":3,"images":[{"src":"https://a/3.jpg"}]},{"title":"B","price":800000,"image":"https://a/4.jpg","address":{"x":"Uno","tags":["no"],"y":"Dos"}}]}</script>'),
+        (3, '<script type="application/ld+json">{"@type":"House","price":700000,"image":["https://a/5.jpg"],"address":{"addressLocality":"León","addressRegion":"Gto","addressCountry":"MX"}}</script>'),
+    ]
+    got = {(r.page_id, r.price): r for r in H.extract_listings(spark.createDataFrame(pages, "page_id int, html string")).collect()}
+    a, b, c, d = got[1, 3e6], got[2, 9e5], got[2, 8e5], got[3, 7e5]
+    assert (a.id, a.neighborhood, a.town, a.state, a.country, a.parking, a.m2_land, a.image, a.affiliate) == ("12", "Roma", "León", "Gto", "México", 2.0, 200.0, "https://a/1.jpg", "Uno")
+    assert (b.parking, b.image) == (3.0, "https://a/3.jpg") and (c.image, c.location) == ("https://a/4.jpg", "Uno, Dos")
+    assert (d.image, d.town, d.state, d.country) == ("https://a/5.jpg", "León", "Gto", "MX")
+
+
+def test_cards_cost_in_proportion_to_the_page(spark):
+    import time
+
+    def cost(marks):
+        card = "<div><a href='/casa-{0}'>c</a>Casa en venta <b>$1,000,00{1} MXN</b><span>90 m² Construcción</span><i>3 Rec</i>" + "<p>text</p>" * 10 + "</div>"
+        page = "".join(card.format(i, i % 10) for i in range(marks))
+        df = spark.createDataFrame([(i, page) for i in range(4)], "page_id int, html string").repartition(4)
+        best = 1e9
+        for _ in range(3):
+            t = time.perf_counter()
+            assert H.window_listings(df, "page_id", "html").filter("rooms = 3").count() == 4 * marks
+            best = min(best, time.perf_counter() - t)
+        return best
+
+    cost(100)
+    assert cost(4000) < 2.6 * cost(2000)
+
+
 def test_price_pairs_beyond_the_published_limit(spark):
     page = "$4,500,000 MXN" + "." * 20000 + "120 m2 <p>$7,000,000 vendido</p> $3,000,000 100 m"
     df = spark.createDataFrame([(1, page)], "page_id int, html string")
