@@ -13,10 +13,10 @@ import hashlib
 import os
 import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +34,8 @@ DICTIONARY_BYTES = 1 << 16
 LEVEL = 3
 MEMO = 3 << 17
 PART = 1 << 20
+# New words that are encoded in one call.
+TOGETHER = 1 << 14
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 _CUT = re.compile(r"\S (?=\S)")
 _FILES: dict = {}
@@ -46,73 +48,85 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
 
 
-class Memo(dict):
-    """Ids of pieces; the first ``MEMO`` pieces are remembered, and frequent ones come early."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.encode(piece)
-        if len(self) < MEMO:
-            self[piece] = ids
-        return ids
-
-
 class Words:
-    """Encodes with the model of a tokenizers file, remembering the ids of words.
+    """Encodes with a tokenizers file, each distinct word of some texts once, and remembers words.
 
     No match of the byte-level pattern holds a blank behind another character, and a blank before a visible character
     always starts one. So a text splits at its blanks into pieces that are encoded alike alone and in place, unless a
-    blank has white space on both sides; such a text is encoded as a whole. A piece of letters is one match; another
-    piece is cut by the pattern, and the file's model merges each match.
+    blank has white space on both sides; such a text, or one with the string of an added token, is encoded as a whole.
+    Pieces are encoded together, joined by blanks again: the tokens that begin with a blank are where pieces begin.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
-        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.merge = self.tokenizer.model.tokenize
-        self.letters = _byte_letters()
-        self.blank = chr(self.letters[32])
-        self.find = regex.compile(PATTERN).findall
-        self.matches = Memo(self._match)
-        self.first = Memo(self._piece)
-        self.later = Memo(self._later)
-
-    def _match(self, match: str) -> list[int]:
-        return [t.id for t in self.merge(match.encode().decode("latin-1").translate(self.letters))]
-
-    def _later(self, piece: str) -> list[int]:
-        """A piece behind a blank: a word, a word and a mark (two matches), or anything else."""
-        if piece.isalpha():
-            return [t.id for t in self.merge(self.blank + piece)] if piece.isascii() else self._match(" " + piece)
-        if piece[:-1].isalpha() and piece[-1] in ".,;:!?":
-            return self.later[piece[:-1]] + self.matches[piece[-1]]
-        return self._piece(" " + piece)
-
-    def _piece(self, piece: str) -> list[int]:
-        return list(chain.from_iterable(map(self.matches.__getitem__, self.find(piece))))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        blank, n = chr(_byte_letters()[32]), self.tokenizer.get_vocab_size()
+        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith(blank) for i in range(n)])
+        self.known: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece behind a blank, as bytes; the first ``MEMO`` pieces are remembered."""
+        found = list(map(self.known.get, pieces))
+        new = [i for i, x in enumerate(found) if x is None]
+        for at in range(0, len(new), TOGETHER):
+            now = new[at : at + TOGETHER]
+            ids = self._whole([" " + " ".join([pieces[i] for i in now])])[0]
+            cuts = np.append(np.flatnonzero(self.begins[ids]), len(ids)) * 4
+            raw = ids.tobytes()
+            for i, lo, hi in zip(now, cuts[:-1], cuts[1:], strict=True):
+                found[i] = raw[lo:hi]
+                if len(self.known) < MEMO:
+                    self.known[pieces[i]] = found[i]
+        return found
+
+    def _split(self, parts: list[str]) -> list[np.ndarray]:
+        """Ids of texts that may be split at their blanks."""
+        lists = pc.split_pattern(pa.array(parts, pa.large_string()), " ")
+        offsets, values = lists.offsets.to_numpy(), lists.flatten()
+        first = np.zeros(len(values), bool)
+        first[offsets[:-1]] = True  # every text has a first piece, which has no blank in front
+        later = values.filter(pa.array(~first)).dictionary_encode()
+        ids = [x.astype("<u4").tobytes() for x in self._whole(values.take(pa.array(offsets[:-1])).to_pylist())]
+        ids += self._pieces(later.dictionary.to_pylist())
+        codes = np.empty(len(values), np.int64)
+        codes[first] = np.arange(len(parts))
+        codes[~first] = later.indices.to_numpy() + len(parts)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        every = flat[np.arange(ends[-1]) + np.repeat(starts[codes] - ends + n, n)]
+        return np.split(every, np.append(0, ends)[offsets[1:-1]])
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of every text, as the library gives them."""
+        parts, out = [], [[] for _ in texts]
+        for i, text in enumerate(texts):
+            at = 0
+            while at < len(text):
+                end = len(text)
+                special = any(s in text for s in self.added)
+                if not special and end - at > PART and (cut := _CUT.search(text, at + PART)):
+                    end = cut.start() + 1
+                part = text[at:end]
+                if special or _UNSAFE.search(part):
+                    out[i] += self._whole([part])
+                else:
+                    parts.append(part)
+                    out[i].append(len(parts) - 1)
+                at = end
+        split = self._split(parts) if parts else []
+        none = np.zeros(0, "<u4")
+        return [np.concatenate([none, *(split[x] if isinstance(x, int) else x for x in found)]) for found in out]
 
     def encode(self, text: str) -> np.ndarray:
-        out, at = [], 0
-        while at < len(text):
-            end = len(text)
-            if end - at > PART and (cut := _CUT.search(text, at + PART)):
-                end = cut.start() + 1
-            part = text[at:end]
-            if _UNSAFE.search(part):
-                out.append(np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4"))
-            else:
-                head, *rest = part.split(" ")
-                found = chain([self.first[head]], map(self.later.__getitem__, rest))
-                out.append(np.fromiter(chain.from_iterable(found), "<u4"))
-            at = end
-        return np.concatenate(out) if out else np.zeros(0, "<u4")
+        return self.encode_all([text])[0]
 
 
 def words(path: str) -> Words:
@@ -153,8 +167,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
 
     def sample(batches):
         code = words(tokenizer)
-        for batch in batches:
-            out = [code.encode(t.as_py()).tobytes()[:SAMPLE_BYTES] for t in batch.column(1)]
+        for batch in slices(batches):
+            out = [ids.tobytes()[:SAMPLE_BYTES] for ids in code.encode_all(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
     shared = train_dictionary([bytes(r.ids) for r in picked.mapInArrow(sample, "ids binary").collect() if r.ids])
@@ -166,8 +180,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
         zip_ = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(shared), write_content_size=True)
         for batch in slices(batches):
             out = []
-            for text in batch.column(1):
-                ids = np.append(code.encode(text.as_py()), np.array([END], "<u4"))
+            for ids in code.encode_all(batch.column(1).to_pylist()):
+                ids = np.append(ids, np.array([END], "<u4"))
                 raw = ids.astype("<u4").tobytes()
                 out.append((len(ids), zlib.crc32(raw), zip_.compress(raw)))
             cols = list(zip(*out)) or [()] * 3

@@ -62,9 +62,8 @@ def test_bpe_chunks_of_random_text():
 def test_token_files_read_back(spark, tmp_path):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    rows = [(i * 3 % 40, t) for i, t in enumerate(TEXTS * 3)] + [(None, "no id")]
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))  # strings of its special tokens in a text are these tokens
+    rows = [(i * 3 % 40, t) for i, t in enumerate(TEXTS * 3)] + [(None, "no id"), (41, "hello <|endoftext|> world"), (42, "x<|endoftext|>")]
     folder = str(tmp_path / "ids")
     token_files.write(documents(spark, rows).repartition(3), folder, P.path("byte_bpe_50k.json"))
     got = token_files.read(spark, folder).collect()
@@ -86,14 +85,21 @@ def test_token_files_read_back(spark, tmp_path):
     assert token_files.read(spark, empty).collect() == []
 
 
-def test_word_memo_equals_the_library():
+def test_words_equal_the_library(monkeypatch):
     from tokenizers import Tokenizer
 
     code, plain, rng = token_files.words(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("byte_bpe_50k.json")), random.Random(2)
     for _ in range(400):
-        text = "".join(rng.choice(["a", "Bc", " ", "  ", "\n", "\t", "'s", "7", "?!", "é", "　", "\xa0", "\x1c"]) for _ in range(rng.randint(0, 40)))
+        text = "".join(rng.choice(["a", "Bc", " ", "  ", "\n", "\t", "'s", "7", "?!", "é", "　", "\xa0", "\x1c", "<|endoftext|>"]) for _ in range(rng.randint(0, 40)))
         assert code.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
     assert zlib.crc32(code.encode("").tobytes()) == 0
+    long = [prose(["lorem", "ipsum,", "Dolor", "x1"], 500, rng) for _ in range(3)]
+    with monkeypatch.context() as m:
+        m.setattr(token_files, "PART", 64)
+        m.setattr(token_files, "TOGETHER", 2)
+        m.setattr(token_files, "MEMO", 3)
+        code.known.clear()
+        assert [x.tolist() for x in code.encode_all([*long, "", " "])] == [plain.encode(t, add_special_tokens=False).ids for t in [*long, "", " "]]
 
 
 def prose(words, n, rng):
