@@ -10,26 +10,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pyarrow as pa
 from public_tokenizers import PATTERN, path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrametra.llm import bpe, language, mixing, shingles, simhash, substring
+from terrametra.llm import bpe, language, mixing, near_copies, substring
 from terrametra.llm.components import dealt_anew
-from terrametra.llm.words import row_schema, slices, small_batches
+from terrametra.llm.words import small_batches
 from terrametra.session import durable, work_path
 
-# Near copies: fingerprints over pairs of words that differ in few bits make groups, five-word shingles decide. Of pairs
-# that differ in 3.5 bits on average (about 2 % of the words changed) six tables miss about 1 %. Two of five segments are
-# some 26 bits, so that documents that have nothing in common rarely meet.
-NEAR = {"words": 2, "radius": 3, "segments": 5, "match": 2, "tables": 6}
-# These only find close pairs. Bands of MinHash values of the shingles find the others: a pair of similarity 0.8 agrees on
-# none of 24 bands of 4 with a chance of 3 in a million, a closer one with less.
-BANDS = {"bands": 24, "rows": 4, "seed": 11}
-SHINGLE = 5
-SIMILAR = 0.8
-
 
 def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -64,139 +53,22 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return _as_given(kept.select("row.*"), docs)
 
 
-def _same(a: str, b: str) -> Column:
-    """Null-safe equality that is no join key, so rows stay dealt by text alone."""
-    return F.coalesce(F.col(a) == F.col(b), F.col(a).isNull() & F.col(b).isNull())
-
-
-def _chosen(rows: DataFrame, held: DataFrame) -> DataFrame:
-    """The rows of ``rows`` (a, b, rest, id, text) that ``held`` (a, b, hid) names; equal rows once."""
-    return rows.join(dealt_anew(held, "a"), ["a", "b"]).filter(_same("id", "hid"))
-
-
-def _shingles(rows: DataFrame) -> DataFrame:
-    """``a, b, s``: the shingle hashes of each text.
-
-    All columns are handed over, so that this and the last step read one and the same exchange of the texts.
-    """
-
-    def run(batches):
-        for batch in slices(batches):
-            out = [shingles.hashes(text.as_py(), SHINGLE).view("i8") for text in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.list_(pa.int64()))], names=["a", "b", "s"])
-
-    given = rows.select("a", "b", F.col("text").cast("string"), "rest", "id")
-    return given.mapInArrow(run, "a bigint, b int, s array<bigint>").dropDuplicates(["a", "b"])
-
-
-def _sketches(rows: DataFrame) -> DataFrame:
-    """``u, n, keys`` per row: the row's ``id, a, b``, its count of shingles, and one MinHash key per band."""
-
-    def run(batches):
-        for batch in slices(batches):
-            found = [shingles.hashes(text.as_py(), SHINGLE) for text in batch.column(1)]
-            cols = [batch.column(0), pa.array([len(h) for h in found], pa.int32()), pa.array([shingles.band_keys(h, **BANDS) for h in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "keys"])
-
-    given = rows.select(F.struct("id", "a", "b").alias("u"), F.col("text").cast("string"))
-    return given.mapInArrow(run, row_schema(given.schema["u"].dataType, "n int, keys array<bigint>")).withColumnRenamed("id", "u")
-
-
-def _buckets(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """``key, a, b, u, n``: buckets of at least two texts that may be near copies, with u the text's first ``id, a, b``.
-
-    Texts share a bucket if they agree on a MinHash band, if they have one SimHash fingerprint, or if they are the first
-    texts of two linked fingerprints.
-    """
-    banded = texts.select(F.explode("keys").alias("key"), "a", "b", "u", "n")
-    units = rows.select(F.struct("id", "a", "b").alias("u"), _text().alias("text"))
-    fps = durable(simhash.fingerprints(units, "u", "text", NEAR["words"], NEAR["tables"]))
-    alike = fps.groupBy("fp", F.col("u.a").alias("a"), F.col("u.b").alias("b")).agg(F.min("u").alias("u"))
-    first = alike.groupBy("fp").agg(F.min("u").alias("u"))
-    linked = simhash.all_links(fps, **{k: v for k, v in NEAR.items() if k != "words"}).filter("a <> b").distinct()
-    ends = linked.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("end"))
-    ends = ends.join(dealt_anew(first.withColumnRenamed("fp", "end"), "end"), "end").select("key", "u")
-    met = ends.union(alike.select(F.xxhash64("fp").alias("key"), "u")).select("key", F.col("u.a").alias("a"), F.col("u.b").alias("b"))
-    met = met.join(dealt_anew(texts.select("a", "b", "u", "n"), "a"), ["a", "b"]).select("key", "a", "b", "u", "n")
-    return durable(_shared(banded.union(met)))
-
-
-def _shared(buckets: DataFrame) -> DataFrame:
-    """The buckets that hold two texts or more."""
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    return buckets.join(dealt_anew(sizes, "key"), "key")
-
-
-def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b, n; fa, fb, fn) whose shingles have a Jaccard similarity of ``SIMILAR`` or more."""
-    close = F.least("n", "fn") >= SIMILAR * F.greatest("n", "fn")  # sets of unlike sizes cannot reach it
-    asked = pairs.filter(close).select("a", "b", "fa", "fb").distinct()
-    mine = asked.join(dealt_anew(sets, "a"), ["a", "b"])
-    theirs = sets.select(F.col("a").alias("fa"), F.col("b").alias("fb"), F.col("s").alias("t"))
-    both = F.size(F.array_intersect("s", "t"))
-    alike = both / (F.size("s") + F.size("t") - both)
-    return mine.join(dealt_anew(theirs, "fa"), ["fa", "fb"]).filter(alike >= SIMILAR).select("a", "b", "fa", "fb")
-
-
-def _gone(buckets: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b`` of the texts that have a near copy with a smaller ``u`` that stays.
-
-    A text that is the first of all its buckets stays, and its near copies among them go; what is left is asked again.
-    Once that no longer halves the pairs that could be asked, the pairs left are compared at once and the same
-    rule runs over those that are near.
-    """
-    out, last = [], None
-    while True:
-        sizes = buckets.groupBy("key").agg(F.count("*").cast("double").alias("m"))
-        pairs = sizes.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0] or 0
-        if not pairs or (last is not None and pairs > last / 2):
-            break
-        last = pairs
-        stay, near = _step(buckets, lambda met: durable(_near(met, sets)))
-        out.append(near)
-        done = stay.select("a", "b").union(near.select("a", "b")).distinct()
-        buckets = durable(_shared(buckets.join(dealt_anew(done, "a"), ["a", "b"], "left_anti")))
-    if pairs:
-        other = buckets.select("key", *[F.col(x).alias(f"f{x}") for x in "abun"])
-        met = buckets.join(dealt_anew(other, "key"), "key").filter("fu < u")
-        near = durable(_near(met, sets))
-        ends = buckets.select("a", "b", "u").distinct()
-        one = near.select(F.xxhash64("a", "b", "fa", "fb").alias("key"), F.explode(F.expr("array(struct(a, b), struct(fa AS a, fb AS b))")).alias("e"))
-        buckets = durable(one.select("key", "e.*").join(dealt_anew(ends, "a"), ["a", "b"]))
-        while not buckets.isEmpty():
-            stay, near = _step(buckets, durable)
-            out.append(near)
-            done = stay.select("a", "b").union(near.select("a", "b")).distinct()
-            buckets = durable(_shared(buckets.join(dealt_anew(done, "a"), ["a", "b"], "left_anti")))
-    return reduce(DataFrame.union, [x.select("a", "b") for x in out]).distinct() if out else buckets.select("a", "b")
-
-
-def _step(buckets: DataFrame, near) -> tuple[DataFrame, DataFrame]:
-    """The texts that are the first of all their buckets, and what ``near`` leaves of the others they share one with."""
-    firsts = buckets.groupBy("key").agg(F.min("u").alias("first"))
-    led = buckets.join(dealt_anew(firsts, "key"), "key")
-    stay = durable(led.groupBy("a", "b").agg(F.min("first").alias("first"), F.min("u").alias("u")).filter("first = u").select("a", "b", "u"))
-    lead = buckets.join(dealt_anew(stay.select("a", "b"), "a"), ["a", "b"]).select("key", *[F.col(x).alias(f"f{x}") for x in buckets.columns if x != "key"])
-    return stay, near(buckets.join(dealt_anew(lead, "key"), "key").filter("fu < u"))
-
-
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without near copies of documents that stay; the one with the smallest id stays, null ids first.
 
     Two texts are near copies if their five-word shingles have a Jaccard similarity of at least 0.8. In the order of their
     ids, a text goes if it is a near copy of one that stays, so no two near copies stay, and what goes has its near copy
-    among what stays. Pairs to compare share a bucket of ``_buckets``. Of equal texts the row with the smallest id
-    stays, and of equal rows one.
+    among what stays. Candidates come from SimHash fingerprints and MinHash bands (``llm.near_copies``). Of equal texts the
+    row with the smallest id stays; of rows that share text and id, the first by their other columns as JSON.
     """
     small_batches(spark)
-    rows = docs.select(F.xxhash64(_text()).alias("a"), F.hash(_text()).alias("b"), _rest(docs), F.col("doc_id").alias("id"), F.col("text"))
-    texts = durable(_sketches(rows).groupBy("u.a", "u.b").agg(F.min("u").alias("u"), F.max("n").alias("n"), F.max("keys").alias("keys")))
-    buckets = _buckets(rows, texts)
-    asked = buckets.select("a", "b", F.col("u.id").alias("hid")).distinct()
-    sets = durable(_shingles(_chosen(rows, asked)))
-    gone = _gone(buckets, sets)
-    kept = texts.join(dealt_anew(gone, "a"), ["a", "b"], "left_anti").select("a", "b", F.col("u.id").alias("hid"))
-    return _as_given(_chosen(rows, kept).dropDuplicates(["a", "b"]).select("rest", "text"), docs)
+    kept = near_copies.staying(docs, F.col("doc_id"), _text())
+    rows = docs.select(F.xxhash64(_text()).alias("a"), F.hash(_text()).alias("b"), _rest(docs), F.col("doc_id"), F.col("text"))
+    # a null-safe comparison that is no join key, so that rows are dealt by text alone
+    same = F.coalesce(F.col("doc_id") == F.col("id"), F.col("doc_id").isNull() & F.col("id").isNull())
+    met = rows.join(dealt_anew(kept, "a"), ["a", "b"]).filter(same)
+    one = met.groupBy("a", "b").agg(F.min_by(F.struct("rest", "text"), F.struct(F.to_json("rest"), "text")).alias("r"))
+    return _as_given(one.select("r.rest", "r.text"), docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
