@@ -1,8 +1,9 @@
 """Grid-bucketed spatial joins.
 
 Every join is an equi-join on grid cells followed by the exact geometric test. The smaller side is spread over
-the cells its reach covers; the larger side sits in one cell per row, and cells that hold too many of its rows are
-split over several tasks. Pairs are reduced by an aggregate right after the test.
+the cells its reach covers; the larger side sits in one cell per row. A cell whose rows would make too many pairs is cut
+into tiles on both sides, so the pairs of one tile stay below a constant. Pairs are reduced by an aggregate right after
+the test.
 """
 
 from __future__ import annotations
@@ -19,9 +20,8 @@ from terrametra.session import durable
 
 KM_PER_DEGREE = geo.EARTH_KM * math.pi / 180.0
 PACKED_LIMIT = 64
-# A cell is hot above this many rows, and above one ten-thousandth of all rows.
-HOT_ROWS = 200_000
-HOT_SHARE = 10_000
+# Pairs of rows that meet in one tile of a cell, about; a tile has at most the square root of it on its longer side.
+TILE_PAIRS = 1 << 25
 
 
 def cell(c: Column, step: float) -> Column:
@@ -33,32 +33,44 @@ def in_cells(df: DataFrame, step: float, lng: str = "lng", lat: str = "lat") ->
     return df.withColumn("_cx", cell(F.col(lng), step)).withColumn("_cy", cell(F.col(lat), step))
 
 
-def cell_join(spread: DataFrame, fixed: DataFrame, on: list[str] | None = None) -> DataFrame:
-    """Join two frames on their cell (and the columns ``on``); hot cells of ``fixed`` are split and ``spread`` repeats only there.
+def cell_join(spread: DataFrame, fixed: DataFrame, on: list[str] | None = None, tile_pairs: int | None = None) -> DataFrame:
+    """Join two frames on their cell (and the columns ``on``), with a bounded number of pairs in each tile.
 
-    Cells above the limit get one salt per limit of rows. Since a hot cell holds more than a ten-thousandth of
-    all rows there are fewer than ten thousand of them, so their list is safe to broadcast; cells that are not
-    hot are neither salted nor repeated.
+    Rows of both sides are counted by cell in one aggregate. Where the product is above ``tile_pairs`` (``TILE_PAIRS``),
+    each side is cut into slices by a hash of the row, and a row is repeated for the slices of the other side, so that
+    any two rows of the cell meet in exactly one tile. Other cells are neither cut nor repeated.
     """
-    counts = fixed.groupBy("_cx", "_cy").agg(F.count("*").alias("_n"))
-    limit = F.greatest(F.lit(float(HOT_ROWS)), F.col("_all") / HOT_SHARE)
-    hot = (
-        counts.withColumn("_all", counts.agg(F.sum("_n")).scalar())
-        .filter(F.col("_n") > limit)
-        .select("_cx", "_cy", F.ceil(F.col("_n") / limit).cast("int").alias("_salts"))
-    )
-    # written once: both sides must see the same salts even if their input is computed again
-    hot = durable(hot)
-    pieces = F.coalesce("_salts", F.lit(1))
-    # the row's own partition is part of the hash, so that copies of one row spread too
-    slot = F.pmod(F.xxhash64(*fixed.columns, F.spark_partition_id()), pieces).cast("int")
-    right = fixed.join(F.broadcast(hot), ["_cx", "_cy"], "left").withColumn("_salt", slot).drop("_salts")
-    left = (
-        spread.join(F.broadcast(hot), ["_cx", "_cy"], "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - 1)))
-        .drop("_salts")
-    )
-    return left.join(right, ["_cx", "_cy", "_salt", *(on or [])]).drop("_cx", "_cy", "_salt")
+    most = tile_pairs or TILE_PAIRS
+    cells = ["_cx", "_cy"]
+    one, none = F.lit(1).alias("_l"), F.lit(0).alias("_l")
+    sizes = spread.select(*cells, one).unionByName(fixed.select(*cells, none)).groupBy(*cells)
+    sizes = sizes.agg(F.sum("_l").alias("_nl"), (F.count("*") - F.sum("_l")).alias("_nr")).filter(F.col("_nl").cast("double") * F.col("_nr") > most)
+    # written once: both sides must see the same slices even if their input is computed again
+    hot = durable(sizes.select(*cells, *tile_counts(F.col("_nl"), F.col("_nr"), most)))
+    if hot.isEmpty():
+        return spread.join(fixed, [*cells, *(on or [])]).drop(*cells)
+
+    def cut(side: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        placed = side.join(hot, cells, "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("_tl", "_tr")})
+        # the row's own partition is part of the hash, so that copies of one row spread too
+        nth = F.pmod(F.xxhash64(*side.columns, F.spark_partition_id()), F.col(own)).cast("int")
+        return placed.withColumn(mine, nth).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_tl", "_tr")
+
+    left, right = cut(spread, "_tl", "_tr", "_i", "_j"), cut(fixed, "_tr", "_tl", "_j", "_i")
+    return left.join(right, [*cells, "_i", "_j", *(on or [])]).drop(*cells, "_i", "_j")
+
+
+def tile_counts(left: Column, right: Column, most: int) -> tuple[Column, Column]:
+    """Slices ``_tl`` and ``_tr`` of a cell's two sides, such that two slices make about ``most`` pairs at most.
+
+    A side that fits whole stays whole, and the other is cut; if neither fits, both are cut to the square root.
+    """
+    edge = math.isqrt(most)
+    alone = F.ceil(left.cast("double") * right / most).cast("int")
+    square = lambda n: F.ceil(n / edge).cast("int")
+    cut_left = F.when(left <= edge, 1).when(right <= edge, alone).otherwise(square(left))
+    cut_right = F.when(left <= edge, alone).when(right <= edge, 1).otherwise(square(right))
+    return cut_left.alias("_tl"), cut_right.alias("_tr")
 
 
 def _cover(df: DataFrame, x0: Column, x1: Column, y0: Column, y1: Column, step: float) -> DataFrame:
@@ -67,6 +79,28 @@ def _cover(df: DataFrame, x0: Column, x1: Column, y0: Column, y1: Column, step:
     return wide.withColumn("_cy", F.explode(F.sequence(cell(y0, step), cell(y1, step))))
 
 
+def _cover_segment(df: DataFrame, seg: str, widen: float, step: float) -> DataFrame:
+    """One row per grid cell that holds a point at most ``widen`` (in each axis) from the segment.
+
+    Column by column, the part of the segment that is near the column gives the rows, so a segment over n cells is placed
+    about 2 n times and not in every cell of its box.
+    """
+    e, slack = F.col(seg), step * 1e-9
+    reach = widen + slack
+    x0, x1 = F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])
+    wide = df.withColumn("_cx", F.explode(F.sequence(cell(x0 - reach, step), cell(x1 + reach, step))))
+    a = F.greatest(x0, F.col("_cx") * step - reach)
+    b = F.least(x1, (F.col("_cx") + 1) * step + reach)
+    slope = F.try_divide(e["y2"] - e["y1"], e["x2"] - e["x1"])
+    at = lambda x: F.coalesce(e["y1"] + (x - e["x1"]) * slope, e["y1"])
+    low, high = F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])
+    steep = F.abs(slope) > 1e9  # as good as upright
+    upright = slope.isNull() | steep
+    y0 = F.when(upright, low).otherwise(F.greatest(low, F.least(at(a), at(b)) - slack))
+    y1 = F.when(upright, high).otherwise(F.least(high, F.greatest(at(a), at(b)) + slack))
+    return wide.withColumn("_cy", F.explode(F.sequence(cell(y0 - reach, step), cell(y1 + reach, step))))
+
+
 def _reach_box(lng: Column, lat: Column, km: float) -> tuple[Column, Column, Column, Column]:
     """Longitude/latitude box that contains the haversine circle of radius ``km``."""
     dlat = km / KM_PER_DEGREE * 1.000001
@@ -259,33 +293,22 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, step: float) -> D
 def polygon_adjacency(shapes: DataFrame, tolerance: float, key: str = "cell_id", closed: bool = True) -> DataFrame:
     """Directed edges ``(src, dst)`` between shapes at most ``tolerance`` degrees apart.
 
-    Shapes are split into edges; an edge is placed in the cells its widened box covers and candidate edge pairs
-    meet in a cell. Each unordered pair is tested once, in the first cell both edges share, boxes before the
-    exact segment distance. With ``closed`` a shape that contains a vertex of another one is adjacent too.
+    Shapes are split into edges; an edge is placed in the cells it crosses, on one side widened by the tolerance, and
+    candidate edge pairs meet in a cell, boxes before the exact segment distance. With ``closed`` a shape that contains a
+    vertex of another one is adjacent too.
     """
     step = max(tolerance * 3, 1e-6)
     segs = shapes.select(F.col(key).alias("id"), F.explode(F.flatten(F.transform("rings", geo.edges))).alias("s"))
 
     def placed(name: str, seg: str, widen: float) -> DataFrame:
-        e = F.col(seg)
-        box = {
-            "x0": F.least(e["x1"], e["x2"]) - widen,
-            "x1": F.greatest(e["x1"], e["x2"]) + widen,
-            "y0": F.least(e["y1"], e["y2"]) - widen,
-            "y1": F.greatest(e["y1"], e["y2"]) + widen,
-        }
-        one = segs.select(F.col("id").alias(name), F.col("s").alias(seg)).select(
-            name, seg, *[v.alias(f"_{seg}{k}") for k, v in box.items()]
-        )
-        low = one.withColumn(f"_{seg}cx", cell(F.col(f"_{seg}x0"), step)).withColumn(f"_{seg}cy", cell(F.col(f"_{seg}y0"), step))
-        return _cover(low, *[F.col(f"_{seg}{k}") for k in ("x0", "x1", "y0", "y1")], step)
+        return _cover_segment(segs.select(F.col("id").alias(name), F.col("s").alias(seg)), seg, widen, step)
 
-    pairs = cell_join(placed("src", "a", tolerance).withColumn("_x", F.col("_cx")).withColumn("_y", F.col("_cy")), placed("dst", "b", 0.0))
-    first_cell = (F.col("_x") == F.greatest("_acx", "_bcx")) & (F.col("_y") == F.greatest("_acy", "_bcy"))
-    boxes = (F.col("_ax0") <= F.col("_bx1")) & (F.col("_bx0") <= F.col("_ax1")) & (F.col("_ay0") <= F.col("_by1")) & (F.col("_by0") <= F.col("_ay1"))
+    pairs = cell_join(placed("src", "a", tolerance), placed("dst", "b", 0.0))
+    a, b = F.col("a"), F.col("b")
+    apart = lambda u, v: F.greatest(F.least(a[u], a[v]), F.least(b[u], b[v])) - F.least(F.greatest(a[u], a[v]), F.greatest(b[u], b[v]))
     half = (
-        pairs.filter((F.col("src") < F.col("dst")) & first_cell & boxes)
-        .filter(geo.segment_gap_sq(F.col("a"), F.col("b")) <= tolerance * tolerance)
+        pairs.filter((F.col("src") < F.col("dst")) & (apart("x1", "x2") <= tolerance) & (apart("y1", "y2") <= tolerance))
+        .filter(geo.segment_gap_sq(a, b) <= tolerance * tolerance)
         .select("src", "dst")
         .distinct()
     )

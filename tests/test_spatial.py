@@ -68,9 +68,9 @@ def test_nearest_within(spark, cloud, sites, metric):
             assert r.near_dist == pytest.approx(best, abs=1e-9)
 
 
-@pytest.mark.parametrize("hot", [200_000, 20])
-def test_radius_pairs_with_a_hot_cell(spark, monkeypatch, cloud, sites, hot):
-    monkeypatch.setattr(X, "HOT_ROWS", hot)
+@pytest.mark.parametrize("pairs", [X.TILE_PAIRS, 20])
+def test_radius_pairs_with_a_hot_cell(spark, monkeypatch, cloud, sites, pairs):
+    monkeypatch.setattr(X, "TILE_PAIRS", pairs)
     centres = table(spark, sites, "s").select("s", F.col("lng").alias("c_lng"), F.col("lat").alias("c_lat"))
     got = {(r.s, r.id) for r in X.radius_pairs(centres, table(spark, cloud), km=0.8).select("s", "id").collect()}
     want = {(k, i) for k, lo, la in sites for i, x, y in cloud if hav(la, lo, y, x) < 0.8}
@@ -184,3 +184,59 @@ def test_gravity(spark):
     rest = sorted([u for u in units if u not in src], key=lambda u: (-u[4], u[0]))[:5]
     want = {t[0]: max(src, key=lambda s: s[3] / (math.hypot(t[1] - s[1], t[2] - s[2]) + 0.1) ** 1.2)[0] for t in rest}
     assert got == want
+
+
+@pytest.mark.parametrize("left,right", [(400, 300), (3, 900), (900, 3)])
+def test_both_sides_in_one_cell(spark, left, right):
+    """Every pair of a cell meets once, and no tile has many more pairs than asked for."""
+    a = spark.range(left).select(F.col("id").alias("a"), F.lit(5).alias("_cx"), F.lit(7).alias("_cy"))
+    b = spark.range(right).select(F.col("id").alias("b"), F.lit(5).alias("_cx"), F.lit(7).alias("_cy"))
+    b = b.unionByName(spark.createDataFrame([(1000, 6, 7)], "b bigint, _cx int, _cy int"))
+    got = X.cell_join(a, b, tile_pairs=500).collect()
+    assert len(got) == left * right == len({(r.a, r.b) for r in got})
+    most = 1 << 25
+    for n, m in ((10, 10), (10**4, 10**4), (10**7, 10**6), (5, 10**9), (10**9, 5)):
+        tl, tr = spark.range(1).select(*X.tile_counts(F.lit(n), F.lit(m), most)).first()
+        assert -(-n // tl) * -(-m // tr) <= 1.01 * most
+        assert n * tr + m * tl <= 4 * (n * m / most**0.5 + n + m)  # rows that are repeated
+
+
+def test_segments_are_placed_where_they_pass(spark):
+    rows = [(0, 0.0, 0.0, 1000.0, 700.0), (1, 3.0, 5.0, 3.0, 900.0), (2, 0.0, 2.0, 800.0, 2.0), (3, 9.5, 9.5, 9.5, 9.5), (4, 10.0, 40.0, 60.0, -30.0)]
+    df = spark.createDataFrame(rows, "id int, x1 double, y1 double, x2 double, y2 double").select("id", F.struct("x1", "y1", "x2", "y2").alias("s"))
+    cells = {}
+    for r in X._cover_segment(df, "s", 0.0, 1.0).collect():
+        cells.setdefault(r.id, set()).add((r["_cx"], r["_cy"]))
+    for i, x1, y1, x2, y2 in rows:
+        passed = {(math.floor(x1 + (x2 - x1) * t / 20000), math.floor(y1 + (y2 - y1) * t / 20000)) for t in range(20001)}
+        assert passed <= cells[i] and len(cells[i]) <= 2.2 * (abs(x2 - x1) + abs(y2 - y1)) + 9
+
+
+@pytest.mark.parametrize("pairs", [X.TILE_PAIRS, 40])
+def test_adjacency_of_long_segments(spark, monkeypatch, pairs):
+    monkeypatch.setattr(X, "TILE_PAIRS", pairs)
+    rng = np.random.default_rng(12)
+    lines = {}
+    for i in range(60):
+        x, y, turn, size = *rng.random(2), rng.random() * 7, rng.random() ** 3 * 0.6
+        lines[i] = [(float(x), float(y)), (float(x + size * math.cos(turn)), float(y + size * math.sin(turn)))]
+    kind = "cell_id int, rings array<array<struct<lng double, lat double>>>"
+    df = spark.createDataFrame([(i, [[p for p in line]]) for i, line in lines.items()], kind)
+    got = {(r.src, r.dst) for r in X.polygon_adjacency(df, 0.004, closed=False).collect()}
+
+    def gap(p, q):
+        def to(pt, seg):
+            (ax, ay), (bx, by) = seg
+            n = (bx - ax) ** 2 + (by - ay) ** 2
+            t = max(0, min(1, ((pt[0] - ax) * (bx - ax) + (pt[1] - ay) * (by - ay)) / n)) if n else 0
+            return math.hypot(pt[0] - ax - t * (bx - ax), pt[1] - ay - t * (by - ay))
+
+        def side(o, u, v):
+            return (u[0] - o[0]) * (v[1] - o[1]) - (u[1] - o[1]) * (v[0] - o[0])
+
+        if side(*p, q[0]) * side(*p, q[1]) < 0 and side(*q, p[0]) * side(*q, p[1]) < 0:
+            return 0.0
+        return min(to(p[0], q), to(p[1], q), to(q[0], p), to(q[1], p))
+
+    want = {(i, j) for i in lines for j in lines if i != j and gap(lines[i], lines[j]) <= 0.004}
+    assert got == want and len(want) > 20
