@@ -65,20 +65,27 @@ def drop_repeats(path: Column, digits: int | None = None) -> Column:
         pts = F.transform(
             pts, lambda p: F.struct(F.bround(p["lng"], digits).alias("lng"), F.bround(p["lat"], digits).alias("lat"))
         )
-    return F.filter(pts, lambda p, i: (i == 0) | (p != F.element_at(pts, F.when(i == 0, F.lit(1)).otherwise(i))))
+
+    def kept(a: Column) -> Column:
+        pairs = F.zip_with(a, F.concat(F.slice(a, 1, 1), a), lambda p, q: F.struct(p.alias("p"), q.alias("q")))  # each with the one before
+        pairs = F.slice(pairs, 1, F.size(a))
+        return F.transform(F.filter(pairs, lambda s, i: (i == 0) | (s["p"] != s["q"])), lambda s: s["p"])
+
+    return once(pts, kept)
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out one time, however often ``use`` refers to it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def edges(ring: Column) -> Column:
     """Consecutive vertex pairs of a ring as array<struct<x1,y1,x2,y2>>."""
-    n = F.size(ring)
-    return F.transform(
-        F.slice(ring, 1, F.greatest(n - 1, F.lit(0))),
-        lambda p, i: F.struct(
-            p["lng"].alias("x1"),
-            p["lat"].alias("y1"),
-            F.get(ring, i + 1)["lng"].alias("x2"),
-            F.get(ring, i + 1)["lat"].alias("y2"),
-        ),
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
+    return F.zip_with(
+        F.slice(ring, 1, n),
+        F.slice(ring, 2, n),
+        lambda p, q: F.struct(p["lng"].alias("x1"), p["lat"].alias("y1"), q["lng"].alias("x2"), q["lat"].alias("y2")),
     )
 
 
@@ -134,19 +141,17 @@ def interior_point(rings: Column) -> Column:
     """A point inside the geometry: the middle of the widest span on the scanline at half height."""
     box = bbox(rings)
     y = (box["y0"] + box["y1"]) / 2 + (box["y1"] - box["y0"]) * 1e-7
-    cuts = F.array_sort(
-        F.transform(
-            F.filter(F.flatten(F.transform(rings, edges)), lambda e: (e["y1"] > y) != (e["y2"] > y)),
-            lambda e: e["x1"] + (y - e["y1"]) * F.try_divide(e["x2"] - e["x1"], e["y2"] - e["y1"]),
-        )
-    )
-    spans = F.transform(
-        F.filter(F.transform(cuts, lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda s: s["i"] % 2 == 0),
-        lambda s: F.struct(
-            (F.get(cuts, s["i"] + 1) - s["c"]).alias("w"), ((F.get(cuts, s["i"] + 1) + s["c"]) / 2).alias("mid")
-        ),
-    )
-    return F.struct(F.array_max(spans)["mid"].alias("lng"), y.alias("lat"))
+
+    def widest(c: Column) -> Column:
+        pairs = F.zip_with(c, F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda u, v: F.struct((v - u).alias("w"), ((v + u) / 2).alias("mid")))
+        return F.array_max(F.filter(pairs, lambda s, i: i % 2 == 0))["mid"]
+
+    def middle(s: Column) -> Column:
+        crossed = F.filter(F.flatten(F.transform(s["rings"], edges)), lambda e: (e["y1"] > s["y"]) != (e["y2"] > s["y"]))
+        cuts = F.array_sort(F.transform(crossed, lambda e: e["x1"] + (s["y"] - e["y1"]) * F.try_divide(e["x2"] - e["x1"], e["y2"] - e["y1"])))
+        return F.struct(once(cuts, widest).alias("lng"), s["y"].alias("lat"))
+
+    return once(F.struct(rings.alias("rings"), y.alias("y")), middle)
 
 
 def segment_gap_sq(a: Column, b: Column) -> Column:

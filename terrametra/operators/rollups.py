@@ -169,6 +169,7 @@ def market_metrics(listings: DataFrame, zone: str = "zone") -> DataFrame:
     )
     value = F.when(kind == "t", F.col("land_pm2_mxn")).otherwise(F.col("pm2_mxn"))
     tagged = listings.select(F.col(zone).alias("zone"), kind.alias("_k"), F.when(value > 0, value).alias("_x")).filter("_k is not null")
+    tagged = durable(tagged)  # read by the medians (twice) and the counts
     med = upper_median(tagged, ["zone", "_k"], "_x", "_m")
     counts = tagged.groupBy("zone", "_k").agg(F.count("*").alias("_n"))
     both = counts.join(med, ["zone", "_k"], "left")

@@ -9,6 +9,7 @@ from terrametra.functions.numeric import EPS, add_min_max, add_zscore, half_even
 from terrametra.operators.ranking import quantile_struct, quantile_value, share_at_or_below
 from terrametra.operators.rollups import grid_rollup
 from terrametra.operators.spatial import queen_sum, radius_count
+from terrametra.session import durable
 
 
 def spatial_lag(cells: DataFrame, edges: DataFrame, value: str, name: str, key: str = "cell_id", by: list[str] | None = None) -> DataFrame:
@@ -89,7 +90,8 @@ def hedonic_gradient(df: DataFrame, km: str, price: str, minimum: int = 40, z: f
     Rows: distance at or below its 0.97 quantile, log price between its 0.02 and 0.98 quantiles. No row when
     fewer than ``minimum`` remain or the distances hardly vary.
     """
-    base = df.select(F.col(km).alias("km"), F.log(F.col(price)).alias("y"))
+    # written once: both quantiles and the fit read it
+    base = durable(df.select(F.col(km).alias("km"), F.log(F.col(price)).alias("y")))
     far = quantile_value(base, "km", 0.97)
     tails = quantile_struct(base, "y", {"lo": 0.02, "hi": 0.98})
     cut = base.withColumn("_far", far).withColumn("_t", tails)
@@ -127,16 +129,11 @@ def _dot(a: Column, b: Column) -> Column:
 def standardize_vectors(df: DataFrame, vector: str, key: str) -> DataFrame:
     """Per-dimension z-scores of an array column (population deviation + 1e-9).
 
-    All means and deviations come from one aggregate with one pair of sums per dimension.
+    Means and deviations come from one aggregate by position, with as many groups as dimensions.
     """
-    dim = df.select(F.size(vector).alias("d")).first()
-    if dim is None:
-        return df.select(key, vector)
-    n = dim["d"]
-    stats = df.agg(
-        F.array(*[F.avg(F.col(vector)[i]) for i in range(n)]).alias("m"),
-        F.array(*[F.stddev_pop(F.col(vector)[i]) for i in range(n)]).alias("s"),
-    )
+    by_place = df.select(F.posexplode(vector).alias("at", "x")).groupBy("at").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    whole = F.array_sort(F.collect_list(F.struct("at", "m", "s")))
+    stats = by_place.agg(whole["m"].alias("m"), whole["s"].alias("s"))
     out = df.withColumn("_st", one_row(stats))
     z = F.transform(F.col(vector), lambda x, i: (x - F.get(F.col("_st")["m"], i)) / (F.get(F.col("_st")["s"], i) + F.lit(EPS)))
     return out.select(key, z.alias(vector))

@@ -45,8 +45,8 @@ def dim_lookup(t: Tables):
     return J.lookup(t.customer, dim, ["c_nationkey"]).groupBy("state").agg(F.count("*").alias("n"))
 
 
-_CUTS = f"""{EST}, w AS (SELECT name, street, okey FROM est WHERE year >= 1997),
-  old AS (SELECT name, street, okey FROM est WHERE year <= 1995),
+_CUTS = f"""{EST}, w AS (SELECT name, street, okey FROM est WHERE year >= 1996),
+  old AS (SELECT name, street, okey FROM est WHERE year <= 1996),
   op AS (SELECT * FROM w ANTI JOIN old USING (name, street)), cl AS (SELECT * FROM old ANTI JOIN w USING (name, street))"""
 
 
@@ -59,7 +59,7 @@ _CUTS = f"""{EST}, w AS (SELECT name, street, okey FROM est WHERE year >= 1997),
 )
 def snapshot_diff(t: Tables):
     e = establishments(t).select(F.initcap("name").alias("name"), "street", "year", "okey")
-    new, old = e.filter("year >= 1997"), e.filter("year <= 1995")
+    new, old = e.filter("year >= 1996"), e.filter("year <= 1996")
     sp = text.all_categories(text.ascii_upper(F.col("name")), {"Hardware": ["BOLT", "GEAR"], "Warm": ["RING", "HOT"]})
     new, old = (d.withColumn("street_txt", F.col("street").cast("string")) for d in (new, old))
     out = J.registry_diff(new, old, "name", "street_txt", sp)
@@ -361,13 +361,13 @@ def before_after_outer(t: Tables):
 
 @query(
     "registry_merge",
-    """WITH a AS (SELECT lower(replace(n_name, '_', '-')) AS slug, n_name AS name, 0 AS p FROM nation WHERE n_regionkey < 3),
-    b AS (SELECT 'nation-' || c_nationkey::VARCHAR AS slug, min(c_name) AS name, 1 AS p FROM customer GROUP BY 1)
+    """WITH a AS (SELECT lower(replace(n_name, '_', '-')) AS slug, n_name AS name, 0 AS p FROM nation),
+    b AS (SELECT 'nation-' || (c_nationkey + 5)::VARCHAR AS slug, min(c_name) AS name, 1 AS p FROM customer GROUP BY 1)
     SELECT slug, arg_min(name, p) AS name FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1""",
 )
 def registry_merge(t: Tables):
-    a = t.nation.filter("n_regionkey < 3").select(text.slug(F.col("n_name")).alias("slug"), F.col("n_name").alias("name"))
-    b = t.customer.select(F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("slug"), F.col("c_name").alias("name"))
+    a = t.nation.select(text.slug(F.col("n_name")).alias("slug"), F.col("n_name").alias("name"))
+    b = t.customer.select(F.concat(F.lit("nation-"), (F.col("c_nationkey") + 5).cast("string")).alias("slug"), F.col("c_name").alias("name"))
     return J.merge_registries([a, b], "slug", "name").select("slug", "name")
 
 

@@ -676,26 +676,27 @@ def tracker_totals(t: Tables):
 
 @query(
     "closures",
-    f"""WITH {_TRACK}, pv AS (SELECT zone, id, day AS closed_on FROM listings WHERE kind = 'terreno'),
+    f"""WITH {_TRACK}, pv AS (SELECT zone, id, day AS closed_on FROM listings),
     keep AS (SELECT zone, id, closed_on FROM pv ANTI JOIN (SELECT * FROM df WHERE status IN ('new', 'reset', 'closed')) USING (zone, id)),
     al AS (SELECT * FROM keep UNION ALL SELECT zone, id, DATE '{TODAY}' FROM df WHERE status = 'closed')
     SELECT zone, id, strftime(closed_on, '%Y-%m-%d') AS closed_on FROM al""",
 )
 def closures(t: Tables):
-    prev = listings(t).filter("kind = 'terreno'").select("zone", "id", F.col("day").alias("closed_on"), "price", F.lit(0).alias("days"))
+    prev = listings(t).select("zone", "id", F.col("day").alias("closed_on"), "price", F.lit(0).alias("days"))
     out = M.closures(prev, _tracked(t), TODAY, ["zone", "id"], "zone")
     return out.select("zone", "id", F.date_format("closed_on", "yyyy-MM-dd").alias("closed_on"))
 
 
-_MT = f"""{LISTINGS}, tr AS (SELECT zone, id, day AS first_seen, price * 0.95e0 AS p, price AS p0 FROM listings WHERE kind <> 'terreno'),
+_MT = f"""{LISTINGS}, tr AS (SELECT zone, CASE WHEN kind = 'terreno' THEN -id ELSE id END AS id, day AS first_seen, price * 0.95e0 AS p, price AS p0 FROM listings),
   mt AS (SELECT l.*, CASE WHEN t.id IS NOT NULL THEN greatest(date_diff('day', t.first_seen, DATE '{TODAY}'), 0)::INT END AS days_listed, t.first_seen = DATE '1995-01-01' AS censored, CASE WHEN t.p0 > 0 AND t.id % 2 = 0 THEN floor((t.p / t.p0 - 1.0e0) * 100.0e0 + 0.5)::BIGINT END AS cut_pct
     FROM listings l LEFT JOIN tr t ON t.zone = l.zone AND t.id = l.id)"""
 
 
 def _market(t: Tables):
     one = F.array(F.struct(F.col("day").alias("at"), F.col("price").alias("from"), (F.col("price") * 0.95).alias("to"))).cast(M.CHANGE)
-    tracker = listings(t).filter("kind <> 'terreno'").select(
-        "zone", "id", F.to_date(F.lit("1995-01-01")).alias("base"), F.to_date(F.lit(TODAY)).alias("act"), F.col("day").alias("first_seen"), (F.col("price") * 0.95).alias("price"),
+    key = F.when(F.col("kind") == "terreno", -F.col("id")).otherwise(F.col("id")).alias("id")  # land is tracked under ids of its own
+    tracker = listings(t).select(
+        "zone", key, F.to_date(F.lit("1995-01-01")).alias("base"), F.to_date(F.lit(TODAY)).alias("act"), F.col("day").alias("first_seen"), (F.col("price") * 0.95).alias("price"),
         F.when(F.col("id") % 2 == 0, one).otherwise(F.array().cast(M.CHANGE)).alias("changes"),
     )
     return J.track_listings(listings(t), tracker, ["zone", "id"])

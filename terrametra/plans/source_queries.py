@@ -277,9 +277,9 @@ def own_rows(t: Tables):
     return A.own_rows(events(t), 8).select("event_id", "zone")
 
 
-@query("favorite_zones", f"WITH {EVENTS} SELECT user_id, zone, arg_min(event_id, (ts, event_id)) AS event_id FROM ev WHERE event = 'signup' GROUP BY 1, 2")
+@query("favorite_zones", f"WITH {EVENTS} SELECT user_id, zone, arg_min(event_id, (ts, event_id)) AS event_id FROM ev GROUP BY 1, 2")
 def favorite_zones(t: Tables):
-    return A.unique_zone(events(t).filter("event = 'signup'").select("user_id", "zone", "ts", "event_id"), ["ts", "event_id"]).select("user_id", "zone", "event_id")
+    return A.unique_zone(events(t).select("user_id", "zone", "ts", "event_id"), ["ts", "event_id"]).select("user_id", "zone", "event_id")
 
 
 @query(

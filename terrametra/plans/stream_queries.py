@@ -120,9 +120,8 @@ def alert_stream(t: Tables):
     fc = j.groupBy(F.concat(F.lit("z"), F.col("c_nationkey").cast("string")).alias("zone")).agg((1 + F.floor(F.avg("o_totalprice") / 1000) / 1000).alias("f")).withColumn("horizon", F.lit(3))
     fc.write.parquet(f"{path}/in")
     stream = t.spark.readStream.schema(fc.schema).parquet(f"{path}/in")
-    table = V.VersionedTable(t.spark, f"{path}/table")
-    V.watch_forecasts(stream, al, table, f"{path}/checkpoint")
-    return table.newest().filter("action is not null").select("id", "action", "last_value")
+    V.watch_forecasts(stream, al, f"{path}/log", f"{path}/checkpoint")
+    return V.alert_states(t.spark, f"{path}/log").select("id", "action", "last_value")
 
 
 @query("resumable_ingest", "SELECT o_orderkey AS key, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS run FROM orders")

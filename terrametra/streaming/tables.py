@@ -1,4 +1,4 @@
-"""Keyed tables that streams keep up to date by rewriting a version per micro-batch."""
+"""Keyed state of streams: a log of changes for alerts, versions of the tracker, a store of unseen records."""
 
 from __future__ import annotations
 
@@ -74,19 +74,35 @@ def track_snapshots(stream: DataFrame, table: VersionedTable, checkpoint: str, k
     _drain(stream, handle, checkpoint)
 
 
-def watch_forecasts(stream: DataFrame, alerts: DataFrame, table: VersionedTable, checkpoint: str) -> None:
-    """Check each forecast batch ``(zone, horizon, f)`` against the alert table and keep the new baselines."""
+def watch_forecasts(stream: DataFrame, alerts: DataFrame, log: str, checkpoint: str) -> None:
+    """Check each forecast batch ``(zone, horizon, f)`` against the alert table and log what it decides.
+
+    The alert table is only read. A micro-batch appends one row per alert that it meets, in a folder of its own, with the
+    baseline that holds from then on; so what is written grows with the forecasts that arrive, not with the table, and a
+    replayed batch leaves one copy. An alert's baseline is that of its newest row in the log, else the table's.
+    """
+    kind = alerts.select("id").schema[0].dataType.simpleString()
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        now = table.read(batch_id - 1).drop("action", "delta", "new_value") if batch_id > 0 else alerts
-        out = M.threshold_alerts(now, batch).select("id", "action", "delta", "new_value", "last_value_next")
-        table.write(
-            now.join(out, "id", "left").withColumn("last_value", F.coalesce("last_value_next", "last_value")).drop("last_value_next"), batch_id
-        )
+        now = alerts
+        if batch_id > 0:
+            moved = alert_states(batch.sparkSession, log, kind, batch_id).select("id", F.col("last_value").alias("_moved"))
+            now = alerts.join(moved, "id", "left").withColumn("last_value", F.coalesce("_moved", "last_value")).drop("_moved")
+        out = M.threshold_alerts(now, batch).select("id", "action", "delta", "new_value", F.col("last_value_next").alias("last_value"))
+        out.write.mode("overwrite").parquet(f"{log.rstrip('/')}/batch={batch_id}")
 
     _drain(stream, handle, checkpoint)
 
 
+def alert_states(spark: SparkSession, log: str, kind: str = "bigint", before: int | None = None) -> DataFrame:
+    """``id, action, delta, new_value, last_value``: the newest row of each alert (ids of type ``kind``) in the log."""
+    rows = spark.read.schema(f"id {kind}, action string, delta double, new_value double, last_value double, batch int").parquet(log)
+    if before is not None:
+        rows = rows.filter(F.col("batch") < before)
+    newest = rows.groupBy("id").agg(F.max_by(F.struct("action", "delta", "new_value", "last_value"), "batch").alias("r"))
+    return newest.select("id", "r.*")
+
+
 def ingest_unseen(stream: DataFrame, store: str, checkpoint: str, key: str = "key") -> None:
     """Append only records whose key the store does not hold.
 

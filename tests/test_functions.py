@@ -139,3 +139,27 @@ def test_drop_repeats_and_mean(spark):
 def test_distance_text(spark):
     r = one(spark, a=text.distance_text(F.lit(1530.0)), b=text.distance_text(F.lit(410.9)), c=text.distance_text(F.lit(None).cast("double")), d=text.distance_text(F.lit(float("nan"))))
     assert r.a.endswith("1.5 km") and r.b.endswith("410 m") and r.c == r.d
+
+
+def test_long_rings_take_linear_time(spark):
+    import time
+
+    n = 20_000
+    ring = [(math.cos(6.283185 * i / n), math.sin(6.283185 * i / n)) for i in range(n)]
+    path = [p for p in ring for _ in range(2)]  # every vertex twice
+    rows = [(1, [[*ring, ring[0]]], path)]
+    df = spark.createDataFrame(rows, "id int, rings array<array<struct<lng double, lat double>>>, path array<struct<lng double, lat double>>")
+    out = df.select(F.size(geo.drop_repeats(F.col("path"))).alias("n"), geo.interior_point(F.col("rings")).alias("p"), geo.ring_centroid(F.col("rings")[0]).alias("c"))
+    out.collect()
+    t = time.perf_counter()
+    r = out.first()
+    assert time.perf_counter() - t < 4  # a quadratic walk takes minutes
+    assert r.n == n and abs(r.p.lng) < 1e-3 and abs(r.c.lng) + abs(r.c.lat) < 1e-6
+
+
+def test_repeats_at_the_edges(spark):
+    rows = [([],), (None,), ([(1.0, 1.0)],), ([(1.0, 1.0), (1.0, 1.0), (2.0, 1.0), (1.0, 1.0)],), ([(0.123456, 0.0), (0.123461, 0.0), (0.2, 0.0)],)]
+    df = spark.createDataFrame(rows, "path array<struct<lng double, lat double>>")
+    plain, rounded = (df.select(geo.drop_repeats(F.col("path"), d).alias("p")).collect() for d in (None, 4))
+    assert [None if r.p is None else len(r.p) for r in plain] == [0, None, 1, 3, 3]
+    assert [tuple(p) for p in rounded[4].p] == [(0.1235, 0.0), (0.2, 0.0)]

@@ -106,17 +106,42 @@ def test_tracker_over_three_runs(spark, tmp_path):
 def test_alert_baselines_move(spark, tmp_path):
     schema = "zone string, horizon int, f double"
     src, ck = str(tmp_path / "in"), str(tmp_path / "ck")
-    table = V.VersionedTable(spark, str(tmp_path / "t"))
+    log = str(tmp_path / "log")
     alerts = spark.createDataFrame([(1, "a", 3, 5.0, True, None)], "id int, zone string, horizon int, threshold double, active boolean, last_value double")
     seen = []
     for i, f in enumerate((1.10, 1.13, 1.20)):
         put(spark, [("a", 3, f)], schema, src, str(i))
-        V.watch_forecasts(stream(spark, src, schema), alerts, table, ck)
-        r = table.read(i).first()
+        V.watch_forecasts(stream(spark, src, schema), alerts, log, ck)
+        r = V.alert_states(spark, log, "int").first()
         seen.append((r.action, r.last_value))
     assert seen == [("baseline", 10.0), ("quiet", 10.0), ("alert", 20.0)]
 
 
+def test_alert_log_grows_with_what_arrives(spark, tmp_path):
+    """Four batches give the alerts of the batch operator step by step, and only alerts that a batch meets are written."""
+    from terrametra.operators import market as M
+
+    schema = "zone string, horizon int, f double"
+    src, ck, log = (str(tmp_path / x) for x in ("in", "ck", "log"))
+    rows = [(i, f"z{i % 50}", 3, 1.0 + i % 4, i % 9 != 0, None if i % 3 else float(i % 40)) for i in range(400)]
+    kind = "id int, zone string, horizon int, threshold double, active boolean, last_value double"
+    alerts = spark.createDataFrame(rows, kind)
+    batches = [[(f"z{z}", 3, 1.0 + (7 * z + 13 * b) % 40 / 1000) for z in range(b, 50, 7)] for b in range(4)]
+    for b, rows_b in enumerate(batches):
+        put(spark, rows_b, schema, src, str(b))
+    one_by_one = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(src)
+    V.watch_forecasts(one_by_one, alerts, log, ck)
+    held, want = {r[0]: r for r in rows}, {}
+    for b, rows_b in enumerate(batches):
+        now = spark.createDataFrame(list(held.values()), kind)
+        found = M.threshold_alerts(now, spark.createDataFrame(rows_b, schema)).collect()
+        for r in found:
+            held[r.id] = (*held[r.id][:5], r.last_value_next)
+            want[r.id] = (r.action, r.last_value_next)
+        assert spark.read.parquet(f"{log}/batch={b}").count() == len(found) < 100
+    assert {r.id: (r.action, r.last_value) for r in V.alert_states(spark, log, "int").collect()} == want
+
+
 def test_ingest_resumes_and_ignores_known_keys(spark, tmp_path):
     schema = "key string, seq bigint"
     src, ck, store = (str(tmp_path / x) for x in ("in", "ck", "store"))
