@@ -96,9 +96,8 @@ def tracker_stream(t: Tables):
     )
     snaps.write.parquet(f"{path}/in")
     stream = t.spark.readStream.schema(snaps.schema).parquet(f"{path}/in")
-    table = V.VersionedTable(t.spark, f"{path}/table")
-    V.track_snapshots(stream, table, f"{path}/checkpoint", ["zone", "id"])
-    out = table.newest()
+    V.track_snapshots(stream, f"{path}/table", f"{path}/checkpoint", ["zone", "id"])
+    out = V.tracker_state(t.spark, f"{path}/table", ["zone", "id"])
     return out.select("zone", "id", "status", "price", F.date_format("first_seen", "yyyy-MM-dd").alias("first_seen"), F.size("changes").alias("changes"))
 
 

@@ -15,59 +15,73 @@ WINDOW_MS = 60_000
 FORM_LIMIT = 12
 ROOM_LIMIT = 260
 
-# A hit has an id and its number; a row without ``hit`` is the window an address has open after the batch.
-STEP = "ip string, hit boolean, hit_id bigint, at_ms bigint, n bigint, until bigint"
+LATENESS_MS = 3_600_000
 
+# A hit has an id and its number, final once the watermark has passed it; a row without ``hit`` is the window an address
+# has open at the watermark, one without address the watermark itself.
+STEP = "ip string, hit boolean, hit_id bigint, at_ms bigint, n bigint, until bigint, final boolean"
+_COLUMNS = [c.split()[0] for c in STEP.split(", ")]
 
-def number_hits(rows: DataFrame, window_ms: int) -> DataFrame:
+
+def number_hits(rows: DataFrame, window_ms: int, mark: int) -> DataFrame:
     """Number hits inside their windows; ``rows(ip, hit, hit_id, at_ms, n, until)`` holds hits and open windows.
 
-    Spark sorts each address by time, so the walk keeps one window end and one counter whatever the number of hits.
+    Spark sorts each address by time, so the walk keeps two windows, the current one and that at the watermark ``mark``,
+    whatever the number of hits. Windows that end before the watermark are not carried on.
     """
 
     def walk(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ip, until, n, last = None, -1, 0, 0
+        ip, until, n, held = None, -1, 0, None
+        frame = lambda out: pd.DataFrame(out, columns=_COLUMNS).astype({"hit_id": "Int64"})
         for chunk in chunks:
             out = []
             for row_ip, hit, hit_id, at, row_n, row_until in chunk.itertuples(index=False, name=None):
                 if row_ip != ip:
-                    if ip is not None:
-                        out.append((ip, False, None, last, n, until))
-                    ip, until, n = row_ip, -1, 0
+                    if held is not None and held[5] >= mark:
+                        out.append(held)
+                    ip, until, n, held = row_ip, -1, 0, None
+                at = int(at)
                 if not hit:
-                    until, n, last = int(row_until), int(row_n), int(at)
-                    continue
-                last = int(at)
-                if n == 0 or last > until:
-                    until, n = last + window_ms, 1
+                    until, n = int(row_until), int(row_n)
+                elif n == 0 or at > until:
+                    until, n = at + window_ms, 1
                 else:
                     n += 1
-                out.append((ip, True, hit_id, last, n, until))
-            yield pd.DataFrame(out, columns=["ip", "hit", "hit_id", "at_ms", "n", "until"]).astype({"hit_id": "Int64"})
-        if ip is not None:
-            yield pd.DataFrame([(ip, False, None, last, n, until)], columns=["ip", "hit", "hit_id", "at_ms", "n", "until"]).astype({"hit_id": "Int64"})
+                if hit:
+                    out.append((ip, True, hit_id, at, n, until, at <= mark))
+                if at <= mark:
+                    held = (ip, False, None, at, n, until, False)
+            yield frame(out)
+        if held is not None and held[5] >= mark:
+            yield frame([held])
 
     order = ["ip", "hit", "at_ms", "hit_id"]  # false first: the open window comes before the hits
-    return rows.repartition("ip").sortWithinPartitions(*order).mapInPandas(walk, STEP)
+    return rows.select(*_COLUMNS[:-1]).repartition("ip").sortWithinPartitions(*order).mapInPandas(walk, STEP)
 
 
-def write_rate_limits(hits: DataFrame, path: str, checkpoint: str, window_ms: int = WINDOW_MS) -> None:
+def write_rate_limits(hits: DataFrame, path: str, checkpoint: str, window_ms: int = WINDOW_MS, lateness_ms: int = LATENESS_MS) -> None:
     """Run a stream of ``hits(ip, hit_id, ts)`` over all available input and store the number of each hit.
 
-    Hits of one micro-batch are taken in order of time, batches in order of arrival; hits without address, id or time
-    do not count. Each batch writes its own folder from that of the batch before, so a replayed batch leaves one copy.
-    A window that ended before all hits of the batch is not carried on.
+    Hits are taken in order of time whatever the micro-batch that brings them, as long as they are not behind the
+    watermark, the newest time so far less ``lateness_ms``: a micro-batch numbers the hits after the watermark again,
+    together with its own, from the windows that were open at the watermark. A hit behind the watermark counts in the
+    window open there, in order of arrival. Hits without address, id or time do not count. Each batch writes its own folder
+    from that of the batch before, which holds the hits of the lateness only, so a replayed batch leaves one copy.
     """
     path = path.rstrip("/")
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         rows = batch.select("ip", F.lit(True).alias("hit"), "hit_id", "at_ms", F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("until"))
+        newest = rows.agg(F.max("at_ms")).first()[0]
+        marks = [] if newest is None else [newest - lateness_ms]
         if batch_id > 0:
-            opened = batch.sparkSession.read.schema(STEP).parquet(f"{path}/batch={batch_id - 1}").filter("not hit")
-            since = rows.agg(F.min("at_ms").alias("since"))
-            live = opened.join(F.broadcast(since), F.col("since").isNull() | (F.col("until") >= F.col("since")), "left_semi")  # one row, null without hits
-            rows = live.unionByName(rows)
-        number_hits(rows, window_ms).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            before = spark.read.schema(STEP).parquet(f"{path}/batch={batch_id - 1}")
+            marks += [r.at_ms for r in before.filter("ip is null").collect()]  # one row
+            rows = before.filter("ip is not null and not final").select(*rows.columns).unionByName(rows)
+        mark = max(marks, default=-(1 << 62))
+        watermark = spark.createDataFrame([(None, False, None, mark, None, None, False)], STEP)
+        number_hits(rows, window_ms, mark).unionByName(watermark).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     keyed = event_time(hits).select("ip", F.col("hit_id").cast("bigint").alias("hit_id"), F.unix_millis("ts").alias("at_ms")).dropna()
     q = keyed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -75,9 +89,13 @@ def write_rate_limits(hits: DataFrame, path: str, checkpoint: str, window_ms: in
 
 
 def rate_limit_flags(spark: SparkSession, path: str, limit: int = FORM_LIMIT) -> DataFrame:
-    """``ip, hit_id, at_ms, n, allowed``: what ``write_rate_limits`` stored, flagged against a limit."""
-    done = spark.read.schema(f"{STEP}, batch int").parquet(path).filter("hit")
-    return done.select("ip", "hit_id", "at_ms", "n", (F.col("n") <= limit).alias("allowed"))
+    """``ip, hit_id, at_ms, n, allowed``: what ``write_rate_limits`` stored, flagged against a limit.
+
+    Numbers behind the watermark are final; those after it are taken from the newest batch.
+    """
+    done = spark.read.schema(f"{STEP}, batch int").parquet(path)
+    newest = done.filter("ip is null").agg(F.max("batch")).scalar()
+    return done.filter(F.col("hit") & (F.col("final") | (F.col("batch") == newest))).select("ip", "hit_id", "at_ms", "n", (F.col("n") <= limit).alias("allowed"))
 
 
 def tumbling_hits(hits: DataFrame, limit: int = FORM_LIMIT, every: str = "1 minute", lateness: str = "1 hour") -> DataFrame:
