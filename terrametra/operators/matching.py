@@ -147,35 +147,46 @@ def resolve_entities(requests: DataFrame, request: str, names: DataFrame, name:
     )
 
 
-def substrings(c: Column) -> Column:
-    """All distinct non-empty substrings; names are short, so this turns containment into an equi-join."""
+GRAM = 3  # characters of a key in the containment join
+
+
+def grams(c: Column, shortest: int = 1) -> Column:
+    """The distinct pieces of ``shortest`` to ``GRAM`` characters: fewer than ``GRAM`` a character."""
     n = F.length(c)
-    every = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(c, i, k)),
-    )
-    return F.when(n > 0, F.array_distinct(F.flatten(every))).otherwise(F.array().cast("array<string>"))
+    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(c, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[of(k) for k in range(shortest, GRAM + 1)]))
+
+
+def containing(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs ``text, part`` of the distinct values of two one-column tables where the text holds the part.
+
+    Each part is looked up by one key, the rarest in the texts of its pieces of ``GRAM`` characters (itself if it is shorter),
+    and each text lies under all its pieces; so rows grow with the length of the names, and a common piece is the key of a
+    part only if all others are as common. Nulls and empty parts are in no text.
+    """
+    t = texts.toDF("text").filter("text <> ''").distinct().select("text", F.explode(grams(F.col("text"))).alias("gram"))
+    keys = F.when(F.length("part") > GRAM, grams(F.col("part"), GRAM)).otherwise(F.array("part"))
+    p = parts.toDF("part").filter("part <> ''").distinct().select("part", F.explode(keys).alias("gram"))
+    found = p.join(t.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
+    rarest = found.groupBy("part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k")).filter("k.n > 0")
+    return t.join(rarest.select("part", F.col("k.gram").alias("gram")), "gram").filter(F.contains("text", "part")).select("text", "part")
 
 
 def partial_name_join(zones: DataFrame, monitor: DataFrame) -> DataFrame:
     """Monitor rows of each zone ``(zone, mun, ent)``: exact municipality, else a partial one.
 
     A state matches when either text contains the other; ``mun='*'`` takes every municipality of a state whose
-    text contains the zone's. Containment is an equi-join on the substrings of the distinct names.
+    text contains the zone's. Containment is a join of the distinct names by their rarest pieces.
     """
     z = zones.select("zone", F.col("mun").alias("z_mun"), F.col("ent").alias("z_ent"))
     names = monitor.select("mun", "ent").distinct()
     ents = names.select("ent").distinct()
-    held = ents.select("ent", F.explode(substrings(F.col("ent"))).alias("z_ent")).join(z, "z_ent").select("zone", "z_mun", "ent", F.lit(True).alias("held"))
-    holds = (
-        z.select("zone", "z_mun", F.explode(substrings(F.col("z_ent"))).alias("ent"))
-        .join(ents, "ent")
-        .select("zone", "z_mun", "ent", F.lit(False).alias("held"))
-    )
+    held = containing(ents, z.select("z_ent")).toDF("ent", "z_ent").join(z, "z_ent").select("zone", "z_mun", "ent", F.lit(True).alias("held"))
+    holds = containing(z.select("z_ent"), ents).toDF("z_ent", "ent").join(z, "z_ent").select("zone", "z_mun", "ent", F.lit(False).alias("held"))
     states = held.unionByName(holds).groupBy("zone", "z_mun", "ent").agg(F.max("held").alias("held"))
     star = names.join(states.filter((F.col("z_mun") == "*") & F.col("held")), "ent").select("zone", "mun", "ent", F.lit(1).alias("rule"))
-    pieces = names.select("mun", "ent", F.explode(substrings(F.col("mun"))).alias("z_mun"))
-    named = pieces.join(states, ["ent", "z_mun"]).select(
+    inside = containing(names.select("mun"), z.select("z_mun")).toDF("mun", "z_mun")
+    named = names.join(inside, "mun").join(states, ["ent", "z_mun"]).select(
         "zone", "mun", "ent", F.when(F.col("mun") == F.col("z_mun"), 1).otherwise(2).alias("rule")
     )
     hits = star.unionByName(named)

@@ -40,6 +40,22 @@ def test_slug_fallback(spark):
     assert got == {1: 1, 2: 2, 3: None}
 
 
+def test_containment_equals_brute_force(spark):
+    import random
+
+    draw = random.Random(5)
+    word = lambda n: "".join(draw.choice("ab é") for _ in range(n))
+    texts = [word(draw.randrange(0, 30)) for _ in range(300)] + [None, "", "ab" * 2_000]
+    parts = [word(draw.randrange(0, 8)) for _ in range(150)] + [t[3:12] for t in texts[:60]] + [None, "", "zzzz", "zab", texts[0]]
+    one = lambda rows: spark.createDataFrame([(r,) for r in rows], "v string")
+    got = J.containing(one(texts + texts[:5]), one(parts)).collect()
+    want = {(t, p) for t in texts if t for p in parts if p and p in t}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    long = spark.createDataFrame([("x" * 50 + str(i) * 950,) for i in range(3)], "v string")
+    rows = long.select(F.size(J.grams(F.col("v"))).alias("n")).agg(F.max("n")).first()[0]
+    assert rows < 3 * 1_000
+
+
 def test_partial_names(spark):
     mon = spark.createDataFrame([("pachuca de soto", "hidalgo", 2), ("leon", "guanajuato", 1), ("leona vicario", "guanajuato", 5), ("a", "ciudad de mexico", 3), ("b", "ciudad de mexico", 4), ("pachuca", "puebla", 5)], "mun string, ent string, level int")
     zones = spark.createDataFrame([("P", "pachuca", "hidalgo"), ("L", "leon", "guanajuato de x"), ("C", "*", "ciudad de mexico"), ("N", "nada", "hidalgo")], "zone string, mun string, ent string")
