@@ -53,6 +53,7 @@ IMPLIED = {
 # A cell line longer than this does not widen its column, so a table's layout stays in proportion to its text.
 COLUMN = 80
 COLUMNS = 1000
+ROWS = 65_534  # the HTML standard's largest row span
 # A quote opens a value only right after "="; any other quote is a plain character, and so is one that is never closed.
 _NAME_VALUE = r"([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(\"[^\"]*+\"|'[^']*+'|[^ \t\n\r\f>]*+))?"
 _ATTR = re.compile(_NAME_VALUE)
@@ -160,13 +161,31 @@ class Flow:
 
 
 class Table:
+    """Rows of cells; a cell that spans rows keeps its columns free in the rows below, up to the end of its row group.
+
+    Columns beyond the thousandth are not kept free, so a row costs no more than that and its own cells.
+    """
+
     def __init__(self):
         self.rows: list[list[list[str]]] = []
+        self.held: dict[int, int] = {}  # column: first row where it is free again
+
+    def row(self) -> None:
+        self.rows.append([])
+
+    def group(self) -> None:
+        self.held.clear()
 
-    def cell(self, lines: list[str], span: int) -> None:
+    def cell(self, lines: list[str], columns: int, rows: int = 1) -> None:
         if not self.rows:
-            self.rows.append([])
-        self.rows[-1] += [lines] + [[]] * (span - 1)
+            self.row()
+        row = self.rows[-1]
+        while self.held.get(len(row), 0) >= len(self.rows):
+            row.append([])
+        if rows > 1:
+            for column in range(len(row), min(len(row) + columns, COLUMNS)):
+                self.held[column] = len(self.rows) + rows - 1
+        row += [lines] + [[]] * (columns - 1)
 
     def layout(self) -> list[str]:
         """Rows with cells padded to their column; the last cell of a row is not padded."""
@@ -195,7 +214,7 @@ class Renderer:
         self.tables: list[Table] = []
         self.lists: list[list] = []
         self.pre = 0
-        self.spans: list[int] = []
+        self.spans: list[tuple[int, int]] = []
 
     def within(self, names) -> bool:
         return any(self.counts[-1][n] for n in names)
@@ -294,10 +313,13 @@ class Renderer:
         elif name == "hr":
             flow.block(1)
         elif name == "tr" and self.tables:
-            self.tables[-1].rows.append([])
+            self.tables[-1].row()
+        elif name in ("tbody", "thead", "tfoot") and self.tables:
+            self.tables[-1].group()
         elif name in ("td", "th") and self.tables:
-            span = re.search(r"colspan\s*=\s*[\"']?\s*(\d+)", attributes, re.I)
-            self.spans.append(min(max(int(span[1][:6]) if span else 1, 1), COLUMNS))
+            columns, rows = (re.search(rf"{side}span\s*=\s*[\"']?\s*(\d+)", attributes, re.I) for side in ("col", "row"))
+            down = int(rows[1][:6]) or ROWS if rows else 1  # zero: to the end of the group
+            self.spans.append((min(max(int(columns[1][:6]) if columns else 1, 1), COLUMNS), min(down, ROWS)))
             self.flows.append(Flow())
         elif name in BLOCK:
             nested = name in ("ul", "ol", "menu", "dir") and self.lists
@@ -321,7 +343,7 @@ class Renderer:
         flow = self.flows[-1]
         if name in ("td", "th") and self.tables and len(self.flows) > 1:
             self.flows.pop()
-            self.tables[-1].cell(flow.done(), self.spans.pop())
+            self.tables[-1].cell(flow.done(), *self.spans.pop())
         elif name == "table":
             flow.line()
             for line in self.tables.pop().layout():
@@ -370,6 +392,7 @@ def visible_text(page: str | None) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``<id_col>, text`` per row: the laid-out visible text of the whole page, empty for null.
 
+    A cell over several rows or columns stands in its first one; the others stay free, so later cells keep their column.
     Ids may be null or repeated; other columns are not read. Rows never meet, so equal and very many pages do no harm.
     """
     kind = pages.select(id_col).schema[0].dataType.simpleString()

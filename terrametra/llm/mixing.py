@@ -130,6 +130,6 @@ def mix(
 
 
 def taken(rows: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``rows`` with ``taken``: the words that the mix takes from each."""
-    sums = pieces.groupBy("src", "position").agg(F.sum("words").alias("taken"))
+    """``rows`` with ``taken``, the words that the mix takes from each, and ``first_slot``, when it first does (else null)."""
+    sums = pieces.groupBy("src", "position").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     return rows.join(dealt_anew(sums, "position"), ["src", "position"], "left").fillna(0, ["taken"])

@@ -57,7 +57,7 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     rows, pieces = mixing.mix(_read(spark, folder, "documents"))
     out = mixing.taken(rows, pieces)
-    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "first_slot")
 
 
 def op8_html_text(spark: SparkSession, folder: str) -> DataFrame:

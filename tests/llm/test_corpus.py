@@ -171,6 +171,11 @@ def test_mix_meets_targets(spark):
         assert all(abs(r.target - aims[s]) < 1e-3 for r in mine)
         assert abs(sum(r.taken for r in mine) - aims[s]) <= 64 + 1e-3
     assert Counter((r.id, r["size"]) for r in got) == Counter((r[0], len((r[1] or "").encode().split())) for r in rows)
+    first = {}
+    for piece in pieces.collect():
+        key = (piece.src, piece.position)
+        first[key] = min(first.get(key, piece.slot), piece.slot)
+    assert {(r.src, r.position): r.first_slot for r in got if r.first_slot is not None} == first
     again = mixing.taken(*mixing.mix(documents(spark, rows).repartition(5), block=64)).collect()
     key = lambda r: (r.id is None, r.id or 0, r["size"], r.taken)
     assert sorted(map(key, got)) == sorted(map(key, again))

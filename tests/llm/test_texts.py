@@ -183,6 +183,10 @@ PAGES = [
     ("<ol start=3><li>x</li><li>y</ol>", "3. x\n4. y"),
     ("<table><tr><th>Name<th>N<tr><td>long name<td>1<tr><td colspan=2>b</table>", "Name       N\nlong name  1\nb"),
     ("<table><td>a<table><tr><td>i<td>j</table><td>b</table>t", "a     b\n\ni  j\n\nt"),
+    ("<table><tr><th rowspan=2>City</th><th>2020</th></tr><tr><td>7</td></tr></table>", "City  2020\n      7"),
+    ("<table><tbody><tr><td rowspan=9>a<td>b</tbody><tbody><tr><td>c<td>d</table>", "a  b\nc  d"),
+    ("<table><tr><td>x<td rowspan=0>y<td>z<tr><td>1<td>2<tr><td>3<td>4</table>", "x  y  z\n1     2\n3     4"),
+    ("<table><tr><td rowspan=2 colspan=2>x<td rowspan='3'>y<td>z<tr><td>1<tr><td>p<td>q<td>r</table>", "x     y  z\n         1\np  q     r"),
     ("x<br><br>y<pre>  k\n j</pre>", "x\n\ny\n\n  k\n j"),
     ("<div hidden>no</div><p style='display: none'>no</p><script>'</p>'</script><noscript>no</noscript>yes", "yes"),
     ("<html><head><title>t</title><body>a<!-- c -->b &lt;&amp;&#233;", "ab <&é"),
@@ -194,6 +198,12 @@ PAGES = [
 ]
 
 
+def test_html_spans_cost_no_more_than_a_thousand_columns_a_row():
+    wide = "<td colspan=1000 rowspan=65534>x" * 30
+    rows = html_text.visible_text(f"<table><tr>{wide}" + "<tr><td>y" * 200 + "</table>").split("\n")
+    assert len(rows) == 201 and all(r.strip() == "y" and len(r) < 2_100 for r in rows[1:])
+
+
 @pytest.mark.parametrize("i", range(len(PAGES)))
 def test_html_layout(i):
     page, want = PAGES[i]
