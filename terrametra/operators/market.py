@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrametra.functions.numeric import clip, half_up
 from terrametra.operators.cleaning import PRICE_WINDOWS
 from terrametra.operators.ranking import keep_last, top_n_per_group, upper_median
+from terrametra.session import durable
 
 
 def price_verdict(listings: DataFrame, zone: str = "zone", pm2: str = "pm2", cut: int = 12) -> DataFrame:
@@ -185,11 +186,12 @@ def greedy_basket(scored: DataFrame, budget: float, zone: str, key: str, n: int
     """Up to ``n`` picks in score order within the budget, one per zone first, then without that rule.
 
     Scanning a sorted list and taking what still fits equals taking the best remaining fit again and again,
-    because the remaining budget only shrinks. Each pick is one distributed aggregate over all candidates, so
-    nothing is sorted, cut to a top list or collected beyond the picked row.
+    because the remaining budget only shrinks. Each pick is one distributed aggregate over all candidates, which
+    are computed once and written, so nothing is sorted, cut to a top list or collected beyond the picked row.
     """
     spark = scored.sparkSession
     fields = [zone, key, "price", "score"]
+    scored = durable(scored.select(*fields).filter(F.col("price") <= budget))
     picks, spent = [], 0.0
     for spread in (True, False):
         while len(picks) < n:

@@ -738,7 +738,7 @@ def basket_scores(t: Tables):
     SELECT pick::INT AS pick, zone, id, price, round(score, 6) AS score FROM (SELECT * FROM sp UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2)""",
 )
 def investment_basket(t: Tables):
-    b = M.greedy_basket(durable(_scored(t)), _BUDGET, "zone", "id")
+    b = M.greedy_basket(_scored(t), _BUDGET, "zone", "id")
     return b.select("pick", "zone", "id", "price", r("score").alias("score"))
 
 
