@@ -20,8 +20,10 @@ HOT_GROUP = 1_000_000
 # Rank error of the bracket bounds is at most rows / ACCURACY (Greenwald-Khanna guarantee).
 ACCURACY = 50_000
 MARGIN = 4.0 / ACCURACY
-# Pieces of the bracket of a whole column; running counts start anew in each.
+# Pieces of a bracket; running counts start anew in each.
 SLOTS = 255
+# Ranges of values per key of the expanding quantiles.
+PIECES = 128
 
 
 def _cols(names) -> list[Column]:
@@ -101,21 +103,68 @@ def _with_bounds(counted: DataFrame, bounds: DataFrame, keys: list[str]) -> Data
 def _running_counts(packed: DataFrame, keys: list[str]) -> DataFrame:
     """Rank interval ``[_start, _end)`` of every kept value.
 
-    With keys the running count is per key. A whole column has no key to spread over, so its running counts
-    are per slot of a bracket, and the totals of the earlier slots (a few hundred rows) are added.
+    Running counts are per slot of a bracket, so the values of one large key, or of a whole column, are ordered in many
+    tasks; the totals of the earlier slots (a few hundred rows per key) are added. A key of at most ``SMALL_GROUP`` rows
+    is one slot and needs none.
     """
+    slot = [*keys, "_seg", "_slot"]
+    inner = packed.withColumn("_e", F.sum("_c").over(Window.partitionBy(*slot).orderBy("_v")))
+    large = packed.filter(F.col("_n") > SMALL_GROUP) if keys else packed
+    totals = large.groupBy(*slot).agg(F.sum("_c").alias("_t"))
+    earlier = Window.partitionBy(*keys).orderBy("_seg", "_slot").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*slot, F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_o"))
     if keys:
-        out = packed.withColumn("_end", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_seg", "_v")))
+        out = inner.join(offsets, slot, "left")
     else:
-        slot = ["_seg", "_slot"]
-        totals = packed.groupBy(*slot).agg(F.sum("_c").alias("_t"))
-        earlier = Window.orderBy(*slot).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.select(*slot, F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_o"))
-        inner = packed.withColumn("_e", F.sum("_c").over(Window.partitionBy(*slot).orderBy("_v")))
-        out = inner.join(F.broadcast(offsets), slot).withColumn("_end", F.col("_o") + F.col("_e"))
+        out = inner.join(F.broadcast(offsets), slot)  # a few hundred rows
+    out = out.withColumn("_end", F.coalesce("_o", F.lit(0)) + F.col("_e"))
     return out.withColumn("_start", F.col("_end") - F.col("_c"))
 
 
+def expanding_quantiles(df: DataFrame, keys: list[str], at: str, last: int, value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles per key of all rows with ``at`` up to each whole number through ``last``.
+
+    Returns ``keys, at, n`` and one column per entry of ``probs``, from a key's first ``at`` on. Rows without a
+    value, ``at`` or key, and rows beyond ``last``, do not count. Values are dealt to ``PIECES`` ranges per key by sketched bounds, and counts per
+    (range, ``at``) are summed along ``at``. They tell which range holds a wanted rank at each point, and only the values of that range are
+    sent there and ordered. The bounds only even out the ranges; the result is exact whatever they are.
+    """
+    src = df.dropna(subset=[*keys, at, value]).filter(F.col(at) <= last)
+    src = src.select(*keys, F.col(at).cast("int").alias("_a"), F.col(value).cast("double").alias("_v"))
+    marks = F.array(*[F.lit(i / PIECES) for i in range(1, PIECES)])
+    bounds = src.groupBy(*keys).agg(F.percentile_approx("_v", marks, 20 * PIECES).alias("_b"), F.min("_a").alias("_first"))
+    piece = F.size(F.filter("_b", lambda b: b < F.col("_v"))).alias("_p")
+    counted = src.groupBy(*keys, "_a", "_v").agg(F.count("*").alias("_c")).join(bounds, keys).select(*keys, "_a", "_v", "_c", piece)
+    counts = counted.groupBy(*keys, "_p", "_a").agg(F.sum("_c").alias("_c"))
+    ends = bounds.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))).alias("_p"), "_first")
+    ends = ends.select(*keys, "_p", F.explode(F.sequence("_first", F.lit(last))).alias("_a"))
+    upto = Window.partitionBy(*keys, "_p").orderBy("_a")
+    held = ends.join(counts, [*keys, "_p", "_a"], "left").withColumn("_c", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
+    point = Window.partitionBy(*keys, "_a")
+    held = held.withColumns({"_end": F.sum("_c").over(point.orderBy("_p")), "n": F.sum("_c").over(point)})
+    held = held.withColumn("_o", F.col("_end") - F.col("_c"))
+    ranks = [r for p in probs.values() for r in _rank_pair(F.col("n"), p)]
+    holds = F.exists(F.array(*ranks), lambda r: (F.col("_o") <= r) & (r < F.col("_end")))
+    wanted = held.filter(holds).select(*keys, "_p", F.col("_a").alias(f"_{at}"), "_o", "n")
+    sent = wanted.join(counted, [*keys, "_p"]).filter(F.col("_a") <= F.col(f"_{at}"))
+    values = sent.groupBy(*keys, f"_{at}", "n", "_p", "_o", "_v").agg(F.sum("_c").alias("_c"))
+    inside = Window.partitionBy(*keys, f"_{at}", "n", "_p", "_o").orderBy("_v")
+    values = values.withColumn("_end", F.col("_o") + F.sum("_c").over(inside)).withColumn("_start", F.col("_end") - F.col("_c"))
+    aggs, out = [], []
+    for i, (name, prob) in enumerate(probs.items()):
+        low, high = _rank_pair(F.col("n"), prob)
+        for tag, rank in (("lo", low), ("hi", high)):
+            aggs.append(F.max(F.when((F.col("_start") <= rank) & (rank < F.col("_end")), F.col("_v"))).alias(f"_{tag}{i}"))
+        share = (F.col("n") - 1) * F.lit(prob) - low
+        out.append((F.col(f"_lo{i}") + share * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(name))
+    return values.groupBy(*keys, f"_{at}", "n").agg(*aggs).select(*keys, F.col(f"_{at}").alias(at), "n", *out)
+
+
+def _rank_pair(n: Column, prob: float) -> tuple[Column, Column]:
+    at = (n - 1) * F.lit(prob)
+    return F.floor(at), F.ceil(at)
+
+
 def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     return exact_quantile(df, keys, value, 0.5, name)
 

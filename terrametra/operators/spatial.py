@@ -14,12 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrametra.functions import geo
-from terrametra.functions.numeric import add_min_max, half_even, one_row
-from terrametra.operators.ranking import top_n_per_group
+from terrametra.functions.numeric import add_min_max, half_even
+from terrametra.operators.ranking import exact_quantile, ordered_positions, top_n_per_group
 from terrametra.session import durable
 
 KM_PER_DEGREE = geo.EARTH_KM * math.pi / 180.0
 PACKED_LIMIT = 64
+# Anchors that travel as one value, and anchors folded together beyond that.
+PACKED_ANCHORS = 1_000
+# At this distance the pull is below 1e-24 of the difference in price.
+REACH_SIGMAS = 10.6
 # Pairs of rows that meet in one tile of a cell, about; a tile has at most the square root of it on its longer side.
 TILE_PAIRS = 1 << 25
 
@@ -415,29 +419,51 @@ def calibrate_to_anchors(cells: DataFrame, price: str, anchors: DataFrame, reach
     """Scale modelled prices to observed anchors, then pull each cell towards every anchor in anchor order.
 
     ``anchors(anchor_no, lng, lat, price_m2)``; the fold over anchors is sequential and its order matters, so
-    anchors are applied by ``anchor_no``. The anchor list is a short dimension (market samples per zone).
+    anchors are applied by ``anchor_no``. Up to ``PACKED_ANCHORS`` anchors travel as one value and are folded in every cell. More
+    are joined to the cells within ``REACH_SIGMAS`` sigma, beyond which a pull is below a float's last digit, and folded per
+    ``(cell_id, block of anchors)`` and then over the blocks: a pull maps p to m * p + c, and such maps compose.
     """
-    spots = anchors.select("anchor_no", "lng", "lat", "price_m2")
     centres = anchors.select("anchor_no", "price_m2", F.col("lng").alias("c_lng"), F.col("lat").alias("c_lat"))
     near = (
         radius_pairs(centres, cells.select("cell_id", "lng", "lat", F.col(price).alias("_p")), degrees=reach)
         .groupBy("anchor_no", "price_m2")
         .agg(F.min(F.struct("dist", "cell_id", "_p")).alias("_b"))
     )
-    ratio = (
-        near.filter(F.col("_b")["_p"] > 0)
-        .select((F.col("price_m2") / F.col("_b")["_p"]).alias("r"))
-        .agg(F.percentile("r", 0.5).alias("factor"), F.count("*").alias("used"))
-    )
-    pack = spots.agg(F.sort_array(F.collect_list(F.struct("anchor_no", "lng", "lat", "price_m2"))).alias("a"))
-
-    def towards(p: Column, a: Column) -> Column:
-        w = geo.gaussian(geo.planar_sq(F.col("lng"), F.col("lat"), a["lng"], a["lat"]), sigma) * pull
-        return p * (F.lit(1.0) - w) + a["price_m2"] * w
-
-    out = cells.withColumn("_f", one_row(ratio)).withColumn("_a", pack.scalar())
-    folded = half_even(F.aggregate("_a", F.col(price) * F.col("_f")["factor"], towards))
-    return out.withColumn("calibrated", F.when(F.col("_f")["used"] > 0, folded).otherwise(F.col(price))).drop("_f", "_a")
+    ratio = durable(near.filter(F.col("_b")["_p"] > 0).select((F.col("price_m2") / F.col("_b")["_p"]).alias("r")))
+    factor = exact_quantile(ratio, [], "r", 0.5, "factor").select("factor").scalar()
+    out = cells.withColumn("_f", factor)
+    scaled = F.col(price) * F.col("_f")
+    if anchors.count() <= PACKED_ANCHORS:
+        pack = anchors.agg(F.sort_array(F.collect_list(F.struct("anchor_no", "lng", "lat", "price_m2"))).alias("a"))
+
+        def towards(p: Column, a: Column) -> Column:
+            w = geo.gaussian(geo.planar_sq(F.col("lng"), F.col("lat"), a["lng"], a["lat"]), sigma) * pull
+            return p * (F.lit(1.0) - w) + a["price_m2"] * w
+
+        out = out.withColumn("_a", pack.scalar())
+        folded = F.aggregate("_a", scaled, towards)
+    else:
+        out = out.join(_pulls(cells, anchors, sigma, pull), "cell_id", "left")
+        folded = F.coalesce(F.aggregate("_a", scaled, lambda p, z: z["m"] * p + z["c"]), scaled)
+    return out.withColumn("calibrated", F.when(F.col("_f").isNotNull(), half_even(folded)).otherwise(F.col(price))).drop("_f", "_a")
+
+
+def _pulls(cells: DataFrame, anchors: DataFrame, sigma: float, pull: float) -> DataFrame:
+    """``cell_id, _a``: the maps ``p -> m * p + c`` of the anchors near a cell, composed per block of anchors, in order."""
+    spots = ordered_positions(anchors.select("anchor_no", "lng", "lat", "price_m2"), ["anchor_no", "lng", "lat", "price_m2"])
+    block = F.floor(F.col("position") / PACKED_ANCHORS).alias("_k")
+    centres = spots.select("position", block, "price_m2", F.col("lng").alias("c_lng"), F.col("lat").alias("c_lat"))
+    pairs = radius_pairs(centres, cells.select("cell_id", "lng", "lat"), degrees=REACH_SIGMAS * sigma)
+    w = geo.gaussian(geo.planar_sq(F.col("lng"), F.col("lat"), F.col("c_lng"), F.col("c_lat")), sigma) * pull
+    lists = pairs.groupBy("cell_id", "_k").agg(F.sort_array(F.collect_list(F.struct("position", w.alias("w"), "price_m2"))).alias("_l"))
+    start = F.struct(F.lit(1.0).alias("m"), F.lit(0.0).alias("c"))
+
+    def then(z: Column, a: Column) -> Column:
+        rest = F.lit(1.0) - a["w"]
+        return F.struct((z["m"] * rest).alias("m"), (z["c"] * rest + a["price_m2"] * a["w"]).alias("c"))
+
+    maps = lists.select("cell_id", "_k", F.aggregate("_l", start, then).alias("_z"))
+    return maps.groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("_k", "_z.m", "_z.c"))).alias("_a"))
 
 
 def k_nearest(centres: DataFrame, points: DataFrame, key: str, k: int, degrees: float) -> DataFrame:

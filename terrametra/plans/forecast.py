@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrametra.functions.constants import BAND_FACTOR, BASE_WEIGHTS, SPATIAL_WEIGHTS
 from terrametra.functions.numeric import growth
-from terrametra.operators.ranking import exact_quantiles
+from terrametra.operators.ranking import exact_quantiles, expanding_quantiles
 from terrametra.session import durable
 from terrametra.operators.spatial import inverse_distance_mean
 
@@ -84,19 +84,13 @@ def expanding_bands(rows: DataFrame, last: int, minimum: int = 20, strict: bool
     """5 / 95 % residual quantiles of earlier origins per (h, t), widened by the band factor.
 
     ``strict`` uses only residuals whose target year is known at the origin (t' + h <= t); otherwise all
-    earlier origins (t' < t). Each residual is sent to the origins that may use it.
+    earlier origins (t' < t). A residual is counted once; only those near a wanted rank are sent to an origin.
     """
     lead = F.col("h") if strict else F.lit(1)
-    sent = rows.filter(F.col("t") + lead <= last).select("h", "resid", F.explode(F.sequence(F.col("t") + lead, F.lit(last))).alias("o"))
-    n = sent.groupBy("h", "o").agg(F.count("*").alias("n"))
-    tails = exact_quantiles(sent, ["h", "o"], "resid", {"lo": 0.05, "hi": 0.95})
+    tails = expanding_quantiles(rows.select("h", (F.col("t") + lead).alias("t"), "resid"), ["h"], "t", last, "resid", {"lo": 0.05, "hi": 0.95})
     k = F.create_map(*[F.lit(x) for kv in BAND_FACTOR.items() for x in kv])
     factor = F.coalesce(F.try_element_at(k, F.col("h")), F.lit(BAND_FACTOR[3]))
-    return (
-        n.filter(F.col("n") >= minimum)
-        .join(tails, ["h", "o"])
-        .select("h", F.col("o").alias("t"), (F.col("lo") * factor).alias("lo"), (F.col("hi") * factor).alias("hi"))
-    )
+    return tails.filter(F.col("n") >= minimum).select("h", "t", (F.col("lo") * factor).alias("lo"), (F.col("hi") * factor).alias("hi"))
 
 
 def walk_forward(panel: DataFrame, coords: DataFrame, first: int, last: int, horizons: tuple[int, ...] = (1, 3), strict: bool = True, minimum: int = 20) -> DataFrame:

@@ -7,6 +7,8 @@ run in parallel.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +47,7 @@ def project(
     """Trajectories ``(scenario, cell_id, t, value)`` for t = 0..steps.
 
     ``cells(cell_id, value, potential, growth[, bump])``; ``edges(src, dst)`` directed. With ``bump_year`` the
-    potential rises by ``bump_strength * bump`` in that year, clipped to 0..1.35.
+    potential rises by ``bump_strength * bump`` in that year, clipped to 0..1.35. Each step writes its own rows once.
     """
     scenarios = scenarios or [{"scenario": 0, "rho": rho}]
     offset_used = any(s.get("potential_offset") for s in scenarios)
@@ -61,10 +63,10 @@ def project(
         (F.col("growth") * F.col("_s")["gf"]).alias("g"),
         F.col("_s")["rho"].alias("r"),
         bump.alias("b"),
-        F.array(F.col("value").cast("double")).alias("path"),
     )
     links = durable(edges.select("src", "dst").repartition("dst"))
     state = durable(state)
+    years = [state.select("scenario", "cell_id", F.lit(0).alias("t"), F.col("v").alias("value"))]
     for t in range(steps):
         p = F.col("p")
         if bump_year is not None and t == bump_year:
@@ -77,10 +79,9 @@ def project(
         lag = links.join(scaled, "dst").groupBy("scenario", F.col("src").alias("cell_id")).agg((F.sum("x") / F.count("*")).alias("lag"))
         nxt = state.withColumn("p", p).join(lag, ["scenario", "cell_id"], "left")
         v = F.col("v") * (1 + F.col("g") + F.col("r") * F.lit(scale) * F.coalesce("lag", F.lit(0.0)) * F.col("p"))
-        state = durable(
-            nxt.select("scenario", "cell_id", v.alias("v"), "p", "g", "r", "b", F.concat("path", F.array(v)).alias("path"))
-        )
-    return state.select("scenario", "cell_id", F.posexplode("path").alias("t", "value"))
+        state = durable(nxt.select("scenario", "cell_id", v.alias("v"), "p", "g", "r", "b"))
+        years.append(state.select("scenario", "cell_id", F.lit(t + 1).alias("t"), F.col("v").alias("value")))
+    return reduce(DataFrame.unionByName, years)
 
 
 def gaussian_bump(cells: DataFrame, lng: float, lat: float, radius: float) -> DataFrame:

@@ -176,6 +176,19 @@ def test_calibration_order_matters(spark):
     assert {r.cell_id: r.calibrated for r in none} == {1: 100.0, 2: 200.0, 3: 300.0}
 
 
+def test_many_anchors_are_joined(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    cells = [(i, float(x), float(y), float(p)) for i, (x, y, p) in enumerate(zip(rng.random(60) * 0.3, rng.random(60) * 0.3, 100 + 900 * rng.random(60)))]
+    cells.append((60, 7.0, 7.0, 500.0))
+    spots = [(i // 2, float(x), float(y), float(p)) for i, (x, y, p) in enumerate(zip(rng.random(50) * 0.3, rng.random(50) * 0.3, 100 + 900 * rng.random(50)))]
+    c = spark.createDataFrame(cells, "cell_id bigint, lng double, lat double, price double")
+    a = spark.createDataFrame(spots, "anchor_no int, lng double, lat double, price_m2 double")
+    packed = {r.cell_id: r.calibrated for r in X.calibrate_to_anchors(c, "price", a).collect()}
+    monkeypatch.setattr(X, "PACKED_ANCHORS", 7)
+    joined = {r.cell_id: r.calibrated for r in X.calibrate_to_anchors(c, "price", a).collect()}
+    assert joined == packed and len(joined) == 61 and len(set(joined.values())) > 40
+
+
 def test_gravity(spark):
     units = [(i, float(i % 5), float(i // 5), 10.0 * i, float((i * 7) % 11)) for i in range(15)]
     df = spark.createDataFrame(units, "u bigint, lng double, lat double, mass double, rate double")
