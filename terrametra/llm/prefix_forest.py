@@ -16,11 +16,14 @@ from terrametra.llm.blocks import best_of, met, one_per_id, usable
 from terrametra.session import durable
 
 TREES = 32
-BITS = 24
+# Signs of a string, at most 53.
+BITS = 48
 # Entries of the sorted arrays, over all trees, at which a query stops ascending in a block.
 ENTRIES = 6_000
 SEED = 11
 TOGETHER = 64
+# Pairs whose vectors are gathered at once.
+PAIRS = 1 << 16
 
 
 def hash_strings(vectors: np.ndarray, planes: np.ndarray) -> np.ndarray:
@@ -32,21 +35,40 @@ def hash_strings(vectors: np.ndarray, planes: np.ndarray) -> np.ndarray:
 def candidates(strings: np.ndarray, asked: np.ndarray, bits: int, entries: int) -> np.ndarray:
     """Queries x rows: whether the forest over ``strings`` (trees x rows) yields the row to the query ``asked``."""
     trees, n = strings.shape
+    m = asked.shape[1]
     order = np.argsort(strings, axis=1, kind="stable")
-    lo = np.empty((trees, bits + 1, asked.shape[1]), np.int64)
-    hi = np.empty_like(lo)
-    for t in range(trees):
-        ordered = strings[t][order[t]]
-        for p in range(bits + 1):
-            head = asked[t] >> (bits - p)
-            lo[t, p] = np.searchsorted(ordered, head << (bits - p))
-            hi[t, p] = np.searchsorted(ordered, (head + 1) << (bits - p))
-    held = (hi - lo).sum(0)  # prefix length x queries; falls with the length
-    depth = np.maximum((held >= min(entries, trees * n)).sum(0) - 1, 0)
-    out = np.zeros((asked.shape[1], n), bool)
-    for q, p in enumerate(depth):
+    ordered = np.take_along_axis(strings, order, axis=1)
+    longest = np.zeros(m, np.int64)
+    for t in range(trees):  # descend: the longest match stands next to the query's place
+        at = np.searchsorted(ordered[t], asked[t])
+        differ = np.minimum(asked[t] ^ ordered[t][np.maximum(at - 1, 0)], asked[t] ^ ordered[t][np.minimum(at, n - 1)])
+        longest = np.maximum(longest, bits - np.frexp(differ.astype(float))[1])
+    lo, hi = np.zeros((trees, m), np.int64), np.zeros((trees, m), np.int64)
+    rising = np.arange(m)
+    for p in range(int(longest.max(initial=0)), -1, -1):  # ascend in all trees at once
+        now = rising[longest[rising] >= p]
+        head = asked[:, now] >> (bits - p)
         for t in range(trees):
-            out[q, order[t, lo[t, p, q] : hi[t, p, q]]] = True
+            lo[t, now] = np.searchsorted(ordered[t], head[t] << (bits - p))
+            hi[t, now] = np.searchsorted(ordered[t], (head[t] + 1) << (bits - p))
+        full = now[(hi[:, now] - lo[:, now]).sum(0) >= min(entries, trees * n)]
+        rising = np.setdiff1d(rising, full)
+        if not len(rising):
+            break
+    out = np.zeros((m, n), bool)
+    for q in range(m):
+        for t in range(trees):
+            out[q, order[t, lo[t, q] : hi[t, q]]] = True
+    return out
+
+
+def scored(near: np.ndarray, queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs marked in ``near``; the others are not computed."""
+    out = np.full(near.shape, -np.inf)
+    r, c = np.nonzero(near)
+    for at in range(0, len(r), PAIRS):
+        i, j = r[at : at + PAIRS], c[at : at + PAIRS]
+        out[i, j] = np.einsum("nd,nd->n", queries[i], vectors[j])
     return out
 
 
@@ -88,10 +110,9 @@ def nearest(
             q, own = query_vectors[at : at + TOGETHER], query_ids[at : at + TOGETHER]
             near = candidates(strings, hash_strings(np.column_stack([q, np.zeros(len(q))]), planes), bits, entries)
             near &= own[:, None] != ids[None, :]
-            scores = q @ vectors.T
+            scores = scored(near, q, vectors)
             r, c = best_of(scores, near, ids, k)
-            exact = np.einsum("nd,nd->n", q[r], vectors[c])
-            found.append((own[r], ids[c], exact))
+            found.append((own[r], ids[c], scores[r, c]))
         return [np.concatenate(x) for x in zip(*found)]
 
     return met(kept, queries, solve, k, "double", F.xxhash64("vec"))

@@ -68,3 +68,40 @@ def test_forest_edges(spark):
     got = answers(prefix_forest.nearest(vectors(spark, rows), F.expr(ASKED)))
     assert got == {0: [(1, 1, 2.0), (2, 3, 2.0)]}
     assert prefix_forest.nearest(vectors(spark, []), F.expr(ASKED)).collect() == []
+
+
+def test_forest_ascends_to_the_longest_prefix_with_enough_entries():
+    rng = np.random.default_rng(5)
+    bits, trees, n = 12, 4, 300
+    strings = rng.integers(0, 1 << bits, (trees, n))
+    asked = np.column_stack([strings[:, :5], rng.integers(0, 1 << bits, (trees, 6)), np.full(trees, (1 << bits) - 1)])
+    for entries in (1, 20, 200, 10_000):
+        got = prefix_forest.candidates(strings, asked, bits, entries)
+        for q in range(asked.shape[1]):
+            for p in range(bits, -1, -1):
+                hit = (strings >> (bits - p)) == (asked[:, q] >> (bits - p))[:, None]
+                if hit.sum() >= min(entries, trees * n):
+                    break
+            assert (got[q] == hit.any(0)).all()
+
+
+def test_forest_scores_candidates_only_and_few_of_clustered_rows(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((80, 32))
+    x = centres[rng.integers(0, 80, 4000)] + 0.15 * rng.standard_normal((4000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    near = rng.random((3, 50)) < 0.3
+    pairs = prefix_forest.scored(near, x[:3].astype(float), x[:50].astype(float))
+    assert np.allclose(pairs[near], (x[:3].astype(float) @ x[:50].T)[near]) and np.isneginf(pairs[~near]).all()
+    wide = np.column_stack([x, np.sqrt(np.maximum((x**2).sum(1).max() - (x**2).sum(1), 0))])
+    planes = np.random.default_rng(1).standard_normal((32, 48, 33))
+    strings = prefix_forest.hash_strings(wide, planes)
+    asked = prefix_forest.hash_strings(np.column_stack([x[:100], np.zeros(100)]), planes)
+    assert prefix_forest.candidates(strings, asked, 48, 1000).mean() < 0.1
+    frame = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    got, y, hits = answers(prefix_forest.nearest(frame, F.expr(ASKED), entries=1000)), x.astype(float), 0
+    for q, found in got.items():
+        s = y @ y[q]
+        best = [i for i in np.lexsort((np.arange(4000), -s)) if i != q][:20]
+        hits += len({i for _, i, _ in found} & set(best))
+    assert hits / (len(got) * 20) >= 0.9
