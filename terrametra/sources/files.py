@@ -55,34 +55,79 @@ def scan_registry(spark: SparkSession, path, aliases: dict[str, list[str]] = REG
     return bind_headers(raw, wanted, required)
 
 
-def unpack_archives(archives: DataFrame, columns: list[str], encoding: str = "latin-1", chunk: int = 50_000) -> DataFrame:
-    """Rows of the largest CSV member of each ZIP in ``(path, content)``, as text columns.
-
-    One archive per record; members are streamed in chunks, so a task holds one archive and one chunk.
+# One CSV record with its line end: a quote opens a field only at its start, and line ends within it do not end the record.
+RECORD = re.compile(rb'(?:"(?:[^"]++|"")*+"[^,\n]*+|[^",\n][^,\n]*+|,)*+\n')
+
+
+def record_blocks(stream, size: int) -> Iterator[bytes]:
+    """The stream in pieces of whole CSV records, about ``size`` bytes each; only a longer record makes a longer piece."""
+    held = b""
+    while part := stream.read(max(size, len(held))):
+        held += part
+        start = end = 0
+        while found := RECORD.match(held, end):
+            end = found.end()
+            if end - start >= size:
+                yield held[start:end]
+                start = end
+        if end > start:
+            yield held[start:end]
+        held = held[end:]
+    if held:
+        yield held
+
+
+def archive_blocks(archives: DataFrame, size: int = 1 << 20) -> DataFrame:
+    """``archive, at, head, body``: the largest CSV member of each ZIP in ``(path, content)`` as blocks of records.
+
+    ``head`` is the header record. An archive is inflated as a stream: its task holds the packed archive and one block.
+    Null contents and archives without a CSV member give no row.
     """
-    schema = T.StructType([T.StructField("archive", T.StringType())] + [T.StructField(c, T.StringType()) for c in columns])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
+                if content is None:
+                    continue
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     members = [m for m in z.infolist() if m.filename.lower().endswith(".csv")]
                     if not members:
                         continue
-                    best = max(members, key=lambda m: m.file_size)
-                    with z.open(best) as f:
-                        for part in pd.read_csv(f, encoding=encoding, dtype=str, chunksize=chunk, keep_default_na=False, na_values=[""]):
-                            part = part.rename(columns=lambda c: c.strip().lower()).reindex(columns=columns)
-                            part.insert(0, "archive", path)
-                            yield part.astype(object).where(part.notna(), None)
+                    head = None
+                    with z.open(max(members, key=lambda m: m.file_size)) as f:
+                        for at, body in enumerate(record_blocks(f, size)):
+                            if head is None:
+                                body = body.lstrip(b"\r\n")
+                                first = RECORD.match(body)
+                                head, body = (first.group(), body[first.end() :]) if first else (body or None, b"")
+                            if body:
+                                yield pd.DataFrame({"archive": [path], "at": [at], "head": [head], "body": [body]})
+
+    return archives.select("path", "content").mapInPandas(read, "archive string, at bigint, head binary, body binary")
+
+
+def unpack_archives(archives: DataFrame, columns: list[str], encoding: str = "latin-1", size: int = 1 << 20) -> DataFrame:
+    """Rows of the largest CSV member of each ZIP in ``(path, content)``, as text columns; absent columns are NULL.
+
+    Inflating is one stream per archive; its blocks are dealt out, so the records of one archive are parsed in many tasks.
+    """
+    schema = T.StructType([T.StructField("archive", T.StringType())] + [T.StructField(c, T.StringType()) for c in columns])
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, head, body in zip(batch["archive"], batch["head"], batch["body"]):
+                part = pd.read_csv(io.BytesIO(head + body), encoding=encoding, dtype=str, keep_default_na=False, na_values=[""])
+                part = part.rename(columns=lambda c: c.strip().lower()).reindex(columns=columns)
+                part.insert(0, "archive", path)
+                yield part.astype(object).where(part.notna(), None)
 
-    return archives.select("path", "content").mapInPandas(read, schema)
+    return archive_blocks(archives, size).repartition("archive", "at").select("archive", "head", "body").mapInPandas(parse, schema)
 
 
 def scan_archives(spark: SparkSession, glob: str, columns: list[str]) -> DataFrame:
     """ZIP files below ``glob`` through the binary file source, one file per record."""
     files = spark.read.format("binaryFile").load(glob).select("path", "content")
-    # one archive per task: an archive is the unit of work and must fit a task
+    # one packed archive per record; what it holds is dealt out in blocks
     return unpack_archives(files.repartition(F.col("path")), columns)
 
 

@@ -38,6 +38,25 @@ def test_archives(spark, tmp_path):
     assert all(r.absent is None for r in rows)
 
 
+def test_blocks_of_an_archive_hold_whole_records(spark):
+    rows = [(f"{i:04d}", f'say "{i}"\nnext, line' if i % 5 == 0 else f'{i}" pipe' if i % 7 == 0 else f"ñ{i}" * (i % 40), None if i % 3 == 0 else "x") for i in range(900)]
+    lines = [f'{a},{b if b.startswith(a.lstrip("0") or "0") else chr(34) + b.replace(chr(34), chr(34) * 2) + chr(34)},{c or ""}' for a, b, c in rows]
+    data = ("\r\n\nKey,Value,Key\n" + "\r\n".join(lines)).encode("latin-1")
+    assert b"".join(S.record_blocks(io.BytesIO(data), 64)) == data
+    assert max(map(len, S.record_blocks(io.BytesIO(data), 64))) < 300
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("d.csv", data)
+    given = spark.createDataFrame([("a", bytearray(buf.getvalue())), ("none", None)], "path string, content binary")
+    blocks = S.archive_blocks(given, 1000).collect()
+    assert len(blocks) > 10 and {bytes(b.head) for b in blocks} == {b"Key,Value,Key\n"}
+    got = S.unpack_archives(given, ["key", "value", "key.1", "absent"], size=1000).collect()
+    assert sorted((r.key, r.value or "", r["key.1"]) for r in got) == sorted(rows)
+    assert all(r.archive == "a" and r.absent is None for r in got)
+    torn = b'a,b\n1,"open\n2,x\n'
+    assert b"".join(S.record_blocks(io.BytesIO(torn), 4)) == torn
+
+
 def test_parts(spark):
     a = spark.createDataFrame([("01001", 1), ("01002", 2)], "k string, n int")
     b = spark.createDataFrame([("01002", 9), ("02001", 3)], "k string, n int")
