@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrametra.functions.numeric import clip, half_up
 from terrametra.operators.cleaning import PRICE_WINDOWS
@@ -182,16 +187,58 @@ def basket_scores(listings: DataFrame, budget: float, objective: str | None = No
     return listings.filter(ok).withColumn("score", score)
 
 
+def undominated(scored: DataFrame, zone: str, key: str, n: int) -> DataFrame:
+    """``zone, key, price, score`` without rows that ``n`` or more other keys of their zone beat in rank at no higher price.
+
+    Each partition is sorted by zone and rank and read once, keeping the ``n`` lowest prices so far; nothing is shuffled, and
+    fronts of partitions merge by union. A row left out can never be among ``n`` picks: one of those that beat it is
+    still free, fits whenever it fits, and comes first.
+    """
+    fields = [zone, key, "price", "score"]
+    ordered = scored.select(*fields).sortWithinPartitions(zone, -F.col("score"), key, "price")
+
+    def front(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, low = object(), {}
+        for batch in batches:
+            zones, keys, prices = batch[zone].to_numpy(object), batch[key].to_numpy(object), batch["price"].to_numpy(float)
+            borders = [0, *(np.flatnonzero(zones[1:] != zones[:-1]) + 1).tolist(), len(zones)]
+            kept = []
+            for start, end in zip(borders, borders[1:]):
+                if start == end:
+                    continue
+                if zones[start] != at:
+                    at, low = zones[start], {}
+                i = start
+                while i < end:
+                    if len(low) == n:
+                        cheaper = np.flatnonzero(prices[i:end] < max(low.values()))
+                        if not len(cheaper):
+                            break
+                        i += int(cheaper[0])
+                    kept.append(i)
+                    k, p = keys[i], prices[i]
+                    if p < low.get(k, np.inf):
+                        low[k] = p
+                        if len(low) > n:
+                            del low[max(low, key=low.get)]
+                    i += 1
+            yield batch.iloc[kept]
+
+    return ordered.mapInPandas(front, ordered.schema)
+
+
 def greedy_basket(scored: DataFrame, budget: float, zone: str, key: str, n: int = 3) -> DataFrame:
     """Up to ``n`` picks in score order within the budget, one per zone first, then without that rule.
 
     Scanning a sorted list and taking what still fits equals taking the best remaining fit again and again,
-    because the remaining budget only shrinks. Each pick is one distributed aggregate over all candidates, which
-    are computed once and written, so nothing is sorted, cut to a top list or collected beyond the picked row.
+    because the remaining budget only shrinks. The candidates are read once, for the rows that may be picked at all
+    (``undominated``); each pick is an aggregate over these, which are written.
     """
     spark = scored.sparkSession
     fields = [zone, key, "price", "score"]
-    scored = durable(scored.select(*fields).filter(F.col("price") <= budget))
+    if n < 1:
+        return spark.createDataFrame([], T.StructType([T.StructField("pick", T.IntegerType()), *scored.select(*fields).schema]))
+    scored = durable(undominated(scored.filter(F.col("price") <= budget), zone, key, n))
     picks, spent = [], 0.0
     for spread in (True, False):
         while len(picks) < n:
@@ -200,7 +247,7 @@ def greedy_basket(scored: DataFrame, budget: float, zone: str, key: str, n: int
                 cand = cand.filter(~F.col(key).isin([p[key] for p in picks]))
                 if spread:
                     cand = cand.filter(~F.col(zone).isin([p[zone] for p in picks]))
-            best = cand.agg(F.min_by(F.struct(*fields), F.struct(-F.col("score"), F.col(key))).alias("b")).first()["b"]
+            best = cand.agg(F.min_by(F.struct(*fields), F.struct(-F.col("score"), F.col(key), F.col("price"))).alias("b")).first()["b"]
             if best is None:
                 break
             picks.append(best)

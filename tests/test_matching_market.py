@@ -153,6 +153,19 @@ def test_greedy_basket(spark, seed, budget):
     assert got == greedy(rows, budget)
 
 
+def test_rows_that_no_basket_can_hold_are_left_out(spark):
+    rng = np.random.default_rng(2)
+    rows = [("hot" if i % 3 else f"z{i % 30}", i, float(rng.integers(5, 600)), float(rng.integers(0, 90))) for i in range(6000)]
+    rows += [("hot", 17, 4.0, 1.0), (None, 9001, 3.0, 2.0)]
+    df = spark.createDataFrame(rows, "zone string, id int, price double, score double").repartition(3)
+    front = M.undominated(df, "zone", "id", 3).collect()
+    assert len(front) < 600
+    for budget in (10.0, 200.0, 900.0):
+        got = [r.id for r in M.greedy_basket(df.filter("zone is not null and not (id = 17 and price = 4.0)"), budget, "zone", "id").orderBy("pick").collect()]
+        assert got == greedy(rows[:6000], budget)
+    assert M.greedy_basket(df, 1.0, "zone", "id").count() == 0 and M.greedy_basket(df, 900.0, "zone", "id", n=0).count() == 0
+
+
 def test_alerts(spark):
     alerts = spark.createDataFrame([(1, "a", 3, 5.0, True, None), (2, "a", 3, 5.0, True, 10.0), (3, "a", 3, 50.0, True, 10.0), (4, "a", 3, 1.0, False, 0.0), (5, "x", 3, 1.0, True, 0.0), (6, "a", 3, 5.0, True, 9.0)], "id int, zone string, horizon int, threshold double, active boolean, last_value double")
     fc = spark.createDataFrame([("a", 3, 1.2346)], "zone string, horizon int, f double")
