@@ -265,3 +265,18 @@ def test_encoding_and_amount_by_all_rows(spark, tmp_path):
     got = S.scan_contracts(spark, str(tmp_path / "c.csv"))
     assert got.filter("entity = 'Querétaro'").count() == 3
     assert {r.amount for r in got.filter("amount IS NOT NULL").collect()} == {"$1,000.50"}
+
+
+def test_json_objects_go_back_in_small_pieces(spark, monkeypatch):
+    block = '{"list":[' + ",".join(f'{{"price":{k},"title":"t{k}"}}' for k in range(700)) + "]}"
+    frame = H.pd.DataFrame
+    monkeypatch.setattr(H, "HELD_ROWS", 100)
+    blocks = spark.createDataFrame([(1, 0, "state", block), (2, 0, "state", "{"), (3, 1, "state", block)], "page_id bigint, block_no int, source string, block string")
+    read = {}
+    monkeypatch.setattr(type(blocks), "mapInPandas", lambda self, f, schema: read.setdefault("f", f))
+    H.json_objects(blocks, "page_id")
+    batch = frame([tuple(r) for r in [(1, 0, "state", block), (2, 0, "state", "{"), (3, 1, "state", block)]], columns=["page_id", "block_no", "source", "block"])
+    got = list(read["f"](iter([batch])))
+    sizes = [len(g) for g in got]
+    assert max(sizes) <= 100 and sum(sizes) == 2 * 701
+    assert [tuple(x) for g in got for x in g[["page_id", "seq"]].itertuples(index=False)] == [(p, i) for p in (1, 3) for i in range(701)]
