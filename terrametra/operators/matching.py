@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrametra.functions import text
+from terrametra.functions.geo import once
 from terrametra.operators.ranking import keep_first
 
 
@@ -172,35 +173,49 @@ def containing(texts: DataFrame, parts: DataFrame) -> DataFrame:
     return t.join(rarest.select("part", F.col("k.gram").alias("gram")), "gram").filter(F.contains("text", "part")).select("text", "part")
 
 
-def partial_name_join(zones: DataFrame, monitor: DataFrame) -> DataFrame:
+def partial_name_join(zones: DataFrame, monitor: DataFrame, totals: list[Column] | None = None) -> DataFrame:
     """Monitor rows of each zone ``(zone, mun, ent)``: exact municipality, else a partial one.
 
     A state matches when either text contains the other; ``mun='*'`` takes every municipality of a state whose
     text contains the zone's. Containment is a join of the distinct names by their rarest pieces.
+    With ``totals`` (named aggregates of monitor rows) a zone gets one row per name and, for ``mun='*'``, one per whole state,
+    each with the totals of its rows; such a zone's municipalities are never listed.
     """
+    if totals is not None:
+        of_state = monitor.filter("mun is not null").groupBy("ent").agg(*totals)
+        monitor = monitor.groupBy("mun", "ent").agg(*totals)
     z = zones.select("zone", F.col("mun").alias("z_mun"), F.col("ent").alias("z_ent"))
-    names = monitor.select("mun", "ent").distinct()
+    names = monitor.select("mun", "ent") if totals is not None else monitor.select("mun", "ent").distinct()
     ents = names.select("ent").distinct()
     held = containing(ents, z.select("z_ent")).toDF("ent", "z_ent").join(z, "z_ent").select("zone", "z_mun", "ent", F.lit(True).alias("held"))
     holds = containing(z.select("z_ent"), ents).toDF("z_ent", "ent").join(z, "z_ent").select("zone", "z_mun", "ent", F.lit(False).alias("held"))
     states = held.unionByName(holds).groupBy("zone", "z_mun", "ent").agg(F.max("held").alias("held"))
-    star = names.join(states.filter((F.col("z_mun") == "*") & F.col("held")), "ent").select("zone", "mun", "ent", F.lit(1).alias("rule"))
+    starred = states.filter((F.col("z_mun") == "*") & F.col("held"))
     inside = containing(names.select("mun"), z.select("z_mun")).toDF("mun", "z_mun")
     named = names.join(inside, "mun").join(states, ["ent", "z_mun"]).select(
         "zone", "mun", "ent", F.when(F.col("mun") == F.col("z_mun"), 1).otherwise(2).alias("rule")
     )
-    hits = star.unionByName(named)
-    best = hits.groupBy("zone").agg(F.min("rule").alias("rule"))
-    return monitor.join(hits.join(best, ["zone", "rule"]).select("zone", "mun", "ent"), ["mun", "ent"])
+    if totals is None:
+        hits = named.unionByName(names.join(starred, "ent").select("zone", "mun", "ent", F.lit(1).alias("rule")))
+        best = hits.groupBy("zone").agg(F.min("rule").alias("rule"))
+        return monitor.join(hits.join(best, ["zone", "rule"]).select("zone", "mun", "ent"), ["mun", "ent"])
+    whole = starred.filter("zone is not null").select("zone", "ent")  # a match by the first rule
+    best = named.select("zone", "rule").unionByName(whole.select("zone", F.lit(1).alias("rule"))).groupBy("zone").agg(F.min("rule").alias("rule"))
+    listed = monitor.join(named.join(best, ["zone", "rule"]).select("zone", "mun", "ent"), ["mun", "ent"])
+    return listed.unionByName(of_state.join(whole, "ent").withColumn("mun", F.lit("*")).select(*listed.columns))
 
 
 def canonical_name(c: Column, names: list[str], aliases: dict[str, str] | None = None) -> Column:
     """Canonical entry for a folded name: alias, exact, else the prefix relative closest in length."""
-    known = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in (aliases or {"": ""}).items() for x in kv]), c), c)
+    alias = F.create_map(*[F.lit(x) for kv in (aliases or {"": ""}).items() for x in kv])
     table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("n")) for i, n in enumerate(names)])
-    related = F.filter(table, lambda e: F.startswith(e["n"], known) | F.startswith(known, e["n"]))
-    best = F.array_min(F.transform(related, lambda e: F.struct(F.abs(F.length(e["n"]) - F.length(known)).alias("d"), e["i"].alias("i"), e["n"].alias("n"))))
-    return F.when(F.coalesce(c, F.lit("")) != "", best["n"])
+
+    def closest(known: Column) -> Column:
+        related = F.filter(table, lambda e: F.startswith(e["n"], known) | F.startswith(known, e["n"]))
+        return F.array_min(F.transform(related, lambda e: F.struct(F.abs(F.length(e["n"]) - F.length(known)).alias("d"), e["i"].alias("i"), e["n"].alias("n"))))["n"]
+
+    # the folded name is worked out once and not for each entry
+    return once(c, lambda x: F.when(F.coalesce(x, F.lit("")) != "", once(F.coalesce(F.try_element_at(alias, x), x), closest)))
 
 
 def complete_with_zero(base: DataFrame, keys: list[str], column: str, values: list[str], counts: DataFrame, measure: str) -> DataFrame:

@@ -63,6 +63,24 @@ def test_partial_names(spark):
     assert {r.zone: r.l for r in got} == {"P": 2, "L": 1, "C": 4}
 
 
+def test_partial_names_by_totals(spark):
+    mon = [("pachuca de soto", "hidalgo", 2), ("leon", "guanajuato", 1), ("leon", "guanajuato", 3), ("leona vicario", "guanajuato", 5), (None, "puebla", 7), ("*", "puebla", 4)]
+    mon = spark.createDataFrame(mon + [(f"m{k}", "puebla", k % 3) for k in range(50)], "mun string, ent string, level int")
+    zones = [("P", "pachuca", "hidalgo"), ("L", "leon", "guanajuato de x"), ("C", "*", "puebla"), ("C2", "*", "uebl"), ("N", "nada", "hidalgo"), ("P", "*", "guanajuato"), (None, "*", "puebla")]
+    zones = spark.createDataFrame(zones, "zone string, mun string, ent string")
+    got = J.partial_name_join(zones, mon, [F.max("level").alias("l"), F.count("*").alias("n")])
+    want = J.partial_name_join(zones, mon).groupBy("zone").agg(F.max("level").alias("l"), F.count("*").alias("n")).collect()
+    totals = got.groupBy("zone").agg(F.max("l").alias("l"), F.sum("n").alias("n")).collect()
+    assert {tuple(r) for r in totals} == {tuple(r) for r in want} and len(totals) == 4
+    assert got.filter("zone = 'C2'").count() == 2  # the state and the name '*'; its municipalities are not listed
+
+
+def test_canonical_name_folds_once(spark):
+    c = F.concat(F.col("e"), F.lit("-folded"))
+    plan = spark.range(1).select(F.lit("x").alias("e")).select(J.canonical_name(c, ["a", "b"]).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("-folded") == 1
+
+
 def test_canonical_name(spark):
     names = ["coahuila de zaragoza", "michoacan de ocampo", "mexico"]
     df = spark.createDataFrame([("coahuila",), ("edomex",), ("mexico",), ("x",), ("",)], "e string")
