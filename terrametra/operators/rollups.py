@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrametra.functions.constants import SECTORS
@@ -141,14 +141,74 @@ def price_anchors(samples: DataFrame, keys: list[str], price: str, count: str, m
     return med.join(total, keys).filter(F.col("samples") >= minimum)
 
 
-def polygon_signal(points: DataFrame, polygons: DataFrame, price: str, step: float) -> DataFrame:
+# Matched (polygon, price) rows that are listed; beyond, prices are counted by range first.
+LISTED_HITS = 1 << 24
+# Ranges a count tells apart, and counts before prices are listed.
+RANGES, ROUNDS = 32, 2
+
+
+def polygon_signal(points: DataFrame, polygons: DataFrame, price: str, step: float, listed: int | None = None, depth: int | None = None) -> DataFrame:
     """Listings per polygon and their median price.
 
-    The matched (polygon, price) rows are written once, because count and median read them several times.
+    Up to ``listed`` (``LISTED_HITS``) matches are written as rows (polygon, price) and ranked. Beyond that, prices are
+    counted per polygon and range, then per part of the range that holds a middle rank, and only the prices of that part
+    are listed and ranked (``depth`` as in ``region_sums``). The ranges come from sketched bounds; the result is exact whatever they are.
     """
-    hits = durable(points_in_polygons(points, polygons, step).select("poly_id", price))
-    counts = hits.groupBy("poly_id").agg(F.count("*").alias("listings"))
-    return counts.join(exact_median(hits, ["poly_id"], price, "night_price"), "poly_id", "left")
+    points = points.select("lng", "lat", F.col(price).cast("double").alias("_v"), F.lit(1).alias("listings"))
+    parts = points_in_polygons(points, polygons, step, ["listings"], depth=depth)
+    counts = durable(parts.groupBy("poly_id").agg(F.sum("listings").alias("listings")))
+    if (counts.agg(F.sum("listings")).first()[0] or 0) <= (LISTED_HITS if listed is None else listed):
+        hits = durable(points_in_polygons(points, polygons, step).select("poly_id", "_v"))
+        return counts.join(exact_median(hits, ["poly_id"], "_v", "night_price"), "poly_id", "left")
+    return counts.join(_narrowed_median(points, polygons, step, depth), "poly_id", "left")
+
+
+def _narrowed_median(points: DataFrame, polygons: DataFrame, step: float, depth: int | None) -> DataFrame:
+    """Exact median of ``_v`` per polygon as ``night_price``, by counts in ever smaller ranges of ``_v``."""
+    priced = points.select("lng", "lat", "_v").filter("_v is not null")
+    every = [F.lit(i / RANGES**ROUNDS) for i in range(1, RANGES**ROUNDS)]
+    marks = priced.agg(F.percentile_approx("_v", F.array(*every), 4 * RANGES**ROUNDS).alias("b")).scalar()
+    priced = priced.withColumn("_m", marks).withColumn("_d0", F.lit(0))
+    digits, code = [], F.lit(0)  # a price's range, digit by digit: the number of marks below it among those of its range
+    for i in range(1, ROUNDS + 1):
+        wide = RANGES ** (ROUNDS - i)
+        own = F.transform(F.sequence(F.lit(1), F.lit(RANGES - 1)), lambda k: F.get("_m", (code + k * wide - 1).cast("int")))
+        priced = priced.withColumn(f"_d{i}", F.size(F.filter(own, lambda m: m < F.col("_v"))))
+        digits.append(f"_d{i}")
+        code = code + F.col(f"_d{i}") * wide
+    priced = durable(priced.groupBy("lng", "lat", *digits, "_v").agg(F.count("*").alias("_c")))
+    names = [f"_n{k}" for k in range(RANGES)]
+    wanted, found = None, []  # (poly_id, _r rank, found digits, _o rows before the range)
+    for i, digit in enumerate(digits):
+        shapes = polygons if wanted is None else wanted.select("poly_id", *found).distinct().join(polygons, "poly_id")
+        rows = priced.select("lng", "lat", *found, *[F.when(F.col(digit) == k, F.col("_c")).otherwise(0).alias(n) for k, n in enumerate(names)])
+        parts = points_in_polygons(rows, shapes, step, names, on=found, depth=depth)
+        counts = parts.groupBy("poly_id", *found).agg(F.array(*[F.sum(n) for n in names]).alias("_h"))
+        if wanted is None:
+            total = F.aggregate("_h", F.lit(0).cast("bigint"), lambda s, x: s + x)
+            counts = counts.withColumn("_n", total).filter("_n > 0")
+            ranks = F.array_distinct(F.array(F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)))
+            held = counts.select("poly_id", "_h", F.explode(ranks).alias("_r"), F.lit(0).cast("bigint").alias("_o"))
+        else:
+            held = wanted.join(counts, ["poly_id", *found])
+        start = F.struct(F.col("_o").alias("o"), F.lit(0).alias("d"), F.lit(False).alias("end"))
+
+        def on_to(s: Column, x: Column) -> Column:
+            end = s["end"] | (s["o"] + x > F.col("_r"))
+            return F.struct(F.when(end, s["o"]).otherwise(s["o"] + x).alias("o"), F.when(end, s["d"]).otherwise(s["d"] + 1).alias("d"), end.alias("end"))
+
+        held = held.withColumn("_s", F.aggregate("_h", start, on_to))
+        wanted = durable(held.select("poly_id", "_r", *found, F.col("_s.d").alias(digit), F.col("_s.o").alias("_o")))
+        found.append(digit)
+    shapes = wanted.select("poly_id", *found).distinct().join(polygons, "poly_id")
+    listed = points_in_polygons(priced.select("lng", "lat", *found, "_v", "_c"), shapes, step, on=found)
+    listed = listed.groupBy("poly_id", *found, "_v").agg(F.sum("_c").alias("_c"))
+    before = Window.partitionBy("poly_id", "_r").orderBy("_v")
+    ranked = wanted.join(listed, ["poly_id", *found]).withColumn("_e", F.col("_o") + F.sum("_c").over(before))
+    middle = ranked.filter((F.col("_r") < F.col("_e")) & (F.col("_r") >= F.col("_e") - F.col("_c")))
+    low, high = F.min_by("_v", "_r"), F.max_by("_v", "_r")
+    both = middle.groupBy("poly_id").agg(low.alias("_lo"), high.alias("_hi"))
+    return both.select("poly_id", (F.col("_lo") + 0.5 * (F.col("_hi") - F.col("_lo"))).alias("night_price"))
 
 
 def gross_yield(rent: Column, sale: Column, n_rent: Column, n_sale: Column, minimum: int = 5) -> Column:
