@@ -13,6 +13,7 @@ import hashlib
 import os
 import re
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -65,25 +66,38 @@ class Words:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         blank, n = chr(_byte_letters()[32]), self.tokenizer.get_vocab_size()
         self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith(blank) for i in range(n)])
-        self.known: dict[str, bytes] = {}
+        # Remembered pieces by number, and the ids of all of them, one behind the other, with where each one's end.
+        self.known: dict[str, int] = {}
+        self.flat, self.ends = np.zeros(0, "<u4"), np.zeros(0, np.int64)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece behind a blank, as bytes; the first ``MEMO`` pieces are remembered."""
-        found = list(map(self.known.get, pieces))
-        new = [i for i, x in enumerate(found) if x is None]
-        for at in range(0, len(new), TOGETHER):
-            now = new[at : at + TOGETHER]
-            ids = self._whole([" " + " ".join([pieces[i] for i in now])])[0]
-            cuts = np.append(np.flatnonzero(self.begins[ids]), len(ids)) * 4
-            raw = ids.tobytes()
-            for i, lo, hi in zip(now, cuts[:-1], cuts[1:], strict=True):
-                found[i] = raw[lo:hi]
-                if len(self.known) < MEMO:
-                    self.known[pieces[i]] = found[i]
-        return found
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of remembered and of these pieces behind a blank, where each one's end, and the numbers of these pieces.
+
+        The first ``MEMO`` pieces are remembered.
+        """
+        numbers = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(numbers < 0)
+        if not len(new):
+            return self.flat, self.ends, numbers
+        fresh, had, found, sizes = pieces[new].tolist(), len(self.ends), [self.flat], []
+        for at in range(0, len(fresh), TOGETHER):
+            now = fresh[at : at + TOGETHER]
+            ids = self._whole([" " + " ".join(now)])[0]
+            cuts = np.flatnonzero(self.begins[ids])
+            if len(cuts) != len(now):
+                raise ValueError("a piece does not begin where its blank is")
+            found.append(ids)
+            sizes.append(np.diff(np.append(cuts, len(ids))))
+        flat, ends = np.concatenate(found), np.append(self.ends, len(self.flat) + np.cumsum(np.concatenate(sizes)))
+        numbers[new] = np.arange(had, len(ends))
+        if (room := MEMO - had) > 0:
+            self.known.update(zip(fresh[:room], range(had, MEMO)))
+            self.ends = ends[:MEMO].copy()
+            self.flat = flat[: self.ends[-1]].copy()
+        return flat, ends, numbers
 
     def _split(self, parts: list[str]) -> list[np.ndarray]:
         """Ids of texts that may be split at their blanks."""
@@ -92,17 +106,17 @@ class Words:
         first = np.zeros(len(values), bool)
         first[offsets[:-1]] = True  # every text has a first piece, which has no blank in front
         later = values.filter(pa.array(~first)).dictionary_encode()
-        ids = [x.astype("<u4").tobytes() for x in self._whole(values.take(pa.array(offsets[:-1])).to_pylist())]
-        ids += self._pieces(later.dictionary.to_pylist())
+        flat, ends, numbers = self._pieces(later.dictionary.to_numpy(zero_copy_only=False))
+        heads = self._whole(values.take(pa.array(offsets[:-1])).to_pylist())
         codes = np.empty(len(values), np.int64)
-        codes[first] = np.arange(len(parts))
-        codes[~first] = later.indices.to_numpy() + len(parts)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        codes[first] = np.arange(len(ends), len(ends) + len(parts))
+        codes[~first] = numbers[later.indices.to_numpy()]
+        ends = np.append(ends, len(flat) + np.cumsum(list(map(len, heads))))
+        flat, sizes = np.concatenate([flat, *heads]), np.diff(ends, prepend=0)
         n = sizes[codes]
-        ends = np.cumsum(n)
-        every = flat[np.arange(ends[-1]) + np.repeat(starts[codes] - ends + n, n)]
-        return np.split(every, np.append(0, ends)[offsets[1:-1]])
+        upto = np.cumsum(n)
+        every = flat[np.arange(upto[-1]) + np.repeat(ends[codes] - upto, n)]
+        return np.split(every, np.append(0, upto)[offsets[1:-1]])
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text, as the library gives them."""

@@ -102,6 +102,32 @@ def test_words_equal_the_library(monkeypatch):
         assert [x.tolist() for x in code.encode_all([*long, "", " "])] == [plain.encode(t, add_special_tokens=False).ids for t in [*long, "", " "]]
 
 
+def test_words_are_encoded_without_offsets_and_kept_flat(monkeypatch):
+    from tokenizers import Tokenizer
+
+    class Counted:
+        """Only the library's call that tracks no offsets."""
+
+        def __init__(self, tokenizer):
+            self.tokenizer, self.texts = tokenizer, []
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += texts
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(token_files, "MEMO", 6)
+    monkeypatch.setattr(token_files, "TOGETHER", 2)
+    code, plain = token_files.Words(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    code.tokenizer = Counted(code.tokenizer)
+    batches = [["un déux trois", "un déux", "a"], ["un quatre, cinq\nsix sept", "trois trois"], ["un huit neuf dix", "x déux onze"]]
+    for texts in batches:
+        assert [x.tolist() for x in code.encode_all(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted(code.known.values()) == list(range(6)) and len(code.ends) == 6 and code.ends[-1] == len(code.flat)
+    kept = dict(zip(code.known, np.split(code.flat, code.ends[:-1])))
+    assert all(ids.tolist() == plain.encode(" " + w, add_special_tokens=False).ids for w, ids in kept.items())
+    assert sum("déux" in t for t in code.tokenizer.texts) == 1
+
+
 def prose(words, n, rng):
     return " ".join(rng.choice(words) for _ in range(n))
 
