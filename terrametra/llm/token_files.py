@@ -35,9 +35,10 @@ DICTIONARY_BYTES = 1 << 16
 LEVEL = 3
 MEMO = 3 << 17
 PART = 1 << 20
-# New words that are encoded in one call.
+# New words that are encoded in one call, and those of them that are joined to one text.
 TOGETHER = 1 << 14
-_UNSAFE = re.compile(r"\s (?:\s|\Z)")
+JOINED = 64
+_UNSAFE = re.compile(r" (?=\s|\Z)(?<=\s )")
 _CUT = re.compile(r"\S (?=\S)")
 _FILES: dict = {}
 
@@ -49,56 +50,160 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
 
 
-class Words:
-    """Encodes with a tokenizers file, each distinct word of some texts once, and remembers words.
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pieces of ``flat`` with these starts and sizes, one behind the other."""
+    at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+    at += np.arange(len(at))
+    return flat[at]
 
-    No match of the byte-level pattern holds a blank behind another character, and a blank before a visible character
-    always starts one. So a text splits at its blanks into pieces that are encoded alike alone and in place, unless a
-    blank has white space on both sides; such a text, or one with the string of an added token, is encoded as a whole.
-    Pieces are encoded together, joined by blanks again: the tokens that begin with a blank are where pieces begin.
-    """
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+class Remembered:
+    """Ids of strings by the strings' number; those of the first strings stay, one behind the other, with where each one's end."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        blank, n = chr(_byte_letters()[32]), self.tokenizer.get_vocab_size()
-        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith(blank) for i in range(n)])
-        # Remembered pieces by number, and the ids of all of them, one behind the other, with where each one's end.
+    def __init__(self):
         self.known: dict[str, int] = {}
         self.flat, self.ends = np.zeros(0, "<u4"), np.zeros(0, np.int64)
 
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of remembered and of these pieces behind a blank, where each one's end, and the numbers of these pieces.
+    def numbered(self, strings: np.ndarray, encode, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of remembered and of these strings, where each one's end, and the numbers of these strings.
 
-        The first ``MEMO`` pieces are remembered.
+        ``encode`` gives the ids of a list of strings, one behind the other, and how many each has. At most ``room``
+        strings are remembered.
         """
-        numbers = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        numbers = np.fromiter(map(self.known.get, strings, repeat(-1)), np.int64, len(strings))
         new = np.flatnonzero(numbers < 0)
         if not len(new):
             return self.flat, self.ends, numbers
-        fresh, had, found, sizes = pieces[new].tolist(), len(self.ends), [self.flat], []
+        fresh, had, found, sizes = strings[new].tolist(), len(self.ends), [self.flat], []
         for at in range(0, len(fresh), TOGETHER):
-            now = fresh[at : at + TOGETHER]
-            ids = self._whole([" " + " ".join(now)])[0]
-            cuts = np.flatnonzero(self.begins[ids])
-            if len(cuts) != len(now):
-                raise ValueError("a piece does not begin where its blank is")
+            ids, n = encode(fresh[at : at + TOGETHER])
             found.append(ids)
-            sizes.append(np.diff(np.append(cuts, len(ids))))
+            sizes.append(n)
         flat, ends = np.concatenate(found), np.append(self.ends, len(self.flat) + np.cumsum(np.concatenate(sizes)))
         numbers[new] = np.arange(had, len(ends))
-        if (room := MEMO - had) > 0:
-            self.known.update(zip(fresh[:room], range(had, MEMO)))
-            self.ends = ends[:MEMO].copy()
+        if (left := room - had) > 0:
+            self.known.update(zip(fresh[:left], range(had, room)))
+            self.ends = ends[:room].copy()
             self.flat = flat[: self.ends[-1]].copy()
         return flat, ends, numbers
 
+
+class Words(Remembered):
+    """Encodes with a tokenizers file, each distinct word of some texts once, and remembers words.
+
+    No match of the byte-level pattern holds a blank behind another character, and a blank before a visible character
+    always starts one. So a text splits at its blanks into pieces that are encoded alike alone and in place, unless a
+    blank has white space on both sides; such a text, or one with the string of an added token, is encoded as a whole.
+
+    The blank and the letters that a piece begins with are one match, and the rest is encoded alike behind any letters.
+    So a piece is cut there: words of letters are remembered once, whatever signs follow them. Joined by blanks they
+    need the library's merges alone, without its pattern, since no merge leads from a letter to a blank. What else there
+    is goes through the whole library, joined by blanks too, a rest behind the word ``a``. In both the tokens that begin
+    with a blank are where words begin.
+    """
+
+    def __init__(self, path: str):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.library = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer(self.library.model)  # the merges alone; the model is shared
+        self.tokenizer.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        signs = _byte_letters()
+        blank, tokens = chr(signs[32]), [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
+        self.begins = np.array([t.startswith(blank) for t in tokens])
+        # A token with a blank behind something else is no danger if it holds white space that words of letters lack.
+        white, later = {chr(signs[b]) for b in b"\t\n\v\f\r"}, re.compile(f"[^{blank}]{blank}")
+        nbsp = "".join(chr(signs[b]) for b in "\xa0".encode())
+        self.cutting = not any(later.search(t) and nbsp not in t and white.isdisjoint(t) for t in tokens)
+        # Bytes by what they end: 0 a letter or a part of one, 1 something else, 2 what is not told here, 3 a pair that ``pairs`` tells.
+        self.kinds = np.ones(256, np.uint8)
+        self.kinds[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0)]] = 0
+        self.kinds[0xC0:0xE0], self.kinds[0xE0:] = 3, 2
+        alone = self.library.pre_tokenizer.pre_tokenize_str
+        self.pairs = np.array([c < 0x80 or len(alone("a" + chr(c))) > 1 for c in range(0x800)])
+        self.lead = len(self._whole([" a"])[0])
+        # Pieces that are not letters only, behind the word ``a`` instead of their own.
+        self.rests = Remembered()
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words behind a blank, one behind the other, and how many each has."""
+        texts = [" " + " ".join(words[at : at + JOINED]) for at in range(0, len(words), JOINED)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        cuts = np.flatnonzero(self.begins[ids])
+        if len(cuts) != len(words):
+            raise ValueError("a piece does not begin where its blank is")
+        return ids, np.diff(np.append(cuts, len(ids)))
+
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self._joined(self.tokenizer, words)
+
+    def _matched(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_merged``, of any pieces; those that begin or end with white space would match with their neighbours."""
+        edged = [not w or w[0].isspace() or w[-1].isspace() for w in words]
+        inner = [w for w, e in zip(words, edged) if not e]
+        ids, n = self._joined(self.library, inner) if inner else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        if len(inner) == len(words):
+            return ids, n
+        joined, alone = iter(np.split(ids, np.cumsum(n)[:-1])), iter(self._whole([" " + w for w, e in zip(words, edged) if e]))
+        parts = [next(alone if e else joined) for e in edged]
+        return np.concatenate(parts), np.array(list(map(len, parts)))
+
+    def _cuts(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Where the letters end that each piece begins with; its start if that is not told here."""
+        starts, ends = offsets[:-1], offsets[1:]
+        if not self.cutting:
+            return starts
+        kinds = self.kinds[data]
+        two = np.flatnonzero(kinds == 3)
+        kinds[two] = self.pairs[(data[two].astype(np.int64) & 31) << 6 | data[two + 1] & 63]
+        stops = np.flatnonzero(kinds)
+        first = np.append(stops, len(data))[np.searchsorted(stops, starts)]
+        told = (first >= ends) | (np.append(kinds, 0)[first] == 1)
+        return np.where(told, np.minimum(first, ends), starts)
+
+    def _pieces(self, pieces: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces behind a blank, one behind the other, and how many each has.
+
+        The first ``MEMO`` words of letters are remembered, and of the rests half as many.
+        """
+        n = len(pieces)
+        if not n:
+            return self.flat[:0], self.ends[:0]
+        _, offsets, data = pieces.buffers()
+        data = data or pa.py_buffer(b"")
+        offsets = np.frombuffer(offsets, np.int64)[pieces.offset : pieces.offset + n + 1]
+        bounds = np.empty(2 * n + 1, np.int64)
+        bounds[::2] = offsets
+        bounds[1::2] = cuts = self._cuts(offsets, np.frombuffer(data, np.uint8)[: offsets[-1]])
+        halves = pa.LargeStringArray.from_buffers(2 * n, pa.py_buffer(bounds), data)
+        led = cuts > offsets[:-1]
+        more = ~led | (cuts < offsets[1:])
+        starts, sizes = np.zeros(2 * n, np.int64), np.zeros(2 * n, np.int64)
+
+        def put(at, memo, strings, encode, room, before):
+            coded = strings.dictionary_encode()
+            flat, ends, numbers = memo.numbered(coded.dictionary.to_numpy(zero_copy_only=False), encode, room)
+            codes, n = numbers[coded.indices.to_numpy()], np.diff(ends, prepend=0)
+            sizes[at], starts[at] = n[codes], before + (ends - n)[codes]
+            return flat
+
+        at = 2 * np.flatnonzero(led)
+        flat = put(at, self, halves.take(pa.array(at)), self._merged, MEMO, 0)
+        at, behind = 2 * np.flatnonzero(more) + 1, led[more]
+        a, none = (pa.scalar(x, pa.large_string()) for x in ("a", ""))
+        rests = pc.binary_join_element_wise(pc.if_else(pa.array(behind), a, none), halves.take(pa.array(at)), none)
+        others = put(at, self.rests, rests, self._matched, MEMO // 2, len(flat))
+        starts[at] += self.lead * behind
+        sizes[at] -= self.lead * behind
+        return _gathered(np.concatenate([flat, others]), starts, sizes), sizes[::2] + sizes[1::2]
+
     def _split(self, parts: list[str]) -> list[np.ndarray]:
         """Ids of texts that may be split at their blanks."""
         lists = pc.split_pattern(pa.array(parts, pa.large_string()), " ")
@@ -106,17 +211,15 @@ class Words:
         first = np.zeros(len(values), bool)
         first[offsets[:-1]] = True  # every text has a first piece, which has no blank in front
         later = values.filter(pa.array(~first)).dictionary_encode()
-        flat, ends, numbers = self._pieces(later.dictionary.to_numpy(zero_copy_only=False))
+        flat, sizes = self._pieces(later.dictionary)
         heads = self._whole(values.take(pa.array(offsets[:-1])).to_pylist())
         codes = np.empty(len(values), np.int64)
-        codes[first] = np.arange(len(ends), len(ends) + len(parts))
-        codes[~first] = numbers[later.indices.to_numpy()]
-        ends = np.append(ends, len(flat) + np.cumsum(list(map(len, heads))))
-        flat, sizes = np.concatenate([flat, *heads]), np.diff(ends, prepend=0)
+        codes[first] = np.arange(len(sizes), len(sizes) + len(parts))
+        codes[~first] = later.indices.to_numpy()
+        flat, sizes = np.concatenate([flat, *heads]), np.append(sizes, list(map(len, heads)))
         n = sizes[codes]
-        upto = np.cumsum(n)
-        every = flat[np.arange(upto[-1]) + np.repeat(ends[codes] - upto, n)]
-        return np.split(every, np.append(0, upto)[offsets[1:-1]])
+        every = _gathered(flat, (np.cumsum(sizes) - sizes)[codes], n)
+        return np.split(every, np.append(0, np.cumsum(n))[offsets[1:-1]])
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text, as the library gives them."""

@@ -128,6 +128,61 @@ def test_words_are_encoded_without_offsets_and_kept_flat(monkeypatch):
     assert sum("déux" in t for t in code.tokenizer.texts) == 1
 
 
+class Kept:
+    """A tokenizer that keeps the texts it is given."""
+
+    def __init__(self, tokenizer, texts):
+        self.tokenizer, self.texts = tokenizer, texts
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_words_of_letters_are_encoded_once_whatever_follows():
+    from tokenizers import Tokenizer
+
+    code, plain, given = token_files.Words(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("byte_bpe_50k.json")), []
+    code.tokenizer, code.library = Kept(code.tokenizer, given), Kept(code.library, given)
+    batches = [["un déux trois, déux, déux. déux's", "un жук\nfin déux.\nTrois déux"], ["x déux?! жук, жук— déux; trois\n"]]
+    for texts in batches:
+        assert [x.tolist() for x in code.encode_all(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(t.count("déux") for t in given) == 1 and sum(t.count("trois") for t in given) == 1
+
+
+def test_words_cut_behind_letters_equal_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    plain, rng = Tokenizer.from_file(P.path("byte_bpe_50k.json")), random.Random(9)
+    signs = ["a", "the", "don", "'s", "'t", "'ll", "’", "é", "ß", "×", "ж", "漢", "…", "—", "\u0301", "\u0345", "ª", "²", "7", "?!", ",", "."]
+    signs += ["\n", "\n\n", "\t", "\xa0", "\x1c", "\x85", "\x00", "👩", "א", "ʔ", "\u037e", "_", "<|", "  ", *[" "] * 8]
+    for together, joined, memo in [(1, 1, 3), (7, 2, 40), (1 << 14, 64, 1 << 10)]:
+        monkeypatch.setattr(token_files, "TOGETHER", together)
+        monkeypatch.setattr(token_files, "JOINED", joined)
+        monkeypatch.setattr(token_files, "MEMO", memo)
+        code = token_files.Words(P.path("byte_bpe_50k.json"))
+        for _ in range(15):
+            texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 50))) for _ in range(20)] + ["a x\n b", "a \nfoo", "a b "]
+            assert [x.tolist() for x in code.encode_all(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(code.known) <= memo and len(code.rests.known) <= memo // 2
+        every = [f"ab c{chr(c)}d e{chr(c)} f{chr(c)}{chr(c)} {chr(c)}x" for c in range(32, 0x800)]
+        assert [x.tolist() for x in code.encode_all(every)] == [plain.encode(t, add_special_tokens=False).ids for t in every]
+
+
+def test_words_are_not_cut_where_a_merge_leads_to_a_blank(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    signs = [chr(c) for c in token_files._byte_letters().values()]
+    vocab = {t: i for i, t in enumerate([*signs, "a" + chr(288)])}
+    made = Tokenizer(models.BPE(vocab=vocab, merges=[("a", chr(288))]))
+    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    made.save(str(tmp_path / "made.json"))
+    texts = ["a a a, ba b", "x a. a a"]
+    code = token_files.Words(str(tmp_path / "made.json"))
+    assert [x.tolist() for x in code.encode_all(texts)] == [made.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not code.cutting and code.known == {}
+
+
 def prose(words, n, rng):
     return " ".join(rng.choice(words) for _ in range(n))
 
