@@ -192,6 +192,36 @@ def test_cards_end_at_the_next_card(spark):
     assert (got[4, 6e6].url, got[4, 6e6].location) == ("https://s.example/casa-lomas-4", "Calle 9, Lomas, Puebla")
 
 
+def test_listings_of_pages_take_one_step(spark):
+    out = H.extract_listings(spark.createDataFrame(PAGES + CARDS[3:], "page_id int, html string").filter("page_id <> 4"), base="https://s.example/")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("MapInArrow") == 1  # pages were read by four strategies and joined with the best
+    assert out.columns == ["page_id", "strategy", "block_no", "seq", *H.FIELDS]
+
+
+def test_a_page_of_several_rows_is_decided_as_one(spark):
+    state = lambda *urls: '<script type="application/json">[' + ",".join(f'{{"price":900000.5,"title":"A","url":"{u}"}}' for u in urls) + "]</script>"
+    pages = [
+        (1, state("/a", "/b")), (1, state("/b")), (1, "$5,000 MXN <i>x</i> $6,000 MXN"),  # two of each: state is preferred
+        (2, state("/c")), (2, "$5,000 MXN <i>x</i> $6,000 MXN"),
+        (3, "$5,000 MXN"), (3, 'REP_LOG_APP_PROPS = {"results":[{"precio":7000}]}'),
+        (4, state("/d") + "$900 MXN"), (None, state("/e")), (5, None), (6, ""),
+    ]
+    got = sorted((r.page_id, r.strategy, r.url, r.price) for r in H.extract_listings(spark.createDataFrame(pages, "page_id int, html string")).collect())
+    assert got == [(1, "state", "/a", 900000.5), (1, "state", "/b", 900000.5), (2, "window", None, 5000.0), (2, "window", None, 6000.0), (3, "results", None, 7000.0), (4, "state", "/d", 900000.5)]
+
+
+def test_texts_of_a_page_are_those_of_the_jvm(spark):
+    values = [1.5, 12345678.5, 1e16, 0.0005, 1e-7, -0.25, 7, True, 123456789012345678901234, "a\"b", ["x", "y"], {"k": 1e9, "n": None, "l": ["ñ"]}]
+    m = spark.createDataFrame([(json.dumps({"v": v}),) for v in values], "t string").select(F.from_json("t", "map<string,string>")["v"].alias("v"), F.get_json_object("t", "$.v").alias("j"))
+    want = [H._text(v) for v in values]
+    assert [r.v for r in m.collect()] == want and [r.j for r in m.collect()] == want
+    texts = ["3 Rec", "3 Recámaras", "3 Rec_", "3 Recs 4 Rec.", "1,2 REC", "8 Rec\u0301", "7 Rec²", "en venta", "Xen venta", "en ventas", "ñen renta"]
+    rx = spark.createDataFrame([(t,) for t in texts], "t string").select(F.regexp_extract("t", H.NUMBER + r"\s*Rec\b", 1).alias("n"), F.regexp_extract("t", r"\ben\s+(venta|renta)\b", 1).alias("o")).collect()
+    cards = [H._card("$1 MXN", t, "") for t in texts]
+    assert [(H._number(r.n), r.o or None) for r in rx] == [(c["rooms"], c["operation"]) for c in cards]
+
+
 def test_no_text_is_in_two_cards(spark):
     df = spark.createDataFrame(CARDS, "page_id int, html string")
     parts = {}
